@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from chronolith.llm import simhash
+from chronolith.llm import packing, simhash
 
 QUERIES = {
+    "op9_packing": packing.query,
     "op5_simhash": simhash.query,
 }
 
