@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from chronolith.llm import packing, simhash
+from chronolith.llm import lcp, packing, simhash
 
 QUERIES = {
+    "op1_fingerprint": lcp.query,
     "op9_packing": packing.query,
     "op5_simhash": simhash.query,
 }
