@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from chronolith.llm.common import code_points, map_arrow, mix64, slices, table, text_rows
 
 #: Levels, those whose names are sketched, names in a sketch, code points worked on at a time.
-LEVELS, SKETCHED, K, AT_ONCE = 3, (2, 3), 64, 1_000_000
+LEVELS, SKETCHED, K, AT_ONCE = 3, (2, 3), 64, 150_000
 BASE = 0x9E3779B97F4A7C15
 LEAST = -(1 << 63)
 
