@@ -41,7 +41,7 @@ def whole(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
 
-def map_arrow(df: DataFrame, rows_of: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
+def map_arrow(df: DataFrame, rows_of: Callable[[pa.RecordBatch], pa.RecordBatch], schema) -> DataFrame:
     """mapInArrow with a function of one batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from chronolith.llm import crf, lcp, packing, simhash
+from chronolith.llm import crf, language, lcp, packing, simhash
 
 QUERIES = {
+    "op8_language": language.query,
     "op4_quality": crf.query,
     "op1_fingerprint": lcp.query,
     "op9_packing": packing.query,
