@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from chronolith.llm import crf, language, lcp, packing, simhash
+from chronolith.llm import crf, language, lcp, packing, simhash, toxicity
 
 QUERIES = {
+    "op6_toxicity": toxicity.query,
     "op8_language": language.query,
     "op4_quality": crf.query,
     "op1_fingerprint": lcp.query,
