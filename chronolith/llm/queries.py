@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from chronolith.llm import crf, language, lcp, packing, simhash, toxicity
+from chronolith.llm import chat, crf, language, lcp, packing, simhash, toxicity
 
 QUERIES = {
+    "op2_chat": chat.query,
     "op6_toxicity": toxicity.query,
     "op8_language": language.query,
     "op4_quality": crf.query,
@@ -13,4 +14,6 @@ QUERIES = {
     "op5_simhash": simhash.query,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op2_chat": chat.SQL,
+}
