@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from chronolith.llm import chat, crf, language, lcp, packing, simhash, toxicity
+from chronolith.llm import chat, crf, language, lcp, packing, pii, simhash, toxicity
 
 QUERIES = {
+    "op10_pii": pii.query,
     "op2_chat": chat.query,
     "op6_toxicity": toxicity.query,
     "op8_language": language.query,
