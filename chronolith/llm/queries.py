@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from chronolith.llm import chat, crf, language, lcp, packing, pii, simhash, toxicity
+from chronolith.llm import chat, crf, language, lcp, mixing, packing, pii, sentences, simhash, toxicity
 
 QUERIES = {
+    "op7_sentences": sentences.query,
+    "op3_mixing": mixing.query,
     "op10_pii": pii.query,
     "op2_chat": chat.query,
     "op6_toxicity": toxicity.query,
