@@ -146,8 +146,14 @@ def viterbi(x: np.ndarray, firsts: np.ndarray, weights: np.ndarray, moves: np.nd
 
 def fit(texts: list[str], good: list[int], rounds: int = 120, penalty: float = 1e-3) -> tuple[np.ndarray, np.ndarray]:
     """Weights and moves of the field, by gradient ascent on its likelihood with forward and backward sums. Classes weigh alike."""
-    lines = Lines(texts)
-    x, firsts, y = lines.x, lines.firsts, np.array(good)[lines.doc]
+    parts, firsts, doc, n = [], [], [], 0
+    for i, j in slices(list(map(len, texts)), AT_ONCE):
+        lines = Lines(texts[i:j])
+        parts.append(lines.x)
+        firsts.append(lines.firsts + n)
+        doc.append(lines.doc + i)
+        n += len(lines.x)
+    x, firsts, y = np.concatenate(parts), np.concatenate(firsts), np.array(good)[np.concatenate(doc)]
     share = np.clip(np.bincount(np.array(good), minlength=2) / max(1, len(good)), 1e-3, 1)
     worth = (0.5 / share)[np.array(good)]
     w, moves = np.zeros(x.shape[1]), np.zeros((2, 2))
