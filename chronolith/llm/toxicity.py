@@ -22,7 +22,7 @@ from chronolith.llm.common import code_points, map_arrow, mix64, slices, table,
 from chronolith.llm.crf import labelled_sample
 
 #: Labelled documents of either label at most, landmarks, words of either class in training, code points at a time.
-SAMPLE, LANDMARKS, WORDS, AT_ONCE = 2500, 160, 6000, 200_000
+SAMPLE, LANDMARKS, WORDS, AT_ONCE = 2000, 160, 4000, 200_000
 #: Letters a triple may span, its decay by span; rounds of choosing toxic sentences' words.
 WINDOW, DECAY, ROUNDS = 5, 0.7, 3
 #: Likelihood ratio from which a word tells toxic documents; decision value from which an unlisted word joins the positives; variants shown of each positive.
@@ -61,7 +61,7 @@ class Words:
         doc = np.repeat(np.arange(len(texts)), np.diff(bounds))
         letter = np.flatnonzero(s < 31)
         gap = np.cumsum(s == 32)[letter]
-        self.letters, self.at, doc = s[letter], letter, doc[letter]
+        self.letters, doc = s[letter], doc[letter]
         new = np.ones(len(letter), bool)
         if len(letter) > 1:
             new[1:] = gap[1:] != gap[:-1]
@@ -158,6 +158,31 @@ class Model:
 EMPTY = Model(np.zeros(1 << 15, np.float32), 0.0, 0.0, 0.0)
 
 
+class Vocabulary:
+    """The different words of sentences, and in how many toxic and clean ones each occurs, gathered a few sentences at a time."""
+
+    def __init__(self, sentences: list[str], toxic: np.ndarray):
+        parts = []
+        for a, b in slices(list(map(len, sentences)), AT_ONCE):
+            w = Words(sentences[a:b])
+            known, first, which = np.unique(w.hashes(), return_index=True, return_inverse=True)
+            pairs = np.unique(which.astype(np.int64) * (b - a) + w.doc)
+            bad = toxic[a + pairs % (b - a)]
+            n_bad, n = (np.bincount(pairs // (b - a), weights=v, minlength=len(known)) for v in (bad, np.ones(len(pairs))))
+            parts.append((known, w.sizes[first], n_bad, n - n_bad, b"".join(w.text(i).tobytes() for i in first)))
+        known, sizes, bad, good = (np.concatenate(x) for x in list(zip(*parts))[:4])
+        letters = np.frombuffer(b"".join(p[4] for p in parts), np.uint8)
+        starts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
+        _, first, which = np.unique(known, return_index=True, return_inverse=True)
+        self.bad, self.good = np.bincount(which, weights=bad), np.bincount(which, weights=good)
+        self.sizes = sizes[first]
+        self.letters = letters[np.repeat(starts[first] - np.concatenate(([0], np.cumsum(self.sizes)[:-1])), self.sizes) + np.arange(self.sizes.sum())]
+        self.starts = np.concatenate(([0], np.cumsum(self.sizes)[:-1]))
+
+    def text(self, i: int) -> np.ndarray:
+        return self.letters[self.starts[i] : self.starts[i] + self.sizes[i]]
+
+
 def _disguised(word: np.ndarray, rng: np.random.Generator) -> np.ndarray:
     """The word with a letter inserted or doubled, not at its ends."""
     at = int(rng.integers(1, len(word)))
@@ -182,17 +207,11 @@ def fit(texts: list[str], toxic: list[int], seed: int = 3) -> Model:
     y = np.array(list(label.values()))
     if len(set(y.tolist())) < 2:
         return EMPTY
-    w = Words(texts)
-    h, own = w.hashes(), y[w.doc]
-    known, first, which = np.unique(h, return_index=True, return_inverse=True)
-    # sentences of either class in which each word occurs
-    pairs = np.unique(which.astype(np.int64) * len(texts) + w.doc)
-    word, doc = pairs // len(texts), pairs % len(texts)
-    bad = np.bincount(word, weights=y[doc], minlength=len(known))
-    good = np.bincount(word, weights=1 - y[doc], minlength=len(known))
+    words = Vocabulary(texts, y)
+    bad, good = words.bad, words.good
     share = y.mean()
     told = 2 * (bad * np.log(np.maximum(bad, 1e-9) / ((bad + good) * share)) + good * np.log(np.maximum(good, 1e-9) / ((bad + good) * (1 - share))))
-    size = w.sizes[first]
+    size = words.sizes
     rank = np.where((size >= 4) & (good * share <= 0.1 * bad * (1 - share)), told, -np.inf)
     seeds = np.argsort(-rank, kind="stable")[: LANDMARKS // 2]
     seeds = seeds[rank[seeds] >= TOLD]
@@ -203,7 +222,7 @@ def fit(texts: list[str], toxic: list[int], seed: int = 3) -> Model:
     clean = rng.permutation(clean)
     negatives = clean[:WORDS]
     landmarks = np.concatenate((seeds, clean[: LANDMARKS - len(seeds)]))
-    strings = lambda ids: [w.text(first[i]) for i in ids]
+    strings = lambda ids: [words.text(i) for i in ids]
     at_landmarks = features(strings(landmarks))
     value, vector = np.linalg.eigh(at_landmarks @ at_landmarks.T)
     white = vector * (1 / np.sqrt(np.maximum(value, 1e-4)))
@@ -211,12 +230,11 @@ def fit(texts: list[str], toxic: list[int], seed: int = 3) -> Model:
     for _ in range(ROUNDS):
         shown = [x for s in strings(positives) for x in (s, *(_disguised(s, rng) for _ in range(DISGUISES)))]
         examples = shown + strings(negatives)
-        kernel = np.concatenate([features(examples[i : i + 500]) @ at_landmarks.T for i in range(0, len(examples), 500)])
+        kernel = np.concatenate([features(examples[i : i + 200]) @ at_landmarks.T for i in range(0, len(examples), 200)])
         v, bias = _svm(kernel @ white, np.concatenate((np.ones(len(shown)), -np.ones(len(negatives)))))
         weight = (at_landmarks.T @ (white @ v)).astype(np.float32)
-        f = word_sums(w.letters, w.starts, w.sizes, weight, -bias - 1) + bias
+        f_known = word_sums(words.letters, words.starts, words.sizes, weight, -bias - 1) + bias
         # the words of toxic sentences that look toxic so far and no clean sentence has; of clean sentences the worst words
-        f_known = f[first]
         top = np.flatnonzero((f_known > SURE) & (rank >= TOLD))
         positives = np.unique(np.concatenate((seeds, top[np.argsort(-bad[top], kind="stable")][:WORDS])))
         hard = np.flatnonzero((good > bad) & (f_known > -1))
