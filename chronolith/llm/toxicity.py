@@ -27,6 +27,8 @@ SAMPLE, LANDMARKS, WORDS, AT_ONCE = 2000, 160, 4000, 200_000
 WINDOW, DECAY, ROUNDS = 5, 0.7, 3
 #: Likelihood ratio from which a word tells toxic documents; decision value from which an unlisted word joins the positives; variants shown of each positive.
 TOLD, SURE, DISGUISES = 12.0, 0.3, 4
+#: Letters of a toxic word at least.
+SHORTEST = 4
 #: What a clean document taken for a toxic one weighs against the reverse.
 CLEAN = 4.0
 SENTENCE_END = re.compile(r"(?<=[.!?])\s+|\n")
@@ -34,17 +36,20 @@ TRIPLES = [(0, i, j) for i in range(1, WINDOW - 1) for j in range(i + 1, WINDOW)
 
 
 def _symbols() -> np.ndarray:
-    """Letters of Latin script without their marks as 1 to 26, other letters 27 to 30, white space 32, sentence ends 33, else 31."""
+    """Plain letters as 1 to 26; letters with an acute 27, a grave or circumflex 28, a tilde or cedilla 29, other letters 27 to
+    30; white space 32, all else 31."""
     import unicodedata
 
+    marks = {"\u0301": 27, "\u0300": 28, "\u0302": 28, "\u0303": 29, "\u0327": 29, "\u0308": 30}
+
     out = np.full(0x3000, 31, np.uint8)
     for i in range(0x3000):
         c = chr(i)
         if c in " \t\n\r\x0b\x0c":
             out[i] = 32
         elif c.isalpha():
-            base = unicodedata.normalize("NFD", c.lower())[0]
-            out[i] = ord(base) - 96 if "a" <= base <= "z" else 27 + i % 4
+            base = unicodedata.normalize("NFD", c.lower())
+            out[i] = marks.get(base[1], 30) if len(base) > 1 else ord(base) - 96 if "a" <= base <= "z" else 27 + i % 4
     return out
 
 
@@ -134,10 +139,10 @@ def features(words: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def _svm(z: np.ndarray, y: np.ndarray, cost: float = 10.0, rounds: int = 400) -> tuple[np.ndarray, float]:
-    """A linear machine with squared hinge loss, classes weighing alike, by accelerated gradient descent."""
+def _svm(z: np.ndarray, y: np.ndarray, often: np.ndarray, cost: float = 10.0, rounds: int = 600) -> tuple[np.ndarray, float]:
+    """A linear machine with squared hinge loss, by accelerated gradient descent. Classes weigh alike, in a class examples as `often` says."""
     x = np.concatenate([z, np.ones((len(z), 1))], axis=1)
-    worth = cost * np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum())) * len(y) / len(y)
+    worth = cost * often * np.where(y > 0, 0.5 / max(1e-9, often[y > 0].sum()), 0.5 / max(1e-9, often[y < 0].sum()))
     step = 1.0 / (1e-3 + 2 * np.linalg.norm(x * np.sqrt(worth)[:, None], 2) ** 2)
     w = before = np.zeros(x.shape[1])
     for t in range(rounds):
@@ -212,7 +217,7 @@ def fit(texts: list[str], toxic: list[int], seed: int = 3) -> Model:
     share = y.mean()
     told = 2 * (bad * np.log(np.maximum(bad, 1e-9) / ((bad + good) * share)) + good * np.log(np.maximum(good, 1e-9) / ((bad + good) * (1 - share))))
     size = words.sizes
-    rank = np.where((size >= 4) & (good * share <= 0.1 * bad * (1 - share)), told, -np.inf)
+    rank = np.where((size >= SHORTEST) & (good * share <= 0.1 * bad * (1 - share)), told, -np.inf)
     seeds = np.argsort(-rank, kind="stable")[: LANDMARKS // 2]
     seeds = seeds[rank[seeds] >= TOLD]
     if not len(seeds):
@@ -231,7 +236,8 @@ def fit(texts: list[str], toxic: list[int], seed: int = 3) -> Model:
         shown = [x for s in strings(positives) for x in (s, *(_disguised(s, rng) for _ in range(DISGUISES)))]
         examples = shown + strings(negatives)
         kernel = np.concatenate([features(examples[i : i + 200]) @ at_landmarks.T for i in range(0, len(examples), 200)])
-        v, bias = _svm(kernel @ white, np.concatenate((np.ones(len(shown)), -np.ones(len(negatives)))))
+        often = np.concatenate((np.ones(len(shown)), np.sqrt(good[negatives])))
+        v, bias = _svm(kernel @ white, np.concatenate((np.ones(len(shown)), -np.ones(len(negatives)))), often)
         weight = (at_landmarks.T @ (white @ v)).astype(np.float32)
         f_known = word_sums(words.letters, words.starts, words.sizes, weight, -bias - 1) + bias
         # the words of toxic sentences that look toxic so far and no clean sentence has; of clean sentences the worst words
@@ -270,11 +276,13 @@ def train(docs: DataFrame, labels: DataFrame, where=None, most: int = SAMPLE) ->
 
 
 def decisions(texts: list[str], weight: np.ndarray, bias: float) -> np.ndarray:
-    """The decision value of each text's most toxic word; -1 without a word."""
+    """The decision value of each text's most toxic word of SHORTEST letters or more; -1 without one."""
     out = []
     for a, b in slices(list(map(len, texts)), AT_ONCE):
         w = Words(texts[a:b])
-        out.append(_best_of_docs(word_sums(w.letters, w.starts, w.sizes, weight, -bias - 1) + bias, w.doc, b - a))
+        value = word_sums(w.letters, w.starts, w.sizes, weight, -bias - 1) + bias
+        value[w.sizes < SHORTEST] = -1
+        out.append(_best_of_docs(value, w.doc, b - a))
     return np.concatenate(out) if out else np.zeros(0)
 
 
