@@ -1 +1,126 @@
+"""Queries of the audit reports, over recordings derived from events."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from chronolith.functions import labels as L
+from chronolith.operators import intervals as I
+from chronolith.plans.intervals import CAT_SQL, MERGED_SQL, RUNS_SQL, calm, cat
+from chronolith.plans.registry import query
+from chronolith.plans.series import KIND_SQL, r
+from chronolith.sources import demo
+
+
+@query("b1_overlap_facts", demo.with_samples(CAT_SQL + """, o AS (SELECT a AS s, entity FROM pairs UNION SELECT b, entity FROM pairs)
+SELECT (SELECT count(*) FROM pairs) AS pairs, (SELECT count(*) FROM bad) AS collisions, (SELECT count(DISTINCT s) FROM o) AS n_series, (SELECT count(DISTINCT entity) FROM o) AS entities,
+ (SELECT count(*) FROM samples) AS n_rows, (SELECT count(*) FROM (SELECT DISTINCT entity, us FROM samples)) AS n_distinct"""))
+def b1_overlap_facts(spark, sf):
+    x = demo.samples(spark, sf)
+    pairs = I.agreements(I.catalogue(x))
+    met = pairs.select("entity", F.explode(F.array("a", "b")).alias("s"))
+    facts = pairs.agg(F.count(F.lit(1)).alias("pairs"), F.count_if(~F.col("agree")).alias("collisions"))
+    who = met.agg(F.count_distinct("s").alias("n_series"), F.count_distinct("entity").alias("entities"))
+    size = x.agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct("entity", "us").alias("n_distinct"))
+    one = lambda df: df.withColumn("_k", F.lit(0))
+    return one(facts).join(one(who), "_k").join(one(size), "_k").drop("_k")
+
+
+@query("b2_label_time_shares", demo.with_samples(RUNS_SQL + f""", k AS (SELECT fault, ("end" - start) / 1e6 AS s, {KIND_SQL.replace('label', 'value')} AS kind FROM seg)
+SELECT fault, kind, round(sum(s), 3) AS seconds, round(sum(s) / sum(sum(s)) OVER (PARTITION BY fault), 6) AS share, count(*) AS n_runs FROM k GROUP BY fault, kind"""))
+def b2_label_time_shares(spark, sf):
+    """Seconds under each kind of label, and their shares, for every class."""
+    from pyspark.sql import Window
+
+    seg = I.label_segments(demo.samples(spark, sf), by=("fault", "series"))
+    rows = seg.groupBy("fault", L.label_kind(F.col("value")).alias("kind")).agg(F.sum((F.col("end") - F.col("start")) / 1e6).alias("s"), F.count(F.lit(1)).alias("n_runs"))
+    share = F.col("s") / F.sum("s").over(Window.partitionBy("fault"))
+    return rows.select("fault", "kind", r("s", 3).alias("seconds"), r(share).alias("share"), "n_runs")
+
+
+@query("b3_joined_time_shares", demo.with_samples(MERGED_SQL + f""", k AS (SELECT m.entity, ("end" - start) / 1e6 AS s, {KIND_SQL.replace('label', 'value')} AS kind FROM merged m)
+SELECT entity % 5 AS fault, kind, round(sum(s), 3) AS seconds FROM k GROUP BY ALL"""))
+def b3_joined_time_shares(spark, sf):
+    m = I.merge_runs(calm(spark, sf))
+    return m.groupBy((F.col("entity") % 5).alias("fault"), L.label_kind(F.col("value")).alias("kind")).agg(r(F.sum((F.col("end") - F.col("start")) / 1e6), 3).alias("seconds"))
+
+
+@query("b4_unlabeled_gaps", demo.with_samples(RUNS_SQL + """, n AS (SELECT *, lag(value) OVER w AS b, lead(value) OVER w AS a, row_number() OVER w AS k, count(*) OVER (PARTITION BY series) AS c, ("end" - start) / 1e6 AS s FROM seg WINDOW w AS (PARTITION BY series ORDER BY run))
+SELECT CASE WHEN k = 1 THEN 'head' WHEN k = c THEN 'tail' WHEN a = b THEN 'seam' ELSE 'change' END AS place, count(*) AS n, round(min(s), 3) AS least, round(median(s), 3) AS middle, round(max(s), 3) AS most FROM n WHERE value IS NULL GROUP BY ALL"""))
+def b4_unlabeled_gaps(spark, sf):
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("series").orderBy("run")
+    seg = I.label_segments(demo.samples(spark, sf)).withColumns({"b": F.lag("value").over(w), "a": F.lead("value").over(w), "k": F.row_number().over(w), "c": F.count(F.lit(1)).over(Window.partitionBy("series"))})
+    place = F.when(F.col("k") == 1, "head").when(F.col("k") == F.col("c"), "tail").when(F.col("a") == F.col("b"), "seam").otherwise("change")
+    s = (F.col("end") - F.col("start")) / 1e6
+    return seg.where("value is null").groupBy(place.alias("place")).agg(F.count(F.lit(1)).alias("n"), r(F.min(s), 3).alias("least"), r(F.percentile(s, 0.5), 3).alias("middle"), r(F.max(s), 3).alias("most"))
+
+
+@query("b5_returns_to_normal", demo.with_samples(RUNS_SQL + """, n AS (SELECT *, lag(value) OVER w AS b, lag("end") OVER w AS e FROM seg WHERE value IS NOT NULL WINDOW w AS (PARTITION BY series ORDER BY run))
+SELECT series, start, b AS was, round((start - e) / 1e6, 3) AS delay_s FROM n WHERE value = 0 AND b <> 0"""))
+def b5_returns_to_normal(spark, sf):
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("series").orderBy("run")
+    seg = I.label_segments(demo.samples(spark, sf)).where("value is not null").withColumns({"was": F.lag("value").over(w), "e": F.lag("end").over(w)})
+    return seg.where("value = 0 and was <> 0").select("series", "start", "was", r((F.col("start") - F.col("e")) / 1e6, 3).alias("delay_s"))
+
+
+@query("b6_label_changes", demo.with_samples(RUNS_SQL + """, n AS (SELECT *, lag(value) OVER w AS b, lead(value) OVER w AS a FROM seg WINDOW w AS (PARTITION BY series ORDER BY run))
+SELECT series, start, "end", b AS was, a AS becomes, start - ("end" - start) AS view_from, "end" + ("end" - start) AS view_to FROM n WHERE value IS NULL AND a <> b"""))
+def b6_label_changes(spark, sf):
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("series").orderBy("run")
+    seg = I.label_segments(demo.samples(spark, sf)).withColumns({"was": F.lag("value").over(w), "becomes": F.lead("value").over(w)})
+    width = F.col("end") - F.col("start")
+    return seg.where("value is null and was <> becomes").select("series", "start", "end", "was", "becomes", (F.col("start") - width).alias("view_from"), (F.col("end") + width).alias("view_to"))
+
+
+@query("b8_extreme_readings", demo.with_samples("""SELECT fault, max_by(raw, struct_pack(a := raw - 100, b := -rid)) AS reading, max_by(rid, struct_pack(a := raw - 100, b := -rid)) AS rid, round(max(raw - 100), 6) AS beyond FROM samples WHERE raw > 100 GROUP BY fault"""))
+def b8_extreme_readings(spark, sf):
+    x = demo.samples(spark, sf).where("raw > 100").withColumn("o", F.struct((F.col("raw") - 100).alias("a"), (-F.col("rid")).alias("b")))
+    return x.groupBy("fault").agg(F.max_by("raw", "o").alias("reading"), F.max_by("rid", "o").alias("rid"), r(F.max(F.col("raw") - 100)).alias("beyond"))
+
+
+MOVES_SQL = """, o AS (SELECT series, min(us) FILTER (label = fault OR label = fault + 100) AS t, max(us) FILTER (label = fault OR label = fault + 100) AS u FROM samples GROUP BY series),
+mv AS (SELECT s.series, any_value(s.fault) AS fault, median(raw) FILTER (us < t AND label = 0) AS before, median(raw) FILTER (us BETWEEN t AND u) AS during,
+ quantile_cont(raw, 0.95) FILTER (us BETWEEN t AND u) - quantile_cont(raw, 0.05) FILTER (us BETWEEN t AND u) AS swing FROM samples s JOIN o USING (series) WHERE t IS NOT NULL GROUP BY s.series)
+"""
+
+
+@query("b9_moves", demo.with_samples(MOVES_SQL + "SELECT series, fault, round(during - before, 6) AS move, round(swing, 6) AS swing FROM mv"))
+def b9_moves(spark, sf):
+    return moves(spark, sf).select("series", "fault", r("move").alias("move"), r("swing").alias("swing"))
+
+
+def moves(spark, sf):
+    """Of each recording with an event: how far the median moves from the normal readings before it, and the swing within."""
+    x = demo.samples(spark, sf)
+    event = (F.col("label") == F.col("fault")) | (F.col("label") == F.col("fault") + L.DEFAULT_OFFSET)
+    span = x.groupBy("series").agg(F.min(F.when(event, F.col("us"))).alias("t"), F.max(F.when(event, F.col("us"))).alias("u")).where("t is not null")
+    rows = x.join(span, "series")
+    inside = F.when(F.col("us").between(F.col("t"), F.col("u")), F.col("raw"))
+    before = F.when((F.col("us") < F.col("t")) & (F.col("label") == 0), F.col("raw"))
+    out = rows.groupBy("series").agg(F.first("fault").alias("fault"), F.percentile(before, 0.5).alias("before"), F.percentile(inside, [0.05, 0.5, 0.95]).alias("q"))
+    return out.select("series", "fault", (F.col("q")[1] - F.col("before")).alias("move"), (F.col("q")[2] - F.col("q")[0]).alias("swing"))
+
+
+@query("b11_signatures", demo.with_samples(MOVES_SQL + """SELECT fault, count(*) AS total, count(*) FILTER (during - before > 10) AS up, count(*) FILTER (during - before < -10) AS down,
+ count(*) FILTER (abs(during - before) <= 10) AS still, count(*) FILTER (before IS NULL) AS lacking FROM mv GROUP BY fault"""))
+def b11_signatures(spark, sf):
+    m = F.col("move")
+    return moves(spark, sf).groupBy("fault").agg(F.count(F.lit(1)).alias("total"), F.count_if(m > 10).alias("up"), F.count_if(m < -10).alias("down"), F.count_if(F.abs(m) <= 10).alias("still"), F.count_if(m.isNull()).alias("lacking"))
+
+
+@query("b12_swings", demo.with_samples(MOVES_SQL + "SELECT fault, round(median(swing), 6) AS median_swing, count(*) FILTER (swing > 60) AS wide, count(*) AS n FROM mv GROUP BY fault"))
+def b12_swings(spark, sf):
+    return moves(spark, sf).groupBy("fault").agg(r(F.percentile("swing", 0.5)).alias("median_swing"), F.count_if(F.col("swing") > 60).alias("wide"), F.count(F.lit(1)).alias("n"))
+
+
+@query("b13_dominant_state", demo.with_samples(f""", k AS (SELECT fault, {KIND_SQL} AS period, rid % 3 AS state, count(*) AS n FROM samples GROUP BY ALL)
+SELECT fault, period, sum(n)::BIGINT AS n, arg_max(state, struct_pack(a := n, b := -state)) AS dominant, round(max(n) / sum(n), 6) AS share FROM k GROUP BY fault, period"""))
+def b13_dominant_state(spark, sf):
+    x = demo.samples(spark, sf).groupBy("fault", L.label_kind(F.col("label")).alias("period"), (F.col("rid") % 3).alias("state")).agg(F.count(F.lit(1)).alias("k"))
+    return x.groupBy("fault", "period").agg(F.sum("k").alias("n"), F.max_by("state", F.struct("k", -F.col("state"))).alias("dominant"), r(F.max("k") / F.sum("k")).alias("share"))
