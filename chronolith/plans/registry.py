@@ -25,6 +25,7 @@ def query(name: str, sql: str | None = None):
 
 from chronolith.plans import (  # noqa: E402,F401
     audit,
+    availability,
     intervals,
     series,
 )

@@ -57,3 +57,27 @@ samples AS (SELECT entity * 100 + slice AS series, entity, entity % 5 AS fault,
 def with_samples(body: str) -> str:
     """SQL that may use ev and samples, body's own common tables first."""
     return f"WITH {SQL}{body}"
+
+
+TYPES = ("click", "error", "purchase", "signup", "view")
+
+
+def daily(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Wide recordings: entity, us, rid, state and for each event type the day's mean value, null without such an event."""
+    day = 86_400_000_000
+    rows = events(spark, sf_dir).withColumn("d", F.floor(F.col("us") / day))
+    own = [F.avg(F.when(F.col("event_type") == t, F.col("raw"))).alias(t) for t in TYPES]
+    out = rows.groupBy("entity", "d").agg(*own, F.max("code").alias("state"))
+    return out.select("entity", (F.col("d") * day).alias("us"), F.col("d").alias("rid"), "state", *TYPES)
+
+
+DAILY_SQL = """
+daily AS (SELECT entity, us // 86400000000 * 86400000000 AS us, us // 86400000000 AS rid, max(code) AS state, avg(raw) FILTER (event_type = 'click') AS click, avg(raw) FILTER (event_type = 'error') AS error,
+ avg(raw) FILTER (event_type = 'purchase') AS purchase, avg(raw) FILTER (event_type = 'signup') AS signup, avg(raw) FILTER (event_type = 'view') AS view FROM ev GROUP BY entity, us // 86400000000),
+chan AS (SELECT entity, us, 'click' AS channel, click AS value FROM daily UNION ALL SELECT entity, us, 'error', error FROM daily UNION ALL SELECT entity, us, 'purchase', purchase FROM daily
+ UNION ALL SELECT entity, us, 'signup', signup FROM daily UNION ALL SELECT entity, us, 'view', view FROM daily)
+"""
+
+
+def with_daily(body: str) -> str:
+    return f"WITH {SQL}, {DAILY_SQL}{body}"
