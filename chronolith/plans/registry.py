@@ -28,4 +28,5 @@ from chronolith.plans import (  # noqa: E402,F401
     availability,
     intervals,
     series,
+    windows,
 )
