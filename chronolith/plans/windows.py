@@ -31,7 +31,7 @@ def placed(spark, sf):
     return W.cut(x, SIZE, "keep")
 
 
-@query("w1_cut", demo.with_samples(CUT_SQL + "SELECT series, rid, win::BIGINT AS window, "at" FROM placed"))
+@query("w1_cut", demo.with_samples(CUT_SQL + "SELECT series, rid, win::BIGINT AS window, \"at\" FROM placed"))
 def w1_cut(spark, sf):
     return placed(spark, sf).select("series", "rid", "window", "at")
 
