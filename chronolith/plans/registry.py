@@ -27,6 +27,7 @@ from chronolith.plans import (  # noqa: E402,F401
     audit,
     availability,
     intervals,
+    maps,
     series,
     windows,
 )
