@@ -134,80 +134,80 @@ def anchors(words: np.ndarray, kind: str) -> tuple[np.ndarray, np.ndarray]:
 def _replicate(kind: str):
     def rows_of(batch: pa.RecordBatch) -> pa.RecordBatch:
         fp = batch.column("fp").to_numpy().view(np.uint64)
-        keys, fps = [], []
+        node = batch.column("node").to_numpy()
+        keys, at = [], []
         for half in (0, 1):
             who, anchor = anchors((fp >> np.uint64(32 * half)).astype(np.uint32), kind)
             keys.append(anchor.astype(np.int64) | half << 32)
-            fps.append(fp[who])
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(fps).view(np.int64))], names=["anchor", "fp"])
+            at.append(who)
+        who = np.concatenate(at)
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(fp[who].view(np.int64)), pa.array(node[who])], names=["anchor", "fp", "node"])
 
     return rows_of
 
 
 def _search(fps: np.ndarray) -> list[tuple[int, int]]:
-    """Links that join what is linked among fps: from a fingerprint to all within T that nothing reached before. Copies of
-    one text leave the rest at once, so a group costs about its size times its number of unlinked parts."""
-    links, rest = [], fps[1:]
-    todo = [fps[0]]
+    """Links (places in fps) that join what is linked among fps: from a fingerprint to all within T that nothing reached before. Copies
+    of one text leave the rest at once, so a group costs about its size times its number of unlinked parts."""
+    links, rest, todo = [], np.arange(1, len(fps)), [0]
     while True:
         while todo and len(rest):
             x = todo.pop()
-            near = np.bitwise_count(rest ^ x) <= T
+            near = np.bitwise_count(fps[rest] ^ fps[x]) <= T
             if near.any():
-                hit = rest[near]
-                links += [(int(x), int(y)) for y in hit]
-                todo += list(hit)
+                hit = rest[near].tolist()
+                links += [(x, y) for y in hit]
+                todo += hit
                 rest = rest[~near]
         if not len(rest):
             return links
-        todo, rest = [rest[0]], rest[1:]
+        todo, rest = [int(rest[0])], rest[1:]
 
 
 def linked(keys: np.ndarray, fps: np.ndarray) -> np.ndarray:
-    """Pairs (n x 2, unsigned) at most T bits apart within the groups of equal, sorted keys."""
+    """Pairs of places (n x 2) whose fingerprints are at most T bits apart, within the groups of equal, sorted keys."""
     starts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
     sizes = np.diff(np.concatenate((starts, [len(keys)])))
-    small = np.repeat(sizes <= SHIFTS, sizes)
-    out = []
+    small = np.flatnonzero(np.repeat(sizes <= SHIFTS, sizes))
+    out = [np.zeros((0, 2), np.int64)]
     k, f = keys[small], fps[small]
     for shift in range(1, int(min(SHIFTS, sizes.max(initial=1)))):
         a = np.flatnonzero(k[shift:] == k[:-shift])
         a = a[np.bitwise_count(f[a] ^ f[a + shift]) <= T]
-        out.append(np.stack([f[a], f[a + shift]], axis=1))
+        out.append(np.stack([small[a], small[a + shift]], axis=1))
     for i in np.flatnonzero(sizes > SHIFTS):
         found = _search(fps[starts[i] : starts[i] + sizes[i]])
         if found:
-            out.append(np.array(found, dtype=np.uint64))
-    return np.concatenate(out) if out else np.zeros((0, 2), np.uint64)
+            out.append(np.array(found) + starts[i])
+    return np.concatenate(out)
 
 
 def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Over rows sorted by anchor; a group may reach over batches, and only the last group is carried on."""
-    held: list[tuple[np.ndarray, np.ndarray]] = []
+    held: list[tuple[np.ndarray, ...]] = []
 
-    def out(pairs: np.ndarray) -> pa.RecordBatch:
-        pairs = np.unique(np.sort(pairs.view(np.int64), axis=1), axis=0)
+    def out(keys: np.ndarray, fps: np.ndarray, nodes: np.ndarray) -> pa.RecordBatch:
+        pairs = np.unique(np.sort(nodes[linked(keys, fps)].reshape(-1, 2), axis=1), axis=0)
         return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, 0])), pa.array(np.ascontiguousarray(pairs[:, 1]))], names=["a", "b"])
 
     for batch in batches:
-        k, f = batch.column("anchor").to_numpy(), batch.column("fp").to_numpy().view(np.uint64)
+        k, f, n = batch.column("anchor").to_numpy(), batch.column("fp").to_numpy().view(np.uint64), batch.column("node").to_numpy()
         if not len(k):
             continue
-        held.append((k, f))
+        held.append((k, f, n))
         if k[0] == k[-1] and held[0][0][0] == k[0]:
             continue
-        keys, fps = (np.concatenate(x) for x in zip(*held))
+        keys, fps, nodes = (np.concatenate(x) for x in zip(*held))
         cut = int(np.searchsorted(keys, keys[-1]))
-        yield out(linked(keys[:cut], fps[:cut]))
-        held = [(keys[cut:], fps[cut:])]
+        yield out(keys[:cut], fps[:cut], nodes[:cut])
+        held = [(keys[cut:], fps[cut:], nodes[cut:])]
     if held:
-        keys, fps = (np.concatenate(x) for x in zip(*held))
-        yield out(linked(keys, fps))
+        yield out(*(np.concatenate(x) for x in zip(*held)))
 
 
 def links(distinct: DataFrame, kind: str) -> DataFrame:
-    """Pairs a < b of the distinct fingerprints `fp`, enough of them to join whatever is linked."""
-    sent = map_arrow(distinct.select("fp"), _replicate(kind), "anchor long, fp long")
+    """Pairs a < b of nodes of the distinct fingerprints (fp, node), enough of them to join whatever is linked."""
+    sent = map_arrow(distinct.select("fp", "node"), _replicate(kind), "anchor long, fp long, node long")
     return sent.repartition(F.col("anchor")).sortWithinPartitions("anchor").mapInArrow(_links, "a long, b long")
 
 
@@ -219,15 +219,15 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     Other columns are ignored; an empty table gives no rows.
     """
     own = stored(fingerprints(docs), "simhash")
-    distinct = stored(own.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-distinct")
+    # a fingerprint's node is its smallest doc_id, so a component's least node is its id; without one, a number above all ids
+    none = F.lit((1 << 63) - 1) - F.pmod("fp", F.lit(1 << 61))
+    distinct = stored(own.groupBy("fp").agg(F.min("doc_id").alias("first")).select("fp", F.coalesce("first", none).alias("node"), F.col("first").isNull().alias("lone")), "simhash-distinct")
     n = distinct.count()
     kind = "coarse" if n <= FEW else "fine" if n <= MANY else "finest"
-    root = components(links(distinct, kind))
-    named = distinct.join(root, distinct.fp == root.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    moved = named.where(F.col("root") != F.col("fp")).select("root").distinct()
-    smallest = named.join(moved, "root").groupBy("root").agg(F.min("first").alias("component_id"))
-    ids = named.join(smallest, "root", "left").select("fp", F.coalesce("component_id", "first").alias("component_id"))
-    return own.join(ids, "fp").select("doc_id", "fp", "component_id")
+    root = components(links(distinct, kind)).withColumnRenamed("node", "_node")
+    named = distinct.join(root, distinct.node == root._node, "left").select(F.col("fp").alias("_fp"), F.coalesce("root", F.when(~F.col("lone"), F.col("node"))).alias("id"))
+    ids = named.select("_fp", F.when(F.col("id") < (1 << 62), F.col("id")).alias("component_id"))
+    return own.join(stored(ids, "simhash-ids"), F.col("fp") == F.col("_fp")).select("doc_id", "fp", "component_id")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
