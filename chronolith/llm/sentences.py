@@ -66,7 +66,8 @@ def repeats(docs: DataFrame, run: int = RUN, words: int = WORDS) -> DataFrame:
     own = stored(spans(docs, run, words), "spans")
     # null ids come after all others
     at = F.struct(F.col("doc_id").isNull().alias("late"), F.col("doc_id"), F.col("place"))
-    first = own.groupBy("name").agg(F.min(at).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("name").alias("known"), "first")
+    # written, so that the join deals both sides anew and can split a passage that very many documents share
+    first = stored(own.groupBy("name").agg(F.min(at).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("name").alias("known"), "first"), "spans-repeated")
     later = own.join(first, own.name == first.known).where(~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("place") == F.col("first.place"))))
     return later.groupBy("doc_id").agg(F.collect_set(F.struct("place", "size")).alias("covered"))
 
