@@ -25,7 +25,8 @@ WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
 def split(text: str) -> list[tuple[int, int, list[str]]]:
-    """(start, end, words) of the sentences that hold a word, in code points; the white space after a sentence is its own."""
+    """(start, end, words) of the sentences that hold a word, in code points; white space before a sentence is its own, and lines
+    without a word are no sentences."""
     out, start = [], 0
     for end in [m.end() for m in END.finditer(text)] + [len(text)]:
         words = [(m.start() + start, m[0].lower()) for m in WORD.finditer(text[start:end])]
