@@ -10,22 +10,28 @@ from pyspark.sql import functions as F
 from chronolith.operators.series import ordered
 
 
-def order_breaks(wide: DataFrame, chain: list[str], margin: float, low: float, high: float, least: int = 2, reported: float = 0.01, gates: dict[str, str] | None = None, key: str = "series") -> DataFrame:
-    """key, up, down, compared, broken, worst, share of consecutive present channels of a chain whose values ought to fall.
+def order_breaks(wide: DataFrame, chain: list[str], margin: float, low: float, high: float, least: int = 2, reported: float = 0.01, gates: dict[str, list[str]] | None = None, pairs: list[tuple[str, str, list[str]]] = (), key: str = "series") -> DataFrame:
+    """key, up, down, compared, broken, worst, share of consecutive present channels of a chain whose values ought to fall, and of
+    further pairs (up, down, gates).
 
     A channel is present in a series with `least` plausible readings that are not all the same. A pair is compared where both
-    readings are plausible and the downstream channel's gate, if any, is not 0; broken where the downstream one is higher by more
+    readings are plausible and no gate of the downstream channel or pair reads 0; broken where the downstream one is higher by more
     than margin; reported where more than the share `reported` is broken."""
     from chronolith.functions.labels import plausible
 
-    ok = {c: plausible(F.col(c), F.lit(low), F.lit(high)) for c in chain}
-    present = wide.groupBy(key).agg(*[((F.count(ok[c]) >= least) & (F.max(ok[c]) > F.min(ok[c]))).alias(c) for c in chain])
+    every = list(dict.fromkeys([*chain, *(c for up, down, _ in pairs for c in (up, down))]))
+    ok = {c: plausible(F.col(c), F.lit(low), F.lit(high)) for c in every}
+    present = wide.groupBy(key).agg(*[((F.count(ok[c]) >= least) & (F.max(ok[c]) > F.min(ok[c]))).alias(c) for c in every])
     names = F.filter(F.array(*[F.when(F.col(c), F.lit(c)) for c in chain]), lambda x: x.isNotNull())
-    pairs = present.select(key, names.alias("n")).where(F.size("n") > 1)
-    pairs = pairs.select(key, F.explode(F.arrays_zip(F.slice("n", F.lit(1), F.size("n") - 1).alias("up"), F.slice("n", F.lit(2), F.size("n") - 1).alias("down"))).alias("p")).select(key, "p.up", "p.down")
-    pick = lambda which: reduce(lambda acc, c: F.when(F.col(which) == c, ok[c]).otherwise(acc), chain, F.lit(None).cast("double"))
-    shut = reduce(lambda acc, g: acc | ((F.col("down") == g[0]) & (F.col(g[1]) == 0)), (gates or {}).items(), F.lit(False))
-    rows = wide.join(pairs, key).withColumns({"_u": pick("up"), "_d": pick("down")}).where(F.col("_u").isNotNull() & F.col("_d").isNotNull() & ~F.coalesce(shut, F.lit(False)))
+    met = F.arrays_zip(F.slice("n", F.lit(1), F.greatest(F.size("n") - 1, F.lit(0))).alias("up"), F.slice("n", F.lit(2), F.greatest(F.size("n") - 1, F.lit(0))).alias("down"))
+    further = [F.when(F.coalesce(F.col(up) & F.col(down), F.lit(False)), F.struct(F.lit(up).alias("up"), F.lit(down).alias("down"))) for up, down, _ in pairs]
+    both = F.concat(met, F.filter(F.array(*further), lambda x: x.isNotNull())) if further else met
+    found = present.withColumn("n", names).select(key, F.explode(both).alias("p")).select(key, "p.up", "p.down")
+    pick = lambda which: reduce(lambda acc, c: F.when(F.col(which) == c, ok[c]).otherwise(acc), every, F.lit(None).cast("double"))
+    zero = lambda gates_: reduce(lambda acc, g: acc | (F.col(g) == 0), gates_, F.lit(False))
+    shut = reduce(lambda acc, g: acc | ((F.col("down") == g[0]) & zero(g[1])), (gates or {}).items(), F.lit(False))
+    shut = reduce(lambda acc, p: acc | ((F.col("up") == p[0]) & (F.col("down") == p[1]) & zero(p[2])), pairs, shut)
+    rows = wide.join(found, key).withColumns({"_u": pick("up"), "_d": pick("down")}).where(F.col("_u").isNotNull() & F.col("_d").isNotNull() & ~F.coalesce(shut, F.lit(False)))
     gap = F.col("_d") - F.col("_u")
     out = rows.groupBy(key, "up", "down").agg(F.count(F.lit(1)).alias("compared"), F.count_if(gap > margin).alias("broken"), F.max(gap).alias("worst"))
     return out.withColumn("share", F.col("broken") / F.col("compared")).where(F.col("share") > reported)

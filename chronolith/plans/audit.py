@@ -27,7 +27,7 @@ def b1_overlap_facts(spark, sf):
 
 
 @query("b2_label_time_shares", demo.with_samples(RUNS_SQL + f""", k AS (SELECT fault, ("end" - start) / 1e6 AS s, {KIND_SQL.replace('label', 'value')} AS kind FROM seg)
-SELECT fault, kind, round(sum(s), 3) AS seconds, round(sum(s) / sum(sum(s)) OVER (PARTITION BY fault), 6) AS share, count(*) AS n_runs FROM k GROUP BY fault, kind"""))
+SELECT fault, kind, round(sum(s), 0) AS seconds, round(sum(s) / sum(sum(s)) OVER (PARTITION BY fault), 6) AS share, count(*) AS n_runs FROM k GROUP BY fault, kind"""))
 def b2_label_time_shares(spark, sf):
     """Seconds under each kind of label, and their shares, for every class."""
     from pyspark.sql import Window
@@ -35,18 +35,18 @@ def b2_label_time_shares(spark, sf):
     seg = I.label_segments(demo.samples(spark, sf), by=("fault", "series"))
     rows = seg.groupBy("fault", L.label_kind(F.col("value")).alias("kind")).agg(F.sum((F.col("end") - F.col("start")) / 1e6).alias("s"), F.count(F.lit(1)).alias("n_runs"))
     share = F.col("s") / F.sum("s").over(Window.partitionBy("fault"))
-    return rows.select("fault", "kind", r("s", 3).alias("seconds"), r(share).alias("share"), "n_runs")
+    return rows.select("fault", "kind", r("s", 0).alias("seconds"), r(share).alias("share"), "n_runs")
 
 
 @query("b3_joined_time_shares", demo.with_samples(MERGED_SQL + f""", k AS (SELECT m.entity, ("end" - start) / 1e6 AS s, {KIND_SQL.replace('label', 'value')} AS kind FROM merged m)
-SELECT entity % 5 AS fault, kind, round(sum(s), 3) AS seconds FROM k GROUP BY ALL"""))
+SELECT entity % 5 AS fault, kind, round(sum(s), 0) AS seconds FROM k GROUP BY ALL"""))
 def b3_joined_time_shares(spark, sf):
     m = I.merge_runs(calm(spark, sf))
-    return m.groupBy((F.col("entity") % 5).alias("fault"), L.label_kind(F.col("value")).alias("kind")).agg(r(F.sum((F.col("end") - F.col("start")) / 1e6), 3).alias("seconds"))
+    return m.groupBy((F.col("entity") % 5).alias("fault"), L.label_kind(F.col("value")).alias("kind")).agg(r(F.sum((F.col("end") - F.col("start")) / 1e6), 0).alias("seconds"))
 
 
 @query("b4_unlabeled_gaps", demo.with_samples(RUNS_SQL + """, n AS (SELECT *, lag(value) OVER w AS b, lead(value) OVER w AS a, row_number() OVER w AS k, count(*) OVER (PARTITION BY series) AS c, ("end" - start) / 1e6 AS s FROM seg WINDOW w AS (PARTITION BY series ORDER BY run))
-SELECT CASE WHEN k = 1 THEN 'head' WHEN k = c THEN 'tail' WHEN a = b THEN 'seam' ELSE 'change' END AS place, count(*) AS n, round(min(s), 3) AS least, round(median(s), 3) AS middle, round(max(s), 3) AS most FROM n WHERE value IS NULL GROUP BY ALL"""))
+SELECT CASE WHEN k = 1 THEN 'head' WHEN k = c THEN 'tail' WHEN a = b THEN 'seam' ELSE 'change' END AS place, count(*) AS n, round(min(s), 6) AS least, round(median(s), 6) AS middle, round(max(s), 6) AS most FROM n WHERE value IS NULL GROUP BY ALL"""))
 def b4_unlabeled_gaps(spark, sf):
     from pyspark.sql import Window
 
@@ -54,17 +54,17 @@ def b4_unlabeled_gaps(spark, sf):
     seg = I.label_segments(demo.samples(spark, sf)).withColumns({"b": F.lag("value").over(w), "a": F.lead("value").over(w), "k": F.row_number().over(w), "c": F.count(F.lit(1)).over(Window.partitionBy("series"))})
     place = F.when(F.col("k") == 1, "head").when(F.col("k") == F.col("c"), "tail").when(F.col("a") == F.col("b"), "seam").otherwise("change")
     s = (F.col("end") - F.col("start")) / 1e6
-    return seg.where("value is null").groupBy(place.alias("place")).agg(F.count(F.lit(1)).alias("n"), r(F.min(s), 3).alias("least"), r(F.percentile(s, 0.5), 3).alias("middle"), r(F.max(s), 3).alias("most"))
+    return seg.where("value is null").groupBy(place.alias("place")).agg(F.count(F.lit(1)).alias("n"), r(F.min(s), 6).alias("least"), r(F.percentile(s, 0.5), 6).alias("middle"), r(F.max(s), 6).alias("most"))
 
 
 @query("b5_returns_to_normal", demo.with_samples(RUNS_SQL + """, n AS (SELECT *, lag(value) OVER w AS b, lag("end") OVER w AS e FROM seg WHERE value IS NOT NULL WINDOW w AS (PARTITION BY series ORDER BY run))
-SELECT series, start, b AS was, round((start - e) / 1e6, 3) AS delay_s FROM n WHERE value = 0 AND b <> 0"""))
+SELECT series, start, b AS was, round((start - e) / 1e6, 6) AS delay_s FROM n WHERE value = 0 AND b <> 0"""))
 def b5_returns_to_normal(spark, sf):
     from pyspark.sql import Window
 
     w = Window.partitionBy("series").orderBy("run")
     seg = I.label_segments(demo.samples(spark, sf)).where("value is not null").withColumns({"was": F.lag("value").over(w), "e": F.lag("end").over(w)})
-    return seg.where("value = 0 and was <> 0").select("series", "start", "was", r((F.col("start") - F.col("e")) / 1e6, 3).alias("delay_s"))
+    return seg.where("value = 0 and was <> 0").select("series", "start", "was", r((F.col("start") - F.col("e")) / 1e6, 6).alias("delay_s"))
 
 
 @query("b6_label_changes", demo.with_samples(RUNS_SQL + """, n AS (SELECT *, lag(value) OVER w AS b, lead(value) OVER w AS a FROM seg WINDOW w AS (PARTITION BY series ORDER BY run))

@@ -49,11 +49,11 @@ def r2_segments(spark, sf):
 
 
 @query("r4_durations", demo.with_samples(RUNS_SQL + f""", k AS (SELECT series, ("end" - start) / 1e6 AS s, {KIND_SQL.replace('label', 'value')} AS kind FROM seg)
-SELECT series, round(coalesce(sum(s) FILTER (kind = 'normal'), 0), 3) AS normal, round(coalesce(sum(s) FILTER (kind = 'transient'), 0), 3) AS transient,
- round(coalesce(sum(s) FILTER (kind = 'steady'), 0), 3) AS steady, round(coalesce(sum(s) FILTER (kind = 'unknown'), 0), 3) AS unknown FROM k GROUP BY series"""))
+SELECT series, round(coalesce(sum(s) FILTER (kind = 'normal'), 0), 6) AS normal, round(coalesce(sum(s) FILTER (kind = 'transient'), 0), 6) AS transient,
+ round(coalesce(sum(s) FILTER (kind = 'steady'), 0), 6) AS steady, round(coalesce(sum(s) FILTER (kind = 'unknown'), 0), 6) AS unknown FROM k GROUP BY series"""))
 def r4_durations(spark, sf):
     out = I.period_seconds(I.label_segments(demo.samples(spark, sf)))
-    return out.select("series", *[r(c, 3).alias(c) for c in ("normal", "transient", "steady", "unknown")])
+    return out.select("series", *[r(c).alias(c) for c in ("normal", "transient", "steady", "unknown")])
 
 
 @query("s5_catalogue", demo.with_samples(CAT_SQL + """SELECT series, entity, fault, start, "end", n_samples, n_valid, low, high, reach, round(("end" - start) / 3.6e9, 6) AS hours,

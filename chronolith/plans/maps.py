@@ -158,10 +158,10 @@ AGREE = """, ag AS (SELECT series, sum(CASE WHEN verdict IS NOT NULL THEN ("end"
 """
 
 
-@query("g2_agreement", demo.with_samples(VERDICT_SQL + AGREE + "SELECT series, round(scored, 3) AS scored, round(compared, 3) AS compared, round(agreed, 3) AS agreed, round(agreed / nullif(compared, 0), 6) AS share FROM ag"))
+@query("g2_agreement", demo.with_samples(VERDICT_SQL + AGREE + "SELECT series, round(scored, 6) AS scored, round(compared, 6) AS compared, round(agreed, 6) AS agreed, round(agreed / nullif(compared, 0), 6) AS share FROM ag"))
 def g2_agreement(spark, sf):
     out = G.agreement(parts(spark, sf), ["series"])
-    return out.select("series", *[r(c, 3).alias(c) for c in ("scored", "compared", "agreed")], r("share").alias("share"))
+    return out.select("series", *[r(c).alias(c) for c in ("scored", "compared", "agreed")], r("share").alias("share"))
 
 
 @query("g3_agreement_members", demo.with_samples(VERDICT_SQL + "SELECT fault, round(sum(CASE WHEN agrees THEN (\"end\" - start) / 1e6 ELSE 0 END) / sum(CASE WHEN agrees IS NOT NULL THEN (\"end\" - start) / 1e6 ELSE 0 END), 6) AS share FROM pt GROUP BY fault"))
