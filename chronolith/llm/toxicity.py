@@ -126,16 +126,39 @@ def norms(sizes: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(square, DECAY**6)).astype(np.float32)
 
 
+def sparse(words: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """word, triple, value of the words' normalised triple vectors, in order of the words."""
+    sizes = np.array([len(w) for w in words], np.int64)
+    letters = np.concatenate([*words, np.zeros(WINDOW, np.uint8)]).astype(np.int64)
+    who = np.repeat(np.arange(len(words)), sizes)
+    left = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(who))
+    keys, worth = [], []
+    for _, i, j in TRIPLES:
+        at = np.flatnonzero(left > j)
+        keys.append(who[at] << 15 | letters[at] << 10 | letters[at + i] << 5 | letters[at + j])
+        worth.append(np.full(len(at), DECAY ** (j + 1)))
+    known, back = np.unique(np.concatenate(keys), return_inverse=True)
+    value, word = np.bincount(back, weights=np.concatenate(worth), minlength=len(known)), known >> 15
+    norm = np.maximum(norms(sizes), np.sqrt(np.bincount(word, weights=value**2, minlength=len(words))))
+    return word, known & 0x7FFF, value / norm[word]
+
+
 def features(words: list[np.ndarray]) -> np.ndarray:
     """The normalised triple vectors of the words (rows, 32^3 columns)."""
     out = np.zeros((len(words), 1 << 15), np.float32)
-    for r, w in enumerate(words):
-        w = w.astype(np.int64)
-        for _, i, j in TRIPLES:
-            if len(w) > j:
-                n = len(w) - j
-                np.add.at(out[r], w[:n] << 10 | w[i : i + n] << 5 | w[j : j + n], DECAY ** (j + 1))
-        out[r] /= max(norms(np.array([len(w)]))[0], np.linalg.norm(out[r]))
+    word, triple, value = sparse(words)
+    out[word, triple] = value
+    return out
+
+
+def kernel_values(words: list[np.ndarray], landmarks: np.ndarray, at_once: int = 500) -> np.ndarray:
+    """The kernel of every word with every landmark (rows of triple vectors)."""
+    by_triple, out = np.ascontiguousarray(landmarks.T), np.zeros((len(words), len(landmarks)))
+    for i in range(0, len(words), at_once):
+        word, triple, value = sparse(words[i : i + at_once])
+        first = np.flatnonzero(np.concatenate(([True], word[1:] != word[:-1]))) if len(word) else word
+        if len(first):
+            out[i + word[first]] = np.add.reduceat(by_triple[triple] * value[:, None], first, axis=0)
     return out
 
 
@@ -235,7 +258,7 @@ def fit(texts: list[str], toxic: list[int], seed: int = 3) -> Model:
     for _ in range(ROUNDS):
         shown = [x for s in strings(positives) for x in (s, *(_disguised(s, rng) for _ in range(DISGUISES)))]
         examples = shown + strings(negatives)
-        kernel = np.concatenate([features(examples[i : i + 200]) @ at_landmarks.T for i in range(0, len(examples), 200)])
+        kernel = kernel_values(examples, at_landmarks)
         often = np.concatenate((np.ones(len(shown)), np.sqrt(good[negatives])))
         v, bias = _svm(kernel @ white, np.concatenate((np.ones(len(shown)), -np.ones(len(negatives)))), often)
         weight = (at_landmarks.T @ (white @ v)).astype(np.float32)
