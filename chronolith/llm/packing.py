@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 from chronolith.llm.common import map_arrow, stored, table
 
 CAPACITY, END = 1024, 2
-#: Pieces of a group, on average; groups with gaps that meet in the next round at most; rounds.
-GROUP, MEET, ROUNDS = 4096, 4, 3
+#: Pieces of a group, on average (half as many in a rerun); rounds.
+GROUP, ROUNDS = 4096, 3
 
 
 @lru_cache(maxsize=2)
@@ -149,8 +149,9 @@ def place(cut: DataFrame, capacity: int = CAPACITY, group: int = GROUP, rounds:
         if gaps < 2 or turn == rounds - 1:
             return done.unionByName(placed)
         done = done.unionByName(placed.where(~again))
-        groups = max(math.ceil(gaps / MEET), math.ceil(rows / group))
-        todo = placed.where(again).withColumn("grp", F.pmod("grp", F.lit(groups)))
+        # whole bins move, so that a rerun can be held against the bins it had
+        groups = math.ceil(2 * rows / group)
+        todo = placed.where(again).withColumn("grp", F.pmod(F.xxhash64("sequence_id", F.lit(turn)), F.lit(groups)))
     return done
 
 
