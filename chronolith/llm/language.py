@@ -21,7 +21,7 @@ from chronolith.llm.common import code_points, map_arrow, sample_hash, slices, t
 #: Sampled documents of a language at most, languages at most, centroids of each, hashed n-grams, code points at a time.
 SAMPLE, LANGUAGES, CENTROIDS, DIM, AT_ONCE = 600, 200, 4, 8192, 200_000
 #: A document is rejected whose greatest cosine is under this share of the least that 99.9 % of the sample reach.
-SLACK, TAIL = 0.5, 0.001
+SLACK, TAIL = 0.3, 0.001
 UNKNOWN = "und"
 
 
