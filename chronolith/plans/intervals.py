@@ -28,7 +28,8 @@ grp AS (SELECT *, sum(nw) OVER (PARTITION BY entity ORDER BY start, series) - 1
 
 
 def cat(spark, sf):
-    return I.catalogue(demo.samples(spark, sf))
+    """The catalogue, kept while a query reads it more than once; a lost block is computed again."""
+    return I.catalogue(demo.samples(spark, sf)).persist()
 
 
 def calm(spark, sf):
