@@ -230,3 +230,34 @@ def warped(points: DataFrame, band: float = 0.1) -> DataFrame:
     b = points.select("cls", F.col("id").alias("b"), F.col("z").alias("_z"))
     pairs = points.join(b, "cls").where(F.col("id") < F.col("b"))
     return pairs.select("cls", F.col("id").alias("a"), "b", dtw("z", "_z").alias("d"))
+
+
+def density_clusters(points: DataFrame, neighbours: int = 5, least: int = 5) -> DataFrame:
+    """id, cluster: clusters of dense points, -1 for noise. The radius is the median distance to the `neighbours`-th nearest other point; a core point
+    has `least` points within it, itself among them; cores within the radius of each other are one cluster, named by its least
+    id; other points within reach of a core join the nearest one's cluster.
+
+    Labels spread by the least label of linked cores until nothing changes; each round's labels are checkpointed."""
+    d = distances(points, points).select("a", "b", "d").persist()
+    radius = nearest_distance(d, neighbours)
+    near = d.where(F.col("d") <= radius)
+    core = near.groupBy("a").agg((F.count(F.lit(1)) + 1).alias("n")).where(F.col("n") >= least).select(F.col("a").alias("id"))
+    links = near.join(core.select(F.col("id").alias("a")), "a").join(core.select(F.col("id").alias("b")), "b").select("a", "b").persist()
+    label = core.select("id", F.col("id").alias("cluster"))
+    while True:
+        least_near = links.join(label.select(F.col("id").alias("b"), F.col("cluster").alias("_c")), "b").groupBy(F.col("a").alias("id")).agg(F.min("_c").alias("_c"))
+        spread = label.join(least_near, "id", "left").select("id", F.least("cluster", F.coalesce("_c", "cluster")).alias("cluster"), (F.col("_c") < F.col("cluster")).alias("moved"))
+        spread = spread.checkpoint() if points.sparkSession.sparkContext.getCheckpointDir() else spread.persist()
+        moved = spread.where("moved").limit(1).count()
+        label = spread.select("id", "cluster")
+        if not moved:
+            break
+    border = near.join(label.select(F.col("id").alias("b"), "cluster"), "b").groupBy(F.col("a").alias("id")).agg(F.min_by("cluster", F.struct("d", "b")).alias("_b"))
+    out = points.select("id").join(label, "id", "left").join(border, "id", "left")
+    return out.select("id", F.coalesce("cluster", "_b", F.lit(-1)).alias("cluster"))
+
+
+def nearest_distance(d: DataFrame, k: int) -> float:
+    """The median over the points of the distance to their k-th nearest other point."""
+    kth = d.groupBy("a").agg(F.element_at(F.slice(F.sort_array(F.collect_list("d")), 1, k), -1).alias("d"))
+    return float(kth.agg(F.percentile("d", 0.5)).first()[0] or 0.0)

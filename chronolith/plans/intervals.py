@@ -36,7 +36,7 @@ def calm(spark, sf):
     """The bars of entities without a label conflict, which SQL can follow by islands."""
     rows = cat(spark, sf)
     bad = I.agreements(rows).where("not agree").select("entity").distinct()
-    return I.join_groups(rows).join(bad, "entity", "left_anti")
+    return I.join_groups(rows).join(bad, "entity", "left_anti").persist()
 
 
 @query("r1_runs", demo.with_samples(RUNS_SQL + "SELECT series, run, start, last, value, n FROM runs"))

@@ -28,6 +28,7 @@ from chronolith.plans import (  # noqa: E402,F401
     availability,
     intervals,
     maps,
+    more,
     series,
     windows,
 )
