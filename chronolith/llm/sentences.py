@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 from functools import partial
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -18,8 +19,9 @@ from pyspark.sql import functions as F
 
 from chronolith.llm.common import map_arrow, stored, table, text_rows
 
-#: Sentences and words that a run has at least; words after which a long sentence is cut, counted from its start.
-RUN, WORDS, LONGEST = 2, 20, 16
+#: Sentences and words that a run has at least; words of a sentence that is not cut. A longer one is cut after every word whose
+#: checksum CUT divides, and LONGEST words after the last cut, so that a passage is cut alike wherever in a sentence it begins.
+RUN, WORDS, LONGEST, CUT = 2, 20, 16, 8
 END = re.compile(r"[.!?]+(?=\s)|\n")
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -30,10 +32,12 @@ def split(text: str) -> list[tuple[int, int, list[str]]]:
     out, start = [], 0
     for end in [m.end() for m in END.finditer(text)] + [len(text)]:
         words = [(m.start() + start, m[0].lower()) for m in WORD.finditer(text[start:end])]
-        for i in range(0, len(words), LONGEST):
-            begin = words[i][0] if i else start
-            stop = words[i + LONGEST][0] if i + LONGEST < len(words) else end
-            out.append((begin, stop, [w for _, w in words[i : i + LONGEST]]))
+        cuts = [0]
+        for i, (_, w) in enumerate(words, 1):
+            if i == len(words) or len(words) > LONGEST and (i - cuts[-1] == LONGEST or crc32(w.encode("utf-8", "surrogatepass")) % CUT == 0):
+                cuts.append(i)
+        for i, j in zip(cuts, cuts[1:]):
+            out.append((words[i][0] if i else start, words[j][0] if j < len(words) else end, [w for _, w in words[i:j]]))
         start = end
     return out
 
