@@ -26,7 +26,7 @@ SAMPLE, LANDMARKS, WORDS, AT_ONCE = 2000, 160, 4000, 200_000
 #: Letters a triple may span, its decay by span; rounds of choosing toxic sentences' words.
 WINDOW, DECAY, ROUNDS = 5, 0.7, 3
 #: Likelihood ratio from which a word tells toxic documents; decision value from which an unlisted word joins the positives; variants shown of each positive.
-TOLD, SURE, DISGUISES = 12.0, 0.3, 4
+TOLD, SURE, DISGUISES = 35.0, 0.3, 4
 #: Letters of a toxic word at least.
 SHORTEST = 4
 #: What a clean document taken for a toxic one weighs against the reverse.
@@ -187,25 +187,32 @@ EMPTY = Model(np.zeros(1 << 15, np.float32), 0.0, 0.0, 0.0)
 
 
 class Vocabulary:
-    """The different words of sentences, and in how many toxic and clean ones each occurs, gathered a few sentences at a time."""
+    """The different words of sentences, and in how many contexts (with the words before and after) toxic sentences alone, and clean ones,
+    have each: near copies of a sentence share most contexts and so tell little more than one of them. Gathered a few sentences at a time."""
 
     def __init__(self, sentences: list[str], toxic: np.ndarray):
-        parts = []
+        parts, seen = [], []
         for a, b in slices(list(map(len, sentences)), AT_ONCE):
             w = Words(sentences[a:b])
-            known, first, which = np.unique(w.hashes(), return_index=True, return_inverse=True)
-            pairs = np.unique(which.astype(np.int64) * (b - a) + w.doc)
-            bad = toxic[a + pairs % (b - a)]
-            n_bad, n = (np.bincount(pairs // (b - a), weights=v, minlength=len(known)) for v in (bad, np.ones(len(pairs))))
-            parts.append((known, w.sizes[first], n_bad, n - n_bad, b"".join(w.text(i).tobytes() for i in first)))
-        known, sizes, bad, good = (np.concatenate(x) for x in list(zip(*parts))[:4])
-        letters = np.frombuffer(b"".join(p[4] for p in parts), np.uint8)
-        starts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
-        _, first, which = np.unique(known, return_index=True, return_inverse=True)
-        self.bad, self.good = np.bincount(which, weights=bad), np.bincount(which, weights=good)
+            h = w.hashes()
+            same = np.zeros(len(h) + 1, bool)
+            same[1:-1] = w.doc[1:] == w.doc[:-1]
+            before, after = np.where(same[:-1], np.roll(h, 1), np.uint64(0)), np.where(same[1:], np.roll(h, -1), np.uint64(0))
+            seen.append((mix64(h + mix64(before * np.uint64(3) + np.uint64(1)) + mix64(after * np.uint64(5) + np.uint64(2))), h, toxic[a + w.doc]))
+            known, first = np.unique(h, return_index=True)
+            parts.append((known, w.sizes[first], b"".join(w.text(i).tobytes() for i in first)))
+        known, sizes = (np.concatenate(x) for x in list(zip(*parts))[:2])
+        letters = np.frombuffer(b"".join(p[2] for p in parts), np.uint8)
+        starts = np.concatenate(([0], np.cumsum(sizes)[:-1])).astype(np.int64)
+        known, first = np.unique(known, return_index=True)
+        context, word, bad = (np.concatenate(x) for x in zip(*seen))
+        _, at, which = np.unique(context, return_index=True, return_inverse=True)
+        clean = np.bincount(which, weights=1 - bad) > 0
+        word = np.searchsorted(known, word[at])
+        self.bad, self.good = (np.bincount(word, weights=v, minlength=len(known)) for v in (~clean, clean))
         self.sizes = sizes[first]
         self.letters = letters[np.repeat(starts[first] - np.concatenate(([0], np.cumsum(self.sizes)[:-1])), self.sizes) + np.arange(self.sizes.sum())]
-        self.starts = np.concatenate(([0], np.cumsum(self.sizes)[:-1]))
+        self.starts = np.concatenate(([0], np.cumsum(self.sizes)[:-1])).astype(np.int64)
 
     def text(self, i: int) -> np.ndarray:
         return self.letters[self.starts[i] : self.starts[i] + self.sizes[i]]
@@ -237,7 +244,7 @@ def fit(texts: list[str], toxic: list[int], seed: int = 3) -> Model:
         return EMPTY
     words = Vocabulary(texts, y)
     bad, good = words.bad, words.good
-    share = y.mean()
+    share = bad.sum() / max(1.0, (bad + good).sum())
     told = 2 * (bad * np.log(np.maximum(bad, 1e-9) / ((bad + good) * share)) + good * np.log(np.maximum(good, 1e-9) / ((bad + good) * (1 - share))))
     size = words.sizes
     rank = np.where((size >= SHORTEST) & (good * share <= 0.1 * bad * (1 - share)), told, -np.inf)
