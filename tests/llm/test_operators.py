@@ -309,3 +309,13 @@ def test_telling_words_are_found(docs):
     assert not any(out[d].terms for d in range(5, 65))
     clean = {r.doc_id: r.text for r in pii.sanitise(docs(rows(*texts))).collect()}
     assert all("boss@" not in t and "Zanzibar" not in t for t in clean.values()) and "[EMAIL]" in clean[1] and clean[9] == texts[8]
+
+
+def test_zero_octets(docs):
+    good = ["10.0.0.1", "0.0.0.0", "000.1.2.3", "192.168.0.1", "10.20.30.0", "00.0255.000.1"]
+    bad = ["256.0.0.1", "0.0.0", "0.0.0.1000"]
+    texts = [f"é at {x} now" for x in good + bad]
+    out = {r.doc_id: r.spans for r in pii.found(docs(rows(*texts))).select("doc_id", pii.listed(F.col("base")).alias("spans")).collect()}
+    assert [out[i] for i in range(1, len(texts) + 1)] == [f"ip:5:{5 + len(x)}" for x in good] + [""] * len(bad)
+    clean = {r.doc_id: r.text for r in pii.sanitise(docs(rows(*texts))).collect()}
+    assert all("[IP]" in clean[i] for i in range(1, len(good) + 1))
