@@ -3,13 +3,17 @@ proportional fitting, and documents are sampled by the calibrated probabilities.
 
 Tokens are first summed by cell (source, language, topic). Fitting multiplies each cell by one factor for each dimension;
 a step sums the weighted cells by one dimension, and only these sums, one for each value of the dimension, and the factors pass
-through the driver. A document's probability is the product of its factors over the largest product of any cell.
+through the driver. A document's probability is its weight, the product of its factors, times one scale for all. The scale is
+the largest that keeps every probability under 1, or, where a few heavy cells would make that small, the one by which RATE of
+the tokens stay: probabilities over 1 are then 1, and the others share what is left in the proportion of their weights.
 """
 
 from __future__ import annotations
 
+import logging
 from collections import defaultdict
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -18,10 +22,13 @@ from pyspark.sql import functions as F
 
 from chronolith.llm.common import sample_hash, stored, table, whole
 
+LOG = logging.getLogger(__name__)
 DIMENSIONS = ("source", "lang", "topic")
 #: Target shares of the listed values; values not listed keep their own shares. A number flattens the own shares to that power.
 TARGETS: dict = {"source": 0.7, "lang": {"en": 0.5, "fr": 0.18, "de": 0.18, "es": 0.14}, "topic": {"prose": 0.9}}
 TOLERANCE, SWEEPS, SEED = 1e-6, 60, 11
+#: Share of the tokens that stays at least, where weights over 0 allow it.
+RATE = 0.5
 #: Factors of a dimension up to which they are broadcast to the documents; beyond, an ordinary join.
 BROADCAST_MOST = 1_000_000
 
@@ -100,7 +107,66 @@ def rake(cells: DataFrame, targets: dict, sweeps: int = SWEEPS, tolerance: float
     return factors, gap
 
 
-def mix(docs: DataFrame, targets: dict | None = None, seed: int = SEED) -> DataFrame:
+def by_factors(df: DataFrame, factors: dict[str, dict[str, float]]) -> DataFrame:
+    """df with the weight of its rows' cells."""
+    weight = F.lit(1.0)
+    for d in DIMENSIONS:
+        table_ = df.sparkSession.createDataFrame(sorted(factors[d].items()), f"{d} string, f_{d} double")
+        df = df.join(F.broadcast(table_) if len(factors[d]) <= BROADCAST_MOST else table_, d, "left")
+        weight = weight * F.coalesce(F.col(f"f_{d}"), F.lit(1.0))
+    return df.withColumn("weight", weight).drop(*[f"f_{d}" for d in DIMENSIONS])
+
+
+def scale_of(cells: DataFrame, rate: float = RATE) -> float:
+    """What weights are multiplied by, from the cells' tokens and weights: 1 over the largest weight, or more where that keeps less
+    than rate of the tokens.
+
+    The cells whose probability reaches 1 are found by repetition: they keep all their tokens, the others are scaled to the rest
+    of the budget, and as that only raises the scale, cells join them until none does. Sums are decimal, the same in any order."""
+    w, t = F.col("weight"), F.col("tokens").cast("decimal(20,0)")
+    most, total = cells.where("tokens > 0").agg(F.max("weight"), F.sum(t)).first()
+    if not most:
+        return 1.0
+    scale, full = 1.0 / most, None
+    while True:
+        # the first time no cell counts as full
+        over = F.lit(False) if full is None else w * scale >= 1
+        n, kept, rest = cells.where("tokens > 0").agg(F.count_if(over), F.sum(F.when(over, t)), F.sum(F.when(~over, (w * t.cast("double")).cast("decimal(38,12)")))).first()
+        if n == full or not rest:
+            return scale
+        scale, full = max(scale, (rate * float(total) - float(kept or 0)) / float(rest)), n
+
+
+class Fit(NamedTuple):
+    """factors and scale; gap: the largest between a marginal's share by weight and its target; kept: expected share of the tokens;
+    kept_gap: the largest between a marginal's expected share of what stays and its target, over gap where probabilities end at 1."""
+
+    factors: dict[str, dict[str, float]]
+    scale: float
+    gap: float
+    kept: float
+    kept_gap: float
+
+
+def fit(cells: DataFrame, targets: dict, rate: float = RATE) -> Fit:
+    """The calibration of the cells (source, lang, topic, tokens), also written to the log."""
+    factors, gap = rake(cells, targets)
+    weighed = by_factors(cells, factors)
+    scale = scale_of(weighed, rate)
+    expected = weighed.withColumn("kept", F.col("tokens") * F.least(F.lit(1.0), F.col("weight") * scale))
+    kept_gap, total, stay = 0.0, 0.0, 0.0
+    for d in DIMENSIONS:
+        found = expected.groupBy(d).agg(F.sum("tokens").alias("tokens"), F.sum("kept").alias("kept")).collect()
+        total, stay = float(sum(r.tokens for r in found)), sum(r.kept for r in found)
+        now = {r[d]: r.kept / stay for r in found} if stay else {}
+        goals = wanted({r[d]: float(r.tokens) for r in found}, targets[d]) if stay else {}
+        kept_gap = max([kept_gap, *(abs(now.get(k, 0.0) - g) for k, g in goals.items())])
+    out = Fit(factors, scale, gap, stay / total if total else 0.0, kept_gap)
+    LOG.info("mixing: gap %.2g by weight, %.2g of what stays; %.4f of the tokens stay", out.gap, out.kept_gap, out.kept)
+    return out
+
+
+def mix(docs: DataFrame, targets: dict | None = None, seed: int = SEED, rate: float = RATE) -> DataFrame:
     """doc_id, source, lang, topic, tokens, weight (its tokens' relative weight), probability, sampled for every document.
 
     A document is sampled if the hash of its id is under its probability, so a rerun takes the same ones. Null source or
@@ -109,25 +175,14 @@ def mix(docs: DataFrame, targets: dict | None = None, seed: int = SEED) -> DataF
     """
     rows = stored(measured(docs), "measured")
     cells = stored(rows.groupBy(*DIMENSIONS).agg(F.sum("tokens").alias("tokens")), "cells")
-    factors, _ = rake(cells, targets or TARGETS)
-    spark = docs.sparkSession
-
-    def weighed(df: DataFrame) -> DataFrame:
-        weight = F.lit(1.0)
-        for d in DIMENSIONS:
-            table_ = spark.createDataFrame(sorted(factors[d].items()), f"{d} string, f_{d} double")
-            df = df.join(F.broadcast(table_) if len(factors[d]) <= BROADCAST_MOST else table_, d, "left")
-            weight = weight * F.coalesce(F.col(f"f_{d}"), F.lit(1.0))
-        return df.withColumn("weight", weight).drop(*[f"f_{d}" for d in DIMENSIONS])
-
-    most = weighed(cells.where("tokens > 0")).agg(F.max("weight")).first()[0] or 1.0
-    out = weighed(rows).withColumn("probability", F.least(F.lit(1.0), F.col("weight") / most))
+    found = fit(cells, targets or TARGETS, rate)
+    out = by_factors(rows, found.factors).withColumn("probability", F.least(F.lit(1.0), F.col("weight") * found.scale))
     return out.select("doc_id", *DIMENSIONS, "tokens", "weight", "probability", (sample_hash("doc_id", seed) < F.col("probability")).alias("sampled"))
 
 
-def sampled(docs: DataFrame, targets: dict | None = None, seed: int = SEED) -> DataFrame:
+def sampled(docs: DataFrame, targets: dict | None = None, seed: int = SEED, rate: float = RATE) -> DataFrame:
     """The sampled documents, whole rows, without a shuffle of their texts: each row meets its factors again."""
-    rows = mix(docs, targets, seed)
+    rows = mix(docs, targets, seed, rate)
     shares = stored(rows.groupBy(*DIMENSIONS).agg(F.max("probability").alias("_p")), "shares")
     names = docs.columns
     own = docs.withColumns({"_source": F.coalesce(F.col("source").cast("string"), F.lit("")), "_lang": F.coalesce(F.col("lang").cast("string"), F.lit("")), "_topic": topic()})

@@ -83,6 +83,29 @@ def test_rake_meets_targets(docs):
     assert kept == set(rows_.doc_id[rows_.sampled])
 
 
+def test_small_sources_do_not_set_the_rate(docs):
+    data = [(i, words(i, 30 + i % 50), ("en", "fr")[i % 3 == 0], f"s{i % 4}", 0) for i in range(400)]
+    for tail in ([], [(1000, "just three words", "en", "tiny", 0)], [(1000, "just three words", "en", None, 0)]):
+        rows_ = mixing.mix(docs(data + tail), {"source": 0.3, "lang": {"en": 0.5, "fr": 0.5}, "topic": 1.0}).toPandas()
+        kept = (rows_.tokens * rows_.probability).sum() / rows_.tokens.sum()
+        assert kept > 0.499 and rows_.sampled.mean() > 0.4 and rows_.probability.between(0, 1).all()
+        # what is under 1 keeps the proportion of the weights
+        under = rows_[rows_.probability < 1]
+        assert np.ptp(under.probability / under.weight) < 1e-9
+        if tail:
+            assert kept == pytest.approx(mixing.RATE) and rows_.probability[rows_.doc_id == 1000].item() == 1
+
+
+def test_fit_reports(spark):
+    cells = spark.createDataFrame([("a", "en", "prose", 1000), ("b", "en", "prose", 600), ("c", "en", "prose", 2)], "source string, lang string, topic string, tokens long")
+    targets = {"source": {"a": 0.4, "b": 0.4, "c": 0.2}, "lang": 1.0, "topic": 1.0}
+    found = mixing.fit(cells, targets)
+    # c keeps its 2 tokens, a and b share the other 799 alike
+    assert found.gap < 1e-6 and found.kept == pytest.approx(0.5) and found.kept_gap == pytest.approx(0.2 - 2 / 801)
+    everything = mixing.fit(cells, targets, rate=1.0)
+    assert everything.kept == pytest.approx(1.0)
+
+
 # quality
 def test_counts_by_brute_force(docs):
     rng = random.Random(5)
