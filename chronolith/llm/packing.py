@@ -10,9 +10,11 @@ best fit decreasing runs again, on fewer and fuller groups, for as many rounds a
 from __future__ import annotations
 
 import base64
+import json
 import math
 import zlib
 from functools import lru_cache, partial
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
@@ -27,15 +29,21 @@ CAPACITY, END = 1024, 2
 GROUP, ROUNDS = 4096, 3
 
 
+def added_tokens(ranks_path: str) -> dict[str, int]:
+    """The added tokens of the tokenizer file that lies beside a ranks file, if there is one."""
+    beside = Path(ranks_path).with_suffix(".json")
+    return {t["content"]: t["id"] for t in json.loads(beside.read_text("utf-8"))["added_tokens"]} if beside.exists() else {}
+
+
 @lru_cache(maxsize=2)
 def encoder(ranks_path: str):
-    """The byte-level BPE of a ranks file; the text of special tokens is ordinary text to it."""
+    """The byte-level BPE of a ranks file, with the added tokens of its tokenizer."""
     import public_tokenizers
     import tiktoken
 
     with open(ranks_path, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=added_tokens(ranks_path))
 
 
 def tokenizer_path() -> str:
@@ -57,7 +65,7 @@ def _tokenise(batch: pa.RecordBatch, ranks_path: str, capacity: int, with_ids: b
     encode = encoder(ranks_path).encode_to_numpy
     doc_ids, out = batch.column("doc_id").to_pylist(), ([], [], [], [], [], [])
     for doc_id, text in zip(doc_ids, batch.column("text").to_pylist()):
-        ids = np.append(encode(text, disallowed_special=()) if text else np.zeros(0, np.uint32), END).astype("<u4")
+        ids = np.append(encode(text, allowed_special="all") if text else np.zeros(0, np.uint32), END).astype("<u4")
         for k, (start, length) in enumerate(cuts(len(ids), capacity)):
             raw = ids[start : start + length].tobytes()
             for column, x in zip(out, (doc_id, k, start, length, zlib.crc32(raw), raw if with_ids else None)):

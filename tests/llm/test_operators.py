@@ -270,6 +270,18 @@ def test_ids_are_the_tokenizers():
         assert e.encode_to_numpy(text, disallowed_special=()).tolist() == t.encode(text, add_special_tokens=False).ids
 
 
+def test_added_tokens_are_the_tokenizers(docs):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "<|endoftext|><|endoftext|>\n x", "a  <|endoftext|>  b", "<|endoftext|", "é<|endoftext|>'s", "<|ENDOFTEXT|>", words(1, 40)]
+    out = {r.doc_id: np.frombuffer(r.ids, "<u4").tolist() for r in packing.pieces(docs(rows(*texts)), with_ids=True).collect()}
+    assert t.encode(texts[0], add_special_tokens=False).ids == [64, 220, 50256, 275]
+    for i, text in enumerate(texts, 1):
+        assert out[i] == [*t.encode(text, add_special_tokens=False).ids, packing.END]
+
+
 def test_bound_never_exceeds_and_bins_hold():
     rng = np.random.default_rng(1)
     for n, high in ((300, 1024), (200, 400), (90, 1024), (1, 5)):
