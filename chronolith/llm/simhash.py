@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronolith.llm.common import map_arrow, stored, utf8
+from chronolith.llm.common import map_arrow, stored, utf8, whole
 from chronolith.llm.components import components
 
 SEED, SHINGLE, T = 42, 4, 4
@@ -58,6 +58,10 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return map_arrow(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), _fingerprints, "doc_id long, fp long")
 
 
+def _fingerprints_and_hash(batch: pa.RecordBatch) -> pa.RecordBatch:
+    return _fingerprints(batch).append_column("h", batch.column("h"))
+
+
 class Block:
     """A perfect code of `width` bits, given by its parity-check columns, with covering radius `radius`."""
 
@@ -211,6 +215,11 @@ def links(distinct: DataFrame, kind: str) -> DataFrame:
     return sent.repartition(F.col("anchor")).sortWithinPartitions("anchor").mapInArrow(_links, "a long, b long")
 
 
+def kind_of(n: int) -> str:
+    """The codes for n distinct fingerprints."""
+    return "coarse" if n <= FEW else "fine" if n <= MANY else "finest"
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, fp, component_id for each row of docs: the smallest doc_id that links of at most T bits reach, itself included.
 
@@ -222,9 +231,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     # a fingerprint's node is its smallest doc_id, so a component's least node is its id; without one, a number above all ids
     none = F.lit((1 << 63) - 1) - F.pmod("fp", F.lit(1 << 61))
     distinct = stored(own.groupBy("fp").agg(F.min("doc_id").alias("first")).select("fp", F.coalesce("first", none).alias("node"), F.col("first").isNull().alias("lone")), "simhash-distinct")
-    n = distinct.count()
-    kind = "coarse" if n <= FEW else "fine" if n <= MANY else "finest"
-    root = components(links(distinct, kind)).withColumnRenamed("node", "_node")
+    root = components(links(distinct, kind_of(distinct.count()))).withColumnRenamed("node", "_node")
     named = distinct.join(root, distinct.node == root._node, "left").select(F.col("fp").alias("_fp"), F.coalesce("root", F.when(~F.col("lone"), F.col("node"))).alias("id"))
     ids = named.select("_fp", F.when(F.col("id") < (1 << 62), F.col("id")).alias("component_id"))
     return own.join(stored(ids, "simhash-ids"), F.col("fp") == F.col("_fp")).select("doc_id", "fp", "component_id")
@@ -238,8 +245,21 @@ def query(spark, sf_dir: str) -> DataFrame:
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """The documents without near copies: of each component, the row of the smallest doc_id stays (of rows that repeat it, one)."""
+    """The documents without near copies: of each component, the row of the least doc_id (null after all others), fingerprint and
+    text's hash stays, and of rows equal in id and text the least.
+
+    Rows are told apart by id and text, so rows without an id, or with one id and different texts, are documents of their own;
+    components are those of fingerprints, so that a repeated id links nothing.
+    """
     names = docs.columns
-    found = near_duplicates(docs)
-    first = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_keep")).distinct()
-    return docs.join(first, docs.doc_id.eqNullSafe(first._keep), "left_semi").dropDuplicates(["doc_id"]).select(*names)
+    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.xxhash64(whole("text").cast("string")).alias("h"))
+    own = map_arrow(texts, _fingerprints_and_hash, "doc_id long, fp long, h long")
+    row = F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "fp", "h")
+    distinct = stored(own.groupBy("fp").agg(F.min(row).alias("least")).select("fp", F.col("fp").alias("node"), "least"), "simhash-distinct")
+    root = components(links(distinct, kind_of(distinct.count()))).withColumnRenamed("node", "_node")
+    rooted = distinct.join(root, distinct.node == root._node, "left").select(F.coalesce("root", "node").alias("root"), "least")
+    first = stored(rooted.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.doc_id").alias("_keep"), F.col("least.h").alias("_h")), "simhash-first")
+    same = docs.doc_id.cast("long").eqNullSafe(first._keep) & (F.xxhash64(F.coalesce(docs.text.cast("string"), F.lit(""))) == first._h)
+    kept = docs.join(first, same, "left_semi").select(F.struct(*[docs[c] for c in names]).alias("row"))
+    key = [F.col("row.doc_id").alias("_id"), F.xxhash64(F.coalesce(F.col("row.text").cast("string"), F.lit(""))).alias("_hash")]
+    return kept.groupBy(*key).agg(F.min("row").alias("row")).select("row.*")

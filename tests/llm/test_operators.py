@@ -192,6 +192,18 @@ def test_components_by_brute_force(docs):
     assert sorted(r.doc_id for r in simhash.keep_first(docs(data)).collect()) == sorted(set(label.values()))
 
 
+def test_kept_rows_without_or_with_repeated_ids(docs):
+    text = [words(300 + i, 60) for i in range(9)]
+    near = text[0] + " "
+    data = [(None, text[0]), (None, near), (None, text[1]), (None, text[2]), (None, text[2]), (4, text[2]), (5, text[3]), (5, text[4]), (5, text[4]), (9, text[3]), (3, text[4]), (7, text[5]), (5, text[5]), (5, text[6]), (2, text[6] + " ")]
+    left = simhash.keep_first(docs([(d, t, "en", "s", 0) for d, t in data])).collect()
+    got = Counter((r.doc_id, r.text.strip()) for r in left)
+    assert got == Counter([(None, text[0]), (None, text[1]), (4, text[2]), (5, text[3]), (3, text[4]), (5, text[5]), (2, text[6])])
+    # the row of a component stays the same one, whatever the order of the rows
+    again = simhash.keep_first(docs([(d, t, "en", "s", 0) for d, t in reversed(data)]).repartition(5)).collect()
+    assert Counter(map(tuple, left)) == Counter(map(tuple, again))
+
+
 def test_chain_is_one_component(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(0, 90)] + [(200, 201), (5, 5)], "a long, b long")
     assert {r.node: r.root for r in components.components(links).collect()} == {**{i: 0 for i in range(91)}, 200: 200, 201: 200}
