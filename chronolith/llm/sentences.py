@@ -1,7 +1,7 @@
 """Substring dedup by sliding sentence spans.
 
 Every run of several consecutive sentences is hashed: from each sentence on, the shortest run of at least RUN sentences
-and WORDS words. The hashes are joined over the corpus; the occurrence of the least (doc_id, place) is a span's first, and
+and WORDS words. The hashes are joined over the corpus; the occurrence of the least (doc_id, text's hash, place) is a span's first, and
 sentences that any other occurrence covers are removed.
 """
 
@@ -50,37 +50,46 @@ def runs(sentences: list[tuple[int, int, list[str]]], run: int = RUN, words: int
     return [(i, j - i, xxhash.xxh64_intdigest("\n".join(said[i:j]).encode("utf-8", "surrogatepass"))) for i, j in enumerate(ends.tolist()) if j <= len(sentences)]
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """doc_id, text, h (hash of the text): id and hash tell texts apart."""
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("h"))
+
+
 def _spans(batch: pa.RecordBatch, run: int, words: int) -> pa.RecordBatch:
-    ids, place, size, name = [], [], [], []
-    for doc_id, text in zip(batch.column("doc_id").to_pylist(), text_rows(batch)):
+    ids, hashes, place, size, name = [], [], [], [], []
+    for doc_id, own, text in zip(batch.column("doc_id").to_pylist(), batch.column("h").to_pylist(), text_rows(batch)):
         for i, n, h in runs(split(text), run, words):
             ids.append(doc_id)
+            hashes.append(own)
             place.append(i)
             size.append(n)
             name.append(h)
-    return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(place, pa.int32()), pa.array(size, pa.int32()), pa.array(np.array(name, np.uint64).view(np.int64))], names=["doc_id", "place", "size", "name"])
+    return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(hashes, pa.int64()), pa.array(place, pa.int32()), pa.array(size, pa.int32()), pa.array(np.array(name, np.uint64).view(np.int64))], names=["doc_id", "h", "place", "size", "name"])
 
 
 def spans(docs: DataFrame, run: int = RUN, words: int = WORDS) -> DataFrame:
-    """doc_id, place, size, name of every run. Null and empty texts have none."""
-    return map_arrow(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), partial(_spans, run=run, words=words), "doc_id long, place int, size int, name long")
+    """doc_id, h (hash of the text), place, size, name of every run. Null and empty texts have none."""
+    return map_arrow(keyed(docs), partial(_spans, run=run, words=words), "doc_id long, h long, place int, size int, name long")
 
 
-def repeats(docs: DataFrame, run: int = RUN, words: int = WORDS) -> DataFrame:
-    """doc_id, covered (array of place, size): the non-first repeated spans of each document that has any."""
-    own = stored(spans(docs, run, words), "spans")
+def repeats(own: DataFrame) -> DataFrame:
+    """doc_id, h, covered (array of place, size): of the spans own, the non-first repeated ones of each text that has any."""
     # null ids come after all others
-    at = F.struct(F.col("doc_id").isNull().alias("late"), F.col("doc_id"), F.col("place"))
+    at = F.struct(F.col("doc_id").isNull().alias("late"), F.col("doc_id"), F.col("h"), F.col("place"))
     # written, so that the join deals both sides anew and can split a passage that very many documents share
     first = stored(own.groupBy("name").agg(F.min(at).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("name").alias("known"), "first"), "spans-repeated")
-    later = own.join(first, own.name == first.known).where(~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("place") == F.col("first.place"))))
-    return later.groupBy("doc_id").agg(F.collect_set(F.struct("place", "size")).alias("covered"))
+    here = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("h") == F.col("first.h")) & (F.col("place") == F.col("first.place"))
+    later = own.join(first, own.name == first.known).where(~here)
+    return later.groupBy("doc_id", "h").agg(F.collect_set(F.struct("place", "size")).alias("covered"))
 
 
-def _rewrite(batch: pa.RecordBatch) -> pa.RecordBatch:
+def _rewrite(batch: pa.RecordBatch, run: int, words: int) -> pa.RecordBatch:
     texts, n, removed, spans_ = [], [], [], []
-    for text, covered in zip(batch.column("text").to_pylist(), batch.column("covered").to_pylist()):
+    for text, covered, again in zip(batch.column("text").to_pylist(), batch.column("covered").to_pylist(), batch.column("again").to_pylist()):
         sentences = split(text or "")
+        if again:
+            covered = [{"place": i, "size": size} for i, size, _ in runs(sentences, run, words)]
         gone = np.zeros(len(sentences) + 1, np.int64)
         for c in covered or ():
             gone[min(c["place"], len(sentences))] += 1
@@ -105,13 +114,27 @@ def _rewrite(batch: pa.RecordBatch) -> pa.RecordBatch:
 def remove_repeats(docs: DataFrame, run: int = RUN, words: int = WORDS) -> DataFrame:
     """doc_id, text without the repeated sentences, n_sentences, n_removed, removed (array of start, end in the old text).
 
-    Rows that repeat an id count as one document: places are told apart by id, so a copy of a row under its own id is no
-    repeat of itself. A null id stands after all others. Null texts stay null. An empty table gives no rows.
+    Every row is a text of its own: texts under one id, or without an id, are told apart by their hash, and of rows equal in
+    both one counts as the first and all runs of the others are repeats. A null id stands after all others. Null texts stay
+    null. An empty table gives no rows.
     """
-    found = repeats(docs, run, words).select(F.col("doc_id").alias("_id"), "covered")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    joined = rows.join(found, rows.doc_id.eqNullSafe(found._id), "left").select("doc_id", "text", "covered")
-    return map_arrow(joined, _rewrite, "doc_id long, text string, n_sentences long, n_removed long, removed array<struct<start:long,end:long>>")
+    own = stored(spans(docs, run, words), "spans")
+    found = repeats(own).select(F.col("doc_id").alias("_id"), F.col("h").alias("_h"), "covered")
+    # equal rows with a run, which every text that has one has at its first sentence
+    equal = stored(own.where("place = 0").groupBy("doc_id", "h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("doc_id").alias("_id"), F.col("h").alias("_h")), "equal")
+    none = F.expr("cast(null as array<struct<place:int,size:int>>)")
+    rows = keyed(docs)
+    same = lambda x: rows.doc_id.eqNullSafe(x._id) & (rows.h == x._h)
+    copies = None
+    if not equal.isEmpty():
+        # written with their numbers, so that the same one is the first wherever they are read
+        numbered = stored(rows.join(equal, same(equal), "left_semi").withColumn("number", F.monotonically_increasing_id()), "equal-rows")
+        one = stored(numbered.groupBy("doc_id", "h").agg(F.min("number").alias("number")).select(F.col("number").alias("_number")), "equal-first")
+        lead = numbered.join(one, numbered.number == one._number, "left_semi").select("doc_id", "text", "h")
+        copies = numbered.join(one, numbered.number == one._number, "left_anti").select("doc_id", "text", none.alias("covered"), F.lit(True).alias("again"))
+        rows = rows.join(equal, same(equal), "left_anti").select("doc_id", "text", "h").unionAll(lead)
+    joined = rows.join(found, same(found), "left").select("doc_id", "text", "covered", F.lit(False).alias("again"))
+    return map_arrow(joined if copies is None else joined.unionAll(copies), partial(_rewrite, run=run, words=words), "doc_id long, text string, n_sentences long, n_removed long, removed array<struct<start:long,end:long>>")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

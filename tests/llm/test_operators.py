@@ -256,6 +256,32 @@ def test_repeats_by_brute_force(docs):
         assert len(r.text) == len(texts[d]) - sum(map(len, dropped)) and (passage[200:-200] in r.text) == (d == 3)
 
 
+def test_repeats_of_null_and_repeated_ids(docs):
+    a, b, c = (". ".join(words(500 + 10 * k + i, 13) for i in range(3)) + "." for k in range(3))
+    own = [words(600 + i, 32) + ".\n" for i in range(12)]
+    texts = [(7, own[0] + a), (7, own[1] + a), (7, own[2] + b), (None, own[3] + b), (None, own[4] + b), (None, own[5] + c), (None, own[6] + c), (None, own[7]), (None, own[7]), (None, own[7]), (3, own[8] + own[9]), (3, own[8] + own[9]), (4, own[9]), (None, None), (7, None)]
+    df = docs([(d, t, "en", "s", 0) for d, t in texts]).repartition(3)
+    hashes = {r.text: r.h for r in df.select("text", F.xxhash64("text").alias("h")).collect()}
+    order = sorted(texts, key=lambda x: (x[0] is None, x[0] or 0, hashes[x[1]] if x[1] else 0))
+    gone = brute_repeats({i: t for i, (_, t) in enumerate(order)})
+    assert sum(map(bool, gone.values())) == 8
+    wanted = []
+    for i, (d, t) in enumerate(order):
+        kept = t and "".join(t[x:y] for x, y in _kept(t, gone[i]))
+        wanted.append((d, kept, len(gone[i])))
+    got = [(r.doc_id, r.text, r.n_removed) for r in sentences.remove_repeats(df).collect()]
+    assert Counter(got) == Counter(wanted)
+
+
+def _kept(text, gone):
+    edges, at = [], 0
+    for i, (a, b, _) in enumerate(sentences.split(text)):
+        if i in gone:
+            edges.append((at, a))
+            at = b
+    return [*edges, (at, len(text))]
+
+
 # language
 def test_languages_are_told(docs):
     import itertools
