@@ -138,14 +138,12 @@ def anchors(words: np.ndarray, kind: str) -> tuple[np.ndarray, np.ndarray]:
 def _replicate(kind: str):
     def rows_of(batch: pa.RecordBatch) -> pa.RecordBatch:
         fp = batch.column("fp").to_numpy().view(np.uint64)
-        node = batch.column("node").to_numpy()
         keys, at = [], []
         for half in (0, 1):
             who, anchor = anchors((fp >> np.uint64(32 * half)).astype(np.uint32), kind)
             keys.append(anchor.astype(np.int64) | half << 32)
             at.append(who)
-        who = np.concatenate(at)
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(fp[who].view(np.int64)), pa.array(node[who])], names=["anchor", "fp", "node"])
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(fp[np.concatenate(at)].view(np.int64))], names=["anchor", "fp"])
 
     return rows_of
 
@@ -190,28 +188,28 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Over rows sorted by anchor; a group may reach over batches, and only the last group is carried on."""
     held: list[tuple[np.ndarray, ...]] = []
 
-    def out(keys: np.ndarray, fps: np.ndarray, nodes: np.ndarray) -> pa.RecordBatch:
-        pairs = np.unique(np.sort(nodes[linked(keys, fps)].reshape(-1, 2), axis=1), axis=0)
+    def out(keys: np.ndarray, fps: np.ndarray) -> pa.RecordBatch:
+        pairs = np.unique(np.sort(fps[linked(keys, fps)].view(np.int64).reshape(-1, 2), axis=1), axis=0)
         return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, 0])), pa.array(np.ascontiguousarray(pairs[:, 1]))], names=["a", "b"])
 
     for batch in batches:
-        k, f, n = batch.column("anchor").to_numpy(), batch.column("fp").to_numpy().view(np.uint64), batch.column("node").to_numpy()
+        k, f = batch.column("anchor").to_numpy(), batch.column("fp").to_numpy().view(np.uint64)
         if not len(k):
             continue
-        held.append((k, f, n))
+        held.append((k, f))
         if k[0] == k[-1] and held[0][0][0] == k[0]:
             continue
-        keys, fps, nodes = (np.concatenate(x) for x in zip(*held))
+        keys, fps = (np.concatenate(x) for x in zip(*held))
         cut = int(np.searchsorted(keys, keys[-1]))
-        yield out(keys[:cut], fps[:cut], nodes[:cut])
-        held = [(keys[cut:], fps[cut:], nodes[cut:])]
+        yield out(keys[:cut], fps[:cut])
+        held = [(keys[cut:], fps[cut:])]
     if held:
         yield out(*(np.concatenate(x) for x in zip(*held)))
 
 
 def links(distinct: DataFrame, kind: str) -> DataFrame:
-    """Pairs a < b of nodes of the distinct fingerprints (fp, node), enough of them to join whatever is linked."""
-    sent = map_arrow(distinct.select("fp", "node"), _replicate(kind), "anchor long, fp long, node long")
+    """Pairs a < b of the distinct fingerprints (fp), enough of them to join whatever is linked."""
+    sent = map_arrow(distinct.select("fp"), _replicate(kind), "anchor long, fp long")
     return sent.repartition(F.col("anchor")).sortWithinPartitions("anchor").mapInArrow(_links, "a long, b long")
 
 
@@ -220,20 +218,28 @@ def kind_of(n: int) -> str:
     return "coarse" if n <= FEW else "fine" if n <= MANY else "finest"
 
 
+def _rooted(distinct: DataFrame) -> DataFrame:
+    """The distinct fingerprints, whole rows, with root: the least fingerprint, as a signed number, that links reach."""
+    root = components(links(distinct, kind_of(distinct.count()))).select(F.col("node").alias("_node"), "root")
+    return distinct.join(root, distinct.fp == root._node, "left").select(*distinct.columns, F.coalesce("root", "fp").alias("root"))
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, fp, component_id for each row of docs: the smallest doc_id that links of at most T bits reach, itself included.
 
     Null texts count as empty, and all texts without a word share the fingerprint zero. Repeated rows and equal texts fall
-    into one component. A null doc_id is carried through and never names a component unless it is alone (then null).
-    Other columns are ignored; an empty table gives no rows.
+    into one component. Any long is an id. A null doc_id is carried through and never names a component unless all of it have none (then
+    null). Other columns are ignored; an empty table gives no rows.
     """
     own = stored(fingerprints(docs), "simhash")
-    # a fingerprint's node is its smallest doc_id, so a component's least node is its id; without one, a number above all ids
-    none = F.lit((1 << 63) - 1) - F.pmod("fp", F.lit(1 << 61))
-    distinct = stored(own.groupBy("fp").agg(F.min("doc_id").alias("first")).select("fp", F.coalesce("first", none).alias("node"), F.col("first").isNull().alias("lone")), "simhash-distinct")
-    root = components(links(distinct, kind_of(distinct.count()))).withColumnRenamed("node", "_node")
-    named = distinct.join(root, distinct.node == root._node, "left").select(F.col("fp").alias("_fp"), F.coalesce("root", F.when(~F.col("lone"), F.col("node"))).alias("id"))
-    ids = named.select("_fp", F.when(F.col("id") < (1 << 62), F.col("id")).alias("component_id"))
+    distinct = stored(own.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-distinct")
+    # a component's fingerprints are dealt over as many parts as a shuffle has, and the parts' least ids joined: a hot one stays split
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rooted = stored(_rooted(distinct).withColumn("part", F.pmod(F.xxhash64("fp"), F.lit(parts))), "simhash-rooted")
+    by_part = stored(rooted.groupBy("root", "part").agg(F.min("first").alias("least")), "simhash-parts")
+    named = by_part.groupBy("root").agg(F.min("least").alias("component_id"))
+    named = by_part.select("root", "part").join(named, "root")
+    ids = rooted.join(named, ["root", "part"]).select(F.col("fp").alias("_fp"), "component_id")
     return own.join(stored(ids, "simhash-ids"), F.col("fp") == F.col("_fp")).select("doc_id", "fp", "component_id")
 
 
@@ -246,7 +252,8 @@ def query(spark, sf_dir: str) -> DataFrame:
 
 def keep_first(docs: DataFrame) -> DataFrame:
     """The documents without near copies: of each component, the row of the least doc_id (null after all others), fingerprint and
-    text's hash stays, and of rows equal in id and text the least.
+    text's hash stays, and of rows equal in id and text the least. All columns stay, whatever their names; null and empty texts are
+    copies of one another; an empty table stays empty.
 
     Rows are told apart by id and text, so rows without an id, or with one id and different texts, are documents of their own;
     components are those of fingerprints, so that a repeated id links nothing.
@@ -255,11 +262,9 @@ def keep_first(docs: DataFrame) -> DataFrame:
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.xxhash64(whole("text").cast("string")).alias("h"))
     own = map_arrow(texts, _fingerprints_and_hash, "doc_id long, fp long, h long")
     row = F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "fp", "h")
-    distinct = stored(own.groupBy("fp").agg(F.min(row).alias("least")).select("fp", F.col("fp").alias("node"), "least"), "simhash-distinct")
-    root = components(links(distinct, kind_of(distinct.count()))).withColumnRenamed("node", "_node")
-    rooted = distinct.join(root, distinct.node == root._node, "left").select(F.coalesce("root", "node").alias("root"), "least")
-    first = stored(rooted.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.doc_id").alias("_keep"), F.col("least.h").alias("_h")), "simhash-first")
-    same = docs.doc_id.cast("long").eqNullSafe(first._keep) & (F.xxhash64(F.coalesce(docs.text.cast("string"), F.lit(""))) == first._h)
-    kept = docs.join(first, same, "left_semi").select(F.struct(*[docs[c] for c in names]).alias("row"))
-    key = [F.col("row.doc_id").alias("_id"), F.xxhash64(F.coalesce(F.col("row.text").cast("string"), F.lit(""))).alias("_hash")]
-    return kept.groupBy(*key).agg(F.min("row").alias("row")).select("row.*")
+    rooted = _rooted(stored(own.groupBy("fp").agg(F.min(row).alias("least")), "simhash-distinct"))
+    first = stored(rooted.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.doc_id").alias("id"), F.col("least.h").alias("hash")), "simhash-first")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"))
+    rows = rows.select("row", F.col("row.doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce(F.col("row.text").cast("string"), F.lit(""))).alias("h"))
+    kept = rows.join(first, rows.doc_id.eqNullSafe(first.id) & (rows.h == first.hash), "left_semi")
+    return kept.groupBy("doc_id", "h").agg(F.min("row").alias("row")).select("row.*")
