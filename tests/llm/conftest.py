@@ -21,7 +21,7 @@ def docs(spark):
         if extra:
             from pyspark.sql import functions as F
 
-            names = ("fp", "anchor", "node", "bucket", "key", "extra", "h", "base", "terms", "name", "place", "size", "tokens", "topic", "weight", "grp", "component_id", "ids", "score", "chunk", "_id", "_h", "u", "v")
+            names = ("hash", "id", "row", "edits", "part", "root", "pairs", "words", "_p", "_source", "_lang", "_topic", "_keep", "_own", "_terms", "line", "turn", "length", "start", "piece", "rejected", "lang_pred", "cell", "fp", "anchor", "node", "bucket", "key", "extra", "h", "base", "terms", "name", "place", "size", "tokens", "topic", "weight", "grp", "component_id", "ids", "score", "chunk", "_id", "_h", "u", "v")
             df = df.withColumns({n: F.lit("x") for n in names})
         return df
 

@@ -392,3 +392,113 @@ def test_zero_octets(docs):
     assert [out[i] for i in range(1, len(texts) + 1)] == [f"ip:5:{5 + len(x)}" for x in good] + [""] * len(bad)
     clean = {r.doc_id: r.text for r in pii.sanitise(docs(rows(*texts))).collect()}
     assert all("[IP]" in clean[i] for i in range(1, len(good) + 1))
+
+
+def test_any_long_is_an_id(docs):
+    top = (1 << 63) - 1
+    data = [(1 << 62 | 1, words(1, 60)), (1 << 62 | 2, words(2, 60)), (5, words(3, 60)), (top, words(4, 60)), (-top - 1, words(4, 60) + " "), (None, words(5, 60)), (top - 1, words(5, 60)), (None, words(6, 60)), (None, words(6, 60) + "\n")]
+    df = docs([(d, t, "en", "s", 0) for d, t in data])
+    found = Counter((r.doc_id, r.component_id) for r in simhash.near_duplicates(df).collect())
+    assert found == Counter([(1 << 62 | 1, 1 << 62 | 1), (1 << 62 | 2, 1 << 62 | 2), (5, 5), (top, -top - 1), (-top - 1, -top - 1), (None, top - 1), (top - 1, top - 1), (None, None), (None, None)])
+    left = Counter((r.doc_id, r.text.strip()) for r in simhash.keep_first(df).collect())
+    assert left == Counter([(d, t.strip()) for d, t in data[:3]] + [(-top - 1, words(4, 60)), (top - 1, words(5, 60)), (None, words(6, 60))])
+
+
+LETTERS = r"[^\W\d_]"
+
+
+def brute_terms(texts, base):
+    """The told words of each text, and their shares: from the spans of the base, by whole passes over all texts."""
+    import math
+
+    def runs(t, first=0):
+        out = []
+        for token in re.finditer(r"[^ \t\n\r\f\x0b]+", t):
+            if "@" not in token[0]:
+                out += [(m[0].lower(), m.start() + token.start() + first, m.end() + token.start() + first) for m in re.finditer(LETTERS + "{2,}", token[0])]
+        return out
+
+    near = []
+    for t, spans in zip(texts, base):
+        pairs = set()
+        for kind in range(4):
+            # between the matches of a kind, those that do not count among them
+            cut = [m.span() for m in re.finditer(SIMPLE[kind], t)]
+            for i, (s, e) in enumerate(cut):
+                if (kind, s, e) in spans:
+                    left, right = t[cut[i - 1][1] if i else 0 : s], t[e : cut[i + 1][0] if i + 1 < len(cut) else len(t)]
+                    if len(left) > pii.WINDOW:
+                        left = re.sub(r"^\S*", "", left[-pii.WINDOW - 1 :], flags=re.A)
+                    if len(right) > pii.WINDOW:
+                        right = right[: pii.WINDOW + 1]
+                        right = right[: len(right) - len(re.search(r"\S*\Z", right, flags=re.A)[0])]
+                    pairs |= {(t[s:e].lower(), w) for w, _, _ in runs(left) + runs(right)}
+        near.append(pairs)
+    holds = [{t[s:e].lower() for _, s, e in spans} for t, spans in zip(texts, base)]
+    anywhere = [set(re.findall(LETTERS + "+", t.lower())) for t in texts]
+    n, share = len(texts), {}
+    for e, w in set().union(*near):
+        have = [i for i, p in enumerate(near) if (e, w) in p]
+        if len({texts[i] for i in have}) >= 2 and len(have) < n:
+            n_e, n_w, n_b = sum(e in h for h in holds), sum(w in a for a in anywhere), len(have)
+            share[e, w] = math.log(n * n_b / (n_e * n_w)) / -math.log(n_b / n)
+    told = []
+    for t, h in zip(texts, holds):
+        mine = {}
+        for (e, w), x in share.items():
+            if e in h and x >= pii.GENERALISE:
+                mine[w] = max(x, mine.get(w, 0))
+        told.append([(s, e, mine[w]) for w, s, e in runs(t) if w in mine] if h else [])
+    return told
+
+
+SIMPLE = [r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", r"(?<![0-9])[0-9]+(?:\.[0-9]+){3}", r"[0-9](?:[ -]?[0-9]){12,}", r"\+[0-9][ ().0-9-]+[0-9]"]
+
+
+def test_terms_by_brute_force(docs):
+    rng = random.Random(3)
+    people = [(f"Name{chr(65 + i)}x Ort{chr(97 + i)}", f"p{i}@mail.org", f"10.0.{i}.7", f"+49 30 1234{i:03d}") for i in range(12)]
+    texts = []
+    for i in range(90):
+        t = words(i, 25)
+        if i % 2:
+            who = rng.choice(people)
+            said = [who[0], "write to", who[1], "or", who[2], words(i + 500, 12), who[0].upper(), "é" + who[3], "today"]
+            t += " " + rng.choice([" ", "\n"]).join(said) + " " + words(i + 900, 20) + rng.choice(["", " " + who[0] + " again@here"])
+        texts.append(t)
+    out = {r.doc_id: r for r in pii.protected(docs(rows(*texts, texts[1], None))).collect()}
+    texts += [texts[1], ""]
+    base = [{(b.k, b.s, b.e) for b in out[i + 1].base} for i in range(len(texts))]
+    told = brute_terms(texts, base)
+    assert sum(map(len, told)) > 100
+    for i in range(len(texts)):
+        assert [(t.s, t.e, pytest.approx(t.share)) for t in out[i + 1].terms] == told[i], texts[i]
+    clean = {r.doc_id: r.text for r in pii.sanitise(docs(rows(*texts))).collect()}
+    for i, t in enumerate(texts):
+        edits = sorted([(s, e, f"[{pii.KINDS[k].upper()}]") for k, s, e in base[i]] + [(s, e, "" if x >= pii.REMOVE else "[WORD]") for s, e, x in told[i]])
+        said, at = "", 0
+        for s, e, to in edits:
+            if s >= at:
+                said += t[at:s] + to
+            at = max(at, e)
+        assert clean[i + 1] == said + t[at:]
+
+
+def test_many_entities_cost_their_number(docs):
+    import time
+
+    log = "\n".join(f"10.{i >> 16 & 255}.{i >> 8 & 255}.{i & 255} GET é{i} done" for i in range(40_000))
+    began = time.time()
+    out = {r.doc_id: r for r in pii.sanitise(docs([(1, log, "en", "s", 0), (2, "no data", "en", "s", 0)])).collect()}
+    assert out[1].text == "\n".join(f"[IP] GET é{i} done" for i in range(40_000)) and out[2].text == "no data"
+    assert time.time() - began < 120
+
+
+def test_sanitise_keeps_rows_and_columns(docs):
+    data = [(1, "mail a@b.cd now", "en", "s", 0), (1, "mail a@b.cd now", "en", "s", 0), (None, "ip 1.2.3.4", None, None, None), (1, "other 1.2.3.4", "fr", "t", 1), (2, None, "en", "s", 0), (3, "", "en", "s", 0)]
+    df = docs(data, extra=True).withColumns({"hash": F.lit("y"), "id": F.lit("z"), "row": F.lit(1), "edits": F.lit(2), "_own": F.lit(3), "_terms": F.lit(4)})
+    out = pii.sanitise(df)
+    assert out.schema == df.schema
+    got = Counter((r.doc_id, r.text, r.lang) for r in out.collect())
+    assert got == Counter([(1, "mail [EMAIL] now", "en"), (1, "mail [EMAIL] now", "en"), (None, "ip [IP]", None), (1, "other [IP]", "fr"), (2, None, "en"), (3, "", "en")])
+    assert {tuple(r)[5:] for r in out.collect()} == {tuple(r)[5:] for r in df.collect()}
