@@ -6,8 +6,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from chronolith.functions.labels import KIND_RANK, label_fault, label_kind
+from chronolith.functions.labels import KIND_RANK, label_kind
 from chronolith.operators.series import ordered, sampling_step
+from chronolith.sources.shared import stored
 
 RUNS = "array<struct<start:long,end:long,value:int>>"
 
@@ -51,17 +52,18 @@ def catalogue(samples: DataFrame) -> DataFrame:
     return out.withColumn("hours", (F.col("end") - F.col("start")) / 3.6e9)
 
 
-def _pairs(cat: DataFrame) -> DataFrame:
-    """Pairs a, b (a first by start, then series) of an entity's recordings that touch or overlap.
+def _pairs(cat: DataFrame, by: tuple[str, ...] = ("entity",)) -> DataFrame:
+    """Pairs a, b (a first by start, then series) of the recordings of one key that touch or overlap.
 
-    Every recording meets those that begin before it ends: the pairs come from an equal join on the entity and a day, so that only neighbours in
+    Every recording meets those that begin before it ends: the pairs come from an equal join on the key and a day, so that only neighbours in
     time are compared; a pair is kept at the day on which the later one begins."""
     day = 86_400_000_000
+    own = [c for c in cat.columns if c not in by]
     days = cat.withColumn("day", F.explode(F.sequence(F.floor(F.col("start") / day), F.floor(F.col("end") / day))))
-    a = days.select(*[F.col(c).alias(f"a_{c}") for c in cat.columns], "entity", "day")
-    b = cat.select(*[F.col(c).alias(f"b_{c}") for c in cat.columns], "entity", F.floor(F.col("start") / day).alias("day"))
+    a = days.select(*[F.col(c).alias(f"a_{c}") for c in own], *by, "day")
+    b = cat.select(*[F.col(c).alias(f"b_{c}") for c in own], *by, F.floor(F.col("start") / day).alias("day"))
     before = (F.col("a_start") < F.col("b_start")) | ((F.col("a_start") == F.col("b_start")) & (F.col("a_series") < F.col("b_series")))
-    return a.join(b, ["entity", "day"]).where(before & (F.col("b_start") <= F.col("a_end"))).drop("day")
+    return a.join(b, [*by, "day"]).where(before & (F.col("b_start") <= F.col("a_end"))).drop("day")
 
 
 def overlaps(cat: DataFrame) -> DataFrame:
@@ -74,49 +76,51 @@ def disagree(a: Column, b: Column) -> Column:
     return F.exists(a, lambda x: F.exists(b, lambda y: (x.start < y.end) & (y.start < x.end) & x["value"].isNotNull() & y["value"].isNotNull() & (x["value"] != y["value"])))
 
 
-def agreements(cat: DataFrame) -> DataFrame:
-    """entity, a, b, agree for every overlapping pair."""
-    pairs = _pairs(cat.select("entity", "series", "start", "end", "runs"))
-    return pairs.select("entity", F.col("a_series").alias("a"), F.col("b_series").alias("b"), (~F.coalesce(disagree(F.col("a_runs"), F.col("b_runs")), F.lit(False))).alias("agree"))
-
-
-def join_groups(cat: DataFrame) -> DataFrame:
-    """cat with bar: recordings of an entity that overlap in time and agree in their labels are one bar.
-
-    In order of start, a recording joins the first bar with a member it overlaps if its labels agree with those of all members it
-    overlaps, else it opens a bar. Entities without a conflict are settled by islands in time, which then are the same
-    bars; in the others one entity's catalogue rows, not its samples, are walked in order."""
-    import pandas as pd
-
-    pairs = agreements(cat)
-    conflicting = pairs.where("not agree").select("entity").distinct()
-    w = Window.partitionBy("entity").orderBy("start", "series")
-    reached = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    calm = cat.join(conflicting, "entity", "left_anti").withColumn("_new", F.coalesce((F.col("start") > reached).cast("int"), F.lit(1)))
-    calm = calm.withColumn("bar", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)) - 1).drop("_new")
-
-    def walk(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["start", "series"]).reset_index(drop=True)
-        bars: list[list[int]] = []
-        place = {}
-        for i, (series, start, end, bad) in enumerate(zip(rows["series"], rows["start"], rows["end"], rows["against"])):
-            refused = set(bad if bad is not None else ())
-            for k, members in enumerate(bars):
-                touching = [m for m in members if start <= rows["end"][m] and rows["start"][m] <= end]
-                if touching and not any(rows["series"][m] in refused for m in touching):
-                    members.append(i)
-                    place[series] = k
-                    break
-            else:
-                bars.append([i])
-                place[series] = len(bars) - 1
-        return pd.DataFrame({"series": rows["series"], "bar": [place[s] for s in rows["series"]]})
-
-    no = pairs.where("not agree")
-    against = no.select(F.col("a").alias("series"), F.col("b").alias("other")).unionAll(no.select(F.col("b").alias("series"), F.col("a").alias("other"))).groupBy("series").agg(F.collect_set("other").alias("against"))
-    torn = cat.join(conflicting, "entity", "left_semi")
-    bars = torn.join(against, "series", "left").select("entity", "series", "start", "end", "against").groupBy("entity").applyInPandas(walk, "series long, bar long")
-    return calm.unionByName(torn.join(bars, "series").select(*calm.columns))
+def agreements(cat: DataFrame, by: tuple[str, ...] = ("entity",)) -> DataFrame:
+    """by, a, b, agree for every overlapping pair."""
+    pairs = _pairs(cat.select(*by, "series", "start", "end", "runs"), by)
+    return pairs.select(*by, F.col("a_series").alias("a"), F.col("b_series").alias("b"), (~F.coalesce(disagree(F.col("a_runs"), F.col("b_runs")), F.lit(False))).alias("agree"))
+
+
+def islands(cat: DataFrame, by: tuple[str, ...] = ("entity",)) -> DataFrame:
+    """cat with island: within a key a new one begins where all recordings before have ended."""
+    w = Window.partitionBy(*by).orderBy("start", "series")
+    fresh = F.coalesce((F.col("start") > F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))).cast("int"), F.lit(1))
+    return cat.withColumn("_fresh", fresh).withColumn("island", F.sum("_fresh").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_fresh")
+
+
+def _openers(rows):
+    """For the recordings of one island, in order, the first member of the bar each belongs to. A bar is named by its first member; a
+    recording's choice is the bars of the earlier ones it meets, without those of any it contradicts, and of these the oldest."""
+    rows = rows.sort_values(["start", "series"])
+    age = {s: i for i, s in enumerate(rows["series"])}
+    opener: dict = {}
+    for series, met in zip(rows["series"], rows["met"]):
+        met = met if met is not None else ()
+        open_to = {opener[m["a"]] for m in met} - {opener[m["a"]] for m in met if not m["agree"]}
+        opener[series] = min(open_to, key=age.__getitem__, default=series)
+    return rows[["series"]].assign(opener=[opener[s] for s in rows["series"]])
+
+
+def join_groups(cat: DataFrame, by: tuple[str, ...] = ("entity",)) -> DataFrame:
+    """cat with bar: recordings of one key that overlap in time and agree in their labels are one bar.
+
+    In order of start, a recording joins the oldest bar with a member it overlaps if its labels agree with those of all members it
+    overlaps, else it opens a bar; bars are numbered as they open. Recordings of different islands in time never meet. An island without
+    a contradiction is one bar; of the others the catalogue rows, not the samples, are walked, one island in a group, over
+    the pairs that a join has found."""
+    rows = islands(cat, by)
+    pairs = stored(agreements(cat, by).select("a", "b", "agree"), "pairs")
+    key = [*by, "island"]
+    torn = rows.join(pairs.where("not agree").select(F.col("a").alias("series")).distinct(), "series", "left_semi").select(*key).distinct()
+    met = pairs.groupBy(F.col("b").alias("series")).agg(F.collect_list(F.struct("a", "agree")).alias("met"))
+    kind = dict(cat.dtypes)["series"]
+    walked = rows.join(torn, key, "left_semi").join(met, "series", "left").select(*key, "series", "start", "met").groupBy(*key).applyInPandas(_openers, f"series {kind}, opener {kind}")
+    whole = F.first("series").over(Window.partitionBy(*key).orderBy("start", "series"))
+    told = rows.withColumn("_whole", whole).join(walked, "series", "left").withColumn("_opener", F.coalesce("opener", "_whole"))
+    opened = F.sum((F.col("_opener") == F.col("series")).cast("long")).over(Window.partitionBy(*by).orderBy("start", "series").rowsBetween(Window.unboundedPreceding, 0)) - 1
+    # a bar's first member is counted last of all before it
+    return told.withColumn("_opened", opened).withColumn("bar", F.min("_opened").over(Window.partitionBy(*by, "_opener"))).select(*cat.columns, "bar")
 
 
 def bars(grouped: DataFrame) -> DataFrame:
@@ -137,10 +141,24 @@ def coverage(cat: DataFrame, by: tuple[str, ...] = ("entity",)) -> DataFrame:
     return out.where("end is not null").select(*by, "start", "end", "depth")
 
 
-def distinct_samples(samples: DataFrame, grouped: DataFrame) -> DataFrame:
-    """entity, bar, n_samples, n_distinct: rows of a bar's members, and instants among them."""
-    rows = samples.join(grouped.select("series", "bar"), "series")
-    return rows.groupBy("entity", "bar").agg(F.count(F.lit(1)).alias("n_samples"), F.count_distinct("us").alias("n_distinct"))
+def distinct_samples(grouped: DataFrame) -> DataFrame:
+    """entity, bar, n_samples, n_distinct: rows of a bar's members, and how many instants they cover between them.
+
+    Runs tile a recording up to one step after its last sample, so the length of the union of the members' spans, over the step of the
+    first, is the number of instants. A lone recording, and a bar with a member without runs, have their samples' number."""
+    w = Window.partitionBy("entity", "bar").orderBy("start", "series")
+    tiled = grouped.select("entity", "bar", "series", "start", "end", "n_samples", F.element_at(F.transform("runs", lambda x: x.end), -1).alias("to"))
+    reached = F.max("to").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    # what a span adds to those that begin before it
+    spans = tiled.withColumn("fresh", F.greatest(F.lit(0), F.col("to") - F.greatest("start", F.coalesce(reached, "start"))))
+    out = spans.groupBy("entity", "bar").agg(F.sum("n_samples").alias("n_samples"), F.sum("fresh").alias("covered"), F.min_by(F.col("to") - F.col("end"), F.struct("start", "series")).alias("step"), F.count(F.lit(1)).alias("n"), F.count("to").alias("known"))
+    one = (F.col("n") == 1) | (F.col("known") < F.col("n"))
+    return out.select("entity", "bar", "n_samples", F.when(one, F.col("n_samples")).otherwise(F.rint(F.col("covered") / F.col("step")).cast("long")).alias("n_distinct"))
+
+
+def distinct_instants(samples: DataFrame, grouped: DataFrame) -> DataFrame:
+    """entity, bar, n_instants: different times among the samples of a bar's members."""
+    return samples.join(grouped.select("series", "bar"), "series").groupBy("entity", "bar").agg(F.count_distinct("us").alias("n_instants"))
 
 
 def lane_counts(cat: DataFrame) -> DataFrame:
@@ -149,21 +167,27 @@ def lane_counts(cat: DataFrame) -> DataFrame:
     return coverage(moved).groupBy("entity").agg(F.max("depth").alias("lanes"))
 
 
-def pack_lanes(cat: DataFrame) -> DataFrame:
-    """series, lane: in order of start, the lowest lane whose last recording has ended. One entity's catalogue rows make a group."""
-    import pandas as pd
+def _lanes(rows):
+    import heapq
 
-    def walk(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["start", "series"])
-        ends: list[int] = []
-        lanes = []
-        for start, end in zip(rows["start"], rows["end"]):
-            lane = next((k for k, e in enumerate(ends) if start > e), len(ends))
-            ends[lane : lane + 1] = [end]
-            lanes.append(lane)
-        return pd.DataFrame({"series": rows["series"], "lane": lanes})
+    rows = rows.sort_values(["start", "series"])
+    busy: list[tuple[int, int]] = []
+    free: list[int] = []
+    lanes = []
+    for start, end in zip(rows["start"].tolist(), rows["end"].tolist()):
+        while busy and busy[0][0] < start:
+            heapq.heappush(free, heapq.heappop(busy)[1])
+        lane = heapq.heappop(free) if free else len(busy)
+        heapq.heappush(busy, (end, lane))
+        lanes.append(lane)
+    return rows[["series"]].assign(lane=lanes)
 
-    return cat.select("entity", "series", "start", "end").groupBy("entity").applyInPandas(walk, "series long, lane int")
+
+def pack_lanes(cat: DataFrame) -> DataFrame:
+    """series, lane: in order of start, the lowest lane that is free, its last recording having ended. At the start of an island all lanes
+    are free, so one island's catalogue rows make a group."""
+    rows = islands(cat.select("entity", "series", "start", "end"))
+    return rows.groupBy("entity", "island").applyInPandas(_lanes, f"series {dict(cat.dtypes)['series']}, lane int")
 
 
 def stitched(bars_: DataFrame) -> DataFrame:
@@ -264,7 +288,3 @@ def mask_spans(samples: DataFrame, flag: str, by: tuple[str, ...] = ("series",))
     w = Window.partitionBy(*by).orderBy("run")
     out = runs(samples, flag, by).withColumn("_to", F.lead("start").over(w)).join(ends, list(by))
     return out.where("value").select(*by, "start", F.coalesce("_to", "_end").alias("end"))
-
-
-def fault_of(value: Column) -> Column:
-    return label_fault(value)

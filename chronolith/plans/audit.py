@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from chronolith.functions import labels as L
 from chronolith.operators import intervals as I
-from chronolith.plans.intervals import CAT_SQL, MERGED_SQL, RUNS_SQL, calm, cat
+from chronolith.plans.intervals import CAT_SQL, MERGED_SQL, RUNS_SQL, cat, grouped
 from chronolith.plans.registry import query
 from chronolith.plans.series import KIND_SQL, r
 from chronolith.sources import demo
@@ -41,7 +41,7 @@ def b2_label_time_shares(spark, sf):
 @query("b3_joined_time_shares", demo.with_samples(MERGED_SQL + f""", k AS (SELECT m.entity, ("end" - start) / 1e6 AS s, {KIND_SQL.replace('label', 'value')} AS kind FROM merged m)
 SELECT entity % 5 AS fault, kind, round(sum(s), 0) AS seconds FROM k GROUP BY ALL"""))
 def b3_joined_time_shares(spark, sf):
-    m = I.merge_runs(calm(spark, sf))
+    m = I.merge_runs(grouped(spark, sf))
     return m.groupBy((F.col("entity") % 5).alias("fault"), L.label_kind(F.col("value")).alias("kind")).agg(r(F.sum((F.col("end") - F.col("start")) / 1e6), 0).alias("seconds"))
 
 

@@ -8,6 +8,7 @@ from chronolith.operators import intervals as I
 from chronolith.plans.registry import query
 from chronolith.plans.series import KIND_SQL, r
 from chronolith.sources import demo
+from chronolith.sources.shared import stored
 
 RUNS_SQL = """, c AS (SELECT *, CASE WHEN row_number() OVER w = 1 OR label IS DISTINCT FROM lag(label) OVER w THEN 1 ELSE 0 END AS ch FROM samples WINDOW w AS (PARTITION BY series ORDER BY us, rid)),
 g AS (SELECT *, sum(ch) OVER (PARTITION BY series ORDER BY us, rid) AS run FROM c),
@@ -20,23 +21,43 @@ CAT_SQL = f"""{RUNS_SQL}, cat AS (SELECT series, entity, fault, min(us) AS start
  CASE coalesce(max(CASE {KIND_SQL} WHEN 'steady' THEN 2 WHEN 'transient' THEN 1 WHEN 'normal' THEN 0 END), 0) WHEN 2 THEN 'steady' WHEN 1 THEN 'transient' ELSE 'normal' END AS reach
  FROM samples GROUP BY series, entity, fault),
 pairs AS (SELECT a.entity, a.series AS a, b.series AS b FROM cat a JOIN cat b ON a.entity = b.entity AND (a.start < b.start OR (a.start = b.start AND a.series < b.series)) AND b.start <= a."end"),
-bad AS (SELECT DISTINCT p.entity, p.a, p.b FROM pairs p JOIN seg x ON x.series = p.a JOIN seg y ON y.series = p.b AND x.start < y."end" AND y.start < x."end" WHERE x.value <> y.value),
-calm AS (SELECT * FROM cat WHERE entity NOT IN (SELECT entity FROM bad)),
-isl AS (SELECT *, coalesce((start > max("end") OVER (PARTITION BY entity ORDER BY start, series ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))::INT, 1) AS nw FROM calm),
-grp AS (SELECT *, sum(nw) OVER (PARTITION BY entity ORDER BY start, series) - 1 AS bar FROM isl)
+bad AS (SELECT DISTINCT p.entity, p.a, p.b FROM pairs p JOIN seg x ON x.series = p.a JOIN seg y ON y.series = p.b AND x.start < y."end" AND y.start < x."end" WHERE x.value <> y.value)
 """
 
 
+def groups_sql(source: str = "cat", key: str = "entity", name: str = "grp") -> str:
+    """Common tables that end in name: source with bar. An entity's recordings are taken one by one in order of start, with the
+    list of the bars so far."""
+    return f""", {name}_o AS (SELECT *, row_number() OVER (PARTITION BY {key} ORDER BY start, series) AS k FROM {source}),
+{name}_p AS (SELECT y.{key} AS e, y.k, list(x.k) AS met, list(x.k) FILTER (b.a IS NOT NULL) AS torn FROM {name}_o y JOIN {name}_o x ON x.{key} = y.{key} AND x.entity = y.entity AND x.k < y.k AND y.start <= x."end"
+ LEFT JOIN bad b ON b.a = x.series AND b.b = y.series GROUP BY y.{key}, y.k),
+{name}_n AS (SELECT o.{key} AS e, o.k, coalesce(met, []) AS met, coalesce(torn, []) AS torn FROM {name}_o o LEFT JOIN {name}_p p ON p.e = o.{key} AND p.k = o.k),
+{name}_w AS (SELECT DISTINCT {key} AS e, 0::BIGINT AS k, []::BIGINT[] AS bars FROM {source}
+ UNION ALL SELECT w.e, n.k, list_append(w.bars, coalesce(list_min(list_filter(list_transform(n.met, lambda i: w.bars[i]), lambda x: NOT list_contains(list_transform(n.torn, lambda i: w.bars[i]), x))), coalesce(list_max(w.bars) + 1, 0)))
+ FROM {name}_w w JOIN {name}_n n ON n.e = w.e AND n.k = w.k + 1),
+{name}_b AS (SELECT e, arg_max(bars, k) AS bars FROM {name}_w GROUP BY e),
+{name} AS (SELECT o.* EXCLUDE (k), b.bars[o.k] AS bar FROM {name}_o o JOIN {name}_b b ON b.e = o.{key})
+"""
+
+
+GROUPS_SQL = CAT_SQL + groups_sql()
+
+
 def cat(spark, sf):
-    """The catalogue, kept while a query reads it more than once; a lost block is computed again."""
-    return I.catalogue(demo.samples(spark, sf)).persist()
+    """The catalogue, written once, as a query reads it more than once."""
+    return stored(I.catalogue(demo.samples(spark, sf)), "catalogue")
+
+
+def grouped(spark, sf):
+    """The catalogue with the bars of its recordings, written once."""
+    return stored(I.join_groups(cat(spark, sf)), "grouped")
 
 
 def calm(spark, sf):
-    """The bars of entities without a label conflict, which SQL can follow by islands."""
+    """The bars of entities without a label conflict."""
     rows = cat(spark, sf)
     bad = I.agreements(rows).where("not agree").select("entity").distinct()
-    return I.join_groups(rows).join(bad, "entity", "left_anti").persist()
+    return I.join_groups(rows.join(bad, "entity", "left_anti"))
 
 
 @query("r1_runs", demo.with_samples(RUNS_SQL + "SELECT series, run, start, last, value, n FROM runs"))
@@ -60,7 +81,7 @@ def r4_durations(spark, sf):
 @query("s5_catalogue", demo.with_samples(CAT_SQL + """SELECT series, entity, fault, start, "end", n_samples, n_valid, low, high, reach, round(("end" - start) / 3.6e9, 6) AS hours,
  (SELECT count(*) FROM seg WHERE seg.series = cat.series) AS n_runs FROM cat"""))
 def s5_catalogue(spark, sf):
-    return cat(spark, sf).withColumns({"hours": r("hours"), "n_runs": F.size("runs")}).drop("runs")
+    return I.catalogue(demo.samples(spark, sf)).withColumns({"hours": r("hours"), "n_runs": F.size("runs")}).drop("runs")
 
 
 @query("r5_overlaps", demo.with_samples(CAT_SQL + "SELECT entity, a, b FROM pairs"))
@@ -73,31 +94,42 @@ def r6_agreements(spark, sf):
     return I.agreements(cat(spark, sf))
 
 
-@query("r7_join_groups")
+@query("r7_join_groups", demo.with_samples(GROUPS_SQL + "SELECT entity, series, bar FROM grp"))
 def r7_join_groups(spark, sf):
     return I.join_groups(cat(spark, sf)).select("entity", "series", "bar")
 
 
-@query("r7_join_groups_calm", demo.with_samples(CAT_SQL + "SELECT entity, series, bar FROM grp"))
+@query("r7_join_groups_calm", demo.with_samples(CAT_SQL + """, isl AS (SELECT *, coalesce((start > max("end") OVER (PARTITION BY entity ORDER BY start, series ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))::INT, 1) AS nw FROM cat WHERE entity NOT IN (SELECT entity FROM bad))
+SELECT entity, series, sum(nw) OVER (PARTITION BY entity ORDER BY start, series) - 1 AS bar FROM isl"""))
 def r7_join_groups_calm(spark, sf):
     return calm(spark, sf).select("entity", "series", "bar")
 
 
-@query("r8_bars", demo.with_samples(CAT_SQL + """SELECT entity, bar, min(start) AS start, max("end") AS "end", arg_max(fault, struct_pack(a := CASE reach WHEN 'steady' THEN 2 WHEN 'transient' THEN 1 ELSE 0 END, b := fault <> 0, c := -start, d := -series)) AS lead,
+@query("r8_bars", demo.with_samples(GROUPS_SQL + """SELECT entity, bar, min(start) AS start, max("end") AS "end", arg_max(fault, struct_pack(a := CASE reach WHEN 'steady' THEN 2 WHEN 'transient' THEN 1 ELSE 0 END, b := fault <> 0, c := -start, d := -series)) AS lead,
  count(*) AS n_members, count(DISTINCT fault) AS n_colours, arg_min(series, struct_pack(a := start, b := series)) AS first, sum(n_samples)::BIGINT AS n_rows, round((max("end") - min(start)) / 3.6e9, 6) AS hours FROM grp GROUP BY entity, bar"""))
 def r8_bars(spark, sf):
-    out = I.bars(calm(spark, sf))
+    out = I.bars(grouped(spark, sf))
     return out.withColumns({"hours": r("hours"), "n_colours": F.size("colours")}).drop("colours")
 
 
-@query("r9_distinct_samples", demo.with_samples(CAT_SQL + "SELECT g.entity, bar, count(*) AS n_samples, count(DISTINCT us) AS n_distinct FROM grp g JOIN samples s USING (series) GROUP BY g.entity, bar"))
+@query("r9_distinct_samples", demo.with_samples(GROUPS_SQL + """, til AS (SELECT g.entity, g.bar, g.series, g.start, g."end", g.n_samples, (SELECT max("end") FROM seg WHERE seg.series = g.series) AS t FROM grp g),
+cov AS (SELECT entity, bar, sum(greatest(0, t - greatest(start, m))) AS covered FROM (SELECT *, coalesce(max(t) OVER (PARTITION BY entity, bar ORDER BY start, series ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), start) AS m FROM til) GROUP BY entity, bar),
+ins AS (SELECT g.entity, bar, count(DISTINCT us) AS n_instants FROM grp g JOIN samples s USING (series) GROUP BY g.entity, bar)
+SELECT entity, bar, sum(n_samples)::BIGINT AS n_samples, CASE WHEN count(*) = 1 THEN sum(n_samples)::BIGINT ELSE round_even(any_value(covered) / arg_min(t - "end", struct_pack(a := start, b := series)), 0)::BIGINT END AS n_distinct, any_value(n_instants) AS n_instants
+FROM til JOIN cov USING (entity, bar) JOIN ins USING (entity, bar) GROUP BY entity, bar"""))
 def r9_distinct_samples(spark, sf):
-    return I.distinct_samples(demo.samples(spark, sf), calm(spark, sf))
+    rows = grouped(spark, sf)
+    return I.distinct_samples(rows).join(I.distinct_instants(demo.samples(spark, sf), rows), ["entity", "bar"])
 
 
-@query("r11_stitched")
+@query("r11_stitched", demo.with_samples(GROUPS_SQL + """, bb AS (SELECT entity, bar, min(start) AS start, max("end") AS "end", sum(n_samples)::BIGINT AS n_rows, arg_min(series, struct_pack(a := start, b := series)) AS first FROM grp GROUP BY entity, bar),
+bo AS (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY start, first) AS k FROM bb),
+lw AS (SELECT DISTINCT entity, 0::BIGINT AS k, []::BIGINT[] AS ends, -1::BIGINT AS lane FROM bb
+ UNION ALL SELECT w.entity, o.k, CASE WHEN l.p > len(w.ends) THEN list_append(w.ends, o."end") ELSE list_transform(w.ends, lambda x, i: CASE WHEN i = l.p THEN o."end" ELSE x END) END, l.p - 1
+ FROM lw w JOIN bo o ON o.entity = w.entity AND o.k = w.k + 1, LATERAL (SELECT coalesce(list_min(list_filter(range(1, len(w.ends) + 1), lambda i: w.ends[i] < o.start)), len(w.ends) + 1) AS p) l)
+SELECT entity, lane::INT AS lane, count(*) AS pieces, round(sum((o."end" - o.start) / 3.6e9), 6) AS hours, sum(n_rows)::BIGINT AS n_rows, min(start) AS start, max("end") AS "end" FROM lw JOIN bo o USING (entity, k) GROUP BY entity, lane"""))
 def r11_stitched(spark, sf):
-    return I.stitched(I.bars(I.join_groups(cat(spark, sf)))).withColumn("hours", r("hours"))
+    return I.stitched(stored(I.bars(grouped(spark, sf)), "bars")).withColumn("hours", r("hours"))
 
 
 @query("r12_coverage", demo.with_samples(CAT_SQL + """, e AS (SELECT entity, t, sum(d) AS d FROM (SELECT entity, start AS t, 1 AS d FROM cat UNION ALL SELECT entity, "end", -1 FROM cat) GROUP BY entity, t)
@@ -114,14 +146,14 @@ def r13_lanes(spark, sf):
     return I.lane_counts(rows).join(packed, "entity")
 
 
-@query("r14_merged_samples", demo.with_samples(CAT_SQL + """, m AS (SELECT g.entity, bar, us, value, label, struct_pack(a := g.start, b := g.series, c := rid) AS o FROM grp g JOIN samples s USING (series))
+@query("r14_merged_samples", demo.with_samples(GROUPS_SQL + """, m AS (SELECT g.entity, bar, us, value, label, struct_pack(a := g.start, b := g.series, c := rid) AS o FROM grp g JOIN samples s USING (series))
 SELECT entity, bar, us, arg_min(value, o) AS value, arg_min(label, o) AS label FROM m GROUP BY entity, bar, us""".replace("arg_min(value, o)", "arg_min(value, o) FILTER (value IS NOT NULL)").replace("arg_min(label, o)", "arg_min(label, o) FILTER (label IS NOT NULL)")))
 def r14_merged_samples(spark, sf):
-    rows = calm(spark, sf)
+    rows = grouped(spark, sf)
     return I.merge_samples(demo.samples(spark, sf), rows, ["value", "label"])
 
 
-MERGED_SQL = CAT_SQL + """, own AS (SELECT g.entity, g.bar, g.series, g.start AS s, seg.start, seg."end", seg.value FROM grp g JOIN seg USING (series)),
+MERGED_SQL = GROUPS_SQL + """, own AS (SELECT g.entity, g.bar, g.series, g.start AS s, seg.start, seg."end", seg.value FROM grp g JOIN seg USING (series)),
 ed AS (SELECT DISTINCT entity, bar, t FROM (SELECT entity, bar, start AS t FROM own UNION ALL SELECT entity, bar, "end" FROM own)),
 cell AS (SELECT entity, bar, t AS f, lead(t) OVER (PARTITION BY entity, bar ORDER BY t) AS u FROM ed),
 told AS (SELECT c.entity, c.bar, f, u, arg_min(series, struct_pack(a := value IS NULL, b := s, c := series)) AS source FROM cell c JOIN own o ON o.entity = c.entity AND o.bar = c.bar AND o.start <= f AND f < o."end" WHERE u IS NOT NULL GROUP BY c.entity, c.bar, f, u),
@@ -134,14 +166,14 @@ merged AS (SELECT entity, bar, min(f) AS start, max(u) AS "end", any_value(value
 
 @query("r15_merged_runs", demo.with_samples(MERGED_SQL + 'SELECT entity, bar, start, "end", value, source FROM merged'))
 def r15_merged_runs(spark, sf):
-    return I.merge_runs(calm(spark, sf))
+    return I.merge_runs(grouped(spark, sf))
 
 
 @query("r16_history", demo.with_samples(MERGED_SQL + """, h AS (SELECT *, CASE WHEN value IS NOT DISTINCT FROM lag(value) OVER w AND start = lag("end") OVER w THEN 0 ELSE 1 END AS c FROM merged WINDOW w AS (PARTITION BY entity, bar ORDER BY start)),
 h2 AS (SELECT *, sum(c) OVER (PARTITION BY entity, bar ORDER BY start) AS k FROM h)
 SELECT entity, bar, min(start) AS start, max("end") AS "end", any_value(value) AS value, count(DISTINCT source) AS n_sources FROM h2 GROUP BY entity, bar, k"""))
 def r16_history(spark, sf):
-    return I.history(I.merge_runs(calm(spark, sf))).withColumn("n_sources", F.size("sources")).drop("sources")
+    return I.history(I.merge_runs(grouped(spark, sf))).withColumn("n_sources", F.size("sources")).drop("sources")
 
 
 @query("r17_repeated_samples", demo.with_samples(CAT_SQL + """, q AS (SELECT series, max("end") OVER (PARTITION BY entity ORDER BY start, "end", series ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS e FROM cat)
@@ -189,9 +221,9 @@ def r23_aligned(spark, sf):
     return I.aligned(x, I.onsets(x)).select("series", "rid", r("hours").alias("hours"))
 
 
-@query("r25_seams", demo.with_samples(CAT_SQL + "SELECT entity, bar, start AS at FROM (SELECT *, row_number() OVER (PARTITION BY entity, bar ORDER BY start, series) AS k FROM grp) WHERE k > 1"))
+@query("r25_seams", demo.with_samples(GROUPS_SQL + "SELECT entity, bar, start AS at FROM (SELECT *, row_number() OVER (PARTITION BY entity, bar ORDER BY start, series) AS k FROM grp) WHERE k > 1"))
 def r25_seams(spark, sf):
-    return I.seams(calm(spark, sf))
+    return I.seams(grouped(spark, sf))
 
 
 @query("r26_mask_spans", demo.with_samples(""", f AS (SELECT series, us, rid, coalesce(value > 50, false) AS flag, coalesce(lead(us) OVER w, us + 1000000) AS nx FROM samples WINDOW w AS (PARTITION BY series ORDER BY us, rid)),

@@ -13,8 +13,9 @@ from chronolith.operators import maps as M
 from chronolith.operators import outputs as G
 from chronolith.operators import series as S
 from chronolith.operators import windows as W
+from chronolith.operators.ordering import ranked
 from chronolith.plans.availability import FACT_SQL, GROUPED_SQL, TYPES, fact, pairs_sql
-from chronolith.plans.intervals import CAT_SQL, calm, cat
+from chronolith.plans.intervals import CAT_SQL, GROUPS_SQL, cat, grouped, groups_sql
 from chronolith.plans.maps import AGREE, VERDICT_SQL, parts, points
 from chronolith.plans.registry import query
 from chronolith.plans.series import KINDS, moments_sql, r, rounded_moments
@@ -39,10 +40,10 @@ def a18_feature_table(spark, sf):
     return fact(spark, sf).where("grp = 3").groupBy("channel").agg(F.count_if(F.col("n_valid") > 0).alias("recorded"), F.count_if("implausible").alias("implausible"), F.count(F.lit(1)).alias("blocks"))
 
 
-@query("c5_dot_thinning", "SELECT event_id AS rid FROM (SELECT *, row_number() OVER (PARTITION BY user_id % 2 ORDER BY ts, event_id) - 1 AS i, count(*) OVER (PARTITION BY user_id % 2) AS n FROM events) WHERE i % ceil(n / 500.0)::BIGINT = 0")
+@query("c5_dot_thinning", "SELECT event_id AS rid FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS i, count(*) OVER (PARTITION BY user_id) AS n FROM events) WHERE i % ceil(n / 20.0)::BIGINT = 0")
 def c5_dot_thinning(spark, sf):
-    x = demo.events(spark, sf).withColumn("half", F.col("entity") % 2)
-    return S.even_stride(x, 500, 1, ("half",), 500).select("rid")
+    """At most 20 dots of each entity's cloud, in even strides."""
+    return S.even_stride(demo.events(spark, sf), 20, 1, ("entity",), 20).select("rid")
 
 
 @query("c6_bin_lookup", "SELECT l_orderkey, l_linenumber, CASE WHEN l_quantity BETWEEN 5 AND 45 THEN least(floor((l_quantity - 5) / 40.0 * 8), 7)::INT ELSE -1 END AS bin FROM lineitem")
@@ -56,9 +57,9 @@ def c7_default_pair(spark, sf):
     return fact(spark, sf).where("channel <> 'view'").groupBy("channel").agg(F.count_if(F.col("state") == 2).alias("live")).orderBy(F.desc("live"), "channel").limit(2)
 
 
-@query("e13_titles", demo.with_samples(CAT_SQL + "SELECT entity, bar, printf('WELL-%05d', entity) AS name, min(series)::VARCHAR || CASE WHEN count(*) > 1 THEN ' +' || (count(*) - 1) ELSE '' END AS title FROM grp GROUP BY entity, bar"))
+@query("e13_titles", demo.with_samples(GROUPS_SQL + "SELECT entity, bar, printf('WELL-%05d', entity) AS name, min(series)::VARCHAR || CASE WHEN count(*) > 1 THEN ' +' || (count(*) - 1) ELSE '' END AS title FROM grp GROUP BY entity, bar"))
 def e13_titles(spark, sf):
-    x = calm(spark, sf).groupBy("entity", "bar").agg(F.min("series").alias("s"), F.count(F.lit(1)).alias("n"))
+    x = grouped(spark, sf).groupBy("entity", "bar").agg(F.min("series").alias("s"), F.count(F.lit(1)).alias("n"))
     more = F.when(F.col("n") > 1, F.concat(F.lit(" +"), (F.col("n") - 1).cast("string"))).otherwise("")
     return x.select("entity", "bar", F.format_string("WELL-%05d", "entity").alias("name"), F.concat(F.col("s").cast("string"), more).alias("title"))
 
@@ -89,10 +90,10 @@ def f10_profile_frame(spark, sf):
     return grid.join(own, ["entity", "channel"], "left").select("entity", "channel", F.coalesce("n_valid", F.lit(0)).alias("n_valid"), F.coalesce("state", F.lit(0)).alias("state"))
 
 
-@query("f11_profile_scopes", demo.with_samples(CAT_SQL + ", u AS (SELECT 'instance' AS scope, series::VARCHAR AS key, value FROM samples UNION ALL SELECT 'labelled', series::VARCHAR, value FROM samples WHERE label IS NOT NULL UNION ALL SELECT 'bar', g.entity || '-' || bar, value FROM grp g JOIN samples USING (series)), k AS (SELECT scope || ':' || key AS id, value FROM u) " + moments_sql("k", "id")))
+@query("f11_profile_scopes", demo.with_samples(GROUPS_SQL + ", u AS (SELECT 'instance' AS scope, series::VARCHAR AS key, value FROM samples UNION ALL SELECT 'labelled', series::VARCHAR, value FROM samples WHERE label IS NOT NULL UNION ALL SELECT 'bar', g.entity || '-' || bar, value FROM grp g JOIN samples USING (series)), k AS (SELECT scope || ':' || key AS id, value FROM u) " + moments_sql("k", "id")))
 def f11_profile_scopes(spark, sf):
     x = demo.samples(spark, sf)
-    bar = x.join(calm(spark, sf).select("series", "bar"), "series")
+    bar = x.join(grouped(spark, sf).select("series", "bar"), "series")
     key = lambda df, scope, k: df.select(F.concat(F.lit(scope + ":"), k).alias("id"), "value", "us", "rid")
     series = F.col("series").cast("string")
     rows = key(x, "instance", series).unionAll(key(x.where("label is not null"), "labelled", series)).unionAll(key(bar, "bar", F.concat_ws("-", "entity", "bar")))
@@ -112,10 +113,10 @@ def g4_class_runs(spark, sf):
     return G.as_class_runs(runs).select("series", "start", "end", "value")
 
 
-@query("g6_sorted_by_agreement", demo.with_samples(VERDICT_SQL + AGREE + "SELECT series, row_number() OVER (ORDER BY round(agreed / nullif(compared, 0), 6) ASC NULLS LAST, series) AS place FROM ag WHERE series % 7 = 0"))
+@query("g6_sorted_by_agreement", demo.with_samples(VERDICT_SQL + AGREE + "SELECT series, row_number() OVER (ORDER BY round(agreed / nullif(compared, 0), 6) ASC NULLS LAST, series) AS place FROM ag"))
 def g6_sorted_by_agreement(spark, sf):
-    share = G.agreement(parts(spark, sf), ["series"]).where("series % 7 = 0").withColumn("share", r("share"))
-    return share.select("series", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.asc_nulls_last("share"), "series")).alias("place"))
+    share = G.agreement(parts(spark, sf), ["series"]).select("series", r("share").alias("share"))
+    return ranked(share, [F.asc_nulls_last("share"), F.asc("series")], "place").select("series", "place")
 
 
 @query("h6_scaled_density", LOMB_SQL + """, n AS (SELECT *, lead(period) OVER w AS p1, lead(power) OVER w AS v1 FROM spec WINDOW w AS (PARTITION BY entity ORDER BY period)),
@@ -141,10 +142,11 @@ def l2_top_channels(spark, sf):
     return fact(spark, sf).withColumn("k", k).where("k <= 2").select("entity", "channel")
 
 
-@query("j9_unseen", demo.with_samples(CAT_SQL + "SELECT series FROM cat WHERE series % 3 = 0 AND n_samples >= 12"))
+@query("j9_unseen", demo.with_samples(CAT_SQL + "SELECT series FROM cat WHERE \"end\" >= 1705276800000000"))
 def j9_unseen(spark, sf):
+    """The recordings that a catalogue made at one moment does not hold as they are now: those that ended since."""
     rows = cat(spark, sf)
-    cached = rows.where("series % 3 <> 0 or n_samples < 12").select("series", "n_samples")
+    cached = rows.where("end < 1705276800000000").select("series", "n_samples")
     return rows.join(cached, ["series", "n_samples"], "left_anti").select("series")
 
 
@@ -163,11 +165,10 @@ def r3_reach(spark, sf):
     return I.reach(demo.samples(spark, sf))
 
 
-@query("r10_join_among", demo.with_samples(CAT_SQL + """, sub AS (SELECT * FROM calm WHERE series % 2 = 0), i2 AS (SELECT *, coalesce((start > max("end") OVER (PARTITION BY entity ORDER BY start, series ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))::INT, 1) AS n2 FROM sub)
-SELECT entity, series, sum(n2) OVER (PARTITION BY entity ORDER BY start, series) - 1 AS bar FROM i2"""))
+@query("r10_join_among", demo.with_samples(CAT_SQL + ", far AS (SELECT *, entity || reach AS er FROM cat)" + groups_sql("far", "er") + "SELECT entity, reach, series, bar FROM grp"))
 def r10_join_among(spark, sf):
-    rows = calm(spark, sf).drop("bar").where("series % 2 = 0")
-    return I.join_groups(rows).select("entity", "series", "bar")
+    """The bars among the recordings that reach alike: normal ones, transients, steady faults."""
+    return I.join_groups(cat(spark, sf), ("entity", "reach")).select("entity", "reach", "series", "bar")
 
 
 @query("r22_alignments", "SELECT k AS fault, unnest(CASE WHEN k = 0 THEN ['start'] WHEN k IN (1, 2) THEN ['start', 'steady', 'transient'] ELSE ['start', 'steady'] END) AS alignment FROM (SELECT DISTINCT user_id % 5 AS k FROM events)")
@@ -177,15 +178,15 @@ def r22_alignments(spark, sf):
     return x.select("fault", F.explode(ways).alias("alignment"))
 
 
-@query("r24_merged_by_group", demo.with_samples(CAT_SQL + "SELECT g.fault, g.entity, count(DISTINCT us) AS n, count(DISTINCT bar) AS bars FROM grp g JOIN samples USING (series) GROUP BY g.fault, g.entity"))
+@query("r24_merged_by_group", demo.with_samples(GROUPS_SQL + "SELECT g.fault, g.entity, count(DISTINCT us) AS n, count(DISTINCT bar) AS bars FROM grp g JOIN samples USING (series) GROUP BY g.fault, g.entity"))
 def r24_merged_by_group(spark, sf):
-    rows = demo.samples(spark, sf).join(calm(spark, sf).select("series", "bar"), "series")
+    rows = demo.samples(spark, sf).join(grouped(spark, sf).select("series", "bar"), "series")
     return rows.groupBy("fault", "entity").agg(F.count_distinct("us").alias("n"), F.count_distinct("bar").alias("bars"))
 
 
-@query("w3_series_pass", demo.with_samples(CUT_SQL + "SELECT series, rid, value, keep FROM k0 WHERE entity = 3"))
+@query("w3_series_pass", demo.with_samples(CUT_SQL + "SELECT series, rid, value, keep FROM k0"))
 def w3_series_pass(spark, sf):
-    x = demo.samples(spark, sf).where("entity = 3")
+    x = demo.samples(spark, sf)
     return I.repeated_samples(x, I.catalogue(x)).select("series", "rid", "value", (~F.col("repeated")).alias("keep"))
 
 

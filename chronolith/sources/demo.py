@@ -1,7 +1,7 @@
 """Recordings derived from the events table, in Spark and as SQL with the same rows.
 
 Users are entities. A recording (series) is a run of 12 of a user's events; every second one begins with copies of the last four
-events of the one before, so that recordings overlap. Labels, missing values and steps follow from the event's id and type.
+events of the one before, so that recordings overlap. A user may have 12 million events before the numbers of recordings meet. Labels, missing values and steps follow from the event's id and type.
 """
 
 from __future__ import annotations
@@ -38,7 +38,7 @@ def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise(code)
     )
     value = F.when(F.col("rid") % 11 != 0, F.floor(F.col("raw") / 5) * 5.0)
-    return rows.select((F.col("entity") * 100 + F.col("slice")).alias("series"), "entity", (F.col("entity") % 5).alias("fault"), "us", "rid", "pos", value.alias("value"), "raw", label.cast("int").alias("label"))
+    return rows.select((F.col("entity") * 1_000_000 + F.col("slice")).alias("series"), "entity", (F.col("entity") % 5).alias("fault"), "us", "rid", "pos", value.alias("value"), "raw", label.cast("int").alias("label"))
 
 
 SQL = """
@@ -47,7 +47,7 @@ ev AS (SELECT user_id AS entity, epoch_us(ts) AS us, event_id AS rid, event_type
   row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS pos FROM events),
 one AS (SELECT entity, pos // 12 AS slice, us, rid, raw, code, pos, 0 AS copy FROM ev
   UNION ALL SELECT entity, pos // 12 + 1, us, rid, raw, code, pos, 1 FROM ev WHERE pos % 12 >= 8 AND (pos // 12) % 2 = 0),
-samples AS (SELECT entity * 100 + slice AS series, entity, entity % 5 AS fault, us, rid, pos,
+samples AS (SELECT entity * 1000000 + slice AS series, entity, entity % 5 AS fault, us, rid, pos,
   CASE WHEN rid % 11 <> 0 THEN floor(raw / 5) * 5.0 END AS value, raw,
   CASE WHEN rid % 7 = 0 THEN NULL WHEN copy = 1 AND entity % 4 = 0 THEN (code + 1) % 5
     WHEN code > 0 AND rid % 3 = 0 THEN code + 100 ELSE code END AS label FROM one)
@@ -56,7 +56,7 @@ samples AS (SELECT entity * 100 + slice AS series, entity, entity % 5 AS fault,
 
 def with_samples(body: str) -> str:
     """SQL that may use ev and samples, body's own common tables first."""
-    return f"WITH {SQL}{body}"
+    return f"WITH RECURSIVE {SQL}{body}"
 
 
 TYPES = ("click", "error", "purchase", "signup", "view")

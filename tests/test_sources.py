@@ -88,7 +88,7 @@ def test_dimensions(spark):
     assert R.channels(spark).count() == 27
     ini = "[PARQUET_FILE_PROPERTIES]\nP-PDG = Pressure at the gauge [Pa]\nT-TPT = Temperature [oC]\nESTADO-W1 = Valve [0, 0.5, or 1]\nclass = Label\n"
     got = {r.channel: (r.unit, r.enumerated, r.low, r.high) for r in R.channels(spark, ini).collect()}
-    assert got == {"P-PDG": ("Pa", False, 0, 1e8), "T-TPT": ("°C", False, -50, 250), "ESTADO-W1": ("enumerated", True, -1e8, 1e8)}
+    assert got == {"P-PDG": ("Pa", False, 0, 1e8), "T-TPT": ("°C", False, -50, 250), "ESTADO-W1": ("-", True, -1e8, 1e8)}
 
 
 def test_model_outputs(spark, tmp_path):
