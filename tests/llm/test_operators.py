@@ -230,30 +230,93 @@ def test_gapped_insults():
 
 
 # sentences
-def brute_repeats(texts):
+def plain_sentences(text):
+    """(start, end, words with their places) of each sentence, by the definition."""
+    out, at = [], 0
+    for end in [m.end() for m in re.finditer(r"[.!?]+(?=[ \t\n\v\f\r])|\n", text)] + [len(text)]:
+        found = [(m.start() + at, m[0].lower()) for m in re.finditer(r"[^ \t\n\v\f\r]+", text[at:end])]
+        if found:
+            out.append((at if out else 0, end, found))
+        at = end
+    return out
+
+
+def plain_spans(text):
+    """(start, end, words) of each run of whole sentences, and of each run with parts of long ones."""
+    whole = [(a, b, [w for _, w in ws], False) for a, b, ws in plain_sentences(text)]
+    parts = []
+    for a, b, ws in plain_sentences(text):
+        edges, since = [0], 0
+        for i in range(1, len(ws)):
+            since += 1
+            told = sum(map(ord, ws[i - 1][1])) % 8 == 0
+            if len(ws) > 16 and (told or since % 16 == 0):
+                edges.append(i)
+            since = 0 if told else since
+        for i, j in zip(edges, [*edges[1:], len(ws)]):
+            parts.append((a if i == 0 else ws[i][0], b if j == len(ws) else ws[j][0], [w for _, w in ws[i:j]], len(ws) > 16))
+    out = set()
+    for units, least in ((whole, 30), (parts, 36)):
+        for i in range(len(units)):
+            j = i
+            while j < len(units) and (j - i < 2 or sum(len(u[2]) for u in units[i:j]) < least):
+                j += 1
+            run = units[i:j]
+            if len(run) >= 2 and sum(len(u[2]) for u in run) >= least and (units is whole or any(u[3] for u in run)):
+                out.add((run[0][0], run[-1][1], " ".join(w for u in run for w in u[2])))
+    return sorted(out)
+
+
+def brute_cuts(order):
+    """Of texts in the order of their ids: the code points that go."""
     occurrences: dict = {}
-    split = {d: sentences.split(t or "") for d, t in texts.items()}
-    for d in sorted(split):
-        for i, n, h in sentences.runs(split[d]):
-            occurrences.setdefault(h, []).append((d, i, n))
-    gone = {d: set() for d in texts}
+    for d, t in enumerate(order):
+        for a, b, said in plain_spans(t or ""):
+            occurrences.setdefault(said, []).append((d, a, b))
+    gone = [set() for _ in order]
     for places in occurrences.values():
-        for d, i, n in places[1:]:
-            gone[d] |= set(range(i, i + n))
+        first = min((d, a) for d, a, _ in places)
+        for d, a, b in places:
+            if (d, a) != first:
+                gone[d] |= set(range(a, b))
     return gone
 
 
+def sayings(seed, n):
+    rng = random.Random(seed)
+    return " ".join(w + rng.choice([".", ".\n", "!", " .", ",", "", "", "", "", "", ""]) for w in words(seed, n).split())
+
+
+def test_spans_by_definition():
+    texts = [sayings(i, 5 + 30 * i) for i in range(12)] + ["", " \n \n", "\n\n" + sayings(50, 90), words(60, 150), "É è. " * 40, "a.b.c d! " * 30 + "İx.  Y"]
+    s = sentences.Sentences(texts)
+    doc, start, end, name, check = s.spans(2, 30, 36)
+    names: dict = {}
+    for i, t in enumerate(texts):
+        want = plain_spans(t)
+        mine = np.flatnonzero(doc == i)
+        assert sorted(zip(start[mine].tolist(), end[mine].tolist())) == [(a, b) for a, b, _ in want]
+        said = {(a, b): w for a, b, w in want}
+        for k in mine.tolist():
+            names.setdefault((int(name[k]), int(check[k])), set()).add(said[int(start[k]), int(end[k])])
+        assert sentences.split(t) == [(a, b) for a, b, _ in plain_sentences(t)]
+    assert all(len(v) == 1 for v in names.values()) and len(names) == len(set().union(*names.values()))
+
+
+def without(text, gone):
+    return text and "".join(c for i, c in enumerate(text) if i not in gone)
+
+
 def test_repeats_by_brute_force(docs):
-    passage = ". ".join(words(i, 14) for i in range(5)) + "."
-    texts = {i: (words(i + 10, 30) + ". " + (passage if i % 3 == 0 else words(i + 99, 40)) + " " + words(i + 40, 25) + ".\nThe end.") for i in range(1, 20)}
+    passage = sayings(900, 70)
+    texts = {i: f"{sayings(i + 10, 40)} {words(i + 70, i % 7)} {passage if i % 3 == 0 else sayings(i + 99, 60)} {sayings(i + 40, 25)}\nThe end." for i in range(1, 40)}
     out = {r.doc_id: r for r in sentences.remove_repeats(docs([(d, t, "en", "s", 0) for d, t in texts.items()])).collect()}
-    gone = brute_repeats(texts)
-    assert sum(map(bool, gone.values())) == 5
+    gone = dict(zip(sorted(texts), brute_cuts([texts[d] for d in sorted(texts)])))
+    assert sum(map(bool, gone.values())) == 12
     for d, r in out.items():
-        assert r.n_removed == len(gone[d])
-        dropped = [texts[d][a:b] for i, (a, b, _) in enumerate(sentences.split(texts[d])) if i in gone[d]]
-        assert "".join(texts[d][x.start : x.end] for x in r.removed) == "".join(dropped)
-        assert len(r.text) == len(texts[d]) - sum(map(len, dropped)) and (passage[200:-200] in r.text) == (d == 3)
+        assert r.text == without(texts[d], gone[d])
+        assert r.n_sentences == len(plain_sentences(texts[d])) and r.n_removed == sum(any(x in gone[d] for x in range(a, b)) for a, b, _ in plain_sentences(texts[d]))
+        assert {x for c in r.removed for x in range(c.start, c.end)} == gone[d]
 
 
 def test_repeats_of_null_and_repeated_ids(docs):
@@ -263,23 +326,10 @@ def test_repeats_of_null_and_repeated_ids(docs):
     df = docs([(d, t, "en", "s", 0) for d, t in texts]).repartition(3)
     hashes = {r.text: r.h for r in df.select("text", F.xxhash64("text").alias("h")).collect()}
     order = sorted(texts, key=lambda x: (x[0] is None, x[0] or 0, hashes[x[1]] if x[1] else 0))
-    gone = brute_repeats({i: t for i, (_, t) in enumerate(order)})
-    assert sum(map(bool, gone.values())) == 8
-    wanted = []
-    for i, (d, t) in enumerate(order):
-        kept = t and "".join(t[x:y] for x, y in _kept(t, gone[i]))
-        wanted.append((d, kept, len(gone[i])))
-    got = [(r.doc_id, r.text, r.n_removed) for r in sentences.remove_repeats(df).collect()]
-    assert Counter(got) == Counter(wanted)
-
-
-def _kept(text, gone):
-    edges, at = [], 0
-    for i, (a, b, _) in enumerate(sentences.split(text)):
-        if i in gone:
-            edges.append((at, a))
-            at = b
-    return [*edges, (at, len(text))]
+    gone = brute_cuts([t for _, t in order])
+    assert sum(map(bool, gone)) >= 5
+    wanted = Counter((d, without(t, g)) for (d, t), g in zip(order, gone))
+    assert Counter((r.doc_id, r.text) for r in sentences.remove_repeats(df).collect()) == wanted
 
 
 # language
