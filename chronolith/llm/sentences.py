@@ -1,10 +1,13 @@
 """Substring dedup by sliding sentence spans.
 
 Every run of several consecutive sentences is hashed: from each sentence on, the shortest run of at least RUN sentences
-and WORDS words. As a passage may begin or end inside a long sentence, an additional rule hashes runs of PART_WORDS words that hold
-parts of long sentences, cut where their own words say. The hashes, of 128 bits, are joined over the corpus; the occurrence of the
+and WORDS words. As a passage may begin or end inside a long sentence, an additional rule hashes the run of PART_WORDS words from each part
+of a long sentence on, cut where its own words say. The hashes, of 96 bits, meet over the corpus; the occurrence of the
 least (doc_id, text's hash, place) is a span's first, and what any other occurrence covers is removed: whole sentences and, by the
 additional rule, at the edges of a passage the repeated part of a long one.
+
+Only the first occurrence in a batch of texts goes to the shuffle under its hash: all others in the batch are known not to be the first. So a
+passage that very many documents share is as many rows as there are batches.
 """
 
 from __future__ import annotations
@@ -14,7 +17,7 @@ from functools import lru_cache, partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronolith.llm.common import code_points, map_arrow, mix64, slices, stored, table, text_rows
@@ -24,7 +27,8 @@ RUN, WORDS = 2, 30
 #: Words of a run of the additional rule at least, and of a sentence that it does not cut. A longer one is cut after every word whose
 #: letters' code points add up to a multiple of CUT, and every LONGEST words after such a cut, alike wherever in a sentence a passage begins.
 PART_WORDS, LONGEST, CUT = 36, 16, 8
-AT_ONCE = 200_000
+#: Code points split at a time, and whose spans are compared before the shuffle.
+AT_ONCE, TOGETHER = 200_000, 8_000_000
 BASES = (0x9E3779B97F4A7C15, 0xD1B54A32D192ED03)
 
 
@@ -96,8 +100,7 @@ class Sentences:
 
         a, b = self._runs(self.first, self.doc, run, words)
         c, d = self._runs(parts, parts_doc, 2, part_words)
-        cut = np.concatenate(([0], np.cumsum(long)))
-        held = cut[d] > cut[c]
+        held = long[c]
         both = np.unique(np.concatenate((a, c[held])) * np.int64(n + 1) + np.concatenate((b, d[held])))
         a, b = both // (n + 1), both % (n + 1)
         doc = np.searchsorted(self.bounds, self.word_at[a], side="right") - 1
@@ -134,32 +137,58 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("h"))
 
 
+SPANS = pa.schema([("doc_id", pa.int64()), ("h", pa.int64()), ("place", pa.int64()), ("name", pa.int64()), ("check", pa.int32())])
+
+
+def _firsts(late: np.ndarray, ids: np.ndarray, h: np.ndarray, place: np.ndarray, name: np.ndarray, check: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows in the order of hash and occurrence, each occurrence once, and which of them are not the first under their hash."""
+    order = np.argsort(name, kind="stable")
+    same = name[order[1:]] == name[order[:-1]]
+    again = np.concatenate(([False], same)) | np.concatenate((same, [False]))
+    few = order[again]
+    few = few[np.lexsort((place[few], h[few], ids[few], late[few], check[few], name[few]))]
+    equal = np.zeros((2, len(few)), bool)
+    equal[0, 1:] = (name[few[1:]] == name[few[:-1]]) & (check[few[1:]] == check[few[:-1]])
+    equal[1, 1:] = equal[0, 1:] & np.logical_and.reduce([v[few[1:]] == v[few[:-1]] for v in (late, ids, h, place)])
+    kept = ~equal[1]
+    return np.concatenate((order[~again], few[kept])), np.concatenate((np.zeros(int((~again).sum()), bool), equal[0][kept]))
+
+
 def _spans(batches: Iterator[pa.RecordBatch], rule: tuple[int, int, int]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = text_rows(batch)
-        ids, hashes = batch.column("doc_id"), batch.column("h")
-        for i, j in slices(list(map(len, texts)), AT_ONCE):
-            doc, start, end, name, check = Sentences(texts[i:j]).spans(*rule)
-            who = pa.array(doc + i)
-            columns = [ids.take(who), hashes.take(who), pa.array(start.astype(np.int32)), pa.array(end.astype(np.int32)), pa.array(name.view(np.int64)), pa.array(check.view(np.int64))]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "h", "start", "end", "name", "check"])
+        late = batch.column("doc_id").is_null().to_numpy(zero_copy_only=False)
+        ids, hashes = batch.column("doc_id").fill_null(0).to_numpy(), batch.column("h").to_numpy()
+        for x, y in slices(list(map(len, texts)), TOGETHER):
+            parts = []
+            for i, j in slices(list(map(len, texts[x:y])), AT_ONCE):
+                doc, start, end, name, check = Sentences(texts[x + i : x + j]).spans(*rule)
+                parts.append((doc + x + i, start << 32 | end, name.view(np.int64), (check >> np.uint64(32)).astype(np.uint32).view(np.int32)))
+            doc, place, name, check = map(np.concatenate, zip(*parts))
+            if not len(doc):
+                continue
+            rows, later = _firsts(late[doc], ids[doc], hashes[doc], place, name, check)
+            doc = doc[rows]
+            # those known to be later are dealt anywhere
+            name = np.where(later, mix64((hashes[doc] + place[rows]).view(np.uint64)).view(np.int64), name[rows])
+            columns = [pa.array(ids[doc], mask=late[doc]), pa.array(hashes[doc]), pa.array(place[rows]), pa.array(name), pa.array(check[rows], mask=later)]
+            yield pa.RecordBatch.from_arrays(columns, schema=SPANS)
 
 
 def spans(docs: DataFrame, run: int = RUN, words: int = WORDS, part_words: int = PART_WORDS) -> DataFrame:
-    """doc_id, h (hash of the text), start, end, name, check (the halves of its hash) of every run. Null and empty texts have none."""
-    return keyed(docs).mapInArrow(partial(_spans, rule=(run, words, part_words)), "doc_id long, h long, start int, end int, name long, check long")
+    """doc_id, h (hash of the text), place (start and end, 32 bits each), name and check (its hash) of every run. check is null, and name any
+    number, where another row of the same hash comes before. Null and empty texts have none."""
+    return keyed(docs).mapInArrow(partial(_spans, rule=(run, words, part_words)), "doc_id long, h long, place long, name long, check int")
 
 
 def repeats(own: DataFrame) -> DataFrame:
     """doc_id, h, covered (array of start, end): of the spans own, the non-first repeated ones of each text that has any."""
-    # null ids come after all others
-    at = F.struct(F.col("doc_id").isNull().alias("late"), F.col("doc_id"), F.col("h"), F.col("start"))
-    # written, so that the join deals both sides anew and can split a passage that very many documents share
-    found = own.groupBy("name", "check").agg(F.min(at).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    first = stored(found.select(F.col("name").alias("_name"), F.col("check").alias("_check"), "first"), "spans-repeated")
-    here = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("h") == F.col("first.h")) & (F.col("start") == F.col("first.start"))
-    later = own.join(first, (own.name == first._name) & (own.check == first._check)).where(~here)
-    return later.groupBy("doc_id", "h").agg(F.collect_set(F.struct("start", "end")).alias("covered"))
+    # null ids come after all others; the rows under one hash are at most as many as batches
+    w = Window.partitionBy("name").orderBy("check", F.col("doc_id").isNull(), "doc_id", "h", "place")
+    before = lambda c: F.lag(c).over(w)
+    itself = before("doc_id").eqNullSafe(F.col("doc_id")) & (before("h") == F.col("h")) & (before("place") == F.col("place"))
+    later = own.withColumn("later", F.col("check").isNull() | ((before("check") == F.col("check")) & ~itself)).where("later")
+    return later.groupBy("doc_id", "h").agg(F.collect_set("place").alias("covered"))
 
 
 def merged(spans_: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -187,7 +216,7 @@ def _rewrite(batch: pa.RecordBatch, rule: tuple[int, int, int]) -> pa.RecordBatc
                 own = doc == k - i
                 cuts[k] = merged(list(zip(start[own].tolist(), end[own].tolist())))
             elif covered[k]:
-                cuts[k] = merged([(c["start"], c["end"]) for c in covered[k]])
+                cuts[k] = merged([(c >> 32, c & 0xFFFFFFFF) for c in covered[k]])
             if cuts[k]:
                 a, b = (np.array(x) for x in zip(*cuts[k]))
                 own = slice(edges[k - i], edges[k - i + 1])
@@ -210,13 +239,10 @@ def remove_repeats(docs: DataFrame, run: int = RUN, words: int = WORDS, part_wor
     both one counts as the first and all runs of the others are repeats. A null id stands after all others. Null texts stay
     null. Other columns are ignored; an empty table gives no rows.
     """
-    own = stored(spans(docs, run, words, part_words), "spans")
-    found = repeats(own).select(F.col("doc_id").alias("_id"), F.col("h").alias("_h"), "covered")
-    # equal rows with a run, which every text that has one has at its first sentence
-    equal = own.where("start = 0").groupBy("doc_id", "h", "start", "end").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    equal = stored(equal.select(F.col("doc_id").alias("_id"), F.col("h").alias("_h")).distinct(), "equal")
-    none = F.expr("cast(null as array<struct<start:int,end:int>>)")
+    found = repeats(spans(docs, run, words, part_words)).select(F.col("doc_id").alias("_id"), F.col("h").alias("_h"), "covered")
     rows = keyed(docs)
+    equal = stored(rows.groupBy("doc_id", "h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("doc_id").alias("_id"), F.col("h").alias("_h")), "equal")
+    none = F.expr("cast(null as array<bigint>)")
     same = lambda x: rows.doc_id.eqNullSafe(x._id) & (rows.h == x._h)
     copies = None
     if not equal.isEmpty():

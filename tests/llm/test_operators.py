@@ -262,7 +262,7 @@ def plain_spans(text):
             while j < len(units) and (j - i < 2 or sum(len(u[2]) for u in units[i:j]) < least):
                 j += 1
             run = units[i:j]
-            if len(run) >= 2 and sum(len(u[2]) for u in run) >= least and (units is whole or any(u[3] for u in run)):
+            if len(run) >= 2 and sum(len(u[2]) for u in run) >= least and (units is whole or run[0][3]):
                 out.add((run[0][0], run[-1][1], " ".join(w for u in run for w in u[2])))
     return sorted(out)
 
