@@ -1,8 +1,9 @@
 """Language identification by nearest centroids of normalised TF-IDF n-gram vectors.
 
 Texts become counts of hashed character bigrams and trigrams of their words. Each language has several centroids,
-clustered from a bounded sample of labelled documents; a document's language is that of the centroid with the greatest cosine, and a
-document farther from all centroids than nearly every training document is rejected.
+clustered from a bounded sample of labelled documents; a document's language is that of the centroid with the greatest cosine. How far its
+own documents lie from a centroid is measured on documents that took no part in the clustering, whole and cut to several
+lengths, as short texts lie farther; a document that lies farther from its centroid than these, for its length, is rejected.
 """
 
 from __future__ import annotations
@@ -18,10 +19,13 @@ from pyspark.sql import functions as F
 
 from chronolith.llm.common import code_points, map_arrow, sample_hash, slices, table, text_rows
 
-#: Sampled documents of a language at most, languages at most, centroids of each, hashed n-grams, code points at a time.
-SAMPLE, LANGUAGES, CENTROIDS, DIM, AT_ONCE = 600, 200, 4, 8192, 200_000
-#: A document is rejected whose greatest cosine is under this share of the least that 99.9 % of the sample reach.
-SLACK, TAIL = 0.3, 0.001
+#: Sampled documents of a language at most, of all languages at most (each then gets its part), centroids of each, hashed n-grams, code points at a time.
+SAMPLE, TOTAL, CENTROIDS, DIM, AT_ONCE = 600, 60_000, 4, 8192, 200_000
+#: Every so many of a language's sampled documents measures distances; different n-grams at which lengths are told apart; deviations under the mean cosine
+#: from which a document is rejected; least number of measurements that a centroid, or else its language, has of its own.
+HELD, LENGTHS, DEVIATIONS, FEWEST = 4, (32, 96, 256, 768), 4.5, 12
+#: Share of a language's documents that a centroid stands for at least; smaller groups are stray texts under a wrong label.
+STRAY = 0.02
 UNKNOWN = "und"
 
 
@@ -70,7 +74,7 @@ class Model:
     names: list[str]  # of each centroid's language
     centroids: np.ndarray  # unit rows
     idf: np.ndarray
-    reject: float
+    reject: np.ndarray  # for each centroid and length: cosines under which a document is none of its language
 
 
 def _unit(v: np.ndarray) -> np.ndarray:
@@ -90,39 +94,81 @@ def _cluster(v: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     for _ in range(rounds):
         own = np.argmax(v @ c.T, axis=1)
         c = _unit(np.array([v[own == j].sum(axis=0) if (own == j).any() else c[j] for j in range(len(c))]))
-    return c
+    share = np.bincount(np.argmax(v @ c.T, axis=1), minlength=len(c)) / len(v)
+    return c[share >= min(STRAY, share.max())]
+
+
+def _counted(texts: list[str], dim: int) -> tuple[np.ndarray, np.ndarray]:
+    found = [vectors(texts[a:b], dim) for a, b in slices(list(map(len, texts)), AT_ONCE)]
+    return (np.concatenate([x for x, _ in found]), np.concatenate([y for _, y in found])) if found else (np.zeros((0, dim), np.float32), np.zeros(0, np.int64))
+
+
+def length_of(counts: np.ndarray) -> np.ndarray:
+    """The length of texts, by their different n-grams, so that a word said over and over is a short text."""
+    return np.searchsorted(LENGTHS, np.count_nonzero(counts, axis=1), side="right")
 
 
 def fit(texts: list[str], langs: list[str], k: int = CENTROIDS, dim: int = DIM) -> Model:
-    counts, n_letters = zip(*(vectors(texts[a:b], dim) for a, b in slices(list(map(len, texts)), AT_ONCE))) if texts else ((), ())
-    if not texts or not np.concatenate(n_letters).any():
-        return Model([], np.zeros((0, dim), np.float32), np.ones(dim, np.float32), 0.0)
-    counts, kept = np.concatenate(counts), np.concatenate(n_letters) > 0
-    counts, own = counts[kept], [x for x, y in zip(langs, kept) if y]
+    seen: dict[str, int] = {}
+    held = []
+    for name in langs:
+        seen[name] = seen.get(name, 0) + 1
+        held.append(seen[name] % HELD == 0)
+    counts, n_letters = _counted([t for t, h in zip(texts, held) if not h], dim)
+    kept = n_letters > 0
+    if not kept.any():
+        return Model([], np.zeros((0, dim), np.float32), np.ones(dim, np.float32), np.zeros((0, len(LENGTHS) + 1)))
+    counts, own = counts[kept], np.array([x for x, h in zip(langs, held) if not h])[kept]
     idf = np.log((1 + len(counts)) / (1 + (counts > 0).sum(axis=0))).astype(np.float32) + np.float32(0.1)
     v = weigh(counts, idf)
     names, centroids = [], []
-    for name in sorted(set(own)):
-        found = _cluster(v[np.array([x == name for x in own])], k)
+    for name in sorted(set(own.tolist())):
+        found = _cluster(v[own == name], k)
         names += [name] * len(found)
         centroids.append(found)
     centroids = np.concatenate(centroids)
-    best = np.max(v @ centroids.T, axis=1)
-    return Model(names, centroids, idf, SLACK * float(np.quantile(best, TAIL)))
+    del counts, v
+    return Model(names, centroids, idf, _distances(names, centroids, idf, [(t, x) for t, x, h in zip(texts, langs, held) if h]))
+
+
+def _distances(names: list[str], centroids: np.ndarray, idf: np.ndarray, held: list[tuple[str, str]]) -> np.ndarray:
+    """Mean less DEVIATIONS deviations of the cosines that held-out texts, and their beginnings of several lengths, have with the nearest centroid of
+    their language; where a centroid has few of a length its language's stand for them, then those of all, then none are rejected."""
+    known, top, at, size = np.array(names), [], [], []
+    cut = [(t[:n], x) for t, x in held for n in (*[m // 3 for m in LENGTHS], len(t))]
+    for a, b in slices([len(t) for t, _ in cut], AT_ONCE):
+        for i in range(a, b, 128):
+            part = cut[i : min(b, i + 128)]
+            counts, n_letters = vectors([t for t, _ in part], len(idf))
+            cosine = weigh(counts, idf) @ centroids.T
+            cosine[np.array([x for _, x in part])[:, None] != known[None]] = -1
+            best = np.argmax(cosine, axis=1)
+            fits = (n_letters > 0) & (cosine[np.arange(len(part)), best] >= 0)
+            top += cosine[np.arange(len(part)), best][fits].tolist()
+            at += best[fits].tolist()
+            size += length_of(counts[fits]).tolist()
+    top, at, size = np.array(top), np.array(at, int), np.array(size, int)
+    out = np.zeros((len(names), len(LENGTHS) + 1))
+    for c in range(len(names)):
+        for n in range(len(LENGTHS) + 1):
+            for pool in (at == c, known[at] == known[c], np.ones(len(at), bool)):
+                x = top[pool & (size == n)]
+                if len(x) >= FEWEST:
+                    out[c, n] = max(0.0, x.mean() - DEVIATIONS * x.std())
+                    break
+    return out
 
 
-def train(docs: DataFrame, where=None, most: int = SAMPLE) -> Model:
+def train(docs: DataFrame, where=None, most: int = SAMPLE, total: int = TOTAL) -> Model:
     """A model of documents with text and lang, of those that `where` admits: of each language the `most` of the least hashes,
-    in expectation. Languages beyond the LANGUAGES most frequent are not learnt."""
+    in expectation, fewer where all languages would have more than `total`."""
     rows = docs.select("doc_id", F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).where("lang is not null and doc_id is not null")
     if where is not None:
         rows = rows.where(where)
-    n = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
-    if not n:
-        return fit([], [])
-    share = F.create_map(*[x for r in n for x in (F.lit(r.lang), F.lit(most / r["count"]))])[F.col("lang")]
-    found = rows.where((sample_hash("doc_id", 8) < share) & F.col("text").isNotNull()).select("doc_id", "lang", "text").collect()
-    found = sorted(found, key=lambda r: (r.doc_id, r.lang, r.text))
+    counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    each = min(most, total / max(1, counts.count()))
+    drawn = rows.where(F.col("text").isNotNull()).join(counts, "lang").where(sample_hash("doc_id", 8) < each / F.col("n")).select("doc_id", "lang", "text").collect()
+    found = sorted(drawn, key=lambda r: (r.doc_id, r.lang, r.text))
     return fit([r.text for r in found], [r.lang for r in found])
 
 
@@ -140,7 +186,8 @@ def _predict(batch: pa.RecordBatch, model: Model) -> pa.RecordBatch:
             known = (n_letters > 0) & bool(model.names)
             names += [model.names[i] if y else UNKNOWN for i, y in zip(best.tolist(), known.tolist())]
             scores += top.tolist()
-            out += (~known | (top < model.reject)).tolist()
+            limit = model.reject[best, length_of(counts)] if len(model.names) else 0.0
+            out += (~known | (top <= limit)).tolist()
     return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(out, pa.bool_())], names=["doc_id", "lang_pred", "score", "rejected"])
 
 
@@ -169,5 +216,6 @@ def _with_verdict(batch: pa.RecordBatch, model: Model) -> pa.RecordBatch:
 
 
 def keep_identified(docs: DataFrame, model: Model) -> DataFrame:
-    """The documents, whole rows, that the model does not reject."""
+    """The documents, whole rows with all their columns, that the model does not reject: null and empty texts go, rows that repeat stay
+    or go alike, an empty table stays empty."""
     return map_arrow(docs, partial(_with_verdict, model=model), docs.schema)
