@@ -19,7 +19,7 @@ from pathlib import Path
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chronolith.llm.common import map_arrow, stored, table
@@ -135,20 +135,27 @@ def _pack(rows: pd.DataFrame, capacity: int, turn: int) -> pd.DataFrame:
     return rows.assign(sequence_id=((group << 24 | bins) << 3 | turn) << 1 | 1, offset=offsets, full=filled[bins] == capacity, gap=n > bound, bound=bound, turn=turn)
 
 
-PLACED = "doc_id long, piece int, start long, length long, ids_crc32 long, grp long, sequence_id long, offset long, full boolean, gap boolean, bound long, turn int"
+PLACED = "row long, doc_id long, piece int, start long, length long, ids_crc32 long, grp long, sequence_id long, offset long, full boolean, gap boolean, bound long, turn int"
+
+
+def numbered(cut: DataFrame) -> DataFrame:
+    return cut.withColumn("row", F.monotonically_increasing_id())
 
 
 def place(cut: DataFrame, capacity: int = CAPACITY, group: int = GROUP, rounds: int = ROUNDS) -> DataFrame:
     """The pieces (doc_id, piece, start, length, ids_crc32) with sequence_id and offset; also grp, turn and bound: the group
     that placed the piece, in which round, and its certified least number of bins.
 
-    Pieces of any equal keys are placed one by one. Lengths are from 1 to capacity. An empty table gives no rows.
+    Pieces are dealt into groups by row, a number of their own, which they get here unless they have one: so pieces of any equal keys, or without
+    an id, are placed one by one and fill no group. Lengths are from 1 to capacity. An empty table gives no rows.
     """
+    if "row" not in cut.columns:
+        cut = stored(numbered(cut), "pieces")
     whole = cut.where(F.col("length") == capacity).select("*", F.lit(0).cast("long").alias("grp"), (F.monotonically_increasing_id() * 2).alias("sequence_id"), F.lit(0).cast("long").alias("offset"), F.lit(True).alias("full"), F.lit(False).alias("gap"), F.lit(1).cast("long").alias("bound"), F.lit(-1).alias("turn"))
     todo = cut.where(F.col("length") < capacity)
     n = todo.count()
     groups = max(1, math.ceil(n / group))
-    todo = todo.select("*", F.pmod(F.xxhash64("doc_id", "piece", "start", F.lit(1)), F.lit(groups)).alias("grp"), F.lit(0).cast("long").alias("sequence_id"), F.lit(0).cast("long").alias("offset"), F.lit(False).alias("full"), F.lit(False).alias("gap"), F.lit(0).cast("long").alias("bound"), F.lit(0).alias("turn"))
+    todo = todo.select("*", F.pmod(F.xxhash64("row", F.lit(1)), F.lit(groups)).alias("grp"), F.lit(0).cast("long").alias("sequence_id"), F.lit(0).cast("long").alias("offset"), F.lit(False).alias("full"), F.lit(False).alias("gap"), F.lit(0).cast("long").alias("bound"), F.lit(0).alias("turn"))
     done = whole.select(*[c.split()[0] for c in PLACED.split(", ")])
     for turn in range(rounds):
         placed = stored(todo.groupBy("grp").applyInPandas(partial(_pack, capacity=capacity, turn=turn), PLACED), "packed")
@@ -166,7 +173,7 @@ def place(cut: DataFrame, capacity: int = CAPACITY, group: int = GROUP, rounds:
 def pack(docs: DataFrame, ranks_path: str | None = None, capacity: int = CAPACITY) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset for every piece of docs (doc_id, text; other columns are
     ignored). Repeated rows and a null doc_id are packed like any other."""
-    cut = stored(pieces(docs, ranks_path, capacity), "pieces")
+    cut = stored(numbered(pieces(docs, ranks_path, capacity)), "pieces")
     return place(cut, capacity).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
@@ -176,13 +183,13 @@ def _join(rows: pd.DataFrame) -> pd.DataFrame:
 
 
 def sequences(docs: DataFrame, ranks_path: str | None = None, capacity: int = CAPACITY) -> DataFrame:
-    """The packed sequences themselves: sequence_id, ids (little-endian 32-bit, at most capacity), doc_ids in their order."""
-    cut = stored(pieces(docs, ranks_path, capacity, with_ids=True).select("*", F.monotonically_increasing_id().alias("row")), "pieces")
-    keys = ["doc_id", "piece", "start", "length", "ids_crc32"]
-    placed = place(cut.select(*keys), capacity)
-    # equal keys mean equal ids, so rows that repeat a document may stand for one another
-    order = lambda df, by: df.withColumn("nth", F.row_number().over(Window.partitionBy(*keys).orderBy(by)))
-    both = order(placed.select(*keys, "sequence_id", "offset"), "sequence_id").join(order(cut, "row").select(*keys, "nth", "ids"), [*keys, "nth"])
+    """The packed sequences themselves: sequence_id, ids (little-endian 32-bit, at most capacity), doc_ids in their order.
+
+    A null text is the end id alone; rows that repeat, and null ids, are packed like any other; other columns are ignored; an empty table
+    gives no rows."""
+    cut = stored(numbered(pieces(docs, ranks_path, capacity, with_ids=True)), "pieces")
+    placed = place(cut.drop("ids"), capacity).select("row", "sequence_id", "offset")
+    both = placed.join(cut.select("row", "ids", "doc_id"), "row")
     return both.select("sequence_id", "offset", "ids", "doc_id").groupBy("sequence_id").applyInPandas(_join, "sequence_id long, ids binary, doc_ids array<long>")
 
 
