@@ -1,10 +1,11 @@
 """Toxicity by a subsequence string-kernel support vector machine with Nyström landmarks.
 
-The kernel of two strings counts the letter triples that both hold as subsequences of at most WINDOW letters, each
-weighted by DECAY to the power of its span, so that inserted letters and gaps weaken a match and do not break it. Landmarks are words
-of labelled sentences; the Nyström map of a string is its kernel values with them, whitened, and a linear support
-vector machine on that map is trained on sentences in rounds: a toxic sentence is represented by the word that looks most
-toxic so far. The machine's decision is linear in the triples, so a table of triple weights scores whole corpora.
+The kernel of two words counts the runs of four letters that both hold as subsequences of at most WINDOW letters, each weighted by DECAY
+to the power of its gaps, over the words' norms, so that inserted letters and gaps weaken a match and do not break it; the ends of a
+word count as letters. The kernel of two sentences adds up that of their words. Landmarks are words of the labelled sentences; the
+Nyström map of a sentence is its kernel values with them, whitened, and a linear support vector machine on that map is trained on
+sentences, each labelled as its document is. The machine's decision is linear in the subsequences, so a table of weights scores whole
+corpora: a document by the evidence of its sentences, on a curve fitted on the labelled documents.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 from functools import partial
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -20,67 +22,52 @@ from pyspark.sql import functions as F
 
 from chronolith.llm.common import code_points, map_arrow, mix64, slices, table, text_rows
 from chronolith.llm.crf import labelled_sample
-
-#: Labelled documents of either label at most, landmarks, words of either class in training, code points at a time.
-SAMPLE, LANDMARKS, WORDS, AT_ONCE = 2000, 160, 4000, 200_000
-#: Letters a triple may span, its decay by span; rounds of choosing toxic sentences' words.
-WINDOW, DECAY, ROUNDS = 5, 0.7, 3
-#: Likelihood ratio from which a word tells toxic documents; decision value from which an unlisted word joins the positives; variants shown of each positive.
-TOLD, SURE, DISGUISES = 35.0, 0.3, 4
-#: Letters of a toxic word at least.
-SHORTEST = 4
-#: What a clean document taken for a toxic one weighs against the reverse.
-CLEAN = 4.0
+from chronolith.llm.language import letters
+from chronolith.llm.lcp import _powers
+
+#: Labelled documents of either label at most, landmarks, sentences of either label in a round of training, rounds, code points at a time.
+SAMPLE, LANDMARKS, SENTENCES, ROUNDS, AT_ONCE = 2000, 256, 5000, 4, 200_000
+#: Letters a subsequence may span, its decay by each gap, buckets of the table of subsequences.
+WINDOW, DECAY, BUCKETS = 6, 0.6, 1 << 20
+STEPS = [(i, j, k, DECAY ** (k - 3)) for i, j, k in combinations(range(1, WINDOW), 3)]
+#: What stands for the begin and the end of a word, which no letter is.
+BEGIN, FINISH = 2, 3
+#: Shares of the greatest value of a word over which evidence is added up.
+LEVELS = (0.4, 0.6)
 SENTENCE_END = re.compile(r"(?<=[.!?])\s+|\n")
-TRIPLES = [(0, i, j) for i in range(1, WINDOW - 1) for j in range(i + 1, WINDOW)]
-
-
-def _symbols() -> np.ndarray:
-    """Plain letters as 1 to 26; letters with an acute 27, a grave or circumflex 28, a tilde or cedilla 29, other letters 27 to
-    30; white space 32, all else 31."""
-    import unicodedata
-
-    marks = {"\u0301": 27, "\u0300": 28, "\u0302": 28, "\u0303": 29, "\u0327": 29, "\u0308": 30}
-
-    out = np.full(0x3000, 31, np.uint8)
-    for i in range(0x3000):
-        c = chr(i)
-        if c in " \t\n\r\x0b\x0c":
-            out[i] = 32
-        elif c.isalpha():
-            base = unicodedata.normalize("NFD", c.lower())
-            out[i] = marks.get(base[1], 30) if len(base) > 1 else ord(base) - 96 if "a" <= base <= "z" else 27 + i % 4
-    return out
-
-
-_SYMBOL = _symbols()
+#: What the examples' losses weigh, in sum, against the machine's norm.
+COST = 300.0
+#: What a clean document taken for a toxic one weighs against the reverse.
+CLEAN = 1.5
 
 
 class Words:
-    """The words of several texts in a row, as letters only: marks inside a word are dropped, and words of single letters that
-    follow each other are one word."""
+    """The words of several texts in a row, as lower-case letters of any script: marks inside a word are dropped, words of single letters
+    that follow each other are one word, and a letter stands at most twice in a row. doc: each word's text."""
 
     def __init__(self, texts: list[str]):
         x, bounds = code_points([t + "\n" for t in texts])
-        s = np.where(x < 0x3000, _SYMBOL[np.minimum(x, 0x2FFF)], np.uint8(27))
-        doc = np.repeat(np.arange(len(texts)), np.diff(bounds))
-        letter = np.flatnonzero(s < 31)
-        gap = np.cumsum(s == 32)[letter]
-        self.letters, doc = s[letter], doc[letter]
-        new = np.ones(len(letter), bool)
-        if len(letter) > 1:
+        low = letters(x)
+        at = np.flatnonzero(low)
+        gap = np.cumsum((x == 32) | ((x >= 9) & (x <= 13)))[at]
+        doc = np.searchsorted(bounds, at, side="right") - 1
+        low = low[at]
+        if len(low) > 2:
+            same = (low[1:] == low[:-1]) & (gap[1:] == gap[:-1])
+            kept = np.concatenate(([True, True], ~(same[1:] & same[:-1])))
+            low, gap, doc = low[kept], gap[kept], doc[kept]
+        new = np.ones(len(low), bool)
+        if len(low) > 1:
             new[1:] = gap[1:] != gap[:-1]
             first = np.flatnonzero(new)
-            single = np.diff(np.append(first, len(letter))) == 1
+            single = np.diff(np.append(first, len(low))) == 1
             merge = single[1:] & single[:-1] & (gap[first[1:]] - gap[first[:-1]] == 1) & (doc[first[1:]] == doc[first[:-1]])
             new[first[1:][merge]] = False
-        self.starts = np.flatnonzero(new)
-        self.sizes = np.diff(np.append(self.starts, len(letter)))
+        self.letters, self.starts = low, np.flatnonzero(new)
+        self.sizes = np.diff(np.append(self.starts, len(low)))
         self.doc = doc[self.starts] if len(self.starts) else np.zeros(0, np.int64)
 
     def hashes(self) -> np.ndarray:
-        from chronolith.llm.lcp import _powers
-
         if not len(self.starts):
             return np.zeros(0, np.uint64)
         up, down = _powers(len(self.letters))
@@ -90,100 +77,116 @@ class Words:
         return self.letters[self.starts[i] : self.starts[i] + self.sizes[i]]
 
 
-def word_sums(letters: np.ndarray, starts: np.ndarray, sizes: np.ndarray, weight: np.ndarray, least: float = 0.0) -> np.ndarray:
-    """For each word, the sum of weight[triple] times decay over its triples, over its norm. A sum of at most `least` is over the norm
-    of a word of its length whose triples are all different, which is no greater than its own: the quotient is then too high if anything."""
-    if not len(starts):
-        return np.zeros(0, np.float32)
-    padded = np.concatenate((letters, np.zeros(WINDOW, np.uint8))).astype(np.uint16)
-    left = np.repeat(starts + sizes, sizes) - np.arange(len(letters))
-    total, n = np.zeros(len(letters), np.float32), len(letters)
-    for _, i, j in TRIPLES:
-        value = weight[padded[:n] << 10 | padded[i : n + i] << 5 | padded[j : n + j]] * np.float32(DECAY ** (j + 1))
-        value[left <= j] = 0
-        total += value
-    sums, norm = np.add.reduceat(total, starts), norms(sizes)
-    out = sums / norm
-    high = np.flatnonzero(out > least)
-    if len(high):
-        size = sizes[high]
-        at = np.repeat(starts[high] - np.concatenate(([0], np.cumsum(size)[:-1])), size) + np.arange(size.sum())
-        who, room = np.repeat(np.arange(len(high)), size), left[at]
-        keys, worth = [], []
-        for _, i, j in TRIPLES:
-            fits = room > j
-            k = at[fits]
-            keys.append(who[fits] << 15 | padded[k].astype(np.int64) << 10 | padded[k + i].astype(np.int64) << 5 | padded[k + j])
-            worth.append(np.full(len(k), DECAY ** (j + 1)))
-        known, back = np.unique(np.concatenate(keys), return_inverse=True)
-        square = np.bincount(known >> 15, weights=np.bincount(back, weights=np.concatenate(worth)) ** 2, minlength=len(high))
-        out[high] = sums[high] / np.maximum(norm[high], np.sqrt(square))
-    return out
+def framed(low: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The words with a begin before and two ends behind each; where they start, and how many symbols are left at each place."""
+    full = sizes + 3
+    at = np.concatenate(([0], np.cumsum(full)[:-1])).astype(np.int64)
+    out = np.full(int(full.sum()) + WINDOW, FINISH, np.uint32)
+    out[at] = BEGIN
+    inside = np.repeat(at + 1 - np.concatenate(([0], np.cumsum(sizes)[:-1])), sizes) + np.arange(int(sizes.sum()))
+    out[inside] = low
+    return out, at, np.repeat(at + full, full) - np.arange(int(full.sum()))
+
+
+def buckets(x: np.ndarray, n: int):
+    """bucket, weight and last offset of the subsequences that begin at each of the first n places."""
+    m = np.uint32(0x9E3779B1)
+    first = x[:n] * m
+    for i, j, k, weight in STEPS:
+        h = ((first + x[i : n + i]) * m + x[j : n + j]) * m + x[k : n + k]
+        h = (h ^ (h >> np.uint32(15))) * np.uint32(0x85EBCA6B)
+        yield (h >> np.uint32(12)).astype(np.int32), weight, k
 
 
 def norms(sizes: np.ndarray) -> np.ndarray:
-    square = sum(np.maximum(sizes - j, 0) * DECAY ** (2 * (j + 1)) for _, _, j in TRIPLES)
-    return np.sqrt(np.maximum(square, DECAY**6)).astype(np.float32)
+    """The norm of a word of that many letters whose subsequences are all different."""
+    return np.sqrt(sum(np.maximum(sizes + 3 - k, 0) * w * w for *_, k, w in STEPS) + 1e-9).astype(np.float32)
+
+
+def word_values(low: np.ndarray, starts: np.ndarray, sizes: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """For each word, the sum of weight over its subsequences, over its norm."""
+    if not len(starts):
+        return np.zeros(0, np.float32)
+    x, at, left = framed(low, starts, sizes)
+    total = np.zeros(len(left), np.float32)
+    for bucket, worth, k in buckets(x, len(left)):
+        value = weight[bucket] * np.float32(worth)
+        value[left <= k] = 0
+        total += value
+    return np.add.reduceat(total, at) / norms(sizes)
 
 
 def sparse(words: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """word, triple, value of the words' normalised triple vectors, in order of the words."""
+    """word, bucket, value of the words' normalised vectors, in order of the words."""
     sizes = np.array([len(w) for w in words], np.int64)
-    letters = np.concatenate([*words, np.zeros(WINDOW, np.uint8)]).astype(np.int64)
-    who = np.repeat(np.arange(len(words)), sizes)
-    left = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(who))
+    x, _, left = framed(np.concatenate(words), np.concatenate(([0], np.cumsum(sizes)[:-1])), sizes)
+    who = np.repeat(np.arange(len(words)), sizes + 3)
     keys, worth = [], []
-    for _, i, j in TRIPLES:
-        at = np.flatnonzero(left > j)
-        keys.append(who[at] << 15 | letters[at] << 10 | letters[at + i] << 5 | letters[at + j])
-        worth.append(np.full(len(at), DECAY ** (j + 1)))
+    for bucket, w, k in buckets(x, len(left)):
+        fits = np.flatnonzero(left > k)
+        keys.append(who[fits] * BUCKETS + bucket[fits])
+        worth.append(np.full(len(fits), w))
     known, back = np.unique(np.concatenate(keys), return_inverse=True)
-    value, word = np.bincount(back, weights=np.concatenate(worth), minlength=len(known)), known >> 15
-    norm = np.maximum(norms(sizes), np.sqrt(np.bincount(word, weights=value**2, minlength=len(words))))
-    return word, known & 0x7FFF, value / norm[word]
-
-
-def features(words: list[np.ndarray]) -> np.ndarray:
-    """The normalised triple vectors of the words (rows, 32^3 columns)."""
-    out = np.zeros((len(words), 1 << 15), np.float32)
-    word, triple, value = sparse(words)
-    out[word, triple] = value
-    return out
-
-
-def kernel_values(words: list[np.ndarray], landmarks: np.ndarray, at_once: int = 500) -> np.ndarray:
-    """The kernel of every word with every landmark (rows of triple vectors)."""
-    by_triple, out = np.ascontiguousarray(landmarks.T), np.zeros((len(words), len(landmarks)))
-    for i in range(0, len(words), at_once):
-        word, triple, value = sparse(words[i : i + at_once])
-        first = np.flatnonzero(np.concatenate(([True], word[1:] != word[:-1]))) if len(word) else word
-        if len(first):
-            out[i + word[first]] = np.add.reduceat(by_triple[triple] * value[:, None], first, axis=0)
-    return out
-
-
-def _svm(z: np.ndarray, y: np.ndarray, often: np.ndarray, cost: float = 10.0, rounds: int = 600) -> tuple[np.ndarray, float]:
-    """A linear machine with squared hinge loss, by accelerated gradient descent. Classes weigh alike, in a class examples as `often` says."""
-    x = np.concatenate([z, np.ones((len(z), 1))], axis=1)
-    worth = cost * often * np.where(y > 0, 0.5 / max(1e-9, often[y > 0].sum()), 0.5 / max(1e-9, often[y < 0].sum()))
-    step = 1.0 / (1e-3 + 2 * np.linalg.norm(x * np.sqrt(worth)[:, None], 2) ** 2)
-    w = before = np.zeros(x.shape[1])
-    for t in range(rounds):
-        ahead = w + t / (t + 3) * (w - before)
-        slack = np.maximum(0, 1 - y * (x @ ahead))
-        before, w = w, ahead - step * (1e-3 * np.append(ahead[:-1], 0) - 2 * x.T @ (worth * slack * y))
-    return w[:-1], w[-1]
+    value, word = np.bincount(back, weights=np.concatenate(worth), minlength=len(known)), known // BUCKETS
+    return word, known % BUCKETS, value / norms(sizes)[word]
+
+
+class Landmarks:
+    """Words, the whitening of their kernel, and their vectors over the buckets that any of them holds."""
+
+    def __init__(self, words: list[np.ndarray]):
+        word, bucket, value = sparse(words)
+        self.known, column = np.unique(bucket, return_inverse=True)
+        self.rows = np.zeros((len(self.known), len(words)), np.float32)
+        self.rows[column, word] = value
+        self.place = np.full(BUCKETS, -1, np.int32)
+        self.place[self.known] = np.arange(len(self.known))
+        lengths, vectors = np.linalg.eigh((self.rows.T @ self.rows).astype(float))
+        self.white = vectors * (1 / np.sqrt(np.maximum(lengths, 1e-3)))
+
+    def map(self, words: list[np.ndarray], at_once: int = 100) -> np.ndarray:
+        """The Nyström map of each word: its kernel with each landmark, whitened."""
+        out, white = np.zeros((len(words), self.rows.shape[1]), np.float32), self.white.astype(np.float32)
+        for i in range(0, len(words), at_once):
+            word, bucket, value = sparse(words[i : i + at_once])
+            at = self.place[bucket]
+            held = np.flatnonzero(at >= 0)
+            word, at, value = word[held], at[held], value[held]
+            if len(word):
+                first = np.flatnonzero(np.concatenate(([True], word[1:] != word[:-1])))
+                out[i + word[first]] = np.add.reduceat(self.rows[at] * value[:, None].astype(np.float32), first, axis=0) @ white
+        return out
+
+    def weights(self, v: np.ndarray) -> np.ndarray:
+        """The table of bucket weights of a machine on the map."""
+        out = np.zeros(BUCKETS, np.float32)
+        out[self.known] = self.rows @ (self.white @ v)
+        return out
+
+
+def _svm(z: np.ndarray, y: np.ndarray, cost: float | None = None, rounds: int = 30) -> tuple[np.ndarray, float]:
+    """A linear machine with squared hinge loss, by Newton's steps on the examples inside the margin. Classes weigh alike."""
+    x = np.concatenate([z, np.ones((len(z), 1), z.dtype)], axis=1)
+    worth = (cost or COST) * np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum()))
+    ridge = np.diag(np.append(np.ones(z.shape[1]), 1e-6))
+    w, inside = np.zeros(x.shape[1]), np.ones(len(x), bool)
+    for _ in range(rounds):
+        own, pull = x[inside], worth[inside]
+        w = np.linalg.solve(ridge + own.T @ (own * pull[:, None]), own.T @ (pull * y[inside]))
+        before, inside = inside, y * (x @ w) < 1
+        if (before == inside).all():
+            break
+    return w[:-1], float(w[-1])
 
 
 @dataclass
 class Model:
-    weight: np.ndarray  # of each triple
-    bias: float
-    slope: float  # of the logistic curve from the highest decision value to the score
-    middle: float
+    weight: np.ndarray  # of each bucket
+    high: float  # greatest value of a word in training
+    curve: np.ndarray  # from a text's evidence to its score's logit
 
 
-EMPTY = Model(np.zeros(1 << 15, np.float32), 0.0, 0.0, 0.0)
+EMPTY = Model(np.zeros(BUCKETS, np.float32), 1.0, np.array([0.0] * (len(LEVELS) + 2) + [-30.0]))
 
 
 class Vocabulary:
@@ -201,8 +204,8 @@ class Vocabulary:
             seen.append((mix64(h + mix64(before * np.uint64(3) + np.uint64(1)) + mix64(after * np.uint64(5) + np.uint64(2))), h, toxic[a + w.doc]))
             known, first = np.unique(h, return_index=True)
             parts.append((known, w.sizes[first], b"".join(w.text(i).tobytes() for i in first)))
-        known, sizes = (np.concatenate(x) for x in list(zip(*parts))[:2])
-        letters = np.frombuffer(b"".join(p[2] for p in parts), np.uint8)
+        known, sizes = (np.concatenate(x) for x in list(zip(*parts))[:2]) if parts else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+        letters = np.frombuffer(b"".join(p[2] for p in parts), np.uint32)
         starts = np.concatenate(([0], np.cumsum(sizes)[:-1])).astype(np.int64)
         known, first = np.unique(known, return_index=True)
         context, word, bad = (np.concatenate(x) for x in zip(*seen))
@@ -218,85 +221,104 @@ class Vocabulary:
         return self.letters[self.starts[i] : self.starts[i] + self.sizes[i]]
 
 
-def _disguised(word: np.ndarray, rng: np.random.Generator) -> np.ndarray:
-    """The word with a letter inserted or doubled, not at its ends."""
-    at = int(rng.integers(1, len(word)))
-    letter = word[at] if rng.random() < 0.3 else np.uint8(rng.integers(1, 27))
-    return np.insert(word, at, letter)
+def parts_of(texts: list[str]) -> tuple[list[str], np.ndarray]:
+    """The sentences of the texts, and the text of each."""
+    found = [SENTENCE_END.split(t) for t in texts]
+    return [s for x in found for s in x], np.repeat(np.arange(len(texts)), [len(x) for x in found])
+
+
+def decisions(sentences: list[str], weight: np.ndarray, bias: float, high: float) -> np.ndarray:
+    """The machine's decision for each sentence."""
+    out = []
+    for a, b in slices(list(map(len, sentences)), AT_ONCE):
+        w = Words(sentences[a:b])
+        value = np.minimum(word_values(w.letters, w.starts, w.sizes, weight), high)
+        out.append(np.bincount(w.doc, weights=value, minlength=b - a) + bias)
+    return np.concatenate(out) if out else np.zeros(0)
 
 
-def _best_of_docs(values: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
-    out = np.full(n, -1.0)
-    np.maximum.at(out, doc, values)
+def evidence(texts: list[str], weight: np.ndarray, high: float) -> np.ndarray:
+    """Of each text: what its words' values have over each of LEVELS, added up; the greatest value; the number of words; 1. Sums and number are logarithms. Values are
+    shares of the greatest one of training, at most 1."""
+    out = np.zeros((len(texts), len(LEVELS) + 3))
+    out[:, -1] = 1
+    for a, b in slices(list(map(len, texts)), AT_ONCE):
+        w = Words(texts[a:b])
+        value = np.clip(word_values(w.letters, w.starts, w.sizes, weight) / high, 0, 1)
+        some = np.flatnonzero(value > LEVELS[0])
+        for k, level in enumerate(LEVELS):
+            out[a:b, k] = np.bincount(w.doc[some], weights=np.maximum(value[some] - level, 0), minlength=b - a)
+        np.maximum.at(out[a:b, -3], w.doc[some], value[some])
+        out[a:b, -2] = np.bincount(w.doc, minlength=b - a) / 800
+    sums = [*range(len(LEVELS)), -2]
+    out[:, sums] = np.log1p(8 * out[:, sums])
     return out
 
 
 def fit(texts: list[str], toxic: list[int], seed: int = 3) -> Model:
+    """A model of the labelled texts; EMPTY unless both labels occur."""
     docs = np.array(toxic)
+    if len(set(docs.tolist())) < 2:
+        return EMPTY
+    rng = np.random.default_rng(seed)
     # each sentence once, so that copies tell no more than one text; clean if any clean document has it
     label: dict[str, int] = {}
-    for text, bad_one in zip(texts, toxic):
-        for sentence in SENTENCE_END.split(text):
-            label[sentence] = min(bad_one, label.get(sentence, 1))
-    texts_of_docs, texts = texts, list(label)
-    y = np.array(list(label.values()))
-    if len(set(y.tolist())) < 2:
+    said, owner = parts_of(texts)
+    for sentence, bad in zip(said, docs[owner].tolist()):
+        label[sentence] = min(bad, label.get(sentence, 1))
+    said, y = list(label), np.array(list(label.values()))
+    words = Vocabulary(said, y)
+    if not len(words.sizes) or not y.any():
         return EMPTY
-    words = Vocabulary(texts, y)
+    # landmarks: the words that tell the labels apart best, and the commonest
     bad, good = words.bad, words.good
     share = bad.sum() / max(1.0, (bad + good).sum())
-    told = 2 * (bad * np.log(np.maximum(bad, 1e-9) / ((bad + good) * share)) + good * np.log(np.maximum(good, 1e-9) / ((bad + good) * (1 - share))))
-    size = words.sizes
-    rank = np.where((size >= SHORTEST) & (good * share <= 0.1 * bad * (1 - share)), told, -np.inf)
-    seeds = np.argsort(-rank, kind="stable")[: LANDMARKS // 2]
-    seeds = seeds[rank[seeds] >= TOLD]
-    if not len(seeds):
-        return EMPTY
-    rng = np.random.default_rng(seed)
-    clean = np.flatnonzero((bad <= good) & (good > 0) & (size >= 3))
-    clean = rng.permutation(clean)
-    negatives = clean[:WORDS]
-    landmarks = np.concatenate((seeds, clean[: LANDMARKS - len(seeds)]))
-    strings = lambda ids: [words.text(i) for i in ids]
-    at_landmarks = features(strings(landmarks))
-    value, vector = np.linalg.eigh(at_landmarks @ at_landmarks.T)
-    white = vector * (1 / np.sqrt(np.maximum(value, 1e-4)))
-    positives, weight, bias = seeds, None, 0.0
-    for _ in range(ROUNDS):
-        shown = [x for s in strings(positives) for x in (s, *(_disguised(s, rng) for _ in range(DISGUISES)))]
-        examples = shown + strings(negatives)
-        kernel = kernel_values(examples, at_landmarks)
-        often = np.concatenate((np.ones(len(shown)), np.sqrt(good[negatives])))
-        v, bias = _svm(kernel @ white, np.concatenate((np.ones(len(shown)), -np.ones(len(negatives)))), often)
-        weight = (at_landmarks.T @ (white @ v)).astype(np.float32)
-        f_known = word_sums(words.letters, words.starts, words.sizes, weight, -bias - 1) + bias
-        # the words of toxic sentences that look toxic so far and no clean sentence has; of clean sentences the worst words
-        top = np.flatnonzero((f_known > SURE) & (rank >= TOLD))
-        positives = np.unique(np.concatenate((seeds, top[np.argsort(-bad[top], kind="stable")][:WORDS])))
-        hard = np.flatnonzero((good > bad) & (f_known > -1))
-        negatives = np.unique(np.concatenate((clean[: WORDS // 2], hard[np.argsort(-f_known[hard], kind="stable")][: WORDS // 2])))
-    # the curve is fitted on the documents, and on disguised words as toxic ones
-    hidden = kernel[: len(shown)] @ (white @ v) + bias
-    hidden = rng.permutation(hidden)[: len(texts_of_docs) // 4]
-    slope, middle = _logistic(np.concatenate((decisions(texts_of_docs, weight, float(bias)), hidden)), np.concatenate((docs, np.ones(len(hidden), int))))
-    return Model(weight, float(bias), slope, middle)
-
-
-def _logistic(x: np.ndarray, y: np.ndarray, rounds: int = 500) -> tuple[float, float]:
-    """The threshold that errs least (clean documents weighing CLEAN times as much as toxic ones), midway in its gap, and a slope that fits best around it."""
-    order = np.argsort(x, kind="stable")
-    a, b = x[order], y[order]
-    worth = np.where(b == 1, 1 / max(1, b.sum()), CLEAN / max(1, (1 - b).sum()))
-    right = np.concatenate(([0], np.cumsum(np.where(b == 0, worth, -worth))))
-    cuts = np.concatenate(([a[0] - 1], (a[1:] + a[:-1]) / 2, [a[-1] + 1]))
-    valid = np.concatenate(([True], a[1:] > a[:-1], [True]))
-    most = right[valid].max()
-    same = np.flatnonzero(valid & (right >= most - 1e-12))
-    middle = float(np.median(cuts[same]))
-    slopes = np.linspace(0.5, 20, 40)
-    p = 1 / (1 + np.exp(-np.clip(slopes[:, None] * (x - middle)[None], -30, 30)))
-    loss = -(np.where(y == 1, np.log(p + 1e-6), np.log(1 - p + 1e-6))).mean(axis=1)
-    return float(slopes[int(np.argmin(loss))]), middle
+    told = bad * np.log(np.maximum(bad, 1e-9) / ((bad + good) * share)) + good * np.log(np.maximum(good, 1e-9) / ((bad + good) * (1 - share)))
+    told = np.where(bad * (1 - share) > good * share, told, -1)
+    first = np.argsort(-told, kind="stable")[: LANDMARKS // 2]
+    common = np.argsort(-(bad + good), kind="stable")
+    landmarks = np.unique(np.concatenate((first, common[: LANDMARKS // 2])))
+    marks = Landmarks([words.text(i) for i in landmarks.tolist()])
+    places = {1: rng.permutation(np.flatnonzero(y == 1))[:SENTENCES], 0: rng.permutation(np.flatnonzero(y == 0))}
+    clean, weight, bias, high = places[0][: SENTENCES // 2], None, 0.0, 0.0
+    for turn in range(ROUNDS):
+        if turn:
+            # the clean sentences that look most toxic so far
+            f = decisions([said[i] for i in places[0].tolist()], weight, bias, high)
+            clean = np.unique(np.concatenate((places[0][: SENTENCES // 2], places[0][np.argsort(-f, kind="stable")[: SENTENCES // 2]])))
+            # and, as further landmarks, the clean words that do
+            value = word_values(words.letters, words.starts, words.sizes, weight)
+            hard = np.argsort(-np.where(bad * (1 - share) < good * share, value, -np.inf), kind="stable")[: LANDMARKS // 4]
+            landmarks = np.unique(np.concatenate((landmarks, hard)))
+            marks = Landmarks([words.text(i) for i in landmarks.tolist()])
+        chosen = np.concatenate((places[1], clean))
+        w = Words([said[i] for i in chosen.tolist()])
+        _, one, which = np.unique(w.hashes(), return_index=True, return_inverse=True)
+        by_word = marks.map([w.text(i) for i in one.tolist()])
+        z = np.zeros((len(chosen), by_word.shape[1]))
+        for i in range(0, len(which), 5000):
+            doc = w.doc[i : i + 5000]
+            start = np.flatnonzero(np.concatenate(([True], doc[1:] != doc[:-1])))
+            z[doc[start]] += np.add.reduceat(by_word[which[i : i + 5000]], start, axis=0)
+        v, bias = _svm(z, np.where(y[chosen] == 1, 1.0, -1.0))
+        weight, bias = marks.weights(v), float(bias)
+        value = (by_word @ v)[which]
+        high = float(max(1e-6, np.quantile(value[y[chosen][w.doc] == 1], 0.995)))
+    curve = _curve(evidence(texts, weight, high), docs)
+    return Model(weight, high, curve)
+
+
+def _curve(x: np.ndarray, y: np.ndarray, rounds: int = 40) -> np.ndarray:
+    """Logistic regression by Newton's steps; clean documents weigh CLEAN times as much as toxic ones, in sum."""
+    scale = np.maximum(np.abs(x).max(axis=0), 1e-9)
+    x, w = x / scale, np.zeros(x.shape[1])
+    worth = np.where(y == 1, len(y) / max(1, y.sum()), CLEAN * len(y) / max(1, (1 - y).sum())) / (1 + CLEAN)
+    for _ in range(rounds):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        slope = x.T @ (worth * (p - y)) + 1e-3 * w
+        bend = (x * (worth * p * (1 - p))[:, None]).T @ x + 1e-3 * np.eye(len(w))
+        w = w - np.linalg.solve(bend, slope)
+    return w / scale
 
 
 def train(docs: DataFrame, labels: DataFrame, where=None, most: int = SAMPLE) -> Model:
@@ -305,22 +327,8 @@ def train(docs: DataFrame, labels: DataFrame, where=None, most: int = SAMPLE) ->
     return fit(*map(list, zip(*rows))) if rows else EMPTY
 
 
-def decisions(texts: list[str], weight: np.ndarray, bias: float) -> np.ndarray:
-    """The decision value of each text's most toxic word of SHORTEST letters or more; -1 without one."""
-    out = []
-    for a, b in slices(list(map(len, texts)), AT_ONCE):
-        w = Words(texts[a:b])
-        value = word_sums(w.letters, w.starts, w.sizes, weight, -bias - 1) + bias
-        value[w.sizes < SHORTEST] = -1
-        out.append(_best_of_docs(value, w.doc, b - a))
-    return np.concatenate(out) if out else np.zeros(0)
-
-
 def scores(texts: list[str], model: Model) -> np.ndarray:
-    x = decisions(texts, model.weight, model.bias)
-    if not model.slope:
-        return np.zeros(len(x))
-    return 1 / (1 + np.exp(-np.clip(model.slope * (x - model.middle), -30, 30)))
+    return 1 / (1 + np.exp(-np.clip(evidence(texts, model.weight, model.high) @ model.curve, -30, 30)))
 
 
 def _score(batch: pa.RecordBatch, model: Model) -> pa.RecordBatch:
@@ -328,10 +336,10 @@ def _score(batch: pa.RecordBatch, model: Model) -> pa.RecordBatch:
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, score (0 to 1) of every document, whole texts: the logistic value of its most toxic word.
+    """doc_id, score (0 to 1) of every document, whole texts: the curve's value for its sentences.
 
-    Null and empty texts score as a text without any toxic word. Rows that repeat, and null ids, give a row each; without
-    labels of both kinds every score is 0; an empty table gives no rows.
+    Null and empty texts score as a text of one sentence without a word. Rows that repeat, and null ids, give a row each; without
+    labels of both kinds every score is 0 (but for 1e-13); an empty table gives no rows.
     """
     return map_arrow(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), partial(_score, model=model), "doc_id long, score double")
 
