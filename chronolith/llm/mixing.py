@@ -11,12 +11,8 @@ the tokens stay: probabilities over 1 are then 1, and the others share what is l
 from __future__ import annotations
 
 import logging
-from collections import defaultdict
-from collections.abc import Iterator
 from typing import NamedTuple
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,12 +25,14 @@ TARGETS: dict = {"source": 0.7, "lang": {"en": 0.5, "fr": 0.18, "de": 0.18, "es"
 TOLERANCE, SWEEPS, SEED = 1e-6, 60, 11
 #: Share of the tokens that stays at least, where weights over 0 allow it.
 RATE = 0.5
+#: Factors of a dimension up to which they are written into the expression.
+LISTED = 200
 #: Factors of a dimension up to which they are broadcast to the documents; beyond, an ordinary join.
 BROADCAST_MOST = 1_000_000
 
 
 def topic() -> Column:
-    """A text's form, as the corpus has no topics: table, symbols, shouting, list or prose, by its characters."""
+    """A text's form, as the corpus has no topics: table, symbols, shouting or prose, by its characters."""
     text = whole("text")
     n = F.greatest(F.length(text), F.lit(1))
     lower = F.length(text) - F.length(F.translate(text, "aeiou", ""))
@@ -44,7 +42,7 @@ def topic() -> Column:
 
 
 def tokens() -> Column:
-    """Words between white space, as one more than the runs of white space inside the trimmed text."""
+    """Words between white space."""
     return F.regexp_count(whole("text"), F.lit(r"[^ \t\n\r\f\x0B]++")).cast("long")
 
 
@@ -70,18 +68,10 @@ def wanted(own: dict[str, float], target) -> dict[str, float]:
 
 
 def _sums(cells: DataFrame, by: str, factors: dict[str, dict[str, float]]) -> dict[str, float]:
-    def part(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for x in frames:
-            w = x["tokens"].to_numpy(float)
-            for d in DIMENSIONS:
-                w = w * x[d].map(factors[d]).fillna(1.0).to_numpy(float)
-            out = pd.Series(w).groupby(x[by].to_numpy()).sum()
-            yield pd.DataFrame({"value": out.index.astype(str), "w": out.to_numpy()})
-
-    out: dict[str, float] = defaultdict(float)
-    for value, w in sorted(cells.mapInPandas(part, "value string, w double").collect()):
-        out[value] += w
-    return dict(out)
+    """The weighted tokens of each value of one dimension. The sums are of decimals, the same in any order of the cells."""
+    weighed = by_factors(cells, factors)
+    found = weighed.groupBy(by).agg(F.sum((F.col("tokens") * F.col("weight")).cast("decimal(38,9)")).cast("double").alias("w")).collect()
+    return {r[by]: r.w or 0.0 for r in sorted(found)}
 
 
 def rake(cells: DataFrame, targets: dict, sweeps: int = SWEEPS, tolerance: float = TOLERANCE) -> tuple[dict[str, dict[str, float]], float]:
@@ -111,9 +101,13 @@ def by_factors(df: DataFrame, factors: dict[str, dict[str, float]]) -> DataFrame
     """df with the weight of its rows' cells."""
     weight = F.lit(1.0)
     for d in DIMENSIONS:
-        table_ = df.sparkSession.createDataFrame(sorted(factors[d].items()), f"{d} string, f_{d} double")
-        df = df.join(F.broadcast(table_) if len(factors[d]) <= BROADCAST_MOST else table_, d, "left")
-        weight = weight * F.coalesce(F.col(f"f_{d}"), F.lit(1.0))
+        if 0 < len(factors[d]) <= LISTED:
+            listed = F.create_map(*[F.lit(x) for item in sorted(factors[d].items()) for x in item])
+            weight = weight * F.coalesce(F.try_element_at(listed, F.col(d)), F.lit(1.0))
+        elif factors[d]:
+            table_ = df.sparkSession.createDataFrame(sorted(factors[d].items()), f"{d} string, f_{d} double")
+            df = df.join(F.broadcast(table_) if len(factors[d]) <= BROADCAST_MOST else table_, d, "left")
+            weight = weight * F.coalesce(F.col(f"f_{d}"), F.lit(1.0))
     return df.withColumn("weight", weight).drop(*[f"f_{d}" for d in DIMENSIONS])
 
 
@@ -181,15 +175,14 @@ def mix(docs: DataFrame, targets: dict | None = None, seed: int = SEED, rate: fl
 
 
 def sampled(docs: DataFrame, targets: dict | None = None, seed: int = SEED, rate: float = RATE) -> DataFrame:
-    """The sampled documents, whole rows, without a shuffle of their texts: each row meets its factors again."""
+    """The sampled documents, whole rows with all their columns, whatever their names, without a shuffle of their texts: each row meets its
+    cell's probability again. Null sources, languages and texts, repeated ids and empty tables are as in `mix`."""
     rows = mix(docs, targets, seed, rate)
-    shares = stored(rows.groupBy(*DIMENSIONS).agg(F.max("probability").alias("_p")), "shares")
-    names = docs.columns
-    own = docs.withColumns({"_source": F.coalesce(F.col("source").cast("string"), F.lit("")), "_lang": F.coalesce(F.col("lang").cast("string"), F.lit("")), "_topic": topic()})
+    shares = stored(rows.groupBy(*DIMENSIONS).agg(F.max("probability").alias("probability")), "shares")
+    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").alias("id"), *[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in DIMENSIONS[:2]], topic().alias("topic"))
     small = shares.count() <= BROADCAST_MOST
-    shares = shares.select(*[F.col(d).alias(f"_{d}") for d in DIMENSIONS], "_p")
-    joined = own.join(F.broadcast(shares) if small else shares, [f"_{d}" for d in DIMENSIONS])
-    return joined.where(sample_hash("doc_id", seed) < F.col("_p")).select(*names)
+    joined = own.join(F.broadcast(shares) if small else shares, list(DIMENSIONS))
+    return joined.where(sample_hash("id", seed) < F.col("probability")).select("row.*")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
