@@ -26,6 +26,8 @@ SAMPLE, TOTAL, CENTROIDS, DIM, AT_ONCE = 600, 60_000, 4, 8192, 200_000
 HELD, LENGTHS, DEVIATIONS, FEWEST = 4, (32, 96, 256, 768), 4.5, 12
 #: Share of a language's documents that a centroid stands for at least; smaller groups are stray texts under a wrong label.
 STRAY = 0.02
+#: Languages up to which their counts are broadcast to the documents; beyond, an ordinary join.
+BROADCAST_MOST = 100_000
 UNKNOWN = "und"
 
 
@@ -166,7 +168,10 @@ def train(docs: DataFrame, where=None, most: int = SAMPLE, total: int = TOTAL) -
     if where is not None:
         rows = rows.where(where)
     counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
-    each = min(most, total / max(1, counts.count()))
+    n = counts.count()
+    each = min(most, total / max(1, n))
+    # one number for each language
+    counts = F.broadcast(counts) if n <= BROADCAST_MOST else counts
     drawn = rows.where(F.col("text").isNotNull()).join(counts, "lang").where(sample_hash("doc_id", 8) < each / F.col("n")).select("doc_id", "lang", "text").collect()
     found = sorted(drawn, key=lambda r: (r.doc_id, r.lang, r.text))
     return fit([r.text for r in found], [r.lang for r in found])
