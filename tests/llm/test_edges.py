@@ -51,3 +51,19 @@ def test_clashing_names(docs, name):
     out = OPERATORS[name](docs(data, extra=True))
     assert out.select("doc_id").count() == out.count()
     assert out.count() == OPERATORS[name](docs(data)).count()
+
+
+def test_values_of_odd_rows(docs):
+    """Every stage that keeps rows keeps the right ones, with the caller's columns as they were."""
+    data = [(1 << 62 | 5, words(40, 60), "en", "s", 1), (None, words(41, 60), "en", "s", 1), (None, words(42, 60), None, None, None), (7, words(43, 60), "en", "s", 1), (7, words(44, 60), "en", "s", 1), (7, words(44, 60), "en", "s", 1), (3, None, "en", "s", 1), (4, "", "en", "s", 1)]
+    df = docs(data, extra=True)
+    got = lambda out: sorted(((r.doc_id, r.text) for r in out.collect()), key=str)
+    known = [d[:2] for d in data if d[1]]
+    assert got(language.keep_identified(df, language.fit([d[1] for d in data[:5]] * 20, ["en"] * 100))) == sorted(known, key=str)
+    once = [*known[:4], known[4], (3, None)]
+    assert got(simhash.keep_first(df)) == sorted(once, key=str)
+    assert got(pii.sanitise(df)) == sorted((d[:2] for d in data), key=str)
+    everything = mixing.sampled(df, {"source": 1.0, "lang": 1.0, "topic": 1.0})
+    assert got(everything) == sorted((d[:2] for d in data), key=str)
+    for out in (everything, pii.sanitise(df), simhash.keep_first(df)):
+        assert out.columns == df.columns and {tuple(r)[5:] for r in out.collect()} == {tuple(r)[5:] for r in df.collect()}
