@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from chronolith.sources.shared import stored
+
 ACF_CAP = 216_000.0
 
 
@@ -237,17 +239,17 @@ def density_clusters(points: DataFrame, neighbours: int = 5, least: int = 5) ->
     has `least` points within it, itself among them; cores within the radius of each other are one cluster, named by its least
     id; other points within reach of a core join the nearest one's cluster.
 
-    Labels spread by the least label of linked cores until nothing changes; each round's labels are checkpointed."""
-    d = distances(points, points).select("a", "b", "d").persist()
+    Labels spread by the least label of linked cores until nothing changes; each round's labels are written."""
+    d = stored(distances(points, points).select("a", "b", "d"), "distances")
     radius = nearest_distance(d, neighbours)
     near = d.where(F.col("d") <= radius)
     core = near.groupBy("a").agg((F.count(F.lit(1)) + 1).alias("n")).where(F.col("n") >= least).select(F.col("a").alias("id"))
-    links = near.join(core.select(F.col("id").alias("a")), "a").join(core.select(F.col("id").alias("b")), "b").select("a", "b").persist()
+    links = stored(near.join(core.select(F.col("id").alias("a")), "a").join(core.select(F.col("id").alias("b")), "b").select("a", "b"), "links")
     label = core.select("id", F.col("id").alias("cluster"))
     while True:
         least_near = links.join(label.select(F.col("id").alias("b"), F.col("cluster").alias("_c")), "b").groupBy(F.col("a").alias("id")).agg(F.min("_c").alias("_c"))
         spread = label.join(least_near, "id", "left").select("id", F.least("cluster", F.coalesce("_c", "cluster")).alias("cluster"), (F.col("_c") < F.col("cluster")).alias("moved"))
-        spread = spread.checkpoint() if points.sparkSession.sparkContext.getCheckpointDir() else spread.persist()
+        spread = stored(spread, "spread")
         moved = spread.where("moved").limit(1).count()
         label = spread.select("id", "cluster")
         if not moved:

@@ -211,7 +211,3 @@ def profile(samples: DataFrame, low: float, high: float, value: str = "value", b
     genuine = moments(kinds.where(F.col("kind") == GENUINE), "_v", by)
     genuine = genuine.select(*by, *[F.col(c).alias(f"g_{c}") for c in genuine.columns if c not in by])
     return odd.join(summary, list(by)).join(grid, list(by)).join(genuine, list(by), "left")
-
-
-def stride_column(n: Column, most: int) -> Column:
-    return F.greatest(F.lit(1), F.ceil(n / most))
