@@ -66,9 +66,9 @@ def distances(queries: DataFrame, points: DataFrame) -> DataFrame:
 
 
 def nearest(d: DataFrame, k: int) -> DataFrame:
-    """d of the k nearest points of each query, ties by id, with rank. The k least are kept by each task before the shuffle's sort."""
-    least = d.groupBy("a").agg(F.slice(F.sort_array(F.collect_list(F.struct("d", "b", "a_cls", "b_cls", "a_entity", "b_entity"))), 1, k).alias("_n"))
-    return least.select("a", F.posexplode("_n")).select("a", (F.col("pos") + 1).alias("rank"), "col.*")
+    """d of the k nearest points of each query, ties by id, with rank. Each task keeps only the k least of a query before the shuffle."""
+    by_distance = Window.partitionBy("a").orderBy("d", "b")
+    return d.withColumn("rank", F.row_number().over(by_distance)).where(F.col("rank") <= k)
 
 
 def neighbour_agreement(queries: DataFrame, points: DataFrame) -> DataFrame:
@@ -261,5 +261,5 @@ def density_clusters(points: DataFrame, neighbours: int = 5, least: int = 5) ->
 
 def nearest_distance(d: DataFrame, k: int) -> float:
     """The median over the points of the distance to their k-th nearest other point."""
-    kth = d.groupBy("a").agg(F.element_at(F.slice(F.sort_array(F.collect_list("d")), 1, k), -1).alias("d"))
+    kth = nearest(d, k).groupBy("a").agg(F.max("d").alias("d"))
     return float(kth.agg(F.percentile("d", 0.5)).first()[0] or 0.0)

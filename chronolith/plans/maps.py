@@ -76,7 +76,10 @@ def m9_mixture(spark, sf):
     return M.clustered(low, 4, "mixture")
 
 
-@query("m11_silhouette")
+@query("m11_silhouette", """WITH p AS (SELECT vec_id AS id, label AS cls, embedding::DOUBLE[] AS x FROM embeddings WHERE label >= 0),
+m AS (SELECT a.id, a.cls, b.cls AS other, avg(list_distance(a.x, b.x)) AS d FROM p a JOIN p b ON a.id <> b.id GROUP BY ALL),
+o AS (SELECT id, min(d) FILTER (cls = other) AS a, min(d) FILTER (cls <> other) AS b FROM m GROUP BY id)
+SELECT id, round(CASE WHEN a IS NULL THEN 0 ELSE (b - a) / greatest(a, b) END, 6) AS s FROM o""")
 def m11_silhouette(spark, sf):
     from pyspark.sql import functions as F_
 
@@ -91,7 +94,11 @@ def m12_agreement(spark, sf):
     return out.select(r("ari").alias("ari"), r("nmi").alias("nmi"))
 
 
-@query("m14_novelty")
+@query("m14_novelty", """WITH p AS (SELECT vec_id AS id, label AS cls, embedding::DOUBLE[] AS x FROM embeddings), k AS (SELECT * FROM p WHERE cls = 0),
+v AS (SELECT sum(v) AS v FROM (SELECT var_pop(y) AS v FROM (SELECT unnest(x) AS y, generate_subscripts(x, 1) AS i FROM k) GROUP BY i)),
+s AS (SELECT p.id, p.cls, avg(exp(-pow(list_distance(p.x, k.x), 2) / v.v)) AS score FROM p, k, v GROUP BY ALL),
+l AS (SELECT quantile_cont(score, 0.05) AS q FROM s WHERE cls = 0)
+SELECT id, cls, round(score, 6) AS score, score < q AS anomalous, CASE WHEN cls = 0 THEN score < q ELSE score >= q END AS disagrees FROM s, l WHERE (SELECT count(*) FROM k) >= 8""")
 def m14_novelty(spark, sf):
     return M.novelty(points(spark, sf)).withColumn("score", r("score"))
 
