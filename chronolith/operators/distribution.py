@@ -7,6 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+PERIODS = 10_000
 
 def bin_of(value: Column, low: Column, high: Column, n: int) -> Column:
     """The bin from 0 of equal bins between low and high, the last one closed; null outside."""
@@ -76,7 +77,9 @@ def correlations(rows: DataFrame, x: str, y: str, sets: list[list[str]], few: in
 def lomb_scargle(samples: DataFrame, periods: DataFrame, value: str, seconds: str, by: list[str]) -> DataFrame:
     """by, period, power: the share of variance that a sine of the period with a floating mean explains, in closed form.
 
-    periods has a row for each period, a few hundred; every sample meets every period, and sums are combined before the shuffle."""
+    periods has a row for each period, at most PERIODS; every sample meets every period, and sums are combined before the shuffle."""
+    if periods.limit(PERIODS + 1).count() > PERIODS:
+        raise ValueError(f"more than {PERIODS} periods")
     both = samples.where(F.col(value).isNotNull()).crossJoin(F.broadcast(periods))
     w = 2 * math.pi * F.col(seconds) / F.col("period")
     c, s, y = F.cos(w), F.sin(w), F.col(value)
@@ -105,7 +108,7 @@ def log_bins(spectrum: DataFrame, by: list[str], bins: int) -> DataFrame:
 def welch(samples: DataFrame, step_us: int, segment: int = 0, overlap: float = 0.5, window: str = "hann", value: str = "value", by: tuple[str, ...] = ("series",)) -> DataFrame:
     """by, period, psd: averaged one-sided density of detrended segments of the evenly gridded, filled series, without the mean.
 
-    One group holds one gridded series: the transform needs it whole."""
+    A segment is at least 16 cells and at most the series; without one (0) it is the whole series. A task takes a segment at a time. Series of under 4 cells are left out."""
     import numpy as np
     import pandas as pd
 
@@ -114,34 +117,28 @@ def welch(samples: DataFrame, step_us: int, segment: int = 0, overlap: float = 0
     shapes = {"hann": np.hanning, "hamming": np.hamming, "blackman": np.blackman, "rectangular": np.ones}
     if window not in shapes or not 0 <= overlap < 1:
         raise ValueError("unknown window, or an overlap outside 0 to 1")
-    step_s = step_us / 1e6
+    step_s, keys = step_us / 1e6, list(by)
+    grid = fill_linear(uniform_grid(samples.withColumn("value", F.col(value)), step_us, by), by).select(*keys, "cell", F.col("filled").cast("double").alias("filled"))
+    n, size, hop = F.col("_n"), F.col("_size"), F.col("_hop")
+    whole = grid.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.count(F.nanvl("filled", F.lit(None).cast("double"))).alias("_known")).where((n >= 4) & (F.col("_known") == n))
+    whole = whole.withColumn("_size", F.least(n, F.lit(max(segment, 16))) if segment > 0 else n)
+    whole = whole.withColumn("_hop", F.greatest(F.lit(1), F.bround(size * (1 - overlap)).cast("long")))
+    first = F.greatest(F.lit(0), F.ceil((F.col("cell") - size + 1) / hop))
+    last = F.least(F.floor((n - size) / hop), F.floor(F.col("cell") / hop))
+    parts = grid.join(whole, keys).withColumns({"_a": first, "_b": last}).where("_a <= _b").select(*keys, "cell", "filled", F.explode(F.sequence("_a", "_b")).alias("_segment"))
 
     def one(rows: pd.DataFrame) -> pd.DataFrame:
         y = rows.sort_values("cell")["filled"].to_numpy(float)
-        n = len(y)
-        size = n if segment <= 0 or segment >= n else max(segment, 16)
-        if n < 4 or np.isnan(y).any():
-            return pd.DataFrame(columns=[*by, "period", "psd"])
-        hop = max(1, round(size * (1 - overlap)))
-        shape = shapes[window](size)
-        t = np.arange(size)
-        total, k = np.zeros(size // 2 + 1), 0
-        for a in range(0, n - size + 1, hop):
-            part = y[a : a + size]
-            part = part - np.polyval(np.polyfit(t, part, 1), t)
-            total += np.abs(np.fft.rfft(part * shape)) ** 2
-            k += 1
-        psd = total / k * step_s / (shape**2).sum()
-        psd[1 : (size + 1) // 2] *= 2
-        f = np.fft.rfftfreq(size, step_s)[1:]
-        out = pd.DataFrame({"period": (1 / f)[::-1], "psd": psd[1:][::-1]})
-        for c in by:
-            out[c] = rows[c].iloc[0]
-        return out[[*by, "period", "psd"]]
-
-    grid = fill_linear(uniform_grid(samples.withColumn("value", F.col(value)), step_us, by), by)
-    keys = ", ".join(f"{c} {dict(samples.dtypes)[c]}" for c in by)
-    return grid.groupBy(*by).applyInPandas(one, f"{keys}, period double, psd double")
+        m = len(y)
+        t, shape = np.arange(m), shapes[window](m)
+        y = y - np.polyval(np.polyfit(t, y, 1), t)
+        psd = np.abs(np.fft.rfft(y * shape)) ** 2 * step_s / (shape**2).sum()
+        psd[1 : (m + 1) // 2] *= 2
+        f = np.fft.rfftfreq(m, step_s)[1:]
+        return pd.DataFrame({**{c: [rows[c].iloc[0]] * len(f) for c in keys}, "period": 1 / f, "psd": psd[1:]})
+
+    kinds = ", ".join(f"`{c}` {samples.schema[c].dataType.simpleString()}" for c in keys)
+    return parts.groupBy(*keys, "_segment").applyInPandas(one, f"{kinds}, period double, psd double").groupBy(*keys, "period").agg(F.avg("psd").alias("psd"))
 
 
 def average_spectra(spectrum: DataFrame, by: list[str], group: Column, points: int = 40, value: str = "psd") -> DataFrame:

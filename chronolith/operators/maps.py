@@ -1,5 +1,7 @@
 """The map of recordings: points in a feature space, their neighbours, clusters, typicality and novelty.
 
+Tables by channel, feature or class are joined without a hint: Spark broadcasts them where their measured size allows.
+
 Points are recordings (id, cls, entity, x array<double>), thousands rather than billions; searches take a stated set of
 queries against all points, and only medoids and silhouettes sum over all pairs of a class or cluster.
 """
@@ -29,14 +31,14 @@ def features(profiles: DataFrame, fields: list[str], coverage: float = 0.5) -> D
     points = profiles.select("id").distinct().count()
     live = (F.col("n_valid") > 0) & (F.col("std") > 0)
     taken = profiles.groupBy("channel").agg((F.count_if(live) / points).alias("_c")).where(F.col("_c") >= coverage).select("channel")
-    rows = profiles.join(F.broadcast(taken), "channel").select("id", "channel", live.alias("_live"), F.explode(F.array(*[F.struct(F.lit(f).alias("f"), F.col(f).cast("double").alias("v")) for f in fields])).alias("p"))
+    rows = profiles.join(taken, "channel").select("id", "channel", live.alias("_live"), F.explode(F.array(*[F.struct(F.lit(f).alias("f"), F.col(f).cast("double").alias("v")) for f in fields])).alias("p"))
     return rows.select("id", F.concat_ws(" | ", "channel", "p.f").alias("feature"), F.when(F.col("_live"), transformed(F.col("p.f"), F.col("p.v"))).alias("value"))
 
 
 def imputed(rows: DataFrame) -> DataFrame:
     """rows with missing values replaced by the feature's median (0 where all are missing) and missing."""
     median = rows.groupBy("feature").agg(F.percentile("value", 0.5).alias("_m"))
-    both = rows.join(F.broadcast(median), "feature")
+    both = rows.join(median, "feature")
     return both.select("id", "feature", F.coalesce("value", "_m", F.lit(0.0)).alias("value"), F.col("value").isNull().alias("missing"))
 
 
@@ -44,7 +46,7 @@ def standardised(rows: DataFrame) -> DataFrame:
     """rows in mean 0 and deviation 1 by feature; features that never move go."""
     s = rows.groupBy("feature").agg(F.avg("value").alias("_m"), F.stddev_pop("value").alias("_s"))
     s = s.where(F.col("_s") > 1e-9 * F.greatest(F.abs("_m"), F.lit(1.0)))
-    return rows.join(F.broadcast(s), "feature").withColumn("value", (F.col("value") - F.col("_m")) / F.col("_s")).drop("_m", "_s")
+    return rows.join(s, "feature").withColumn("value", (F.col("value") - F.col("_m")) / F.col("_s")).drop("_m", "_s")
 
 
 def assembled(rows: DataFrame) -> DataFrame:
@@ -100,7 +102,7 @@ def typicality(points: DataFrame) -> DataFrame:
     id) and its rank, 1 for the medoid and 0 for the farthest; null in a class of one."""
     sums = _sums(points, "cls")
     medoid = sums.groupBy("cls").agg(F.min_by("id", F.struct(F.round("d", 9), "id")).alias("medoid"), F.first("m").alias("m"))
-    at = points.join(F.broadcast(medoid), "cls").join(points.select(F.col("id").alias("medoid"), F.col("x").alias("_x")), "medoid")
+    at = points.join(medoid, "cls").join(points.select(F.col("id").alias("medoid"), F.col("x").alias("_x")), "medoid")
     d = at.select("id", "cls", "medoid", "m", distance(F.col("x"), F.col("_x")).alias("distance"))
     rank = F.row_number().over(Window.partitionBy("cls").orderBy("distance", "id")) - 1
     return d.withColumn("typical", F.when(F.col("m") > 1, 1 - rank / (F.col("m") - 1))).drop("m")

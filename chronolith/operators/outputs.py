@@ -85,7 +85,7 @@ def fit_chart(training: DataFrame, channels: list[str], by: str, kept: float = 0
 
 def scored(rows: DataFrame, model: DataFrame, channels: list[str]) -> DataFrame:
     """rows (with grp) with t2 and q; a channel without a reading stands at the training mean."""
-    both = rows.join(F.broadcast(model), "grp")
+    both = rows.join(model, "grp")
     z = F.array(*[F.coalesce((F.col(c) - F.col("mean")[i]) / F.col("std")[i], F.lit(0.0)) for i, c in enumerate(channels)])
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, v: s + v)
     both = both.withColumn("_z", z).withColumn("_s", F.transform("loadings", lambda w: dot(w, F.col("_z"))))

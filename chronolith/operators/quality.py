@@ -87,7 +87,7 @@ def robust_cleaning(events: DataFrame, k: float = 3.0, floor: float = 1e-6, miss
     q = events.groupBy("channel").agg(F.percentile("mean", [0.25, 0.75]).alias("_m"), F.percentile("std", [0.25, 0.75]).alias("_s"), (F.count_if(F.col("mean").isNull()) / F.count(F.lit(1))).alias("missing"))
     q = q.withColumn("dropped", F.col("missing") >= missing_share)
     reach = lambda c: k * (F.col(c)[1] - F.col(c)[0])
-    rows = events.join(F.broadcast(q), "channel")
+    rows = events.join(q, "channel")
     by_mean = (F.col("mean") < F.col("_m")[0] - reach("_m")) | (F.col("mean") > F.col("_m")[1] + reach("_m"))
     by_std = (F.col("std") < F.greatest(F.col("_s")[0] - reach("_s"), F.lit(floor))) | (F.col("std") > F.col("_s")[1] + reach("_s"))
     live = ~listed & ~F.col("dropped")
@@ -107,8 +107,3 @@ def reasons(flagged: DataFrame) -> DataFrame:
     how = F.concat_ws(" and ", F.when(F.col("by_mean"), "mean"), F.when(F.col("by_std"), "std"))
     return flagged.where("discard").groupBy("event").agg(F.array_join(F.sort_array(F.collect_list(F.format_string("%s by %s", F.col("channel"), how))), ", ").alias("why"))
 
-
-def valve(value: Column) -> Column:
-    from chronolith.functions.labels import valve_open
-
-    return valve_open(value)

@@ -170,44 +170,68 @@ def gaussianity(samples: DataFrame, value: str = "value", by: tuple[str, ...] =
     return out.select(*by, "slope", "offset", "scatter", gaussian.alias("gaussian"))
 
 
-def autocorrelation_half(samples: DataFrame, step: DataFrame, value: str = "value", by: tuple[str, ...] = ("series",), longest_s: float = 21_600.0) -> DataFrame:
-    """by, acf_half_s: the first lag at which the autocorrelation is 0.5 or less, on the line between lags; infinite if none
-    within longest_s, null for flat and short series. One group holds one series; the transform needs it whole."""
+def autocorrelation(samples: DataFrame, step: DataFrame, value: str = "value", by: tuple[str, ...] = ("series",), longest_s: float = 21_600.0, block: int = 65_536) -> DataFrame:
+    """by, lag, rho, step_us: the biased autocorrelation of each series' readings from lag 0, up to longest_s and the series' length.
+
+    A task takes `block` readings and as many of the next ones as there are lags, never a whole series; the blocks' products are summed by lag. Flat series have no rows."""
     import numpy as np
     import pandas as pd
 
-    def one(rows: pd.DataFrame) -> pd.DataFrame:
-        y = rows.sort_values(list(ORDER))[value].dropna().to_numpy(float)
-        step_s = float(rows["step_us"].iloc[0]) / 1e6
-        half = None
-        if len(y) >= 2 and y.max() > y.min():
-            y = y - y.mean()
-            size = 1 << int(np.ceil(np.log2(2 * len(y))))
-            power = np.abs(np.fft.rfft(y, size)) ** 2
-            rho = np.fft.irfft(power, size)[: min(max(1, int(longest_s / step_s)), len(y) - 1) + 1] / np.dot(y, y)
-            low = np.flatnonzero(rho[1:] <= 0.5)
-            half = float("inf")
-            if len(low):
-                k = int(low[0]) + 1
-                half = (k - 1 + (rho[k - 1] - 0.5) / (rho[k - 1] - rho[k])) * step_s
-        return pd.DataFrame({**{c: rows[c].iloc[:1] for c in by}, "acf_half_s": [half]})
-
-    kept = samples.join(step, list(by)).select(*by, *ORDER, F.col(value).alias(value), "step_us")
-    keys = ", ".join(f"{c} {dict(samples.dtypes)[c]}" for c in by)
-    return kept.groupBy(*by).applyInPandas(one, f"{keys}, acf_half_s double")
+    keys = list(by)
+    reading = F.nanvl(F.col(value).cast("double"), F.lit(None).cast("double"))
+    rows = samples.select(*keys, *ORDER, reading.alias("_v")).where(F.col("_v").isNotNull())
+    whole = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.avg("_v").alias("_m"), F.min("_v").alias("_low"), F.max("_v").alias("_high")).where(F.col("_low") < F.col("_high"))
+    lags = F.least(F.greatest(F.lit(1), F.floor(longest_s * 1e6 / F.col("step_us"))), F.col("_n") - 1)
+    whole = whole.join(step, keys).select(*keys, "_m", "step_us", lags.cast("long").alias("_lags"))
+    rows = rows.withColumn("_at", F.row_number().over(ordered(*by)) - 1).join(whole, keys)
+    blocks = F.sequence(F.greatest(F.lit(0), F.floor((F.col("_at") - F.col("_lags")) / block)), F.floor(F.col("_at") / block))
+    rows = rows.select(*keys, "step_us", "_lags", "_at", (F.col("_v") - F.col("_m")).alias("_v"), F.explode(blocks).alias("_block"))
+
+    def products(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("_at")
+        y, k = part["_v"].to_numpy(float), int(part["_lags"].iloc[0])
+        head = y[part["_at"].to_numpy() < (int(part["_block"].iloc[0]) + 1) * block]
+        size = 1 << int(np.ceil(np.log2(len(y) + len(head))))
+        s = np.fft.irfft(np.conj(np.fft.rfft(head, size)) * np.fft.rfft(y, size), size)[: k + 1]
+        first = part.iloc[0]
+        return pd.DataFrame({**{c: [first[c]] * len(s) for c in keys}, "step_us": float(first["step_us"]), "lag": np.arange(len(s)), "s": s})
+
+    kinds = ", ".join(f"`{c}` {samples.schema[c].dataType.simpleString()}" for c in keys)
+    sums = rows.groupBy(*keys, "_block").applyInPandas(products, f"{kinds}, step_us double, lag long, s double").groupBy(*keys, "step_us", "lag").agg(F.sum("s").alias("s"))
+    return sums.select(*keys, "lag", (F.col("s") / F.first("s").over(Window.partitionBy(*keys).orderBy("lag"))).alias("rho"), "step_us")
+
+
+def autocorrelation_half(samples: DataFrame, step: DataFrame, value: str = "value", by: tuple[str, ...] = ("series",), longest_s: float = 21_600.0) -> DataFrame:
+    """by, acf_half_s: the first lag at which the autocorrelation is 0.5 or less, on the line between lags; infinite if none
+    within longest_s, null for flat and short series."""
+    rho = autocorrelation(samples, step, value, by, longest_s).withColumn("_before", F.lag("rho").over(Window.partitionBy(*by).orderBy("lag")))
+    low = F.when((F.col("lag") > 0) & (F.col("rho") <= 0.5), F.struct("lag", "_before", "rho"))
+    found = rho.groupBy(*by).agg(F.min(low).alias("_k"), F.first("step_us").alias("_step"))
+    at = F.col("_k.lag") - 1 + (F.col("_k._before") - 0.5) / (F.col("_k._before") - F.col("_k.rho"))
+    found = found.select(*by, F.coalesce(at * F.col("_step") / 1e6, F.lit(float("inf"))).alias("acf_half_s"))
+    return step.select(*by).join(found, list(by), "left")
+
+
+def descriptors(samples: DataFrame, step: DataFrame, value: str = "value", by: tuple[str, ...] = ("series",)) -> DataFrame:
+    """moments, snr, acf_half_s and the test of normality (slope, offset, scatter, gaussian) of each series' readings."""
+    out = moments(samples, value, by)
+    for part in (signal_to_noise(samples, value, by), autocorrelation_half(samples, step, value, by), gaussianity(samples, value, by)):
+        out = out.join(part, list(by), "left")
+    return out
 
 
 def profile(samples: DataFrame, low: float, high: float, value: str = "value", by: tuple[str, ...] = ("series",), mask: bool = True) -> DataFrame:
     """One row for each series: readings outside the plausible range masked and counted, kinds, sampling, descriptors on all samples
-    and (g_ columns) on the genuine ones."""
+    and (g_ columns) on the genuine ones, whose step is the spacing of the measurements."""
     from chronolith.functions.labels import plausible
 
     v = F.col(value)
     rows = samples.withColumn("_v", plausible(v, F.lit(low), F.lit(high)) if mask else v)
     odd = rows.groupBy(*by).agg(F.count_if(v.isNotNull() & F.col("_v").isNull()).alias("n_implausible"))
     kinds = sample_kinds(rows, "_v", by)
-    summary = sampling_summary(kinds, sampling_step(samples, by), by)
-    grid = moments(kinds, "_v", by).join(signal_to_noise(kinds, "_v", by), list(by), "left")
-    genuine = moments(kinds.where(F.col("kind") == GENUINE), "_v", by)
+    step = sampling_step(samples, by)
+    summary = sampling_summary(kinds, step, by)
+    spacing = summary.where(F.col("spacing_s") > 0).select(*by, (F.col("spacing_s") * 1e6).alias("step_us"))
+    genuine = descriptors(kinds.where(F.col("kind") == GENUINE), spacing, "_v", by)
     genuine = genuine.select(*by, *[F.col(c).alias(f"g_{c}") for c in genuine.columns if c not in by])
-    return odd.join(summary, list(by)).join(grid, list(by)).join(genuine, list(by), "left")
+    return odd.join(summary, list(by)).join(descriptors(kinds, step, "_v", by), list(by), "left").join(genuine, list(by), "left")

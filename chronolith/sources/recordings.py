@@ -142,8 +142,9 @@ def refreshed(spark: SparkSession, root: str, cached: DataFrame, scan) -> DataFr
 
 
 def save_derived(df: DataFrame, path: str, stamp: str, version: int) -> None:
-    """Writes a derived table with the digest of what it was made from and its version."""
-    df.withColumns({"_digest": F.lit(stamp), "_version": F.lit(version)}).write.mode("overwrite").parquet(path)
+    """Writes a derived table; the digest of what it was made from and its version stand in the schema, also of an empty table."""
+    first = df.columns[0]
+    df.withMetadata(first, df.schema[first].metadata | {"digest": stamp, "version": version}).write.mode("overwrite").parquet(path)
 
 
 def load_derived(spark: SparkSession, path: str, stamp: str, version: int) -> DataFrame | None:
@@ -154,8 +155,8 @@ def load_derived(spark: SparkSession, path: str, stamp: str, version: int) -> Da
         if "PATH_NOT_FOUND" in str(error) or "does not exist" in str(error):
             return None
         raise
-    odd = df.where(~((F.col("_digest") == stamp) & (F.col("_version") == version))).limit(1).count()
-    return None if odd else df.drop("_digest", "_version")
+    made = df.schema[0].metadata
+    return df if (made.get("digest"), made.get("version")) == (stamp, version) else None
 
 
 def model_outputs(spark: SparkSession, root: str) -> tuple[dict, DataFrame]:
