@@ -142,12 +142,13 @@ def welch(samples: DataFrame, step_us: int, segment: int = 0, overlap: float = 0
 
 
 def average_spectra(spectrum: DataFrame, by: list[str], group: Column, points: int = 40, value: str = "psd") -> DataFrame:
-    """grp, point, period, value, n: spectra averaged on a shared logarithmic grid, each only within its own span, on the line between its neighbours there."""
+    """grp, point, period, value, n: spectra averaged on a shared logarithmic grid, each only within its own span, on the line between its neighbours there. A grid point
+    within a billionth of a period is that period."""
     span = spectrum.agg(F.min(F.log("period")).alias("a"), F.max(F.log("period")).alias("b"))
     grid = span.select(F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("point"), "a", "b").select("point", F.exp(F.col("a") + (F.col("b") - F.col("a")) * F.col("point") / (points - 1)).alias("p"))
     w = Window.partitionBy(*by).orderBy("period")
     steps = spectrum.withColumn("grp", group).withColumns({"p1": F.lead("period").over(w), "v1": F.lead(value).over(w)})
-    at = steps.join(F.broadcast(grid), (F.col("p") >= F.col("period")) & (F.col("p") < F.coalesce(F.col("p1"), F.col("period") * (1 + 1e-12))))
+    at = steps.join(F.broadcast(grid), (F.col("p") >= F.col("period") * (1 - 1e-9)) & (F.col("p") < F.coalesce(F.col("p1") * (1 - 1e-9), F.col("period") * (1 + 1e-9))))
     line = F.coalesce(F.col(value) + (F.col("v1") - F.col(value)) * (F.col("p") - F.col("period")) / (F.col("p1") - F.col("period")), F.col(value))
     return at.groupBy("grp", "point").agg(F.first("p").alias("period"), F.avg(line).alias("value"), F.count(F.lit(1)).alias("n"))
 

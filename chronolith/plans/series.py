@@ -187,21 +187,96 @@ def f8_statistics_table(spark, sf):
     return rounded_moments(S.moments(x, by=("entity",)))
 
 
-@query("f4_acf_half")
-def f4_acf_half(spark, sf):
+def acf_sql(source: str, by: str, value: str, step: str, longest_s: float) -> str:
+    """Common tables acf (by, lag, rho, step_us), and half (by, acf_half_s) of the readings of source; step has by, step_us."""
+    return f"""acv AS (SELECT *, row_number() OVER (PARTITION BY {by} ORDER BY us, rid) - 1 AS i, avg({value}) OVER w AS m, count(*) OVER w AS n FROM {source} JOIN {step} USING ({by}) WHERE {value} IS NOT NULL
+ WINDOW w AS (PARTITION BY {by}) QUALIFY min({value}) OVER w < max({value}) OVER w),
+acs AS (SELECT a.{by}, a.step_us, b.i - a.i AS lag, sum((a.{value} - a.m) * (b.{value} - b.m)) AS s FROM acv a JOIN acv b ON a.{by} = b.{by}
+ AND b.i BETWEEN a.i AND a.i + least(greatest(1, floor({longest_s} * 1e6 / a.step_us)), a.n - 1) GROUP BY ALL),
+acf AS (SELECT {by}, step_us, lag, s / first_value(s) OVER w AS rho, lag(s) OVER w / first_value(s) OVER w AS bef FROM acs WINDOW w AS (PARTITION BY {by} ORDER BY lag)),
+half AS (SELECT {by}, coalesce(arg_min((lag - 1 + (bef - 0.5) / (bef - rho)) * step_us / 1e6, lag) FILTER (lag > 0 AND rho <= 0.5), 'inf'::DOUBLE) AS acf_half_s FROM acf GROUP BY {by})
+"""
+
+
+def horner(k: tuple[float, ...], x: str) -> str:
+    out = repr(k[0])
+    for v in k[1:]:
+        out = f"({out} * {x} + {v!r})"
+    return out
+
+
+def normality_sql(source: str, by: str, value: str) -> str:
+    """Common table fit (by, slope, offset, scatter, gaussian) of the readings of source."""
+    ratio = lambda k, x: f"{horner(k[0], x)} / {horner(k[1], x)}"
+    return f"""gv AS (SELECT {by}, {value} AS v FROM (SELECT *, row_number() OVER (PARTITION BY {by} ORDER BY us, rid) - 1 AS i, count(*) OVER (PARTITION BY {by}) AS a FROM {source} WHERE {value} IS NOT NULL) WHERE i % ceil(a / 50000.0)::BIGINT = 0),
+gd AS (SELECT {by}, count(*) OVER w AS n, power((v - avg(v) OVER w) / stddev_pop(v) OVER w, 2) AS d FROM gv WINDOW w AS (PARTITION BY {by}) QUALIFY count(*) OVER w >= 8 AND min(v) OVER w < max(v) OVER w),
+gp AS (SELECT *, (1 + (row_number() OVER (PARTITION BY {by} ORDER BY d) - 0.5) / n) / 2 AS p FROM gd),
+gq AS (SELECT *, sqrt(-2 * ln(1 - p)) AS t, (p - 0.5) * (p - 0.5) AS r FROM gp),
+gf AS (SELECT {by}, n, d, power(CASE WHEN p > 1 - 0.02425 THEN -{ratio(L.TAIL, "t")} ELSE {ratio(L.MIDDLE, "r")} * (p - 0.5) END, 2) * (n + 1) / n AS f FROM gq),
+gr AS (SELECT {by}, count(*) AS n, regr_slope(f, d) AS slope, regr_intercept(f, d) AS a, avg(f) AS f, regr_syy(f, d) AS syy, regr_sxy(f, d) AS sxy, regr_sxx(f, d) AS sxx FROM gf GROUP BY {by}),
+fit AS (SELECT *, scatter < 0.15 AND abs("offset") <= 0.05 AND abs(slope - 1) <= 0.2 AS gaussian FROM (SELECT {by}, slope, a / f AS "offset", sqrt(greatest(0, syy - sxy * sxy / sxx) / greatest(n - 2, 1)) / f AS scatter FROM gr WHERE sxx > 0))
+"""
+
+
+def step_sql(source: str, by: str) -> str:
+    return f"""SELECT {by}, coalesce(quantile_cont(gap, 0.5) FILTER (gap > 0), 1000000)::DOUBLE AS step_us FROM (SELECT {by}, us - lag(us) OVER (PARTITION BY {by} ORDER BY us, rid) AS gap FROM {source}) GROUP BY {by}"""
+
+
+def acf_rows(spark, sf):
     x = demo.events(spark, sf).withColumnRenamed("raw", "value")
-    return S.autocorrelation_half(x, S.sampling_step(x, ("entity",)), by=("entity",), longest_s=1e7)
+    return x, S.sampling_step(x, ("entity",))
+
+
+ACF_SQL = f", st AS ({step_sql('ev', 'entity')}), " + acf_sql("ev", "entity", "raw", "st", 1e7)
 
 
-@query("f6_gaussianity")
+@query("f3_autocorrelation", demo.with_samples(ACF_SQL + "SELECT entity, lag, round(rho, 6) AS rho FROM acf"))
+def f3_autocorrelation(spark, sf):
+    x, step = acf_rows(spark, sf)
+    return S.autocorrelation(x, step, by=("entity",), longest_s=1e7).select("entity", "lag", r("rho").alias("rho"))
+
+
+@query("f4_acf_half", demo.with_samples(ACF_SQL + "SELECT entity, round(acf_half_s, 3) AS acf_half_s FROM (SELECT DISTINCT entity FROM ev) LEFT JOIN half USING (entity)"))
+def f4_acf_half(spark, sf):
+    x, step = acf_rows(spark, sf)
+    return S.autocorrelation_half(x, step, by=("entity",), longest_s=1e7).withColumn("acf_half_s", r("acf_half_s", 3))
+
+
+NORMAL_OUT = """round(slope, 6) AS slope, round("offset", 6) AS "offset", round(scatter, 6) AS scatter, gaussian"""
+
+
+@query("f6_gaussianity", demo.with_samples(", " + normality_sql("ev", "entity", "raw") + f"SELECT entity, {NORMAL_OUT} FROM fit"))
 def f6_gaussianity(spark, sf):
     x = S.gaussianity(demo.events(spark, sf), "raw", ("entity",))
     return x.withColumns({c: r(c) for c in ("slope", "offset", "scatter")})
 
 
-@query("f9_profiles")
+def described_sql(name: str, source: str, step: str) -> str:
+    """Common table `name`: the descriptors of samples.value by series in source, whose steps stand in step."""
+    snr = SNR.replace("FROM samples", f"FROM {source}")
+    return f"""{name} AS (WITH mo AS ({moments_sql(source)}), sn AS ({snr}), {acf_sql(source, "series", "value", step, 21600.0)}, {normality_sql(source, "series", "value")}
+ SELECT mo.*, round(snr, 4) AS snr, round(acf_half_s, 3) AS acf_half_s, {NORMAL_OUT} FROM mo LEFT JOIN sn USING (series) LEFT JOIN (SELECT series, half.acf_half_s FROM {step} LEFT JOIN half USING (series)) USING (series) LEFT JOIN fit USING (series))
+"""
+
+
+PROFILE_SQL = KINDS + f""", st AS ({step_sql("samples", "series")}),
+co AS (SELECT series, count(*) FILTER (kind <> -1) AS n_valid, count(*) FILTER (kind = 0) AS n_genuine, count(*) FILTER (kind = 1) AS n_interpolated,
+ count(*) FILTER (kind = 2) AS n_held, max(i) FILTER (kind = 0) - min(i) FILTER (kind = 0) AS span FROM (SELECT *, row_number() OVER (PARTITION BY series ORDER BY us, rid) AS i FROM kinds) GROUP BY series),
+su AS (SELECT *, CASE WHEN n_genuine > 1 THEN span * step_us / 1e6 / (n_genuine - 1) END AS spacing FROM co JOIN st USING (series)),
+gs AS (SELECT series, spacing * 1e6 AS step_us FROM su WHERE spacing > 0), gx AS (SELECT series, us, rid, value FROM kinds WHERE kind = 0), ax AS (SELECT series, us, rid, value FROM samples),
+""" + described_sql("da", "ax", "st") + ", " + described_sql("dg", "gx", "gs")
+GENUINE_COLUMNS = ("n", "mean", "std", "skew", "kurtosis", "q05", "q25", "median", "q75", "q95", "low", "high", "snr", "acf_half_s", "slope", "offset", "scatter", "gaussian")
+
+
+@query("f9_profiles", demo.with_samples(PROFILE_SQL + """SELECT 0::BIGINT AS n_implausible, n_valid, n_genuine, n_interpolated, n_held, n_interpolated + n_held AS n_filled, round(spacing, 4) AS spacing_s,
+ round(CASE WHEN n_valid > 0 THEN n_genuine / n_valid ELSE 0 END, 6) AS genuine_share, round(CASE WHEN n_valid > 0 THEN (n_interpolated + n_held) / n_valid ELSE 0 END, 6) AS filled_share, da.*, """
+ + ", ".join(f'dg."{c}" AS g_{c}' for c in GENUINE_COLUMNS) + " FROM su JOIN da USING (series) LEFT JOIN dg USING (series)"))
 def f9_profiles(spark, sf):
-    return S.profile(demo.samples(spark, sf), 0.0, 200.0)
+    out = S.profile(demo.samples(spark, sf), 0.0, 1000.0)
+    for g in ("", "g_"):
+        digits = {c: 6 for c in ("mean", "std", "q05", "q25", "median", "q75", "q95", "slope", "offset", "scatter")} | {"skew": 4, "kurtosis": 4, "snr": 4, "acf_half_s": 3}
+        out = out.withColumns({g + c: r(g + c, d) for c, d in digits.items()})
+    return out.withColumns({"spacing_s": r("spacing_s", 4), "genuine_share": r("genuine_share"), "filled_share": r("filled_share")})
 
 
 @query("f13_problem_counts", demo.with_samples("""

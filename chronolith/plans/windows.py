@@ -169,15 +169,39 @@ def h8_log_bins(spark, sf):
     return D.log_bins(lomb(spark, sf), ["entity"], 3).withColumn("power", r("power"))
 
 
-@query("h4_welch")
-def h4_welch(spark, sf):
+WELCH_SQL = """, wf AS (SELECT entity, min(us) AS a, max(us) AS b FROM ev GROUP BY entity), wc AS (SELECT entity, unnest(range(0, (b - a) // 21600000000 + 1)) AS cell FROM wf),
+wv AS (SELECT entity, (us - a) // 21600000000 AS cell, arg_max_null(raw, struct_pack(u := us, r := rid)) AS v FROM ev JOIN wf USING (entity) GROUP BY ALL),
+wk AS (SELECT entity, cell, v, last_value(CASE WHEN v IS NOT NULL THEN cell END IGNORE NULLS) OVER w AS ax, last_value(v IGNORE NULLS) OVER w AS ay,
+ first_value(CASE WHEN v IS NOT NULL THEN cell END IGNORE NULLS) OVER u AS bx, first_value(v IGNORE NULLS) OVER u AS b_y FROM wc LEFT JOIN wv USING (entity, cell)
+ WINDOW w AS (PARTITION BY entity ORDER BY cell ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), u AS (PARTITION BY entity ORDER BY cell ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
+wg AS (SELECT entity, cell, coalesce(v, CASE WHEN bx > ax THEN ay + (b_y - ay) * (cell - ax) / (bx - ax) END, ay, b_y) AS y FROM wk),
+wn AS (SELECT entity, count(*) AS n, least(count(*), 32) AS size, greatest(1, least(count(*), 32) // 2) AS hop FROM wg GROUP BY entity HAVING count(*) >= 4 AND count(y) = count(*)),
+ws AS (SELECT entity, size, hop, unnest(range(0, (n - size) // hop + 1)) AS seg FROM wn),
+wp AS (SELECT entity, seg, size, cell - seg * hop AS t, y FROM ws JOIN wg USING (entity) WHERE cell >= seg * hop AND cell < seg * hop + size),
+wd AS (SELECT p.entity, p.seg, p.size, t, (y - (s * t + i)) * (0.5 - 0.5 * cos(2 * pi() * t / (p.size - 1))) AS y, power(0.5 - 0.5 * cos(2 * pi() * t / (p.size - 1)), 2) AS h FROM wp p
+ JOIN (SELECT entity, seg, regr_slope(y, t) AS s, regr_intercept(y, t) AS i FROM wp GROUP BY ALL) USING (entity, seg)),
+wx AS (SELECT entity, seg, size, k, (power(sum(y * cos(2 * pi() * k * t / size)), 2) + power(sum(y * sin(2 * pi() * k * t / size)), 2)) * 21600 / sum(h) * CASE WHEN 2 * k = size THEN 1 ELSE 2 END AS p
+ FROM wd, (SELECT unnest(range(1, 17)) AS k) WHERE k <= size // 2 GROUP BY entity, seg, size, k),
+welch AS (SELECT entity, size * 21600.0 / k AS period, avg(p) AS psd FROM wx GROUP BY entity, size, k)
+"""
+
+
+def welch(spark, sf):
     return D.welch(demo.events(spark, sf).withColumnRenamed("raw", "value"), 21_600_000_000, 32, by=("entity",))
 
 
-@query("h9_average_spectra")
+@query("h4_welch", demo.with_samples(WELCH_SQL + "SELECT entity, round(period, 3) AS period, round(psd, 1) AS psd FROM welch"))
+def h4_welch(spark, sf):
+    return welch(spark, sf).select("entity", r("period", 3).alias("period"), r("psd", 1).alias("psd"))
+
+
+@query("h9_average_spectra", demo.with_samples(WELCH_SQL + """, sp AS (SELECT ln(min(period)) AS a, ln(max(period)) AS b FROM welch), g AS (SELECT point, a + (b - a) * point / 39 AS x FROM sp, (SELECT unnest(range(0, 40)) AS point)),
+n AS (SELECT *, lead(period) OVER w AS p1, lead(psd) OVER w AS v1 FROM welch WINDOW w AS (PARTITION BY entity ORDER BY period))
+SELECT entity % 5 AS grp, point, round(exp(x), 3) AS period, round(avg(coalesce(psd + (v1 - psd) * (exp(x) - period) / (p1 - period), psd)), 1) AS value, count(*) AS n
+FROM n JOIN g ON exp(x) >= period * (1 - 1e-9) AND exp(x) < coalesce(p1 * (1 - 1e-9), period * (1 + 1e-9)) GROUP BY entity % 5, point, x"""))
 def h9_average_spectra(spark, sf):
-    x = D.welch(demo.events(spark, sf).withColumnRenamed("raw", "value"), 21_600_000_000, 32, by=("entity",))
-    return D.average_spectra(x, ["entity"], F.col("entity") % 5)
+    x = D.average_spectra(welch(spark, sf), ["entity"], F.col("entity") % 5)
+    return x.withColumns({"period": r("period", 3), "value": r("value", 1)})
 
 
 @query("c1_cloud", demo.with_samples(KINDS + """SELECT series, rid, kind = 0 AS genuine, CASE WHEN label = 0 THEN 0 WHEN label BETWEEN 1 AND 99 THEN 2 WHEN label > 100 THEN 1 ELSE 3 END AS period, round((us - a) / 1e6, 3) AS seconds FROM
