@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from itertools import chain
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -187,17 +190,34 @@ def autocorrelation(samples: DataFrame, step: DataFrame, value: str = "value", b
     blocks = F.sequence(F.greatest(F.lit(0), F.floor((F.col("_at") - F.col("_lags")) / block)), F.floor(F.col("_at") / block))
     rows = rows.select(*keys, "step_us", "_lags", "_at", (F.col("_v") - F.col("_m")).alias("_v"), F.explode(blocks).alias("_block"))
 
-    def products(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("_at")
-        y, k = part["_v"].to_numpy(float), int(part["_lags"].iloc[0])
-        head = y[part["_at"].to_numpy() < (int(part["_block"].iloc[0]) + 1) * block]
-        size = 1 << int(np.ceil(np.log2(len(y) + len(head))))
-        s = np.fft.irfft(np.conj(np.fft.rfft(head, size)) * np.fft.rfft(y, size), size)[: k + 1]
-        first = part.iloc[0]
-        return pd.DataFrame({**{c: [first[c]] * len(s) for c in keys}, "step_us": float(first["step_us"]), "lag": np.arange(len(s)), "s": s})
+    def products(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rest = None
+        for part in chain(frames, [None]):
+            last = part is None
+            part = rest if last else part if rest is None else pd.concat([rest, part], ignore_index=True)
+            if part is None or not len(part):
+                continue
+            at, y, k = part["_at"].to_numpy(), part["_v"].to_numpy(float), part["_lags"].to_numpy()
+            first = part["_block"].to_numpy() * block
+            starts = np.flatnonzero(at == first)  # a block's rows begin at its first place
+            ends = np.append(starts[1:], len(part))
+            if not last:
+                rest = part.iloc[starts[-1] :].reset_index(drop=True)
+                starts, ends = starts[:-1], ends[:-1]
+            found = []
+            for i, j in zip(starts, ends):
+                own = y[i:j]
+                head = own[: np.searchsorted(at[i:j], first[i] + block)]
+                size = 1 << int(len(own) + len(head) - 1).bit_length()
+                found.append(np.fft.irfft(np.conj(np.fft.rfft(head, size)) * np.fft.rfft(own, size), size)[: min(int(k[i]) + 1, len(own))])
+            if found:
+                n = np.array([len(s) for s in found])
+                out = part[[*keys, "step_us"]].iloc[np.repeat(starts, n)].reset_index(drop=True)
+                yield out.assign(lag=np.concatenate([np.arange(m) for m in n]), s=np.concatenate(found))
 
     kinds = ", ".join(f"`{c}` {samples.schema[c].dataType.simpleString()}" for c in keys)
-    sums = rows.groupBy(*keys, "_block").applyInPandas(products, f"{kinds}, step_us double, lag long, s double").groupBy(*keys, "step_us", "lag").agg(F.sum("s").alias("s"))
+    rows = rows.repartition(*keys, "_block").sortWithinPartitions(*keys, "_block", "_at")
+    sums = rows.mapInPandas(products, f"{kinds}, step_us double, lag long, s double").groupBy(*keys, "step_us", "lag").agg(F.sum("s").alias("s"))
     return sums.select(*keys, "lag", (F.col("s") / F.first("s").over(Window.partitionBy(*keys).orderBy("lag"))).alias("rho"), "step_us")
 
 

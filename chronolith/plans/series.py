@@ -165,7 +165,7 @@ def f5_signal_to_noise(spark, sf):
 
 def moments_sql(source: str, by: str = "series", value: str = "value") -> str:
     return f"""SELECT {by}, n, round(CASE WHEN low = high THEN low ELSE m END, 6) AS mean, round(CASE WHEN low = high THEN 0 ELSE s END, 6) AS std,
- round(CASE WHEN low < high AND n >= 8 THEN m3 / (s * s * s) END, 4) AS skew, round(CASE WHEN low < high AND n >= 8 THEN m4 / (s * s * s * s) - 3 END, 4) AS kurtosis,
+ round(CASE WHEN low < high AND n >= 8 THEN m3 / (s * s * s) END, 8) AS skew, round(CASE WHEN low < high AND n >= 8 THEN m4 / (s * s * s * s) - 3 END, 8) AS kurtosis,
  round(q[1], 6) AS q05, round(q[2], 6) AS q25, round(q[3], 6) AS median, round(q[4], 6) AS q75, round(q[5], 6) AS q95, low, high FROM
  (SELECT {by}, count({value}) AS n, avg({value}) AS m, stddev_pop({value}) AS s, avg(power({value} - c, 3)) AS m3, avg(power({value} - c, 4)) AS m4,
   quantile_cont({value}, [0.05, 0.25, 0.5, 0.75, 0.95]) AS q, min({value}) AS low, max({value}) AS high
@@ -173,7 +173,7 @@ def moments_sql(source: str, by: str = "series", value: str = "value") -> str:
 
 
 def rounded_moments(df):
-    return df.withColumns({**{c: r(c) for c in ("mean", "std", "q05", "q25", "median", "q75", "q95")}, "skew": r("skew", 4), "kurtosis": r("kurtosis", 4)})
+    return df.withColumns({**{c: r(c) for c in ("mean", "std", "q05", "q25", "median", "q75", "q95")}, "skew": r("skew", 8), "kurtosis": r("kurtosis", 8)})
 
 
 @query("f1_moments", demo.with_samples(moments_sql("samples")))
@@ -255,7 +255,7 @@ def described_sql(name: str, source: str, step: str) -> str:
     """Common table `name`: the descriptors of samples.value by series in source, whose steps stand in step."""
     snr = SNR.replace("FROM samples", f"FROM {source}")
     return f"""{name} AS (WITH mo AS ({moments_sql(source)}), sn AS ({snr}), {acf_sql(source, "series", "value", step, 21600.0)}, {normality_sql(source, "series", "value")}
- SELECT mo.*, round(snr, 4) AS snr, round(acf_half_s, 3) AS acf_half_s, {NORMAL_OUT} FROM mo LEFT JOIN sn USING (series) LEFT JOIN (SELECT series, half.acf_half_s FROM {step} LEFT JOIN half USING (series)) USING (series) LEFT JOIN fit USING (series))
+ SELECT mo.*, round(snr, 8) AS snr, round(acf_half_s, 6) AS acf_half_s, {NORMAL_OUT} FROM mo LEFT JOIN sn USING (series) LEFT JOIN (SELECT series, half.acf_half_s FROM {step} LEFT JOIN half USING (series)) USING (series) LEFT JOIN fit USING (series))
 """
 
 
@@ -274,7 +274,7 @@ GENUINE_COLUMNS = ("n", "mean", "std", "skew", "kurtosis", "q05", "q25", "median
 def f9_profiles(spark, sf):
     out = S.profile(demo.samples(spark, sf), 0.0, 1000.0)
     for g in ("", "g_"):
-        digits = {c: 6 for c in ("mean", "std", "q05", "q25", "median", "q75", "q95", "slope", "offset", "scatter")} | {"skew": 4, "kurtosis": 4, "snr": 4, "acf_half_s": 3}
+        digits = {c: 6 for c in ("mean", "std", "q05", "q25", "median", "q75", "q95", "slope", "offset", "scatter")} | {"skew": 8, "kurtosis": 8, "snr": 8, "acf_half_s": 6}
         out = out.withColumns({g + c: r(g + c, d) for c, d in digits.items()})
     return out.withColumns({"spacing_s": r("spacing_s", 4), "genuine_share": r("genuine_share"), "filled_share": r("filled_share")})
 

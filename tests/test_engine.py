@@ -56,6 +56,23 @@ def test_autocorrelation_and_noise(spark):
     assert S.gaussianity(noise).first().gaussian and not S.gaussianity(series(spark, rng.uniform(size=20_000).tolist())).first().gaussian
 
 
+def test_autocorrelation_of_blocks(spark):
+    rng = np.random.default_rng(3)
+    y = np.round(rng.normal(size=203), 3)
+    rows = [("a", i * SEC, i, None if i % 50 == 7 else float(v)) for i, v in enumerate(y)] + [("b", i * SEC, i, 2.0) for i in range(9)] + [("c", 0, 0, 1.0), (None, 0, 0, 1.0), (None, SEC, 1, 3.0)]
+    x = spark.createDataFrame(rows, "series string, us long, rid long, value double")
+    known = np.array([v for i, v in enumerate(y) if i % 50 != 7])
+    known = known - known.mean()
+    for block, longest in ((16, 40.0), (1000, 1e6), (7, 6.0)):
+        got = {(r.series, r.lag): r.rho for r in S.autocorrelation(x, S.sampling_step(x), longest_s=longest, block=block).collect()}
+        lags = int(min(longest, len(known) - 1))
+        assert {k for k in got if k[0] == "a"} == {("a", k) for k in range(lags + 1)} and {k[0] for k in got} == {"a"}
+        for k in range(lags + 1):
+            assert got["a", k] == pytest.approx(float(known[: len(known) - k] @ known[k:] / (known @ known)), abs=1e-9)
+    half = {r.series: r.acf_half_s for r in S.autocorrelation_half(x, S.sampling_step(x)).collect()}
+    assert set(half) == {"a", "b", "c", None} and half["b"] is None and half["c"] is None and 0 < half["a"] <= 1
+
+
 def test_flat_and_short_series(spark):
     m = S.moments(series(spark, [118.5] * 20)).first()
     assert (m["mean"], m["std"], m["skew"]) == (118.5, 0.0, None)
