@@ -28,6 +28,26 @@ def facts(long: DataFrame, keys: list[str], low: float, high: float, enumerated:
     return stats.join(odd, [*keys, "channel"]).withColumns({"state": state, "implausible": outside_range(F.col("low"), F.col("high"), F.lit(low), F.lit(high))})
 
 
+def measured(fact: DataFrame, sampling: DataFrame, partners: DataFrame, conflicts: DataFrame, keys: list[str]) -> DataFrame:
+    """fact with n_genuine and n_filled readings (0 where unknown), partners (the channels it stands against in order) and conflicts (the
+    states it speaks against), both empty arrays where there is nothing, and whether it is out_of_order or against_state.
+
+    sampling: keys, channel, n_genuine, n_filled; partners: keys, channel, partners; conflicts: keys, channel, conflicts."""
+    on = [*keys, "channel"]
+    out = fact.join(sampling.select(*on, "n_genuine", "n_filled"), on, "left").join(partners, on, "left").join(conflicts, on, "left")
+    said = F.col("partners").isNotNull().alias("out_of_order"), F.col("conflicts").isNotNull().alias("against_state")
+    nothing = lambda c: F.coalesce(c, F.array().cast(out.schema[c].dataType)).alias(c)
+    known = [F.coalesce(c, F.lit(0)).alias(c) for c in ("n_genuine", "n_filled")]
+    return out.select(*fact.columns, *known, *said, nothing("partners"), nothing("conflicts"))
+
+
+def _measured_totals() -> list[Column]:
+    """Only a live channel's readings are split into measurements and filled ones: a frozen one counts as frozen."""
+    live = lambda c: F.sum(F.when(F.col("state") == 2, F.col(c)).otherwise(0))
+    names = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_set(c))))
+    return [live("n_genuine").alias("genuine"), live("n_filled").alias("filled"), F.count_if("out_of_order").alias("bars_out_of_order"), names("partners").alias("partners"), F.count_if("against_state").alias("bars_against_state"), names("conflicts").alias("conflicts")]
+
+
 def _totals() -> list[Column]:
     n, state = F.col("n_valid"), F.col("state")
     live, frozen = F.sum(F.when(state == 2, n).otherwise(0)), F.sum(F.when(state == 1, n).otherwise(0))
@@ -36,15 +56,22 @@ def _totals() -> list[Column]:
 
 
 def grouped(fact: DataFrame, key: str, total: str = "all") -> DataFrame:
-    """key, channel and the samples and bars in each state; a last group `total` sums all, in the same aggregation."""
-    sets = fact.groupingSets([[key, "channel"], ["channel"]], key, "channel").agg(*_totals(), F.grouping(key).alias("_g"))
+    """key, channel and the samples and bars in each state; a last group `total` sums all, in the same aggregation. Of a measured fact also
+    the measurements and filled readings, the bars out of order and against a state, and with what."""
+    further = _measured_totals() if "n_genuine" in fact.columns else []
+    sets = fact.groupingSets([[key, "channel"], ["channel"]], key, "channel").agg(*_totals(), *further, F.grouping(key).alias("_g"))
     return sets.withColumn(key, F.when(F.col("_g") == 1, total).otherwise(F.col(key).cast("string"))).drop("_g")
 
 
-def shares(table: DataFrame) -> DataFrame:
-    """The share of samples and of bars that are live; 0 where there is none."""
+def shares(table: DataFrame, step_s: float = 1.0) -> DataFrame:
+    """The share of samples and of bars that are live; 0 where there is none. Of a measured table also the share of filled samples, and, null
+    where there is no measurement, the share of live samples that are measurements and the seconds of live signal per measurement."""
     over = lambda a, b: F.coalesce(F.col(a) / F.nullif(F.col(b), F.lit(0)), F.lit(0.0))
-    return table.withColumns({"live_share": over("live", "n_samples"), "frozen_share": over("frozen", "n_samples"), "bar_share": over("bars_live", "n_bars")})
+    out = table.withColumns({"live_share": over("live", "n_samples"), "frozen_share": over("frozen", "n_samples"), "bar_share": over("bars_live", "n_bars")})
+    if "genuine" in table.columns:
+        per = lambda a, b: a / F.nullif(b, F.lit(0))
+        out = out.withColumns({"filled_share": over("filled", "n_samples"), "measured_share": per(F.col("genuine"), F.col("genuine") + F.col("filled")), "spacing_s": per(F.col("live") * step_s, F.col("genuine"))})
+    return out
 
 
 def coverage_order(total: DataFrame) -> DataFrame:
@@ -52,6 +79,11 @@ def coverage_order(total: DataFrame) -> DataFrame:
     return total.select("channel", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("live_share"), "channel")).alias("rank"))
 
 
+def reordered(table: DataFrame, order: DataFrame, name: str = "column_place") -> DataFrame:
+    """table with the place of its channel in a coverage order (channel, rank), as a column of its own; channels outside the order come last, null."""
+    return table.join(order.select("channel", F.col("rank").alias(name)), "channel", "left")
+
+
 def pair_counts(wide: DataFrame, keys: list[str], channels: list[str]) -> DataFrame:
     """keys, a, b, n: rows in which both channels have a reading, a up to b in the given order; one aggregation for all pairs."""
     pairs = [(a, b) for i, a in enumerate(channels) for b in channels[i:]]

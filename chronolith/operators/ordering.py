@@ -20,3 +20,8 @@ def ranked(df: DataFrame, keys: list[Column], name: str, parts: int | None = Non
     place = F.row_number().over(Window.partitionBy("_range").orderBy(*keys)) + F.col("_before")
     # as many rows as ranges, so a broadcast is bounded by the number of shuffle partitions
     return rows.join(F.broadcast(before), "_range").withColumn(name, place).drop("_range", "_before")
+
+
+def earliest(rows: DataFrame, by: list[str], order: list, most: int) -> DataFrame:
+    """The first `most` rows of each group in an order that has no ties; tasks drop the others before the shuffle."""
+    return rows.withColumn("_k", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("_k") <= most).drop("_k")

@@ -99,3 +99,18 @@ def chart_labels(rows: DataFrame, model: DataFrame, channels: list[str]) -> Data
     out = scored(rows, model, channels)
     ratio = F.greatest(F.col("t2") / F.greatest("t2_limit", F.lit(1e-12)), F.col("q") / F.greatest("q_limit", F.lit(1e-12)))
     return out.withColumns({"label": (ratio > 1).cast("tinyint"), "score": F.round(ratio, 3).cast("float")}).drop("channels", "mean", "std", "loadings", "variance", "t2", "q", "t2_limit", "q_limit")
+
+
+def scoring_job(rows: DataFrame, channels: list[str], key: str, by: str, normal: Column, chosen: Column | None = None, least: int = 600) -> tuple[DataFrame, DataFrame]:
+    """Scores the chosen recordings (all, without a choice) by a chart for each `by`, fitted on its normal rows: by entity one model for all its
+    recordings, by the recording itself (by = key) one for each. Fitting takes all normal rows, also of recordings that are not chosen.
+
+    Two frames: the chosen rows whose group has a model, with label and score; and key, grp, training_samples, scored of every chosen
+    recording, where one without a model is skipped (scored false)."""
+    rows = rows.withColumn("grp", F.col(by).cast("long"))
+    model = fit_chart(rows.where(normal), channels, by, least=least)
+    kept = rows if chosen is None else rows.where(chosen)
+    trained = rows.where(normal).dropna(subset=channels).groupBy("grp").agg(F.count(F.lit(1)).alias("training_samples"))
+    report = kept.select(key, "grp").distinct().join(trained, "grp", "left").join(model.select("grp", F.lit(True).alias("_m")), "grp", "left")
+    report = report.select(key, "grp", F.coalesce("training_samples", F.lit(0)).alias("training_samples"), F.coalesce("_m", F.lit(False)).alias("scored"))
+    return chart_labels(kept, model, channels), report

@@ -71,6 +71,13 @@ def state_breaks(wide: DataFrame, rules: list[tuple[int, str, bool, list[str]]],
     return out.withColumn("share", F.col("broken") / F.col("tested")).where(F.col("share") > reported)
 
 
+def state_conflicts(broken: DataFrame, rules: list[tuple[int, str, bool, list[str]]], channel_of: dict[str, str], key: str = "series") -> DataFrame:
+    """key, channel, conflicts: the states whose broken rules name the channel's valve, in order."""
+    named = F.array(*[F.struct(F.lit(code).alias("code"), F.array(*[F.lit(channel_of[v]) for v in valves]).alias("channels")) for code, _, _, valves in rules])
+    rows = broken.select(key, F.get(named, F.col("rule")).alias("r")).select(key, "r.code", F.explode("r.channels").alias("channel"))
+    return rows.groupBy(key, "channel").agg(F.array_sort(F.collect_set("code")).alias("conflicts"))
+
+
 def states_by_valve(wide: DataFrame, valves: list[str], state: str = "state", key: str = "series") -> DataFrame:
     """key, valve, reading, states: in which states each valve stood open or closed, or said nothing."""
     texts = [F.when(F.col(v), "open").when(~F.col(v), "closed").otherwise("unknown") for v in valves]

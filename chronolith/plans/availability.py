@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from chronolith.operators import availability as A
 from chronolith.operators import intervals as I
 from chronolith.operators import quality as K
+from chronolith.operators import series as S
 from chronolith.plans.intervals import CAT_SQL, cat
 from chronolith.plans.registry import query
 from chronolith.plans.series import r
@@ -192,3 +193,59 @@ def k8_kept_share(spark, sf):
 @query("k9_reasons", CLEAN_SQL + """SELECT event, string_agg(channel || ' by ' || concat_ws(' and ', CASE WHEN by_mean THEN 'mean' END, CASE WHEN by_std THEN 'std' END), ', ' ORDER BY channel) AS why FROM f WHERE by_mean OR by_std GROUP BY event""")
 def k9_reasons(spark, sf):
     return K.reasons(cleaned(spark, sf)[0])
+
+
+CONFLICT_SQL = """, t AS (SELECT entity, 0 AS rule, coalesce(NOT c, false) OR coalesce(NOT e, false) AS broken FROM vv WHERE state = 4 AND (c IS NOT NULL OR e IS NOT NULL)
+ UNION ALL SELECT entity, 1, c AND v FROM vv WHERE state = 3 AND c IS NOT NULL AND v IS NOT NULL UNION ALL SELECT entity, 2, v FROM vv WHERE state = 2 AND v IS NOT NULL),
+tb AS (SELECT entity, rule FROM t GROUP BY entity, rule HAVING count(*) FILTER (broken) / count(*) > 0.01),
+cf AS (SELECT entity, channel, list_sort(list(DISTINCT code)) AS conflicts FROM tb JOIN (VALUES (0, 4, 'click'), (0, 4, 'error'), (1, 3, 'click'), (1, 3, 'view'), (2, 2, 'view')) AS m(rule, code, channel) USING (rule) GROUP BY ALL),
+pa AS (SELECT entity, channel, list_sort(list(DISTINCT other)) AS partners FROM (SELECT entity, up AS channel, down AS other FROM br WHERE broken / compared > 0.01 UNION ALL SELECT entity, down, up FROM br WHERE broken / compared > 0.01) GROUP BY entity, channel),
+kd AS (SELECT *, value - lag(value) OVER w AS d, 1e-6 * greatest(max(abs(value)) OVER (PARTITION BY entity, channel), 1e-12) AS tol, count(value) OVER (PARTITION BY entity, channel) AS n FROM chan WINDOW w AS (PARTITION BY entity, channel ORDER BY us)),
+kx AS (SELECT *, lead(d) OVER (PARTITION BY entity, channel ORDER BY us) AS nx FROM kd),
+sm AS (SELECT entity, channel, count(*) FILTER (value IS NOT NULL AND (n < 2 OR (NOT coalesce(abs(d) <= tol, false) AND NOT (coalesce(abs(nx - d) <= tol, false) AND NOT coalesce(abs(nx) <= tol, false))))) AS n_genuine, count(value) AS nv FROM kx GROUP BY ALL),
+mf AS (SELECT f.*, n_genuine, nv - n_genuine AS n_filled, partners IS NOT NULL AS out_of_order, conflicts IS NOT NULL AS against_state, coalesce(partners, []) AS partners, coalesce(conflicts, []) AS conflicts
+ FROM fact f JOIN sm USING (entity, channel) LEFT JOIN pa USING (entity, channel) LEFT JOIN cf USING (entity, channel))
+"""
+MEASURED_SQL = FACT_SQL + BREAKS_SQL + VALVES_SQL + CONFLICT_SQL
+
+
+def measured(spark, sf):
+    rows = A.unpivoted(demo.daily(spark, sf), ["entity", "us", "rid"], TYPES)
+    by = ("entity", "channel")
+    sampling = S.sampling_summary(S.sample_kinds(rows, by=by), S.sampling_step(rows, by), by)
+    broken = K.state_breaks(valves(spark, sf), RULES, key="entity")
+    conflicts = K.state_conflicts(broken, RULES, {f"v_{c}": c for c in TYPES}, "entity")
+    return A.measured(fact(spark, sf), sampling, K.partners(breaks(spark, sf), "entity"), conflicts, ["entity"])
+
+
+def listed(*columns: str) -> dict:
+    return {c: F.array_join(F.transform(c, lambda x: x.cast("string")), ",") for c in columns}
+
+
+@query("a2_measured_facts", demo.with_daily(MEASURED_SQL + "SELECT entity, channel, total, n_valid, n_implausible, state, n_genuine, n_filled, out_of_order, against_state, array_to_string(partners, ',') AS partners, array_to_string(conflicts, ',') AS conflicts FROM mf"))
+def a2_measured_facts(spark, sf):
+    return measured(spark, sf).drop("grp", "low", "high", "implausible").withColumns(listed("partners", "conflicts"))
+
+
+@query("a3_measured_groups", demo.with_daily(MEASURED_SQL + """SELECT CASE WHEN grouping(grp) = 1 THEN 'all' ELSE grp::VARCHAR END AS grp, channel, count(*) AS n_bars, sum(total)::BIGINT AS n_samples,
+ sum(CASE state WHEN 2 THEN n_valid ELSE 0 END)::BIGINT AS live, sum(CASE state WHEN 2 THEN n_genuine ELSE 0 END)::BIGINT AS genuine, sum(CASE state WHEN 2 THEN n_filled ELSE 0 END)::BIGINT AS filled,
+ count(*) FILTER (out_of_order) AS bars_out_of_order, count(*) FILTER (against_state) AS bars_against_state,
+ array_to_string(list_sort(list_distinct(flatten(list(partners)))), ',') AS partners, array_to_string(list_sort(list_distinct(flatten(list(conflicts)))), ',') AS conflicts,
+ round(coalesce(sum(CASE state WHEN 2 THEN n_filled ELSE 0 END) / nullif(sum(total), 0), 0), 6) AS filled_share,
+ round(sum(CASE state WHEN 2 THEN n_genuine ELSE 0 END) / nullif(sum(CASE state WHEN 2 THEN n_genuine + n_filled ELSE 0 END), 0), 6) AS measured_share,
+ round(86400 * sum(CASE state WHEN 2 THEN n_valid ELSE 0 END) / nullif(sum(CASE state WHEN 2 THEN n_genuine ELSE 0 END), 0), 4) AS spacing_s FROM mf GROUP BY GROUPING SETS ((grp, channel), (channel))"""))
+def a3_measured_groups(spark, sf):
+    x = A.shares(A.grouped(measured(spark, sf), "grp"), 86_400.0).withColumns(listed("partners", "conflicts"))
+    kept = ("grp", "channel", "n_bars", "n_samples", "live", "genuine", "filled", "bars_out_of_order", "bars_against_state", "partners", "conflicts")
+    return x.select(*kept, r("filled_share").alias("filled_share"), r("measured_share").alias("measured_share"), r("spacing_s", 4).alias("spacing_s"))
+
+
+@query("a7_reordered", demo.with_daily(GROUPED_SQL + """SELECT g.grp, g.channel, n_bars, live, rank AS column_place FROM grouped g JOIN (SELECT channel, row_number() OVER (ORDER BY live / n_samples DESC, channel) AS rank FROM grouped WHERE grp = 'all') o USING (channel)"""))
+def a7_reordered(spark, sf):
+    table = A.grouped(fact(spark, sf), "grp")
+    return A.reordered(table, A.coverage_order(A.shares(table).where("grp = 'all'"))).select("grp", "channel", "n_bars", "live", "column_place")
+
+
+@query("s6_sensor_stats", demo.with_daily("SELECT entity, channel, count(*) AS total, count(value) AS n_valid, round(min(value), 6) AS low, round(max(value), 6) AS high FROM chan GROUP BY entity, channel"))
+def s6_sensor_stats(spark, sf):
+    return A.sensor_stats(long(spark, sf), ["entity"]).withColumns({"low": r("low"), "high": r("high")})

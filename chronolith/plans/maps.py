@@ -12,7 +12,7 @@ from chronolith.operators import series as S
 from chronolith.plans.availability import FACT_SQL, TYPES, fact
 from chronolith.plans.intervals import CAT_SQL, RUNS_SQL, cat
 from chronolith.plans.registry import query
-from chronolith.plans.series import r
+from chronolith.plans.series import ACF_SQL, SNR, acf_rows, r
 from chronolith.sources import demo
 
 
@@ -225,3 +225,36 @@ def b15_channel_pairs(spark, sf):
 def b10_correlated_pairs(spark, sf):
     x = spark.read.parquet(f"{sf}/lineitem.parquet").select(F.col("l_returnflag").alias("period"), F.col("l_quantity").cast("double").alias("q"), F.col("l_discount").cast("double").alias("d"))
     return x.groupBy("period").agg(F.count(F.lit(1)).alias("n"), r(D.pearson("q", "d")).alias("r"))
+
+
+@query("g10_scoring_report", """WITH x AS (SELECT l_suppkey AS grp, l_suppkey * 10 + l_linenumber AS recording, l_linenumber, l_returnflag, l_quantity::DOUBLE AS a, l_extendedprice::DOUBLE AS b, l_discount::DOUBLE AS c FROM lineitem),
+m AS (SELECT grp, count(*) AS training_samples, count(*) >= 200 AND stddev_pop(a) > 0 AND stddev_pop(b) > 0 AND stddev_pop(c) > 0 AS scored FROM x WHERE l_returnflag = 'N' AND a IS NOT NULL AND b IS NOT NULL AND c IS NOT NULL GROUP BY grp)
+SELECT grp, recording, coalesce(training_samples, 0) AS training_samples, coalesce(scored, false) AS scored FROM (SELECT DISTINCT grp, recording FROM x WHERE l_linenumber IN (1, 3)) LEFT JOIN m USING (grp)""")
+def g10_scoring_report(spark, sf):
+    return scored_recordings(spark, sf)[1]
+
+
+def scored_recordings(spark, sf):
+    """Recordings are a supplier's lines of one number; the model of a supplier is fitted on the lines with flag N."""
+    x = spark.read.parquet(f"{sf}/lineitem.parquet")
+    readings = [F.col(c).cast("double").alias(n) for n, c in zip(CHART_CHANNELS, ("l_quantity", "l_extendedprice", "l_discount"))]
+    entity = F.col("l_suppkey").cast("long")
+    rows = x.select(entity.alias("entity"), (entity * 10 + F.col("l_linenumber")).alias("recording"), "l_linenumber", "l_returnflag", *readings)
+    return G.scoring_job(rows, CHART_CHANNELS, "recording", "entity", F.col("l_returnflag") == "N", F.col("l_linenumber").isin(1, 3), 200)
+
+
+M2_SQL = ACF_SQL + ", sn AS (" + SNR.replace("series", "entity").replace("samples", "(SELECT entity, us, rid, raw AS value FROM ev)") + """), sp AS (SELECT entity, (max(us) - min(us)) / 1e6 / count(*) AS spacing, count(*) AS n, stddev_pop(raw) AS std FROM ev GROUP BY entity)
+, f AS (SELECT sp.entity AS id, n > 0 AND std > 0 AS live, acf_half_s, snr, spacing, std FROM sp LEFT JOIN half USING (entity) LEFT JOIN sn USING (entity)),
+u AS (SELECT id, 'raw | acf' AS feature, CASE WHEN live THEN log10(greatest(1, least(acf_half_s, 216000))) END AS value FROM f UNION ALL SELECT id, 'raw | snr', CASE WHEN live THEN log10(greatest(1e-3, least(snr, 1e9))) END FROM f
+ UNION ALL SELECT id, 'raw | spacing', CASE WHEN live THEN log10(greatest(spacing, 1)) END FROM f UNION ALL SELECT id, 'raw | std', CASE WHEN live THEN std END FROM f)
+SELECT id, feature, round(value, 6) AS value FROM u"""
+
+
+@query("m2_transforms", demo.with_samples(M2_SQL))
+def m2_transforms(spark, sf):
+    x, step = acf_rows(spark, sf)
+    by = ("entity",)
+    stats = x.groupBy("entity").agg(F.count("value").alias("n_valid"), F.stddev_pop("value").alias("std"), ((F.max("us") - F.min("us")) / 1e6 / F.count(F.lit(1))).alias("spacing"))
+    stats = stats.join(S.autocorrelation_half(x, step, by=by, longest_s=1e7).withColumnRenamed("acf_half_s", "acf"), "entity", "left").join(S.signal_to_noise(x, by=by), "entity", "left")
+    out = M.features(stats.withColumnRenamed("entity", "id").withColumn("channel", F.lit("raw")), ["acf", "snr", "spacing", "std"], 0.0)
+    return out.withColumn("value", r("value"))

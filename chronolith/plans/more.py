@@ -13,7 +13,7 @@ from chronolith.operators import maps as M
 from chronolith.operators import outputs as G
 from chronolith.operators import series as S
 from chronolith.operators import windows as W
-from chronolith.operators.ordering import ranked
+from chronolith.operators.ordering import earliest, ranked
 from chronolith.plans.availability import FACT_SQL, GROUPED_SQL, TYPES, fact, pairs_sql
 from chronolith.plans.intervals import CAT_SQL, GROUPS_SQL, cat, grouped, groups_sql
 from chronolith.plans.maps import AGREE, VERDICT_SQL, parts, points
@@ -21,6 +21,7 @@ from chronolith.plans.registry import query
 from chronolith.plans.series import KINDS, moments_sql, r, rounded_moments
 from chronolith.plans.windows import CUT_SQL, LOMB_SQL, lomb, placed
 from chronolith.sources import demo
+from chronolith.sources.recordings import state_name
 
 
 @query("a8_channel_shares", demo.with_daily(FACT_SQL + """SELECT state, sum(n_valid)::BIGINT AS samples, count(*) AS bars, bool_or(implausible) AS implausible FROM fact WHERE channel = 'error' AND grp IN (1, 2) GROUP BY state"""))
@@ -84,9 +85,8 @@ def e21_entity_filters(spark, sf):
 
 @query("f10_profile_frame", demo.with_daily(FACT_SQL + "SELECT d.entity, t.channel, coalesce(f.n_valid, 0) AS n_valid, coalesce(f.state, 0) AS state FROM (SELECT DISTINCT entity FROM daily) d CROSS JOIN (SELECT unnest(['click', 'error', 'purchase', 'signup', 'view', 'absent']) AS channel) t LEFT JOIN fact f ON f.entity = d.entity AND f.channel = t.channel"))
 def f10_profile_frame(spark, sf):
-    known = spark.createDataFrame([(c,) for c in [*TYPES, "absent"]], "channel string")
     own = fact(spark, sf)
-    grid = own.select("entity").distinct().crossJoin(F.broadcast(known))
+    grid = own.select("entity").distinct().select("entity", F.explode(F.array(*map(F.lit, [*TYPES, "absent"]))).alias("channel"))
     return grid.join(own, ["entity", "channel"], "left").select("entity", "channel", F.coalesce("n_valid", F.lit(0)).alias("n_valid"), F.coalesce("state", F.lit(0)).alias("state"))
 
 
@@ -201,3 +201,39 @@ def w7_separation_by_group(spark, sf):
 @query("w10_window_at", demo.with_samples(CUT_SQL + ', w AS (SELECT series, win, min(us) AS a, max(us) AS b FROM placed GROUP BY series, win) SELECT series, win::BIGINT AS "window" FROM w WHERE a <= 1705276800000000 AND b >= 1705276800000000'))
 def w10_window_at(spark, sf):
     return W.windows(placed(spark, sf), 3).where("start <= 1705276800000000 and last >= 1705276800000000").select("series", "window")
+
+
+UNITS = {"view": "Pa", "click": "°C", "error": "%", "purchase": "m³/s", "signup": "-"}
+
+
+@query("e6_unit_ranges", demo.with_samples("""SELECT event_type, count(*) AS n, count(*) FILTER (NOT raw BETWEEN low AND high) AS n_implausible, round(min(raw) FILTER (raw BETWEEN low AND high) * scale, 9) AS low, round(max(raw) FILTER (raw BETWEEN low AND high) * scale, 9) AS high FROM ev
+ JOIN (VALUES ('view', 0.0, 1e8, 1e-6), ('click', -50.0, 250.0, 1.0), ('error', 0.0, 100.0, 1.0), ('purchase', 0.0, 10.0, 1.0), ('signup', -1e8, 1e8, 1.0)) AS u(event_type, low, high, scale) USING (event_type) GROUP BY event_type, scale"""))
+def e6_unit_ranges(spark, sf):
+    """Plausible and shown readings where each event type has a unit of its own."""
+    unit = F.create_map(*[F.lit(x) for item in UNITS.items() for x in item])[F.col("event_type")]
+    x = demo.events(spark, sf).withColumn("unit", unit)
+    ok = L.plausible(F.col("raw"), *L.bounds(F.col("unit")))
+    shown = L.shown(ok, F.col("unit"))
+    return x.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("raw").isNotNull() & ok.isNull()).alias("n_implausible"), r(F.min(shown), 9).alias("low"), r(F.max(shown), 9).alias("high"))
+
+
+@query("e11_valve_positions", demo.with_samples("SELECT series, rid, CASE label WHEN 1 THEN true WHEN 0 THEN false END AS valve, CASE WHEN raw BETWEEN 0 AND 100 THEN raw > 0 END AS choke FROM samples"))
+def e11_valve_positions(spark, sf):
+    return demo.samples(spark, sf).select("series", "rid", L.valve_open(F.col("label")).alias("valve"), L.valve_open(F.col("raw"), True).alias("choke"))
+
+
+@query("e3_state_names", demo.with_samples("SELECT coalesce(CASE code WHEN 0 THEN 'Open' WHEN 1 THEN 'Shut-In' WHEN 2 THEN 'Flushing Diesel' WHEN 3 THEN 'Flushing Gas' WHEN 4 THEN 'Bullheading' END, 'Unknown') AS name, count(*) AS n FROM (SELECT CASE WHEN rid % 9 = 0 THEN NULL WHEN rid % 10 = 0 THEN 77 ELSE code END AS code FROM ev) GROUP BY 1"))
+def e3_state_names(spark, sf):
+    code = F.when(F.col("rid") % 9 == 0, None).when(F.col("rid") % 10 == 0, 77).otherwise(F.col("code"))
+    return demo.events(spark, sf).groupBy(state_name(code).alias("name")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("l1_catalogue_order", demo.with_samples(CAT_SQL + "SELECT series, row_number() OVER (ORDER BY entity, start, series) AS place FROM cat"))
+def l1_catalogue_order(spark, sf):
+    return ranked(cat(spark, sf), [F.asc("entity"), F.asc("start"), F.asc("series")], "place").select("series", "place")
+
+
+@query("l3_caps", demo.with_samples(CAT_SQL + "SELECT fault, series FROM (SELECT fault, series, row_number() OVER (PARTITION BY fault ORDER BY start, series) AS k FROM cat) WHERE k <= 24"))
+def l3_caps(spark, sf):
+    """The earliest 24 recordings of each fault, which a view draws over each other."""
+    return earliest(cat(spark, sf), ["fault"], ["start", "series"], 24).select("fault", "series")

@@ -15,6 +15,7 @@ from chronolith.operators import maps as M
 from chronolith.operators import outputs as G
 from chronolith.operators import quality as K
 from chronolith.operators import series as S
+from chronolith.operators.ordering import earliest
 from chronolith.operators import windows as W
 
 SEC = 1_000_000
@@ -270,3 +271,27 @@ def test_fill_and_detrend(spark):
     assert column(g, "filled", "cell") == [1, 1, 2, 3, 4, 4]
     rest = S.detrend(series(spark, [1, 3, 5, 7]), "value", "rid")
     assert max(abs(v) for v in column(rest, "rest")) < 1e-9 and not math.isnan(column(rest, "rest")[0])
+
+
+def test_scoring_job(spark):
+    """Per entity and per recording: what lacks normal rows, or a channel that moves, is skipped, and only chosen recordings are scored."""
+    rng = np.random.default_rng(8)
+    rows = []
+    for recording, (entity, n, spoilt) in enumerate([(1, 80, False), (1, 80, True), (2, 5, False), (3, 80, False)]):
+        for i in range(n):
+            a = float(rng.normal())
+            far = spoilt and i >= 60
+            rows.append((recording, entity, i, 1.0 if entity == 3 else a, 2 * a + float(rng.normal()) * 0.1 + (30.0 if far else 0.0), float(rng.normal()), 1 if far else 0))
+    x = spark.createDataFrame(rows, "recording long, entity long, us long, p double, t double, q double, label int")
+    normal = F.col("label") == 0
+    out, report = G.scoring_job(x, ["p", "t", "q"], "recording", "entity", normal, F.col("recording") != 0, 50)
+    assert {(r.recording, r.grp, r.training_samples, r.scored) for r in report.collect()} == {(1, 1, 140, True), (2, 2, 5, False), (3, 3, 80, False)}
+    got = out.collect()
+    assert len(got) == 80 and {r.recording for r in got} == {1} and all(r.score > 1 and r.label == 1 for r in got if r.us >= 60)
+    out, report = G.scoring_job(x, ["p", "t", "q"], "recording", "recording", normal, None, 50)
+    assert {(r.recording, r.scored) for r in report.collect()} == {(0, True), (1, True), (2, False), (3, False)} and out.count() == 160
+
+
+def test_earliest(spark):
+    x = spark.createDataFrame([(1, 3), (1, 1), (1, 2), (2, 9), (None, 4)], "g int, at int")
+    assert {tuple(r) for r in earliest(x, ["g"], ["at"], 2).collect()} == {(1, 1), (1, 2), (2, 9), (None, 4)}

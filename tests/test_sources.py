@@ -81,6 +81,8 @@ def test_refresh_and_derived(spark, root, tmp_path):
     assert scanned == [1] and again.count() == 4 and R.digest(R.files(spark, str(root))).first().digest != before
     R.save_derived(spark.range(3), str(tmp_path / "d"), before, 1)
     assert R.load_derived(spark, str(tmp_path / "d"), before, 1).count() == 3
+    R.save_derived(spark.range(0), str(tmp_path / "empty"), before, 1)
+    assert R.load_derived(spark, str(tmp_path / "empty"), before, 1).count() == 0 and R.load_derived(spark, str(tmp_path / "empty"), before, 2) is None
     assert R.load_derived(spark, str(tmp_path / "d"), "other", 1) is None and R.load_derived(spark, str(tmp_path / "none"), before, 1) is None
 
 
