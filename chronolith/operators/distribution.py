@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from itertools import chain
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -125,20 +126,34 @@ def welch(samples: DataFrame, step_us: int, segment: int = 0, overlap: float = 0
     whole = whole.withColumn("_hop", F.greatest(F.lit(1), F.bround(size * (1 - overlap)).cast("long")))
     first = F.greatest(F.lit(0), F.ceil((F.col("cell") - size + 1) / hop))
     last = F.least(F.floor((n - size) / hop), F.floor(F.col("cell") / hop))
-    parts = grid.join(whole, keys).withColumns({"_a": first, "_b": last}).where("_a <= _b").select(*keys, "cell", "filled", F.explode(F.sequence("_a", "_b")).alias("_segment"))
-
-    def one(rows: pd.DataFrame) -> pd.DataFrame:
-        y = rows.sort_values("cell")["filled"].to_numpy(float)
-        m = len(y)
-        t, shape = np.arange(m), shapes[window](m)
-        y = y - np.polyval(np.polyfit(t, y, 1), t)
-        psd = np.abs(np.fft.rfft(y * shape)) ** 2 * step_s / (shape**2).sum()
-        psd[1 : (m + 1) // 2] *= 2
-        f = np.fft.rfftfreq(m, step_s)[1:]
-        return pd.DataFrame({**{c: [rows[c].iloc[0]] * len(f) for c in keys}, "period": 1 / f, "psd": psd[1:]})
+    parts = grid.join(whole, keys).withColumns({"_a": first, "_b": last}).where("_a <= _b").select(*keys, "cell", "filled", "_hop", F.explode(F.sequence("_a", "_b")).alias("_segment"))
+
+    def densities(frames):
+        rest = None
+        for part in chain(frames, [None]):
+            last = part is None
+            part = rest if last else part if rest is None else pd.concat([rest, part], ignore_index=True)
+            if part is None or not len(part):
+                continue
+            starts = np.flatnonzero(part["cell"].to_numpy() == (part["_segment"] * part["_hop"]).to_numpy())  # a segment's first cell
+            ends, y, out = np.append(starts[1:], len(part)), part["filled"].to_numpy(float), []
+            if not last:
+                rest = part.iloc[starts[-1] :].reset_index(drop=True)
+                starts, ends = starts[:-1], ends[:-1]
+            for i, j in zip(starts, ends):
+                m = j - i
+                t, shape = np.arange(m) - (m - 1) / 2, shapes[window](m)
+                own = y[i:j] - y[i:j].mean()
+                psd = np.abs(np.fft.rfft((own - t * (t @ own) / (t @ t)) * shape)) ** 2 * step_s / (shape**2).sum()
+                psd[1 : (m + 1) // 2] *= 2
+                out.append((psd[1:], 1 / np.fft.rfftfreq(m, step_s)[1:]))
+            if out:
+                rows = part[keys].iloc[np.repeat(starts, [len(p) for p, _ in out])].reset_index(drop=True)
+                yield rows.assign(period=np.concatenate([f for _, f in out]), psd=np.concatenate([p for p, _ in out]))
 
     kinds = ", ".join(f"`{c}` {samples.schema[c].dataType.simpleString()}" for c in keys)
-    return parts.groupBy(*keys, "_segment").applyInPandas(one, f"{kinds}, period double, psd double").groupBy(*keys, "period").agg(F.avg("psd").alias("psd"))
+    parts = parts.repartition(*keys, "_segment").sortWithinPartitions(*keys, "_segment", "cell")
+    return parts.mapInPandas(densities, f"{kinds}, period double, psd double").groupBy(*keys, "period").agg(F.avg("psd").alias("psd"))
 
 
 def average_spectra(spectrum: DataFrame, by: list[str], group: Column, points: int = 40, value: str = "psd") -> DataFrame:
