@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from chronolith.llm import chat, crf, language, lcp, mixing, packing, pii, sentences, simhash, toxicity
+from chronolith.llm import chat, codes, crf, language, lcp, mixing, negatives, packing, pii, sentences, simhash, toxicity, urls
 
 QUERIES = {
     "op7_sentences": sentences.query,
@@ -15,8 +15,14 @@ QUERIES = {
     "op1_fingerprint": lcp.query,
     "op9_packing": packing.query,
     "op5_simhash": simhash.query,
+    "op11_url_filter": urls.query,
+    "op12_hard_negatives": negatives.query,
+    "op13_vector_codes": codes.query,
 }
 
 ORACLES: dict[str, str] = {
     "op2_chat": chat.SQL,
+    "op11_url_filter": urls.SQL,
+    "op12_hard_negatives": negatives.SQL,
+    "op13_vector_codes": codes.SQL,
 }
