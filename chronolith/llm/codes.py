@@ -129,7 +129,8 @@ def prepared(rows: DataFrame, scale: int = SCALE) -> DataFrame:
 def first_books(held: DataFrame, width: int, entries: int = ENTRIES) -> np.ndarray:
     """The codebooks (part, entry, component) at the start: the parts of the rows with the smallest vec_ids, null ones last."""
     first = held.orderBy(F.asc_nulls_last("vec_id"), "v").limit(entries).select("v").toArrow()
-    return matrix(first.column("v").combine_chunks(), PARTS * width).reshape(-1, PARTS, width).transpose(1, 0, 2)
+    v = matrix(first.column("v").combine_chunks(), PARTS * width)
+    return v.reshape(len(v), PARTS, width).transpose(1, 0, 2)
 
 
 def moved(held: DataFrame, books: np.ndarray) -> np.ndarray:
