@@ -15,7 +15,8 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chronolith.llm.common import code_points, map_arrow, mix64, slices, table, text_rows
@@ -24,6 +25,8 @@ from chronolith.llm.common import code_points, map_arrow, mix64, slices, table,
 LEVELS, SKETCHED, K, AT_ONCE = 3, (2, 3), 64, 150_000
 BASE = 0x9E3779B97F4A7C15
 LEAST = -(1 << 63)
+#: Rows of the sample for each bucket; low bits of a row's place that are its own; bytes of texts that are compared at once.
+SAMPLE, OWN_BITS, TEXTS_AT_ONCE = 32, (1 << 24) - 1, 1 << 22
 
 
 def _second_labels() -> np.ndarray:
@@ -137,34 +140,48 @@ def phrases(docs: DataFrame, levels: int = LEVELS) -> DataFrame:
 
 
 def beside_next(docs: DataFrame, buckets: int | None = None) -> DataFrame:
-    """doc_id, text with bucket, key and extra, dealt and sorted so that each row's follower in its bucket is the next document
+    """doc_id, text with bucket, key, within and extra, dealt and sorted so that each row's follower in its bucket is the next document
     by descending doc_id; at a bucket's end stands, marked extra, the first row of the next bucket.
 
-    Only each bucket's bounds pass through the driver. Repeated ids follow each other by text; a null id comes last.
+    Rows of one id follow each other by a hash of their texts, and those without one come last, by the same; the hash's low bits are the
+    row's own, so that neither a hot id nor many copies of one row must share a bucket. Buckets are cut by a sample of SAMPLE rows a bucket;
+    the sample and each bucket's first row, numbers alone, pass through the driver.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.coalesce(F.col("doc_id").cast("long"), F.lit(LEAST)).alias("key"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    own = F.xxhash64(F.monotonically_increasing_id()).bitwiseAND(F.lit(OWN_BITS))
+    within = F.xxhash64("text").bitwiseAND(F.lit(~OWN_BITS)).bitwiseOR(own)
+    rows = rows.withColumn("key", F.coalesce("doc_id", F.lit(LEAST))).withColumn("within", within)
     buckets = buckets or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    shares = [i / buckets for i in range(1, buckets)]
-    bounds = sorted(set(docs.select(F.percentile_approx(F.col("doc_id").cast("long"), shares, 10 * buckets).alias("b")).first().b or []))
-    # the number of bounds up to the key, by halving
-    bucket = F.lit(0)
-    if bounds:
-        bucket = F.expr(_halving(bounds, 0, len(bounds)))
-    rows = rows.withColumn("bucket", bucket)
-    tops = sorted(rows.groupBy("bucket").agg(F.max("key").alias("top")).collect())
-    after = spark.createDataFrame([(top, tops[(i + 1) % len(tops)][0]) for i, (_, top) in enumerate(tops)], "top long, above int")
-    both = rows.join(F.broadcast(after), rows.key == after.top, "left")
+    share = SAMPLE * buckets / max(1, docs.count())
+    drawn = F.pmod(F.xxhash64("within", "key"), F.lit(1 << 30)) < F.lit(int(min(1.0, share) * (1 << 30)))
+    sample = sorted(((-r.key, r.within) for r in rows.where(drawn).select("key", "within").collect()))
+    bounds = [sample[i * len(sample) // buckets] for i in range(1, buckets)] if len(sample) >= buckets else sample
+    rows = rows.withColumn("bucket", _places([-k for k, _ in bounds], [w for _, w in bounds]))
+    first = F.max(F.struct("key", (-1 - F.col("within")).alias("within")))  # of the greatest keys the least within
+    tops = sorted(rows.groupBy("bucket").agg(first.alias("top")).collect())
+    above = [(r.top.key, -1 - r.top.within, tops[i - 1].bucket) for i, r in enumerate(tops)]  # the first row of all follows the last
+    after = F.broadcast(spark.createDataFrame(above, "top long, top_within long, above int"))
+    both = rows.join(after, (rows.key == after.top) & (rows.within == after.top_within), "left")
     both = both.withColumn("to", F.explode(F.expr("if(above is null, array(struct(bucket, 0 as extra)), array(struct(bucket, 0 as extra), struct(above as bucket, 1 as extra)))")))
-    both = both.select("doc_id", "text", "key", "to.bucket", "to.extra")
-    return both.repartition(F.col("bucket")).sortWithinPartitions("bucket", "extra", F.desc("key"), "text")
+    both = both.select("doc_id", "text", "key", "within", "to.bucket", "to.extra")
+    return both.repartition(F.col("bucket")).sortWithinPartitions("bucket", "extra", F.desc("key"), "within")
 
 
-def _halving(bounds: list[int], low: int, high: int) -> str:
-    if low == high:
-        return str(low)
-    middle = (low + high) // 2
-    return f"if(key >= {bounds[middle]}L, {_halving(bounds, middle + 1, high)}, {_halving(bounds, low, middle)})"
+def _places(keys: list[int], withins: list[int]) -> Column:
+    """How many of the bounds, sorted by descending key and then within, do not come after a row: a binary search."""
+    if not keys:
+        return F.lit(0)
+    k, w = (F.array(*map(F.lit, x)) for x in (keys, withins))
+
+    def step(at: Column, _: Column) -> Column:
+        middle = F.shiftright(at.low + at.high, 1)
+        upto = (F.get(k, middle) > F.col("key")) | ((F.get(k, middle) == F.col("key")) & (F.get(w, middle) <= F.col("within")))
+        going = at.low < at.high
+        return F.struct(F.when(going & upto, middle + 1).otherwise(at.low).alias("low"), F.when(going & ~upto, middle).otherwise(at.high).alias("high"))
+
+    steps = F.sequence(F.lit(0), F.lit(len(keys).bit_length()))
+    return F.aggregate(steps, F.struct(F.lit(0).alias("low"), F.lit(len(keys)).alias("high")), step, lambda at: at.low)
 
 
 EDITED = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
@@ -173,28 +190,34 @@ EDITED = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, e
 def _against_next(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held: tuple | None = None
     for batch in batches:
-        texts = text_rows(batch)
-        own = sketches(texts)
-        rows = list(zip(batch.column("bucket").to_pylist(), batch.column("extra").to_pylist(), batch.column("doc_id").to_pylist(), texts, own))
-        rows = [held, *rows] if held else rows
-        held = rows[-1]
-        pairs = [(x, y) for x, y in zip(rows, rows[1:]) if x[0] == y[0] and not x[1]]
-        if not pairs:
-            continue
-        edited = [x[3][: len(x[3]) - len(x[3]) // 3] + y[3][: len(x[3]) // 3] for x, y in pairs]
-        found = sketches(edited)
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array([x[2] for x, _ in pairs], pa.int64()),
-                pa.array([len(x[3]) for x, _ in pairs], pa.int64()),
-                pa.array([hashlib.sha256(e.encode()).hexdigest() for e in edited], pa.string()),
-                pa.array([fingerprint(x[4]) for x, _ in pairs], pa.string()),
-                pa.array([fingerprint(f) for f in found], pa.string()),
-                pa.array([likeness(x[4], f) for (x, _), f in zip(pairs, found)], pa.float64()),
-                pa.array([likeness(x[4], y[4]) for x, y in pairs], pa.float64()),
-            ],
-            names=[c.split()[0] for c in EDITED.split(", ")],
-        )
+        lengths = pc.binary_length(batch.column("text")).fill_null(0).to_pylist()
+        for a, b in slices(lengths, TEXTS_AT_ONCE):
+            rows = batch.slice(a, b - a)
+            texts = text_rows(rows)
+            own = sketches(texts)
+            rows = list(zip(rows.column("bucket").to_pylist(), rows.column("extra").to_pylist(), rows.column("doc_id").to_pylist(), texts, own))
+            rows = [held, *rows] if held else rows
+            held = rows[-1]
+            pairs = [(x, y) for x, y in zip(rows, rows[1:]) if x[0] == y[0] and not x[1]]
+            if pairs:
+                yield _compared(pairs)
+
+
+def _compared(pairs: list[tuple[tuple, tuple]]) -> pa.RecordBatch:
+    edited = [x[3][: len(x[3]) - len(x[3]) // 3] + y[3][: len(x[3]) // 3] for x, y in pairs]
+    found = sketches(edited)
+    return pa.RecordBatch.from_arrays(
+        [
+            pa.array([x[2] for x, _ in pairs], pa.int64()),
+            pa.array([len(x[3]) for x, _ in pairs], pa.int64()),
+            pa.array([hashlib.sha256(e.encode()).hexdigest() for e in edited], pa.string()),
+            pa.array([fingerprint(x[4]) for x, _ in pairs], pa.string()),
+            pa.array([fingerprint(f) for f in found], pa.string()),
+            pa.array([likeness(x[4], f) for (x, _), f in zip(pairs, found)], pa.float64()),
+            pa.array([likeness(x[4], y[4]) for x, y in pairs], pa.float64()),
+        ],
+        names=[c.split()[0] for c in EDITED.split(", ")],
+    )
 
 
 def fingerprint_edits(docs: DataFrame, buckets: int | None = None) -> DataFrame:
