@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import base64
 import json
+import logging
 import math
 import zlib
 from functools import lru_cache, partial
@@ -24,6 +25,7 @@ from pyspark.sql import functions as F
 
 from chronolith.llm.common import map_arrow, stored, table
 
+LOG = logging.getLogger(__name__)
 CAPACITY, END = 1024, 2
 #: Pieces of a group, on average (half as many in a rerun); rounds.
 GROUP, ROUNDS = 4096, 3
@@ -46,6 +48,23 @@ def encoder(ranks_path: str):
     return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=added_tokens(ranks_path))
 
 
+@lru_cache(maxsize=2)
+def slow_encoder(ranks_path: str):
+    """The tokenizer file that lies beside a ranks file."""
+    import tokenizers
+
+    return tokenizers.Tokenizer.from_file(str(Path(ranks_path).with_suffix(".json")))
+
+
+def encoded(text: str, ranks_path: str) -> np.ndarray:
+    """The ids of a text. A run of some 700,000 characters of white space is more than the fast encoder's pattern can step back
+    over; the tokenizer itself then encodes the text, to the same ids."""
+    try:
+        return encoder(ranks_path).encode_to_numpy(text, allowed_special="all")
+    except ValueError:
+        return np.array(slow_encoder(ranks_path).encode(text, add_special_tokens=False).ids, np.uint32)
+
+
 def tokenizer_path() -> str:
     """The ranks of the vocabulary of byte_bpe_50k.json, which gives the same ids several times faster."""
     import public_tokenizers
@@ -62,10 +81,9 @@ def cuts(n: int, capacity: int) -> list[tuple[int, int]]:
 
 
 def _tokenise(batch: pa.RecordBatch, ranks_path: str, capacity: int, with_ids: bool) -> pa.RecordBatch:
-    encode = encoder(ranks_path).encode_to_numpy
     doc_ids, out = batch.column("doc_id").to_pylist(), ([], [], [], [], [], [])
     for doc_id, text in zip(doc_ids, batch.column("text").to_pylist()):
-        ids = np.append(encode(text, allowed_special="all") if text else np.zeros(0, np.uint32), END).astype("<u4")
+        ids = np.append(encoded(text, ranks_path) if text else np.zeros(0, np.uint32), END).astype("<u4")
         for k, (start, length) in enumerate(cuts(len(ids), capacity)):
             raw = ids[start : start + length].tobytes()
             for column, x in zip(out, (doc_id, k, start, length, zlib.crc32(raw), raw if with_ids else None)):
@@ -161,6 +179,8 @@ def place(cut: DataFrame, capacity: int = CAPACITY, group: int = GROUP, rounds:
         placed = stored(todo.groupBy("grp").applyInPandas(partial(_pack, capacity=capacity, turn=turn), PLACED), "packed")
         again = F.col("gap") & ~F.col("full")
         gaps, rows = placed.where(again).agg(F.countDistinct("grp"), F.count(F.lit(1))).first()
+        left = certified(placed).agg(F.sum("bins"), F.sum("bound"), F.count_if(F.col("bins") > F.col("bound"))).first()
+        LOG.info("packing, round %d: %s bins, certified to need %s at least; %s groups have more than their bound", turn, *left)
         if gaps < 2 or turn == rounds - 1:
             return done.unionByName(placed)
         done = done.unionByName(placed.where(~again))
@@ -170,6 +190,11 @@ def place(cut: DataFrame, capacity: int = CAPACITY, group: int = GROUP, rounds:
     return done
 
 
+def certified(placed: DataFrame) -> DataFrame:
+    """grp, turn, bins, bound: of each group of a round, the bins it needs and the number it is certified to need at least."""
+    return placed.groupBy("grp", "turn").agg(F.countDistinct("sequence_id").alias("bins"), F.max("bound").alias("bound"))
+
+
 def pack(docs: DataFrame, ranks_path: str | None = None, capacity: int = CAPACITY) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset for every piece of docs (doc_id, text; other columns are
     ignored). Repeated rows and a null doc_id are packed like any other."""
