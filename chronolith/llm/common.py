@@ -66,6 +66,6 @@ def text_rows(batch: pa.RecordBatch, column: str = "text") -> list[str]:
     return [x or "" for x in batch.column(column).to_pylist()]
 
 
-def sample_hash(column: str = "doc_id", seed: int = 7) -> Column:
-    """A number from 0 to 1 for each id, the same in every run."""
-    return F.pmod(F.xxhash64(F.col(column), F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
+def sample_hash(column: str | Column = "doc_id", seed: int = 7) -> Column:
+    """A number from 0 to 1 for each value, the same in every run."""
+    return F.pmod(F.xxhash64(column, F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)

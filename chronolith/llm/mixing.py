@@ -46,10 +46,15 @@ def tokens() -> Column:
     return F.regexp_count(whole("text"), F.lit(r"[^ \t\n\r\f\x0B]++")).cast("long")
 
 
-def measured(docs: DataFrame) -> DataFrame:
-    """doc_id, source, lang (null: empty), topic, tokens of every document."""
+def drawn(seed: int = SEED) -> Column:
+    """A number from 0 to 1 for each id and text, the same in every run: documents without an id, or of one id, are drawn one by one."""
+    return sample_hash(F.struct(F.col("doc_id").cast("long"), F.xxhash64(whole("text").cast("string"))), seed)
+
+
+def measured(docs: DataFrame, seed: int = SEED) -> DataFrame:
+    """doc_id, source, lang (null: empty), topic, tokens, draw of every document."""
     named = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in DIMENSIONS[:2]]
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), *named, topic().alias("topic"), tokens().alias("tokens"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), *named, topic().alias("topic"), tokens().alias("tokens"), drawn(seed).alias("draw"))
 
 
 def wanted(own: dict[str, float], target) -> dict[str, float]:
@@ -163,15 +168,15 @@ def fit(cells: DataFrame, targets: dict, rate: float = RATE) -> Fit:
 def mix(docs: DataFrame, targets: dict | None = None, seed: int = SEED, rate: float = RATE) -> DataFrame:
     """doc_id, source, lang, topic, tokens, weight (its tokens' relative weight), probability, sampled for every document.
 
-    A document is sampled if the hash of its id is under its probability, so a rerun takes the same ones. Null source or
-    language is the value ''; null and empty texts have no tokens and their cell's probability. Rows that repeat an id are
-    sampled together. Other columns are ignored; an empty table gives no rows.
+    A document is sampled if the hash of its id and text is under its probability, so a rerun takes the same ones. Null source or
+    language is the value ''; null and empty texts have no tokens and their cell's probability. Rows that repeat an id and a text are
+    sampled together, and so are rows without either; others, with an id or not, are drawn for themselves. Other columns are ignored; an empty table gives no rows.
     """
-    rows = stored(measured(docs), "measured")
+    rows = stored(measured(docs, seed), "measured")
     cells = stored(rows.groupBy(*DIMENSIONS).agg(F.sum("tokens").alias("tokens")), "cells")
     found = fit(cells, targets or TARGETS, rate)
     out = by_factors(rows, found.factors).withColumn("probability", F.least(F.lit(1.0), F.col("weight") * found.scale))
-    return out.select("doc_id", *DIMENSIONS, "tokens", "weight", "probability", (sample_hash("doc_id", seed) < F.col("probability")).alias("sampled"))
+    return out.select("doc_id", *DIMENSIONS, "tokens", "weight", "probability", (F.col("draw") < F.col("probability")).alias("sampled"))
 
 
 def sampled(docs: DataFrame, targets: dict | None = None, seed: int = SEED, rate: float = RATE) -> DataFrame:
@@ -179,10 +184,10 @@ def sampled(docs: DataFrame, targets: dict | None = None, seed: int = SEED, rate
     cell's probability again. Null sources, languages and texts, repeated ids and empty tables are as in `mix`."""
     rows = mix(docs, targets, seed, rate)
     shares = stored(rows.groupBy(*DIMENSIONS).agg(F.max("probability").alias("probability")), "shares")
-    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").alias("id"), *[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in DIMENSIONS[:2]], topic().alias("topic"))
+    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), drawn(seed).alias("draw"), *[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in DIMENSIONS[:2]], topic().alias("topic"))
     small = shares.count() <= BROADCAST_MOST
     joined = own.join(F.broadcast(shares) if small else shares, list(DIMENSIONS))
-    return joined.where(sample_hash("id", seed) < F.col("probability")).select("row.*")
+    return joined.where(F.col("draw") < F.col("probability")).select("row.*")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
