@@ -58,8 +58,8 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return map_arrow(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), _fingerprints, "doc_id long, fp long")
 
 
-def _fingerprints_and_hash(batch: pa.RecordBatch) -> pa.RecordBatch:
-    return _fingerprints(batch).append_column("h", batch.column("h"))
+def _fingerprints_and_more(batch: pa.RecordBatch) -> pa.RecordBatch:
+    return _fingerprints(batch).append_column("h", batch.column("h")).append_column("n", batch.column("n"))
 
 
 class Block:
@@ -252,19 +252,18 @@ def query(spark, sf_dir: str) -> DataFrame:
 
 def keep_first(docs: DataFrame) -> DataFrame:
     """The documents without near copies: of each component, the row of the least doc_id (null after all others), fingerprint and
-    text's hash stays, and of rows equal in id and text the least. All columns stay, whatever their names; null and empty texts are
+    text's hash stays, and of rows equal in these the first. All columns stay, whatever their names and types; null and empty texts are
     copies of one another; an empty table stays empty.
 
-    Rows are told apart by id and text, so rows without an id, or with one id and different texts, are documents of their own;
-    components are those of fingerprints, so that a repeated id links nothing.
+    Rows are written with a number of their own, by which the kept ones are found again. So rows without an id, or with one id and
+    different texts, are documents of their own, and components are those of fingerprints: a repeated id links nothing. Whole rows are
+    shuffled once, and never sorted by their columns.
     """
-    names = docs.columns
-    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.xxhash64(whole("text").cast("string")).alias("h"))
-    own = map_arrow(texts, _fingerprints_and_hash, "doc_id long, fp long, h long")
-    row = F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "fp", "h")
-    rooted = _rooted(stored(own.groupBy("fp").agg(F.min(row).alias("least")), "simhash-distinct"))
-    first = stored(rooted.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.doc_id").alias("id"), F.col("least.h").alias("hash")), "simhash-first")
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"))
-    rows = rows.select("row", F.col("row.doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce(F.col("row.text").cast("string"), F.lit(""))).alias("h"))
-    kept = rows.join(first, rows.doc_id.eqNullSafe(first.id) & (rows.h == first.hash), "left_semi")
-    return kept.groupBy("doc_id", "h").agg(F.min("row").alias("row")).select("row.*")
+    rows = stored(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.monotonically_increasing_id().alias("n")), "simhash-rows")
+    text = F.col("row.text").cast("string")
+    texts = rows.select(F.col("row.doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("h"), "n")
+    own = map_arrow(texts, _fingerprints_and_more, "doc_id long, fp long, h long, n long")
+    order = F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "fp", "h", "n")
+    rooted = _rooted(stored(own.groupBy("fp").agg(F.min(order).alias("least")), "simhash-distinct"))
+    first = stored(rooted.groupBy("root").agg(F.min("least").alias("least")).select("least.n"), "simhash-first")
+    return rows.join(first, "n", "left_semi").select("row.*")
