@@ -1,12 +1,14 @@
 """Information-theoretic sanitisation, in DataFrame expressions alone.
 
-Patterns find the protected entities: e-mail addresses, network addresses, card and phone numbers. Words that stand near
-an entity are its context; over the whole corpus, the normalised pointwise mutual information of a word and an entity, by the
-documents in which they occur, tells how far the word reveals the entity. In the documents that hold the entity, words over the
-disclosure thresholds are generalised or removed, wherever they stand, along with the entities.
-
-All steps cost about the length of a text, however many entities it holds: prefix sums go in two levels, texts are cut where the
-patterns cut them, and no step looks through all entities for one word.
+Patterns find the protected entities: e-mail addresses, network addresses, card and phone numbers. Over the whole corpus, the
+normalised pointwise mutual information of a word and an entity, by the documents in which they occur, alone and together, tells
+how far the word reveals the entity. In the documents that hold the entity, words over the disclosure thresholds are generalised or
+removed, wherever they stand, along with the entities.
+
+Co-occurrence is counted by whole documents, without a window. What makes that affordable loses nothing: an entity or word of one
+document tells nothing; a word too common for the share that the commonest entity could give it is left out; and entities that
+stand in the same documents are one class, as are words, so that a list of addresses in two texts is counted like one address.
+Texts cost about their length, however many entities they hold: prefix sums go in two levels, texts are cut where the patterns cut them.
 """
 
 from __future__ import annotations
@@ -32,17 +34,16 @@ HINTS = {"email": r"@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][ -]?[0-9][ -]?[0-
 ANY_HINT = r"@|[0-9][. -]?[0-9]|\+[0-9]"
 OCTET = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 IP_OK = rf"^{OCTET}(?:\.{OCTET}){{3}}$"
-#: Code points of context on either side, letters of a word at least.
-WINDOW, WORD = 64, 2
+#: Letters of a word at least.
+WORD = 2
 #: A run of letters, or all of what stands between white space and holds an @, which is dropped: only so can a word lie in an address.
 WORDS = rf"(?<!\S)[^\s@]*+@\S*+|(?<!\p{{L}})\p{{L}}{{{WORD},}}+"
-#: Documents (of different texts) in which word and entity meet at least; information shares from which a word is generalised, and removed.
+#: Documents (not all of one text) in which word and entity meet at least; information shares from which a word is generalised, and removed.
 SUPPORT, GENERALISE, REMOVE = 2, 0.8, 0.95
 #: Rows of candidate words, and of told pairs, up to which they are broadcast; beyond, an ordinary join.
 BROADCAST_MOST = 500_000
 #: Code points of the pieces in which a text is held while it is rewritten.
 PIECE = 4096
-BREAK = "\0"
 
 FOUND = "array<struct<k:int,s:int,e:int,v:string>>"
 
@@ -72,24 +73,10 @@ def running(values: Column, step: Callable[[Column, Column], Column]) -> Column:
     return let(values, lambda v: F.when(F.size(v) > 0, let(pieces(v), joined)).otherwise(none))
 
 
-def matches(text: Column, pattern: str, near: bool = False) -> Column:
-    """array of (s, e, v) of the leftmost non-overlapping matches, in code points, between the pieces that a split leaves; with
-    near also left and right, what stands up to WINDOW code points before and after, up to the next match, whole words only."""
+def matches(text: Column, pattern: str) -> Column:
+    """array of (s, e, v) of the leftmost non-overlapping matches, in code points, between the pieces that a split leaves."""
     both = F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"), F.split(text, pattern, -1).alias("p"))
-
-    def left(piece: Column) -> Column:
-        return F.when(F.length(piece) <= WINDOW, piece).otherwise(F.regexp_replace(F.substring(piece, -WINDOW - 1, WINDOW + 1), r"^\S*+", ""))
-
-    def right(piece: Column) -> Column:
-        return F.when(F.length(piece) <= WINDOW, piece).otherwise(F.regexp_replace(F.substring(piece, 1, WINDOW + 1), r"(?<!\S)\S*+$", ""))
-
-    def row(z: Column, starts: Column) -> Column:
-        def one(m: Column, i: Column) -> Column:
-            fields = [F.get(starts, i).alias("s"), (F.get(starts, i) + F.length(m)).alias("e"), m.alias("v")]
-            return F.struct(*fields, *([left(F.get(z.p, i)).alias("left"), right(F.get(z.p, i + 1)).alias("right")] if near else []))
-
-        return F.transform(z.m, one)
-
+    row = lambda z, starts: F.transform(z.m, lambda m, i: F.struct(F.get(starts, i).alias("s"), (F.get(starts, i) + F.length(m)).alias("e"), m.alias("v")))
     steps = lambda z: F.transform(z.m, lambda m, i: F.length(F.get(z.p, i)) + F.when(i > 0, F.length(F.get(z.m, i - 1))).otherwise(0))
     return let(both, lambda z: let(running(steps(z), lambda a, b: a + b), lambda starts: row(z, starts)))
 
@@ -115,70 +102,86 @@ PASSES = {
 }
 
 
-def terms_of(text: Column) -> Column:
-    return F.filter(F.regexp_extract_all(F.lower(text), F.lit(WORDS), F.lit(0)), lambda w: ~F.contains(w, F.lit("@")))
-
-
 def _of_kind(text: Column, k: int, kind: str) -> Column:
-    """array of (k, s, e, v) and the pairs of entity and context word."""
-    kept = F.filter(matches(text, PATTERNS[kind], near=True), PASSES[kind])
-    spans = lambda ms: F.transform(ms, lambda m: F.struct(F.lit(k).alias("k"), m.s.alias("s"), m.e.alias("e"), m.v.alias("v")))
-    pairs = lambda m: F.transform(F.concat(terms_of(m.left), terms_of(m.right)), lambda w: F.concat(F.lower(m.v), F.lit(BREAK), w))
-    return let(kept, lambda ms: F.struct(spans(ms).alias("spans"), F.flatten(F.transform(ms, pairs)).alias("pairs")))
+    """array of (k, s, e, v)."""
+    kept = F.filter(matches(text, PATTERNS[kind]), PASSES[kind])
+    return F.transform(kept, lambda m: F.struct(F.lit(k).alias("k"), m.s.alias("s"), m.e.alias("e"), m.v.alias("v")))
 
 
 def found(docs: DataFrame) -> DataFrame:
-    """doc_id, h (hash of the text), base (spans of the four kinds, by kind and start), pairs (entity, BREAK, context word; each once),
-    words (term, s, e of every word of a text with a base span) of every document."""
+    """doc_id, h (hash of the text), base (spans of the four kinds, by kind and start), words (term, capital, s, e of every word of a text
+    with a base span) of every document."""
     text = F.col("text")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole("text").cast("string").alias("text"))
-    none = F.expr(f"cast(named_struct('spans', array(), 'pairs', array()) as struct<spans:{FOUND},pairs:array<string>>)")
-    kinds = [F.when(text.rlike(HINTS[kind]), _of_kind(text, k, kind)).otherwise(none).alias(kind) for k, kind in enumerate(KINDS[:4])]
-    cut = rows.select("doc_id", "text", *kinds).select("doc_id", "text", F.concat(*[F.col(f"{k}.spans") for k in KINDS[:4]]).alias("base"), F.concat(*[F.col(f"{k}.pairs") for k in KINDS[:4]]).alias("pairs"))
-    words = F.transform(F.filter(matches(text, WORDS), lambda m: ~F.contains(m.v, F.lit("@"))), lambda m: F.struct(F.lower(m.v).alias("term"), m.s.alias("s"), m.e.alias("e")))
-    no_words = F.expr("cast(array() as array<struct<term:string,s:int,e:int>>)")
-    return cut.select("doc_id", F.xxhash64("text").alias("h"), "base", F.array_distinct("pairs").alias("pairs"), F.when(F.size("base") > 0, words).otherwise(no_words).alias("words"))
+    kinds = [F.when(text.rlike(HINTS[kind]), _of_kind(text, k, kind)).otherwise(F.expr(f"cast(array() as {FOUND})")) for k, kind in enumerate(KINDS[:4])]
+    cut = rows.select("doc_id", "text", F.concat(*kinds).alias("base"))
+    one = lambda m: F.struct(F.lower(m.v).alias("term"), (F.substring(m.v, 1, 1) != F.lower(F.substring(m.v, 1, 1))).alias("capital"), m.s.alias("s"), m.e.alias("e"))
+    words = F.transform(F.filter(matches(text, WORDS), lambda m: ~F.contains(m.v, F.lit("@"))), one)
+    no_words = F.expr("cast(array() as array<struct<term:string,capital:boolean,s:int,e:int>>)")
+    return cut.select("doc_id", F.xxhash64("text").alias("h"), "base", F.when(F.size("base") > 0, words).otherwise(no_words).alias("words"))
 
 
 def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_MOST else df
 
 
-def disclosures(docs: DataFrame, spans: DataFrame) -> DataFrame:
-    """entity, term, share for the context words whose normalised pointwise mutual information with an entity is at least
-    GENERALISE. Counts are of rows of docs, over the whole table: n_both of those with the word near the entity, n_term of those
-    with the word anywhere as a run of letters."""
-    pair = F.col("pair")
-    met = spans.select("h", F.explode("pairs").alias("pair")).groupBy("pair").agg(F.count(F.lit(1)).alias("n_both"), F.min("h").alias("least"), F.max("h").alias("most"))
-    # SUPPORT is two: at least two different texts
-    both = stored(met.where((F.col("n_both") >= SUPPORT) & (F.col("least") != F.col("most"))).select(F.substring_index(pair, BREAK, 1).alias("entity"), F.substring_index(pair, BREAK, -1).alias("term"), "n_both"), "pii-both")
-    entities = spans.select(F.explode(F.array_distinct(F.transform("base", lambda b: F.lower(b.v)))).alias("entity"))
-    entities = entities.join(_small(both.select("entity").distinct()), "entity", "left_semi").groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"))
+def classes(held: DataFrame, name: str, *more: str) -> DataFrame:
+    """name, its class (the least of those that stand in the same rows), n (its rows), of the names in held (row, h, name) that stand in
+    SUPPORT rows of two texts at least. Rows are told apart by two hashes of all of them; names of unequal `more` columns are never one class."""
+    least = F.min("h") != F.max("h")
+    sums = [F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("row")).alias("x"), F.sum(F.shiftrightunsigned(F.xxhash64("row", F.lit(1)), 33)).alias("y"), least.alias("many")]
+    of_name = stored(held.groupBy(name, *more).agg(*sums).where(F.col("many") & (F.col("n") >= SUPPORT)), f"pii-{name}")
+    named = of_name.groupBy("n", "x", "y", *more).agg(F.min(name).alias(f"{name}_class"))
+    return of_name.join(named, ["n", "x", "y", *more]).select(name, f"{name}_class", "n", *more)
+
+
+def disclosures(docs: DataFrame, spans: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Of the rows of spans (row, h, base, words): row, entity_class of those with a class; row, term, term_class, s, e, capital of the words
+    that may be told; and entity_class, term_class, share of those told, with a share of GENERALISE at least.
+
+    Counts are of rows of docs, over the whole table: of those with the entity, of those with the word anywhere as a run of letters, and
+    of those with both."""
+    total = max(spans.count(), 1)
+    held = spans.select("row", "h", F.explode(F.array_distinct(F.transform("base", lambda b: F.lower(b.v)))).alias("entity"))
+    entities = stored(classes(held, "entity"), "pii-entities")
+    most = entities.agg(F.max("n")).first()[0] or 0
+    # with n rows a word's share is at least GENERALISE only up to total^(1 - GENERALISE) * n^GENERALISE rows of the other, were all of n among them
+    widest = lambda n: F.pow(F.lit(float(total)), 1 - GENERALISE) * F.pow(n.cast("double"), GENERALISE) + 0.5
+    of_entity = stored(held.join(_small(entities), "entity").where(F.col("entity") == F.col("entity_class")).select("row", "h", "entity_class", F.col("n").alias("n_entity")), "pii-held")
+    words = spans.join(of_entity.select("row").distinct(), "row", "left_semi").select("row", "h", F.explode("words").alias("w")).select("row", "h", "w.*")
     terms = docs.select(F.explode(F.array_distinct(F.split(F.lower(whole("text")), r"[^\p{L}]+"))).alias("term")).where(F.length("term") >= WORD)
-    terms = terms.join(_small(both.select("term").distinct()), "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
-    told = both.join(entities, "entity").join(terms, "term")
-    total = F.lit(float(max(spans.count(), 1)))
-    joint = F.col("n_both") / total
-    information = F.log2(joint / (F.col("n_term") / total * F.col("n_entity") / total))
+    counted = terms.groupBy("term").agg(F.count(F.lit(1)).alias("n_term")).where((F.col("n_term") >= SUPPORT) & (F.col("n_term") <= widest(F.lit(most))))
+    words = stored(words.join(_small(stored(counted, "pii-counted")), "term"), "pii-words")
+    # a word's rows are counted once
+    meets = words.groupBy("row", "h", "term", "n_term").agg(F.min("s").alias("s")).select("row", "h", "term", "n_term")
+    by_term = stored(classes(meets, "term", "n_term"), "pii-terms")
+    words = words.join(by_term.select("term", "term_class"), "term")
+    once = words.where(F.col("term") == F.col("term_class")).select("row", "term_class", "n_term").distinct()
+    near = (F.col("n_term") <= widest(F.col("n_entity"))) & (F.col("n_entity") <= widest(F.col("n_term")))
+    both = of_entity.join(once, "row").where(near).groupBy("entity_class", "term_class", "n_entity", "n_term")
+    both = both.agg(F.count(F.lit(1)).alias("n_both"), (F.min("h") != F.max("h")).alias("many")).where(F.col("many") & (F.col("n_both") >= SUPPORT))
+    joint = F.col("n_both") / F.lit(float(total))
+    information = F.log2(joint / (F.col("n_term") / F.lit(float(total)) * F.col("n_entity") / F.lit(float(total))))
     share = F.when(joint < 1, information / -F.log2(joint)).otherwise(0.0)
-    return told.select("entity", "term", share.alias("share")).where(F.col("share") >= GENERALISE)
+    told = both.select("entity_class", "term_class", share.alias("share")).where(F.col("share") >= GENERALISE)
+    return of_entity.select("row", "entity_class"), words, stored(told, "pii-told")
+
+
+NO_TERMS = "cast(array() as array<struct<s:int,e:int,share:double,capital:boolean>>)"
 
 
 def protected(docs: DataFrame) -> DataFrame:
-    """doc_id, h, base, terms (array of s, e, share) for every row of docs.
+    """doc_id, h, base, terms (array of s, e, share, capital) for every row of docs.
 
     A null text counts as empty. Rows that repeat give a row each; other columns are ignored; an empty table gives no rows. A word told
     by several entities has its greatest share.
     """
-    spans = stored(found(docs), "pii")
-    told = stored(disclosures(docs, spans), "pii-told")
-    held = spans.select("doc_id", "h", F.explode(F.array_distinct(F.transform("base", lambda b: F.lower(b.v)))).alias("entity"))
-    who = stored(held.join(_small(told), "entity").groupBy("doc_id", "h", "term").agg(F.max("share").alias("share")).select(F.col("doc_id").alias("id"), F.col("h").alias("hash"), F.col("term").alias("said"), "share"), "pii-who")
-    words = spans.select("doc_id", "h", F.explode("words").alias("w")).select("doc_id", "h", "w.*")
-    at = words.join(who, words.doc_id.eqNullSafe(who.id) & (words.h == who.hash) & (words.term == who.said)).groupBy("doc_id", "h", "s", "e").agg(F.max("share").alias("share"))
-    terms = at.groupBy(F.col("doc_id").alias("id"), F.col("h").alias("hash")).agg(F.sort_array(F.collect_list(F.struct("s", "e", "share"))).alias("terms"))
-    joined = spans.join(terms, spans.doc_id.eqNullSafe(terms.id) & (spans.h == terms.hash), "left")
-    return joined.select("doc_id", "h", "base", F.coalesce("terms", F.expr("cast(array() as array<struct<s:int,e:int,share:double>>)")).alias("terms"))
+    spans = stored(found(docs).withColumn("row", F.monotonically_increasing_id()), "pii")
+    held, words, told = disclosures(docs, spans)
+    who = held.join(_small(told), "entity_class").groupBy("row", "term_class").agg(F.max("share").alias("share"))
+    at = words.join(who, ["row", "term_class"])
+    terms = at.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("s", "e", "share", "capital"))).alias("terms"))
+    return spans.join(terms, "row", "left").select("doc_id", "h", "base", F.coalesce("terms", F.expr(NO_TERMS)).alias("terms"))
 
 
 def listed(spans: Column) -> Column:
@@ -206,7 +209,8 @@ def rewritten(text: Column, edits: Column) -> Column:
 
 
 def sanitise(docs: DataFrame) -> DataFrame:
-    """docs with their texts rewritten: entities become [EMAIL], [IP], [CARD] or [PHONE], generalised words [WORD], removed words go.
+    """docs with their texts rewritten: entities become [EMAIL], [IP], [CARD] or [PHONE], generalised words [NAME], if they begin with a capital, or [WORD],
+    removed words go.
 
     All columns stay, whatever their names, and a null text stays null. Rows that repeat are rewritten alike and all stay; an empty table
     stays empty. Only texts with something that may be an entity are shuffled.
@@ -214,7 +218,7 @@ def sanitise(docs: DataFrame) -> DataFrame:
     names = docs.columns
     labels = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS[:4]])
     base = F.transform("base", lambda b: F.struct(b.s.alias("s"), b.e.alias("e"), F.element_at(labels, b.k + 1).alias("to")))
-    terms = F.transform("terms", lambda t: F.struct(t.s.alias("s"), t.e.alias("e"), F.when(t.share >= REMOVE, "").otherwise("[WORD]").alias("to")))
+    terms = F.transform("terms", lambda t: F.struct(t.s.alias("s"), t.e.alias("e"), F.when(t.share >= REMOVE, "").when(t.capital, "[NAME]").otherwise("[WORD]").alias("to")))
     # equal rows have equal spans, so any one of them will do
     edits = protected(docs).where(F.size("base") > 0).groupBy("doc_id", "h").agg(F.first(F.sort_array(F.concat(base, terms))).alias("edits")).select(F.col("doc_id").alias("id"), F.col("h").alias("hash"), "edits")
     maybe = F.coalesce(F.col("text").rlike(ANY_HINT), F.lit(False))
