@@ -211,29 +211,69 @@ def fit_box(points: DataFrame, x: str, y: str, width: float, height: float) -> D
     return out.withColumns({"bx": (F.col(x) - F.col("_x0")) * scale, "by": (F.col(y) - F.col("_y0")) * scale}).drop("_x0", "_x1", "_y0", "_y1")
 
 
-def warped(points: DataFrame, band: float = 0.1) -> DataFrame:
-    """cls, a, b, d: dynamic time warping distances of the pairs a < b of a class of decimated scored series (id, cls, z array<double>)."""
+def warping(x: np.ndarray, y: np.ndarray, n: np.ndarray, m: np.ndarray, band: np.ndarray) -> np.ndarray:
+    """The dynamic time warping distance of each row of x (its first n values) to that of y (its first m), within a band of places.
+
+    All pairs go along their anti-diagonals at once: a cell needs the two diagonals before only, so each step is a few array operations
+    over pairs and places."""
+    pairs, rows = x.shape
+    i = np.arange(rows + 1)
+    before = np.full((pairs, rows + 1), np.inf)  # two diagonals back, by place in x
+    before[:, 0] = 0.0
+    last, out = np.full((pairs, rows + 1), np.inf), np.full(pairs, np.inf)
+    columns = y.shape[1]
+    for diagonal in range(2, rows + columns + 1):
+        low, high = max(1, diagonal - columns), min(rows, diagonal - 1)
+        a = i[low : high + 1]
+        cost = (x[:, a - 1] - y[:, diagonal - a - 1]) ** 2
+        cost[(np.abs(2 * a - diagonal) > band[:, None]) | (a > n[:, None]) | (diagonal - a > m[:, None])] = np.inf
+        now = np.full((pairs, rows + 1), np.inf)
+        now[:, a] = cost + np.minimum(np.minimum(last[:, a], last[:, a - 1]), before[:, a - 1])
+        done = n + m == diagonal
+        out[done] = now[done, n[done]]
+        before, last = last, now
+        before[:, 0] = np.inf
+    return np.sqrt(out)
+
+
+#: Cells of the diagonals that are held for the pairs of a batch at once.
+CELLS_AT_ONCE = 1 << 20
+
+
+def warped(points: DataFrame, band: float = 0.1, least: int = 1) -> DataFrame:
+    """cls, a, b, d: dynamic time warping distances of the pairs a < b of a class of decimated scored series (id, cls, z array<double>).
+
+    The band, on either side of the diagonal, is the share `band` of the class's longest series, one place at least; a pair whose lengths
+    differ by more has no path and is at an infinite distance. Series of under `least` values take no part. The work of a class is its pairs:
+    they are dealt over all tasks, whatever the class."""
+    known = points.where(F.size("z") >= max(1, least))
+    longest = known.groupBy("cls").agg(F.max(F.size("z")).alias("_n"))
+    width = F.greatest(F.lit(1), F.rint(band * F.col("_n")).cast("int"))
+    own = stored(known.join(longest, "cls").select("cls", "id", "z", width.alias("_w")), "warped")
+    # pairs of ids are cheap and dealt anew; series follow them
+    ids = own.select("cls", "id")
+    pairs = ids.withColumnRenamed("id", "a").join(ids.withColumnRenamed("id", "b"), "cls").where(F.col("a") < F.col("b"))
+    pairs = pairs.repartition(F.col("cls"), F.xxhash64("a", "b") % 64)
+    both = pairs.join(own.select(F.col("id").alias("a"), "cls", F.col("z").alias("_x"), "_w"), ["cls", "a"]).join(own.select(F.col("id").alias("b"), "cls", F.col("z").alias("_y")), ["cls", "b"])
+
+    def filled(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        n = np.array([len(r) for r in rows])
+        out = np.zeros((len(rows), n.max()))
+        for k, r in enumerate(rows):
+            out[k, : len(r)] = r
+        return out, n
+
     @F.pandas_udf("double")
-    def dtw(x: pd.Series, y: pd.Series) -> pd.Series:
-        def one(a: np.ndarray, b: np.ndarray) -> float:
-            n, m = len(a), len(b)
-            width = max(1, round(band * max(n, m)), abs(n - m))
-            before = np.full(m + 1, np.inf)
-            before[0] = 0.0
-            for i in range(1, n + 1):
-                now = np.full(m + 1, np.inf)
-                low, high = max(1, i - width), min(m, i + width)
-                cost = (a[i - 1] - b[low - 1 : high]) ** 2
-                for k, j in enumerate(range(low, high + 1)):
-                    now[j] = cost[k] + min(before[j], before[j - 1], now[j - 1])
-                before = now
-            return float(np.sqrt(before[m]))
-
-        return pd.Series([one(np.asarray(a, float), np.asarray(b, float)) for a, b in zip(x, y)])
-
-    b = points.select("cls", F.col("id").alias("b"), F.col("z").alias("_z"))
-    pairs = points.join(b, "cls").where(F.col("id") < F.col("b"))
-    return pairs.select("cls", F.col("id").alias("a"), "b", dtw("z", "_z").alias("d"))
+    def distances_of(x: pd.Series, y: pd.Series, w: pd.Series) -> pd.Series:
+        out = np.zeros(len(x))
+        step = max(1, CELLS_AT_ONCE // max(1, max((len(v) for v in x), default=1)))
+        for k in range(0, len(x), step):
+            a, n = filled(list(x.iloc[k : k + step]))
+            b, m = filled(list(y.iloc[k : k + step]))
+            out[k : k + step] = warping(a, b, n, m, w.iloc[k : k + step].to_numpy())
+        return pd.Series(out)
+
+    return both.select("cls", "a", "b", distances_of("_x", "_y", "_w").alias("d"))
 
 
 def density_clusters(points: DataFrame, neighbours: int = 5, least: int = 5) -> DataFrame:

@@ -8,6 +8,7 @@ from chronolith.operators import distribution as D
 from chronolith.operators import intervals as I
 from chronolith.operators import maps as M
 from chronolith.operators import outputs as G
+from chronolith.operators import scaling
 from chronolith.operators import series as S
 from chronolith.plans.availability import FACT_SQL, TYPES, fact
 from chronolith.plans.intervals import CAT_SQL, RUNS_SQL, cat
@@ -57,6 +58,23 @@ def m13_typicality(spark, sf):
     return M.typicality(points(spark, sf)).withColumns({"distance": r("distance"), "typical": r("typical")})
 
 
+PLANE_SQL = """WITH p AS (SELECT vec_id // 64 AS grp, vec_id AS id, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y FROM embeddings),
+s AS (SELECT grp, avg(x) AS mx, avg(y) AS my, var_pop(x) + var_pop(y) AS v, atan2(2 * covar_pop(x, y), var_pop(x) - var_pop(y)) / 2 AS t FROM p GROUP BY grp HAVING count(*) > 1),
+c AS (SELECT grp, id, (x - mx) * cos(t) + (y - my) * sin(t) AS c1, (y - my) * cos(t) - (x - mx) * sin(t) AS c2, v FROM p JOIN s USING (grp)),
+g AS (SELECT grp, var_pop(c1) / any_value(v) AS e1, var_pop(c2) / any_value(v) AS e2, sign(arg_min(c1, struct_pack(a := -round(abs(c1), 9), b := id))) AS s1, sign(arg_min(c2, struct_pack(a := -round(abs(c2), 9), b := id))) AS s2 FROM c GROUP BY grp)
+SELECT grp, id, round(c1 * s1, 6) AS c1, round(c2 * s2, 6) AS c2, round(e1, 6) AS e1, round(e2, 6) AS e2 FROM c JOIN g USING (grp)"""
+
+
+@query("m7_classical_scaling", PLANE_SQL)
+def m7_classical_scaling(spark, sf):
+    """Of every 64 points in the plane of their first two components, the table of distances gives back the plane's principal axes."""
+    p = points(spark, sf).select(F.floor(F.col("id") / 64).alias("grp"), "id", F.col("x")[0].cast("double").alias("px"), F.col("x")[1].cast("double").alias("py"))
+    q = p.select("grp", F.col("id").alias("b"), F.col("px").alias("qx"), F.col("py").alias("qy"))
+    pairs = p.join(q, "grp").where(F.col("id") < F.col("b"))
+    pairs = pairs.select("grp", F.col("id").alias("a"), "b", F.sqrt((F.col("px") - F.col("qx")) ** 2 + (F.col("py") - F.col("qy")) ** 2).alias("d"))
+    return scaling.classical(pairs, by="grp").select("grp", "id", *[r(c).alias(c) for c in ("c1", "c2", "e1", "e2")])
+
+
 @query("m6_principal")
 def m6_principal(spark, sf):
     scores, _ = M.principal(points(spark, sf))
@@ -133,7 +151,20 @@ def m1_features(spark, sf):
     return M.standardised(M.imputed(M.features(stats, ["mean", "std"]))).select("id", "feature", r("value").alias("value"), "missing")
 
 
-@query("m15_warped")
+#: Warping by cells, row after row of a pair's table: the last values of a row and one more are kept, the newest at the end.
+WARPED_SQL = """WITH RECURSIVE e AS (SELECT user_id AS entity, value, row_number() OVER w - 1 AS i, count(*) OVER (PARTITION BY user_id) AS n FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+bk AS (SELECT entity, ((i + 1) * least(40, n) - 1) // n AS block, avg(value) AS v FROM e WHERE n >= 32 GROUP BY ALL),
+sc AS (SELECT entity, block, (v - avg(v) OVER w) / stddev_pop(v) OVER w AS z FROM bk WINDOW w AS (PARTITION BY entity)),
+arr AS (SELECT entity AS id, entity // 10 AS cls, list(z ORDER BY block) AS z FROM sc GROUP BY entity),
+wd AS (SELECT cls, greatest(1, round_even(0.1 * max(len(z)), 0))::INT AS w FROM arr GROUP BY cls),
+pr AS (SELECT x.cls, x.id AS a, y.id AS b, x.z AS x, y.z AS y, len(y.z) AS m, len(x.z) * len(y.z) AS total, w FROM arr x JOIN arr y ON x.cls = y.cls AND x.id < y.id JOIN wd ON wd.cls = x.cls),
+st AS (SELECT cls, a, b, x, y, m, total, w, 0::BIGINT AS k, list_transform(range(m + 1), lambda i: 'inf'::DOUBLE) AS last FROM pr
+ UNION ALL SELECT cls, a, b, x, y, m, total, w, k + 1, list_append(last[2:], CASE WHEN abs(k // m - k % m) > w THEN 'inf'::DOUBLE ELSE (x[k // m + 1] - y[k % m + 1]) ** 2
+   + CASE WHEN k = 0 THEN 0 WHEN k % m = 0 THEN last[2] ELSE least(last[1], last[2], last[-1]) END END) FROM st WHERE k < total)
+SELECT cls, a, b, round(sqrt(last[-1]), 6) AS d FROM st WHERE k = total"""
+
+
+@query("m15_warped", WARPED_SQL)
 def m15_warped(spark, sf):
     x = S.decimate(demo.events(spark, sf).withColumnRenamed("raw", "value"), 40, by=("entity",))
     z = x.groupBy("entity").agg(F.transform(F.sort_array(F.collect_list(F.struct("block", "z"))), lambda p: p.z).alias("z"))

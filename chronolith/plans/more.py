@@ -119,21 +119,18 @@ def g6_sorted_by_agreement(spark, sf):
     return ranked(share, [F.asc_nulls_last("share"), F.asc("series")], "place").select("series", "place")
 
 
-@query("h6_scaled_density", LOMB_SQL + """, n AS (SELECT *, lead(period) OVER w AS p1, lead(power) OVER w AS v1 FROM spec WINDOW w AS (PARTITION BY entity ORDER BY period)),
-a AS (SELECT entity, sum((power + v1) / 2 * (p1 - period)) AS area FROM n WHERE p1 IS NOT NULL GROUP BY entity), v AS (SELECT user_id AS entity, var_pop(value) AS var FROM events GROUP BY 1)
-SELECT entity, period, round(power * var / area, 6) AS density FROM spec JOIN a USING (entity) JOIN v USING (entity) WHERE area > 0""")
+@query("h6_scaled_density", LOMB_SQL + "SELECT entity, k::INT AS k, round(density / 1000, 1) AS density, round(explained, 6) AS explained, span_s FROM spec")
 def h6_scaled_density(spark, sf):
-    spec = lomb(spark, sf)
-    w = Window.partitionBy("entity").orderBy("period")
-    steps = spec.withColumn("part", (F.col("power") + F.lead("power").over(w)) / 2 * (F.lead("period").over(w) - F.col("period")))
-    area = steps.groupBy("entity").agg(F.sum("part").alias("area"))
-    var = demo.events(spark, sf).groupBy("entity").agg(F.var_pop("raw").alias("var"))
-    return spec.join(area, "entity").join(var, "entity").where("area > 0").select("entity", "period", r(F.col("power") * F.col("var") / F.col("area")).alias("density"))
+    return lomb(spark, sf).select("entity", "k", r(F.col("density") / 1000, 1).alias("density"), r("explained").alias("explained"), "span_s")
 
 
-@query("h10_pooled_spectra", LOMB_SQL + "SELECT entity % 5 AS pool, period, round(avg(power), 6) AS power, count(*) AS n FROM spec GROUP BY ALL")
+@query("h10_pooled_spectra", LOMB_SQL + """, sp AS (SELECT ln(min(period)) AS a, ln(max(period)) AS b FROM spec), g AS (SELECT point, exp(a + (b - a) * point / 39) AS x FROM sp, (SELECT unnest(range(0, 40)) AS point)),
+n AS (SELECT *, lead(period) OVER w AS p1, lead(density) OVER w AS v1 FROM spec WINDOW w AS (PARTITION BY entity ORDER BY period))
+SELECT entity % 5 AS pool, point, round(avg(coalesce(density + (v1 - density) * (x - period) / (p1 - period), density)) / 1000, 1) AS density, count(*) AS n
+FROM n JOIN g ON x >= period * (1 - 1e-9) AND x < coalesce(p1 * (1 - 1e-9), period * (1 + 1e-9)) GROUP BY 1, 2""")
 def h10_pooled_spectra(spark, sf):
-    return lomb(spark, sf).groupBy((F.col("entity") % 5).alias("pool"), "period").agg(r(F.avg("power")).alias("power"), F.count(F.lit(1)).alias("n"))
+    pooled = D.average_spectra(lomb(spark, sf), ["entity"], F.col("entity") % 5, value="density")
+    return pooled.select(F.col("grp").alias("pool"), "point", r(F.col("value") / 1000, 1).alias("density"), "n")
 
 
 @query("l2_top_channels", demo.with_daily(FACT_SQL + "SELECT entity, channel FROM (SELECT entity, channel, row_number() OVER (PARTITION BY entity ORDER BY n_valid DESC, channel) AS k FROM fact) WHERE k <= 2"))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from chronolith.functions import labels as L
 from chronolith.operators import distribution as D
+from chronolith.operators import spectra as P
 from chronolith.operators import intervals as I
 from chronolith.operators import series as S
 from chronolith.operators import windows as W
@@ -136,37 +137,39 @@ def w8_density(spark, sf):
     return at.groupBy("kind", D.bin_of(F.col("raw"), F.col("q")[0], F.col("q")[1], 40).alias("bin")).agg(F.count(F.lit(1)).alias("n")).where("bin is not null")
 
 
-LOMB_SQL = """WITH e AS (SELECT user_id AS entity, value AS y, (epoch_us(ts) - min(epoch_us(ts)) OVER (PARTITION BY user_id)) / 3.6e9 AS t FROM events), p AS (SELECT unnest([6.0, 12.0, 24.0, 48.0, 168.0]) AS period),
-m AS (SELECT entity, period, avg(cos(2*pi()*t/period)) AS c, avg(sin(2*pi()*t/period)) AS s, avg(y) AS y, avg(cos(2*pi()*t/period)**2) AS cc, avg(sin(2*pi()*t/period)**2) AS ss,
- avg(cos(2*pi()*t/period)*sin(2*pi()*t/period)) AS cs, avg(y*cos(2*pi()*t/period)) AS yc, avg(y*sin(2*pi()*t/period)) AS ys, var_pop(y) AS yy FROM e, p GROUP BY entity, period),
-k AS (SELECT entity, period, yy, cc - c*c AS cc, ss - s*s AS ss, cs - c*s AS cs, yc - y*c AS yc, ys - y*s AS ys FROM m),
-spec AS (SELECT entity, period, greatest(0, least(1, (ss*yc*yc + cc*ys*ys - 2*cs*yc*ys) / (yy * (cc*ss - cs*cs)))) AS power FROM k)
+LOMB_SQL = """WITH e0 AS (SELECT user_id AS entity, value AS y, epoch_us(ts) AS us, epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts) AS gap FROM events WHERE value IS NOT NULL),
+f0 AS (SELECT entity, count(*) AS n, min(us) AS t0, (max(us) - min(us)) / 1e6 AS span, avg(y) AS mean, var_pop(y) AS yy, greatest(2 * median(gap) / 1e6, 2) AS a FROM e0 GROUP BY entity HAVING count(*) >= 8),
+f AS (SELECT *, CASE WHEN span <= a THEN 2 * a ELSE span END AS b FROM f0),
+p AS (SELECT entity, k, 10 ** (log10(a) + (log10(b) - log10(a)) * k / 399) AS period FROM f, range(400) r(k)),
+e AS (SELECT entity, (us - t0) / 1e6 AS t, y - mean AS y FROM e0 JOIN f USING (entity)),
+m0 AS (SELECT entity, k, period, y, cos(2 * pi() / period * t) AS c, sin(2 * pi() / period * t) AS s FROM e JOIN p USING (entity)),
+m AS (SELECT entity, k, period, avg(c * c) - avg(c) ** 2 AS cc, avg(s * s) - avg(s) ** 2 AS ss, avg(c * s) - avg(c) * avg(s) AS cs, avg(y * c) AS yc, avg(y * s) AS ys FROM m0 GROUP BY ALL),
+x AS (SELECT entity, k, period, yy, span, (ss * yc * yc + cc * ys * ys - 2 * cs * yc * ys) / (yy * (cc * ss - cs * cs)) AS v FROM m JOIN f USING (entity)),
+q AS (SELECT entity, k, period, yy, round(span) AS span_s, CASE WHEN isfinite(v) THEN greatest(0, least(1, v)) ELSE 0 END AS explained FROM x),
+area AS (SELECT entity, sum(v) AS area FROM (SELECT entity, (explained + lead(explained) OVER w) / 2 * (1 / period - 1 / lead(period) OVER w) AS v FROM q WINDOW w AS (PARTITION BY entity ORDER BY k)) GROUP BY entity),
+spec AS (SELECT entity, k, period, explained, CASE WHEN area > 0 THEN explained * yy / area ELSE explained END AS density, span_s FROM q JOIN area USING (entity))
 """
 
 
 def lomb(spark, sf):
-    from pyspark.sql import Window
-
-    x = demo.events(spark, sf)
-    x = x.withColumn("t", (F.col("us") - F.min("us").over(Window.partitionBy("entity"))) / 3.6e9)
-    periods = spark.createDataFrame([(p,) for p in (6.0, 12.0, 24.0, 48.0, 168.0)], "period double")
-    return D.lomb_scargle(x, periods, "raw", "t", ["entity"])
+    return P.periodogram(demo.events(spark, sf), "raw", ("entity",))
 
 
-@query("h5_lomb_scargle", LOMB_SQL + "SELECT entity, period, round(power, 6) AS power FROM spec")
+@query("h5_lomb_scargle", LOMB_SQL + "SELECT entity, k::INT AS k, round(period, 3) AS period, round(explained, 6) AS explained FROM spec")
 def h5_lomb_scargle(spark, sf):
-    return lomb(spark, sf).withColumn("power", r("power"))
+    return lomb(spark, sf).select("entity", "k", r("period", 3).alias("period"), r("explained").alias("explained"))
 
 
-@query("h7_dominant_period", LOMB_SQL + "SELECT entity, arg_max(period, power) AS period, round(max(power) / sum(power), 6) AS share FROM spec WHERE period <= 100 GROUP BY entity")
+@query("h7_dominant_period", LOMB_SQL + "SELECT entity, round(arg_max(period, struct_pack(a := density, b := -k)), 3) AS period, round(arg_max(explained, struct_pack(a := density, b := -k)), 6) AS explained FROM spec WHERE period <= span_s / 4 GROUP BY entity")
 def h7_dominant_period(spark, sf):
-    return D.dominant(lomb(spark, sf), ["entity"], 100.0).withColumn("share", r("share"))
+    return P.dominant_period(lomb(spark, sf), ["entity"]).select("entity", r("period", 3).alias("period"), r("explained").alias("explained"))
 
 
-@query("h8_log_bins", LOMB_SQL + """, x AS (SELECT entity, min(log10(period)) AS a, max(log10(period)) AS b FROM spec GROUP BY entity)
-SELECT entity, least(floor((log10(period) - a) / (b - a) * 3), 2)::INT AS bin, round(avg(power), 6) AS power FROM spec JOIN x USING (entity) GROUP BY ALL""")
+@query("h8_log_bins", LOMB_SQL + """, z AS (SELECT entity, min(log10(period)) AS a, max(log10(period)) AS b FROM spec GROUP BY entity)
+SELECT entity, least(floor((log10(period) - a) / (b - a) * 160), 159)::INT AS bin, round(10 ** (any_value(a) + any_value(b - a) * (any_value(least(floor((log10(period) - a) / (b - a) * 160), 159)) + 0.5) / 160), 3) AS center, round(avg(density) / 1000, 1) AS density
+FROM spec JOIN z USING (entity) GROUP BY ALL""")
 def h8_log_bins(spark, sf):
-    return D.log_bins(lomb(spark, sf), ["entity"], 3).withColumn("power", r("power"))
+    return P.log_bands(lomb(spark, sf), ["entity"]).select("entity", "bin", r("center", 3).alias("center"), r(F.col("density") / 1000, 1).alias("density"))
 
 
 WELCH_SQL = """, wf AS (SELECT entity, min(us) AS a, max(us) AS b FROM ev GROUP BY entity), wc AS (SELECT entity, unnest(range(0, (b - a) // 21600000000 + 1)) AS cell FROM wf),
