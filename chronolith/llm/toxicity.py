@@ -26,17 +26,17 @@ from chronolith.llm.language import letters
 from chronolith.llm.lcp import _powers
 
 #: Labelled documents of either label at most, landmarks, sentences of either label in a round of training, rounds, code points at a time.
-SAMPLE, LANDMARKS, SENTENCES, ROUNDS, AT_ONCE = 2000, 256, 5000, 4, 200_000
+SAMPLE, LANDMARKS, SENTENCES, ROUNDS, AT_ONCE = 2000, 256, 5000, 8, 200_000
 #: Letters a subsequence may span, its decay by each gap, buckets of the table of subsequences.
 WINDOW, DECAY, BUCKETS = 6, 0.6, 1 << 20
 STEPS = [(i, j, k, DECAY ** (k - 3)) for i, j, k in combinations(range(1, WINDOW), 3)]
 #: What stands for the begin and the end of a word, which no letter is.
 BEGIN, FINISH = 2, 3
-#: Shares of the greatest value of a word over which evidence is added up.
-LEVELS = (0.4, 0.6)
+#: Decisions over which a sentence is evidence; the machine's margin lies between the two.
+LEVELS = (-1.0, 0.0)
 SENTENCE_END = re.compile(r"(?<=[.!?])\s+|\n")
-#: What the examples' losses weigh, in sum, against the machine's norm.
-COST = 300.0
+#: What an example's loss weighs on average against the machine's norm.
+COST = 0.15
 #: What a clean document taken for a toxic one weighs against the reverse.
 CLEAN = 1.5
 
@@ -146,7 +146,7 @@ class Landmarks:
 
     def map(self, words: list[np.ndarray], at_once: int = 100) -> np.ndarray:
         """The Nyström map of each word: its kernel with each landmark, whitened."""
-        out, white = np.zeros((len(words), self.rows.shape[1]), np.float32), self.white.astype(np.float32)
+        out = np.zeros((len(words), self.rows.shape[1]), np.float32)
         for i in range(0, len(words), at_once):
             word, bucket, value = sparse(words[i : i + at_once])
             at = self.place[bucket]
@@ -154,8 +154,8 @@ class Landmarks:
             word, at, value = word[held], at[held], value[held]
             if len(word):
                 first = np.flatnonzero(np.concatenate(([True], word[1:] != word[:-1])))
-                out[i + word[first]] = np.add.reduceat(self.rows[at] * value[:, None].astype(np.float32), first, axis=0) @ white
-        return out
+                out[i + word[first]] = np.add.reduceat(self.rows[at] * value[:, None].astype(np.float32), first, axis=0)
+        return out @ self.white.astype(np.float32)
 
     def weights(self, v: np.ndarray) -> np.ndarray:
         """The table of bucket weights of a machine on the map."""
@@ -164,10 +164,10 @@ class Landmarks:
         return out
 
 
-def _svm(z: np.ndarray, y: np.ndarray, cost: float | None = None, rounds: int = 30) -> tuple[np.ndarray, float]:
-    """A linear machine with squared hinge loss, by Newton's steps on the examples inside the margin. Classes weigh alike."""
+def _svm(z: np.ndarray, y: np.ndarray, cost: float, rounds: int = 30) -> tuple[np.ndarray, float]:
+    """A linear machine with squared hinge loss, by Newton's steps on the examples inside the margin. Losses weigh cost in sum, either class the half."""
     x = np.concatenate([z, np.ones((len(z), 1), z.dtype)], axis=1)
-    worth = (cost or COST) * np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum()))
+    worth = cost * np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum()))
     ridge = np.diag(np.append(np.ones(z.shape[1]), 1e-6))
     w, inside = np.zeros(x.shape[1]), np.ones(len(x), bool)
     for _ in range(rounds):
@@ -182,11 +182,11 @@ def _svm(z: np.ndarray, y: np.ndarray, cost: float | None = None, rounds: int =
 @dataclass
 class Model:
     weight: np.ndarray  # of each bucket
-    high: float  # greatest value of a word in training
+    bias: float
     curve: np.ndarray  # from a text's evidence to its score's logit
 
 
-EMPTY = Model(np.zeros(BUCKETS, np.float32), 1.0, np.array([0.0] * (len(LEVELS) + 2) + [-30.0]))
+EMPTY = Model(np.zeros(BUCKETS, np.float32), 0.0, np.array([0.0] * (len(LEVELS) + 2) + [-30.0]))
 
 
 class Vocabulary:
@@ -212,6 +212,7 @@ class Vocabulary:
         _, at, which = np.unique(context, return_index=True, return_inverse=True)
         clean = np.bincount(which, weights=1 - bad) > 0
         word = np.searchsorted(known, word[at])
+        self.known = known
         self.bad, self.good = (np.bincount(word, weights=v, minlength=len(known)) for v in (~clean, clean))
         self.sizes = sizes[first]
         self.letters = letters[np.repeat(starts[first] - np.concatenate(([0], np.cumsum(self.sizes)[:-1])), self.sizes) + np.arange(self.sizes.sum())]
@@ -221,37 +222,61 @@ class Vocabulary:
         return self.letters[self.starts[i] : self.starts[i] + self.sizes[i]]
 
 
+class Told:
+    """The words of sentences, by their places in a vocabulary."""
+
+    def __init__(self, sentences: list[str], words: Vocabulary):
+        parts = [np.zeros((2, 0), np.int64)]
+        for a, b in slices(list(map(len, sentences)), AT_ONCE):
+            w = Words(sentences[a:b])
+            parts.append(np.stack([a + w.doc, np.searchsorted(words.known, w.hashes())]))
+        self.sentence, self.word = np.concatenate(parts, axis=1)
+        self.starts = np.searchsorted(self.sentence, np.arange(len(sentences) + 1))
+
+    def sums(self, values: np.ndarray) -> np.ndarray:
+        """Of each sentence, its words' values added up."""
+        return np.bincount(self.sentence, weights=values[self.word], minlength=len(self.starts) - 1)
+
+    def words(self, sentences: np.ndarray) -> np.ndarray:
+        """The words of some sentences."""
+        return np.concatenate([np.zeros(0, np.int64), *(self.word[self.starts[s] : self.starts[s + 1]] for s in sentences.tolist())])
+
+    def rows(self, sentences: np.ndarray, values: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """Of some sentences, their words' vectors (at the words' places in values) added up."""
+        out = np.zeros((len(sentences), values.shape[1]))
+        for i, s in enumerate(sentences.tolist()):
+            out[i] = values[place[self.word[self.starts[s] : self.starts[s + 1]]]].sum(axis=0)
+        return out
+
+
 def parts_of(texts: list[str]) -> tuple[list[str], np.ndarray]:
     """The sentences of the texts, and the text of each."""
     found = [SENTENCE_END.split(t) for t in texts]
     return [s for x in found for s in x], np.repeat(np.arange(len(texts)), [len(x) for x in found])
 
 
-def decisions(sentences: list[str], weight: np.ndarray, bias: float, high: float) -> np.ndarray:
-    """The machine's decision for each sentence."""
+def decisions(sentences: list[str], weight: np.ndarray, bias: float) -> np.ndarray:
+    """The machine's decision for each sentence, w.x + b: its words' values, added up, and the bias."""
     out = []
     for a, b in slices(list(map(len, sentences)), AT_ONCE):
         w = Words(sentences[a:b])
-        value = np.minimum(word_values(w.letters, w.starts, w.sizes, weight), high)
-        out.append(np.bincount(w.doc, weights=value, minlength=b - a) + bias)
+        out.append(np.bincount(w.doc, weights=word_values(w.letters, w.starts, w.sizes, weight), minlength=b - a) + bias)
     return np.concatenate(out) if out else np.zeros(0)
 
 
-def evidence(texts: list[str], weight: np.ndarray, high: float) -> np.ndarray:
-    """Of each text: what its words' values have over each of LEVELS, added up; the greatest value; the number of words; 1. Sums and number are logarithms. Values are
-    shares of the greatest one of training, at most 1."""
+def evidence(texts: list[str], weight: np.ndarray, bias: float) -> np.ndarray:
+    """Of each text, from its sentences' decisions: how far they lie over each of LEVELS, added up; the greatest decision; the number of
+    sentences; 1. Sums and number are logarithms. A text without a sentence is one of the sentence without a word."""
     out = np.zeros((len(texts), len(LEVELS) + 3))
     out[:, -1] = 1
     for a, b in slices(list(map(len, texts)), AT_ONCE):
-        w = Words(texts[a:b])
-        value = np.clip(word_values(w.letters, w.starts, w.sizes, weight) / high, 0, 1)
-        some = np.flatnonzero(value > LEVELS[0])
+        said, owner = parts_of(texts[a:b])
+        f = decisions(said, weight, bias)
         for k, level in enumerate(LEVELS):
-            out[a:b, k] = np.bincount(w.doc[some], weights=np.maximum(value[some] - level, 0), minlength=b - a)
-        np.maximum.at(out[a:b, -3], w.doc[some], value[some])
-        out[a:b, -2] = np.bincount(w.doc, minlength=b - a) / 800
-    sums = [*range(len(LEVELS)), -2]
-    out[:, sums] = np.log1p(8 * out[:, sums])
+            out[a:b, k] = np.log1p(np.bincount(owner, weights=np.maximum(f - level, 0), minlength=b - a))
+        first = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1])))
+        out[a:b, -3] = np.maximum.reduceat(f, first)
+        out[a:b, -2] = np.log1p(np.bincount(owner, minlength=b - a))
     return out
 
 
@@ -266,46 +291,50 @@ def fit(texts: list[str], toxic: list[int], seed: int = 3) -> Model:
     said, owner = parts_of(texts)
     for sentence, bad in zip(said, docs[owner].tolist()):
         label[sentence] = min(bad, label.get(sentence, 1))
-    said, y = list(label), np.array(list(label.values()))
+    all_said, said, y = said, list(label), np.array(list(label.values()))
+    order = {s: i for i, s in enumerate(said)}
     words = Vocabulary(said, y)
     if not len(words.sizes) or not y.any():
         return EMPTY
     # landmarks: the words that tell the labels apart best, and the commonest
     bad, good = words.bad, words.good
     share = bad.sum() / max(1.0, (bad + good).sum())
-    told = bad * np.log(np.maximum(bad, 1e-9) / ((bad + good) * share)) + good * np.log(np.maximum(good, 1e-9) / ((bad + good) * (1 - share)))
-    told = np.where(bad * (1 - share) > good * share, told, -1)
-    first = np.argsort(-told, kind="stable")[: LANDMARKS // 2]
+    tells = bad * np.log(np.maximum(bad, 1e-9) / ((bad + good) * share)) + good * np.log(np.maximum(good, 1e-9) / ((bad + good) * (1 - share)))
+    tells = np.where(bad * (1 - share) > good * share, tells, -1)
+    first = np.argsort(-tells, kind="stable")[: LANDMARKS // 2]
     common = np.argsort(-(bad + good), kind="stable")
     landmarks = np.unique(np.concatenate((first, common[: LANDMARKS // 2])))
-    marks = Landmarks([words.text(i) for i in landmarks.tolist()])
-    places = {1: rng.permutation(np.flatnonzero(y == 1))[:SENTENCES], 0: rng.permutation(np.flatnonzero(y == 0))}
-    clean, weight, bias, high = places[0][: SENTENCES // 2], None, 0.0, 0.0
+    told = Told(said, words)
+    clean_at = rng.permutation(np.flatnonzero(y == 0))
+    # a toxic document need not be toxic in every sentence: after the first round those count that decide for it
+    of_toxic = docs[owner] == 1
+    bags = np.unique(np.stack([owner[of_toxic], [order[s] for s, t in zip(all_said, of_toxic.tolist()) if t]]), axis=1)
+    bags = bags[:, y[bags[1]] == 1]
+    chosen = {1: rng.permutation(np.flatnonzero(y == 1))[:SENTENCES], 0: clean_at[: SENTENCES // 2]}
     for turn in range(ROUNDS):
         if turn:
-            # the clean sentences that look most toxic so far
-            f = decisions([said[i] for i in places[0].tolist()], weight, bias, high)
-            clean = np.unique(np.concatenate((places[0][: SENTENCES // 2], places[0][np.argsort(-f, kind="stable")[: SENTENCES // 2]])))
-            # and, as further landmarks, the clean words that do
-            value = word_values(words.letters, words.starts, words.sizes, weight)
-            hard = np.argsort(-np.where(bad * (1 - share) < good * share, value, -np.inf), kind="stable")[: LANDMARKS // 4]
-            landmarks = np.unique(np.concatenate((landmarks, hard)))
+            value = word_values(words.letters, words.starts, words.sizes, marks.weights(v))
+            f = told.sums(value) + bias
+            chosen[0] = np.unique(np.concatenate((clean_at[: SENTENCES // 4], clean_at[np.argsort(-f[clean_at], kind="stable")[: SENTENCES // 2]])))
+            best = np.lexsort((-f[bags[1]], bags[0]))
+            first = best[np.flatnonzero(np.diff(bags[0][best], prepend=-1))]
+            chosen[1] = np.unique(np.concatenate((bags[1][first], bags[1][f[bags[1]] >= 1])))[:SENTENCES]
+        if turn < 2:
+            if turn:  # as further landmarks, the clean words that look most toxic
+                hard = np.argsort(-np.where(bad * (1 - share) < good * share, value, -np.inf), kind="stable")[: LANDMARKS // 4]
+                landmarks = np.unique(np.concatenate((landmarks, hard)))
             marks = Landmarks([words.text(i) for i in landmarks.tolist()])
-        chosen = np.concatenate((places[1], clean))
-        w = Words([said[i] for i in chosen.tolist()])
-        _, one, which = np.unique(w.hashes(), return_index=True, return_inverse=True)
-        by_word = marks.map([w.text(i) for i in one.tolist()])
-        z = np.zeros((len(chosen), by_word.shape[1]))
-        for i in range(0, len(which), 5000):
-            doc = w.doc[i : i + 5000]
-            start = np.flatnonzero(np.concatenate(([True], doc[1:] != doc[:-1])))
-            z[doc[start]] += np.add.reduceat(by_word[which[i : i + 5000]], start, axis=0)
-        v, bias = _svm(z, np.where(y[chosen] == 1, 1.0, -1.0))
-        weight, bias = marks.weights(v), float(bias)
-        value = (by_word @ v)[which]
-        high = float(max(1e-6, np.quantile(value[y[chosen][w.doc] == 1], 0.995)))
-    curve = _curve(evidence(texts, weight, high), docs)
-    return Model(weight, high, curve)
+            by_word, place = np.zeros((0, len(landmarks)), np.float32), np.full(len(words.sizes), -1)
+        at = np.concatenate((chosen[1], chosen[0]))
+        # a word is mapped once, as long as the landmarks stay
+        new = np.unique(told.words(at))
+        new = new[place[new] < 0]
+        place[new] = np.arange(len(by_word), len(by_word) + len(new))
+        by_word = np.concatenate((by_word, marks.map([words.text(i) for i in new.tolist()])))
+        v, bias = _svm(told.rows(at, by_word, place), np.where(y[at] == 1, 1.0, -1.0), COST * len(at))
+    weight, bias = marks.weights(v), float(bias)
+    curve = _curve(evidence(texts, weight, bias), docs)
+    return Model(weight, bias, curve)
 
 
 def _curve(x: np.ndarray, y: np.ndarray, rounds: int = 40) -> np.ndarray:
@@ -328,7 +357,7 @@ def train(docs: DataFrame, labels: DataFrame, where=None, most: int = SAMPLE) ->
 
 
 def scores(texts: list[str], model: Model) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(evidence(texts, model.weight, model.high) @ model.curve, -30, 30)))
+    return 1 / (1 + np.exp(-np.clip(evidence(texts, model.weight, model.bias) @ model.curve, -30, 30)))
 
 
 def _score(batch: pa.RecordBatch, model: Model) -> pa.RecordBatch:
