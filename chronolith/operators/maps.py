@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from chronolith.operators.neighbours import Cells, cells, within
+from chronolith.operators.neighbours import nearest as nearest_spots
 from chronolith.sources.shared import stored
 
 ACF_CAP = 216_000.0
@@ -281,11 +283,17 @@ def density_clusters(points: DataFrame, neighbours: int = 5, least: int = 5) ->
     has `least` points within it, itself among them; cores within the radius of each other are one cluster, named by its least
     id; other points within reach of a core join the nearest one's cluster.
 
-    Labels spread by the least label of linked cores until nothing changes; each round's labels are written."""
-    d = stored(distances(points, points).select("a", "b", "d"), "distances")
-    radius = nearest_distance(d, neighbours)
-    near = d.where(F.col("d") <= radius)
-    core = near.groupBy("a").agg((F.count(F.lit(1)) + 1).alias("n")).where(F.col("n") >= least).select(F.col("a").alias("id"))
+    Equal points are one, with their number, so that copies make no pairs. Neighbours are found by cells and rings (`neighbours`), never
+    among all pairs. Labels spread by the least label of linked cores until nothing changes; each round's labels are written."""
+    spot = F.transform("x", lambda v: v.cast("double"))
+    named = stored(points.select("id", spot.alias("x")), "named")
+    spots = stored(named.groupBy("x").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n")), "spots")
+    known = cells(spots)
+    radius = nearest_distance(known, spots.select("id", "n"), neighbours)
+    sizes = spots.select(F.col("id").alias("b"), F.col("n").alias("m"))
+    near = stored(within(known.rows.select("id", "x", F.lit(radius).alias("bound")), known), "near")
+    around = near.join(sizes, "b").groupBy(F.col("a").alias("id")).agg(F.sum("m").alias("m"))
+    core = spots.join(around, "id", "left").where(F.col("n") + F.coalesce("m", F.lit(0)) >= least).select("id")
     links = stored(near.join(core.select(F.col("id").alias("a")), "a").join(core.select(F.col("id").alias("b")), "b").select("a", "b"), "links")
     label = core.select("id", F.col("id").alias("cluster"))
     while True:
@@ -297,11 +305,17 @@ def density_clusters(points: DataFrame, neighbours: int = 5, least: int = 5) ->
         if not moved:
             break
     border = near.join(label.select(F.col("id").alias("b"), "cluster"), "b").groupBy(F.col("a").alias("id")).agg(F.min_by("cluster", F.struct("d", "b")).alias("_b"))
-    out = points.select("id").join(label, "id", "left").join(border, "id", "left")
-    return out.select("id", F.coalesce("cluster", "_b", F.lit(-1)).alias("cluster"))
-
-
-def nearest_distance(d: DataFrame, k: int) -> float:
-    """The median over the points of the distance to their k-th nearest other point."""
-    kth = nearest(d, k).groupBy("a").agg(F.max("d").alias("d"))
-    return float(kth.agg(F.percentile("d", 0.5)).first()[0] or 0.0)
+    told = spots.join(label, "id", "left").join(border, "id", "left").select(F.col("x").alias("_x"), F.coalesce("cluster", "_b", F.lit(-1)).alias("cluster"))
+    return named.join(told, F.col("x") == F.col("_x")).select("id", "cluster")
+
+
+def nearest_distance(known: Cells, sizes: DataFrame, k: int) -> float:
+    """The median over the points (each spot as often as it has points) of the distance to their k-th nearest other point, or to the
+    farthest where there are fewer."""
+    near = nearest_spots(known, k).join(sizes.select(F.col("id").alias("b"), F.col("n").alias("m")), "b")
+    # a spot's own other points come first, at 0
+    met = F.sum("m").over(Window.partitionBy("a").orderBy("d", "b")) + F.col("n") - 1
+    own = near.join(sizes.withColumnRenamed("id", "a"), "a").withColumn("met", met)
+    kth = own.groupBy("a").agg(F.coalesce(F.min(F.when(F.col("met") >= k, F.col("d"))), F.max("d")).alias("d"))
+    all_ = sizes.join(kth.withColumnRenamed("a", "id"), "id", "left").select(F.when(F.col("n") > k, 0.0).otherwise(F.col("d")).alias("d"), "n").where("d is not null")
+    return float(all_.agg(F.percentile("d", 0.5, F.col("n"))).first()[0] or 0.0)

@@ -152,7 +152,17 @@ def j12_shared_channels(spark, sf):
     return fact(spark, sf).groupBy("grp", "channel").agg((F.count_distinct(F.when(F.col("n_valid") > 0, F.col("entity"))) == F.count_distinct("entity")).alias("shared"))
 
 
-@query("m10_density_clusters")
+DENSITY_SQL = """WITH RECURSIVE p AS (SELECT vec_id AS id, embedding::DOUBLE[] AS x FROM embeddings), d AS (SELECT q.id AS a, p.id AS b, list_distance(q.x, p.x) AS d FROM p q JOIN p ON p.id <> q.id),
+rad AS (SELECT median(d) AS r FROM (SELECT a, d, row_number() OVER (PARTITION BY a ORDER BY d, b) AS k FROM d) WHERE k = 5),
+near AS MATERIALIZED (SELECT a, b, d FROM d, rad WHERE d <= r), core AS (SELECT a AS id FROM near GROUP BY a HAVING count(*) + 1 >= 5),
+links AS MATERIALIZED (SELECT a, b FROM near WHERE a IN (SELECT id FROM core) AND b IN (SELECT id FROM core)),
+reach AS (SELECT id, id AS root FROM core UNION SELECT l.b, r.root FROM reach r JOIN links l ON l.a = r.id),
+own AS (SELECT id, min(root) AS cluster FROM reach GROUP BY id),
+edge AS (SELECT a AS id, arg_min(cluster, struct_pack(d := d, b := b)) AS cluster FROM near JOIN own ON own.id = near.b GROUP BY a)
+SELECT p.id, coalesce(own.cluster, edge.cluster, -1) AS cluster FROM p LEFT JOIN own ON own.id = p.id LEFT JOIN edge ON edge.id = p.id"""
+
+
+@query("m10_density_clusters", DENSITY_SQL)
 def m10_density_clusters(spark, sf):
     return M.density_clusters(points(spark, sf))
 
