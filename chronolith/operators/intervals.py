@@ -3,6 +3,8 @@
 
 from __future__ import annotations
 
+import heapq
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -77,9 +79,14 @@ def disagree(a: Column, b: Column) -> Column:
 
 
 def agreements(cat: DataFrame, by: tuple[str, ...] = ("entity",)) -> DataFrame:
-    """by, a, b, agree for every overlapping pair."""
-    pairs = _pairs(cat.select(*by, "series", "start", "end", "runs"), by)
-    return pairs.select(*by, F.col("a_series").alias("a"), F.col("b_series").alias("b"), (~F.coalesce(disagree(F.col("a_runs"), F.col("b_runs")), F.lit(False))).alias("agree"))
+    """by, a, b, agree for every overlapping pair. Pairs are found by spans alone; the runs are fetched for them after, as far as the two meet."""
+    pairs = _pairs(cat.select(*by, "series", "start", "end"), by).select(*by, F.col("a_series").alias("a"), F.col("b_series").alias("b"), "b_start")
+    tracks = cat.select("series", "runs")
+    both = pairs.join(tracks.select(F.col("series").alias("a"), F.col("runs").alias("_a")), "a").join(tracks.select(F.col("series").alias("b"), F.col("runs").alias("_b")), "b")
+    last = F.array_max(F.transform("_a", lambda x: x.end))  # a recording's runs reach a step over its last sample
+    both = both.withColumn("_last", last)
+    meets = disagree(F.filter("_a", lambda x: x.end > F.col("b_start")), F.filter("_b", lambda x: x.start < F.col("_last")))
+    return both.select(*by, "a", "b", (~F.coalesce(meets, F.lit(False))).alias("agree"))
 
 
 def islands(cat: DataFrame, by: tuple[str, ...] = ("entity",)) -> DataFrame:
@@ -168,8 +175,6 @@ def lane_counts(cat: DataFrame) -> DataFrame:
 
 
 def _lanes(rows):
-    import heapq
-
     rows = rows.sort_values(["start", "series"])
     busy: list[tuple[int, int]] = []
     free: list[int] = []
@@ -204,18 +209,97 @@ def merge_samples(samples: DataFrame, grouped: DataFrame, columns: list[str]) ->
     return rows.groupBy("entity", "bar", "us").agg(*[F.min_by(c, F.when(F.col(c).isNotNull(), order)).alias(c) for c in columns])
 
 
+class _Sweep:
+    """The open runs of one bar, as time goes on: which of them speaks, from when to when."""
+
+    def __init__(self):
+        self.now, self.open, self.said, self.out = None, [], None, []
+
+    def speak(self, start, end, value, source) -> None:
+        """A stretch; it lengthens the one before if nothing but time is new."""
+        if self.said and self.said[1] == start and self.said[2:] == (value, source):
+            start = self.said[0]
+        elif self.said:
+            self.out.append(self.said)
+        self.said = (start, end, value, source)
+
+    def advance(self, to) -> None:
+        """Up to a time (None: to the end of all open runs), the first member in order that knows a label speaks, else the first member."""
+        while self.open and (to is None or self.now < to):
+            _, end, value, source = self.open[0]
+            if end <= self.now:
+                heapq.heappop(self.open)
+                continue
+            until = end if to is None else min(end, to)
+            self.speak(self.now, until, value, source)
+            self.now = until
+        self.now = to
+
+    def begin(self, start, end, value, first, series) -> None:
+        self.advance(start)
+        heapq.heappush(self.open, ((value is None, first, series), end, value, series))
+
+    def close(self) -> list[tuple]:
+        self.advance(None)
+        return self.out + ([self.said] if self.said else [])
+
+
 def merge_runs(grouped: DataFrame) -> DataFrame:
-    """entity, bar, start, end, value, source: at every instant the label of the first member that knows one; neighbours of one value and source joined."""
-    own = grouped.select("entity", "bar", "series", F.col("start").alias("_s"), F.explode("runs").alias("r")).select("entity", "bar", "series", "_s", "r.start", "r.end", "r.value")
-    edges = own.select("entity", "bar", F.explode(F.array("start", "end")).alias("from")).distinct()
-    w = Window.partitionBy("entity", "bar").orderBy("from")
-    cells = edges.withColumn("to", F.lead("from").over(w)).where("to is not null")
-    at = cells.join(own, ["entity", "bar"]).where((F.col("start") <= F.col("from")) & (F.col("from") < F.col("end")))
-    order = F.struct(F.col("value").isNull(), F.col("_s"), F.col("series"))
-    told = at.groupBy("entity", "bar", "from", "to").agg(F.min_by("value", order).alias("value"), F.min_by("series", order).alias("source"))
-    change = ~(F.col("value").eqNullSafe(F.lag("value").over(w)) & F.col("source").eqNullSafe(F.lag("source").over(w)) & F.col("from").eqNullSafe(F.lag("to").over(w)))
-    rows = told.withColumn("_c", change.cast("int")).withColumn("_r", F.sum("_c").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return rows.groupBy("entity", "bar", "_r").agg(F.min("from").alias("start"), F.max("to").alias("end"), F.first("value").alias("value"), F.first("source").alias("source")).drop("_r")
+    """entity, bar, start, end, value, source: at every instant the label of the first member that knows one; neighbours of one value and source joined.
+
+    Bars are dealt over tasks and their runs sorted by start; one pass carries the open runs along, so a bar costs its runs' number, and
+    what is held is what is open at once."""
+    types = dict(grouped.select("entity", "bar", "series", F.explode("runs").alias("r")).select("entity", "bar", "series", F.col("r.start").alias("start"), F.col("r.value").alias("value")).dtypes)
+    own = grouped.select("entity", "bar", "series", F.col("start").alias("first"), F.explode("runs").alias("r")).select("entity", "bar", "series", "first", "r.start", "r.end", "r.value").where("start < end")
+    names = ["entity", "bar", "start", "end", "value", "source"]
+
+    def sweep(batches):
+        key, state, out = None, None, []
+        for batch in batches:
+            columns = (batch.column(c).to_pylist() for c in ("entity", "bar", "series", "first", "start", "end", "value"))
+            for entity, bar, series, first, start, end, value in zip(*columns):
+                if key != (entity, bar):
+                    out += [(*key, *x) for x in state.close()] if state else []
+                    key, state = (entity, bar), _Sweep()
+                state.begin(start, end, value, first, series)
+            out += [(*key, *x) for x in state.out] if state else []
+            if state:
+                state.out = []
+            if out:
+                yield told(out)
+                out = []
+        if state:
+            yield told([(*key, *x) for x in state.close()])
+
+    def told(rows):
+        import pyarrow as pa
+
+        kinds = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string(), "smallint": pa.int16()}
+        own_kinds = [kinds[types[c]] for c in ("entity", "bar", "start", "start", "value", "series")]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [[]] * 6, own_kinds)], names=names)
+
+    schema = f"entity {types['entity']}, bar {types['bar']}, start {types['start']}, end {types['start']}, value {types['value']}, source {types['series']}"
+    return own.repartition("entity", "bar").sortWithinPartitions("entity", "bar", "start", "first", "series").mapInArrow(sweep, schema)
+
+
+def intersections(a: DataFrame, b: DataFrame, by: tuple[str, ...] = ("series",)) -> DataFrame:
+    """by, start, end, a, b: the stretches in which a run of a and a run of b (by, start, end, value) are both there, with their values. The runs of
+    one key do not overlap, neither in a nor in b.
+
+    All bounds are sorted once, and at each the last run of either side to have begun is carried along: linear in the runs, not in their pairs."""
+    run = F.struct("end", "value")
+    none = lambda df, name: F.lit(None).cast(df.select(run.alias(name)).schema[name].dataType).alias(name)
+
+    def bounds(df: DataFrame, name: str, other: DataFrame, other_name: str) -> DataFrame:
+        known = df.where("start < end")
+        ends = known.select(*by, F.col("end").alias("t"), none(df, name), none(other, other_name))
+        return known.select(*by, F.col("start").alias("t"), run.alias(name), none(other, other_name)).unionByName(ends)
+
+    points = bounds(a, "_a", b, "_b").unionByName(bounds(b, "_b", a, "_a")).groupBy(*by, "t").agg(F.max("_a").alias("_a"), F.max("_b").alias("_b"))
+    w = Window.partitionBy(*by).orderBy("t")
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    at = points.select(*by, "t", F.lead("t").over(w).alias("end"), F.last("_a", True).over(upto).alias("_a"), F.last("_b", True).over(upto).alias("_b"))
+    return at.where((F.col("_a.end") > F.col("t")) & (F.col("_b.end") > F.col("t"))).select(*by, F.col("t").alias("start"), "end", F.col("_a.value").alias("a"), F.col("_b.value").alias("b"))
 
 
 def history(merged: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chronolith.functions.labels import label_fault, label_kind
+from chronolith.operators.intervals import intersections
 
 
 def agrees(verdict: Column, label: Column, fault: Column, kind: str = "detection") -> Column:
@@ -20,9 +21,7 @@ def agrees(verdict: Column, label: Column, fault: Column, kind: str = "detection
 
 def split(verdicts: DataFrame, segments: DataFrame, kind: str = "detection") -> DataFrame:
     """series, start, end, verdict, value, agrees: the verdict runs cut at the bounds of the label runs."""
-    v = verdicts.select("series", F.col("start").alias("_a"), F.col("end").alias("_b"), F.col("value").alias("verdict"))
-    both = segments.join(v, "series").where((F.col("_a") < F.col("end")) & (F.col("start") < F.col("_b")))
-    out = both.select("series", F.greatest("start", "_a").alias("start"), F.least("end", "_b").alias("end"), "verdict", "value")
+    out = intersections(verdicts, segments).withColumnsRenamed({"a": "verdict", "b": "value"})
     return out.withColumn("agrees", agrees(F.col("verdict"), F.col("value"), F.lit(0), kind))
 
 

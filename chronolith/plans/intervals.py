@@ -53,13 +53,6 @@ def grouped(spark, sf):
     return stored(I.join_groups(cat(spark, sf)), "grouped")
 
 
-def calm(spark, sf):
-    """The bars of entities without a label conflict."""
-    rows = cat(spark, sf)
-    bad = I.agreements(rows).where("not agree").select("entity").distinct()
-    return I.join_groups(rows.join(bad, "entity", "left_anti"))
-
-
 @query("r1_runs", demo.with_samples(RUNS_SQL + "SELECT series, run, start, last, value, n FROM runs"))
 def r1_runs(spark, sf):
     return I.runs(demo.samples(spark, sf))
@@ -99,12 +92,6 @@ def r7_join_groups(spark, sf):
     return I.join_groups(cat(spark, sf)).select("entity", "series", "bar")
 
 
-@query("r7_join_groups_calm", demo.with_samples(CAT_SQL + """, isl AS (SELECT *, coalesce((start > max("end") OVER (PARTITION BY entity ORDER BY start, series ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))::INT, 1) AS nw FROM cat WHERE entity NOT IN (SELECT entity FROM bad))
-SELECT entity, series, sum(nw) OVER (PARTITION BY entity ORDER BY start, series) - 1 AS bar FROM isl"""))
-def r7_join_groups_calm(spark, sf):
-    return calm(spark, sf).select("entity", "series", "bar")
-
-
 @query("r8_bars", demo.with_samples(GROUPS_SQL + """SELECT entity, bar, min(start) AS start, max("end") AS "end", arg_max(fault, struct_pack(a := CASE reach WHEN 'steady' THEN 2 WHEN 'transient' THEN 1 ELSE 0 END, b := fault <> 0, c := -start, d := -series)) AS lead,
  count(*) AS n_members, count(DISTINCT fault) AS n_colours, arg_min(series, struct_pack(a := start, b := series)) AS first, sum(n_samples)::BIGINT AS n_rows, round((max("end") - min(start)) / 3.6e9, 6) AS hours FROM grp GROUP BY entity, bar"""))
 def r8_bars(spark, sf):
