@@ -266,4 +266,5 @@ def keep_first(docs: DataFrame) -> DataFrame:
     order = F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "fp", "h", "n")
     rooted = _rooted(stored(own.groupBy("fp").agg(F.min(order).alias("least")), "simhash-distinct"))
     first = stored(rooted.groupBy("root").agg(F.min("least").alias("least")).select("least.n"), "simhash-first")
-    return rows.join(first, "n", "left_semi").select("row.*")
+    # a merge join at every size: the kept numbers grow with the documents
+    return rows.join(first.hint("merge"), "n", "left_semi").select("row.*")
