@@ -64,3 +64,79 @@ def auc(rows: DataFrame, score: str, event: Column, by: list[str], least: int =
     out = ties.withColumn("w", F.col("e") * (below + F.col("n") / 2)).groupBy(*by).agg(F.sum("e").alias("n_event"), F.sum("n").alias("n_normal"), F.sum("w").alias("w"))
     out = out.where((F.col("n_event") >= least) & (F.col("n_normal") >= least)).withColumn("auc", F.col("w") / (F.col("n_event") * F.col("n_normal"))).drop("w")
     return out.withColumn("separation", 2 * F.abs(F.col("auc") - 0.5))
+
+
+def states(samples: DataFrame, size: int, value: str = "value", label: str = "label", by: tuple[str, ...] = ("series",), order: tuple[str, ...] = ("us", "rid")) -> DataFrame:
+    """by, run, w, label, n, values: the windows of `size` samples of one label, with their readings in order. Windows of one run can be put
+    together (`doubled`), so larger sizes need no second pass over the samples."""
+    w = Window.partitionBy(*by).orderBy(*order)
+    change = (F.row_number().over(w) == 1) | ~F.col(label).eqNullSafe(F.lag(label).over(w))
+    rows = samples.withColumn("_c", change.cast("int")).withColumn("run", F.sum("_c").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    place = F.row_number().over(Window.partitionBy(*by, "run").orderBy(*order)) - 1
+    rows = rows.select(*by, "run", F.col(label).alias("label"), F.floor(place / size).alias("w"), place.alias("_i"), F.col(value).cast("double").alias("_v"))
+    held = F.transform(F.sort_array(F.collect_list(F.struct("_i", "_v"))), lambda x: x._v)
+    return rows.groupBy(*by, "run", "w").agg(F.first("label").alias("label"), F.count(F.lit(1)).alias("n"), held.alias("values"))
+
+
+def doubled(halves: DataFrame, by: tuple[str, ...] = ("series",)) -> DataFrame:
+    """The windows of twice the size: two neighbours of one run each, the last perhaps one alone."""
+    pair = F.sort_array(F.collect_list(F.struct("w", "values")))
+    return halves.groupBy(*by, "run", F.floor(F.col("w") / 2).alias("w")).agg(F.first("label").alias("label"), F.sum("n").alias("n"), F.flatten(F.transform(pair, lambda x: x["values"])).alias("values"))
+
+
+#: What is told of a window.
+STATISTICS = ("mean", "std", "skew", "kurtosis", "q05", "q25", "median", "q75", "q95", "low", "high", "snr")
+
+
+def described(found: DataFrame, least: int = 8) -> DataFrame:
+    """found (states) with STATISTICS of their readings, null ones left out. A flat window has its value as mean and no deviation; flat windows and
+    those of under `least` readings have neither skew nor kurtosis nor signal to noise; without a reading all are null."""
+    rows = found.withColumn("_v", F.filter("values", lambda x: x.isNotNull() & ~F.isnan(x))).withColumn("_k", F.size("_v")).withColumn("_s", F.sort_array("_v"))
+    k, low, high = F.col("_k"), F.get("_s", F.lit(0)), F.get("_s", F.col("_k") - 1)
+    total = lambda column, f: F.aggregate(column, F.lit(0.0), lambda a, x: a + f(x))
+    rows = rows.withColumn("_m", total("_v", lambda x: x) / k)
+    power = lambda p: total("_v", lambda x: F.pow(x - F.col("_m"), F.lit(float(p)))) / k
+    steps = F.transform(F.sequence(F.lit(1), k - 1), lambda i: F.get("_v", i) - F.get("_v", i - 1))
+    rows = rows.withColumns({"_2": power(2), "_3": power(3), "_4": power(4), "_d": F.when(k > 1, total(steps, lambda d: d * d) / (k - 1))})
+
+    def quantile(q: float) -> Column:
+        at = (k - 1) * q
+        below = F.floor(at).cast("int")
+        a, b = F.get("_s", below), F.get("_s", F.least(below + 1, k - 1))
+        return a + (b - a) * (at - below)
+
+    flat = low == high
+    told, some = ~flat & (k >= least), k > 0
+    snr = F.when(F.col("_d") > 0, F.col("_2") / (F.col("_d") / 2)).otherwise(float("inf"))
+    out = {"mean": F.when(flat, low).otherwise(F.col("_m")), "std": F.when(flat, 0.0).otherwise(F.sqrt("_2")), "skew": F.when(told, F.col("_3") / F.pow("_2", F.lit(1.5))), "kurtosis": F.when(told, F.col("_4") / (F.col("_2") * F.col("_2")) - 3)}
+    out |= {name: quantile(q) for name, q in (("q05", 0.05), ("q25", 0.25), ("median", 0.5), ("q75", 0.75), ("q95", 0.95))} | {"low": low, "high": high, "snr": F.when(told & (k >= 3), snr)}
+    return rows.withColumns({name: F.when(some, v) for name, v in out.items()}).drop("_v", "_k", "_s", "_m", "_2", "_3", "_4", "_d")
+
+
+def separation_study(samples: DataFrame, sizes: tuple[int, ...] = (256, 512, 1024), by: tuple[str, ...] = ("series",), order: tuple[str, ...] = ("us", "rid"), least: int = 8, digits: int = 6) -> DataFrame:
+    """by, size, stat, n_event, n_normal, separation: how well each of STATISTICS tells the complete windows of an event (label not 0) from normal ones.
+
+    Each size is twice the one before; the samples are cut once, to the first, and each size is put together from the one before. Statistics
+    are compared to `digits` decimals. Pairs of under five windows of either kind are left out."""
+    if any(b != 2 * a for a, b in zip(sizes, sizes[1:])):
+        raise ValueError("each size must be twice the one before")
+    found, out = states(samples.where("label is not null"), sizes[0], by=by, order=order), None
+    for size in sizes:
+        own = described(found.where(F.col("n") == size), least).select(F.lit(size).alias("size"), *by, "label", *[F.round(s, digits).alias(s) for s in STATISTICS])
+        out = own if out is None else out.unionByName(own)
+        found = doubled(found, by)
+    rows = out.unpivot(["size", *by, "label"], list(STATISTICS), "stat", "v")
+    return auc(rows, "v", F.col("label") != 0, [*by, "size", "stat"]).select(*by, "size", "stat", "n_event", "n_normal", "separation")
+
+
+def best_statistics(study: DataFrame, by: list[str]) -> DataFrame:
+    """by, stat, separation: the statistic that separates best, of equal ones the first by name."""
+    order = Window.partitionBy(*by).orderBy(F.desc(F.round("separation", 9)), "stat")
+    return study.withColumn("_k", F.row_number().over(order)).where("_k = 1").select(*by, "stat", "separation")
+
+
+def wins(study: DataFrame, by: list[str]) -> DataFrame:
+    """size, stat, wins, median: of how many of `by` a statistic is the best at a size, and the median of its separations."""
+    first = best_statistics(study, [*by, "size"]).groupBy("size", "stat").agg(F.count(F.lit(1)).alias("_w"))
+    middle = study.groupBy("size", "stat").agg(F.percentile("separation", 0.5).alias("median"))
+    return middle.join(first, ["size", "stat"], "left").select("size", "stat", F.coalesce("_w", F.lit(0)).alias("wins"), "median")

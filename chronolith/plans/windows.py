@@ -14,6 +14,7 @@ from chronolith.plans.intervals import CAT_SQL, cat
 from chronolith.plans.registry import query
 from chronolith.plans.series import KINDS, moments_sql, r, rounded_moments
 from chronolith.sources import demo
+from chronolith.sources.shared import stored
 
 SIZE = 3
 
@@ -80,24 +81,58 @@ def w6_auc(spark, sf):
     return W.auc(x, "v", F.col("t") == "error", ["grp"]).withColumns({"auc": r("auc"), "separation": r("separation")})
 
 
-@query("b14_separation_study", demo.with_samples(""", z AS (SELECT unnest([2, 3, 4]) AS size), k1 AS (SELECT *, CASE WHEN row_number() OVER w = 1 OR label IS DISTINCT FROM lag(label) OVER w THEN 1 ELSE 0 END AS ch FROM samples WINDOW w AS (PARTITION BY series ORDER BY us, rid)),
-k2 AS (SELECT *, sum(ch) OVER (PARTITION BY series ORDER BY us, rid) AS run FROM k1), k3 AS (SELECT *, row_number() OVER (PARTITION BY series, run ORDER BY us, rid) - 1 AS i FROM k2),
-w AS (SELECT size, any_value(fault) AS fault, avg(value) AS m, max(value) - min(value) AS rg, any_value(label) AS label FROM k3, z GROUP BY size, series, run, i // size),
-s AS (SELECT size, fault, 'mean' AS stat, round(m, 6) AS v, label > 0 AS e FROM w WHERE label IS NOT NULL AND m IS NOT NULL UNION ALL SELECT size, fault, 'range', rg, label > 0 FROM w WHERE label IS NOT NULL AND rg IS NOT NULL),
-t AS (SELECT size, fault, stat, v, count(*) FILTER (e) AS e, count(*) FILTER (NOT e) AS n FROM s GROUP BY ALL),
-u AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY size, fault, stat ORDER BY v ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM t)
-SELECT size, fault, stat, round(2 * abs(sum(e * (below + n / 2)) / (sum(e) * sum(n)) - 0.5), 6) AS separation FROM u GROUP BY size, fault, stat HAVING sum(e) >= 5 AND sum(n) >= 5"""))
-def b14_separation_study(spark, sf):
+#: Suppliers are wells, their lines in order of shipping the samples, those of the second half of a year the event; readings are missing here and there.
+WELLS_SQL = """WITH li AS (SELECT l_suppkey AS well, l_orderkey AS o, l_linenumber AS n, l_shipdate AS d, (month(l_shipdate) > 6)::INT AS label, CASE WHEN (l_orderkey + l_suppkey) % 5 <> 0 THEN l_quantity::DOUBLE END AS quantity,
+ CASE WHEN (3 * l_orderkey + l_suppkey) % 7 <> 0 THEN l_extendedprice::DOUBLE END AS price, CASE WHEN (l_linenumber + l_suppkey) % 6 <> 0 THEN l_discount::DOUBLE END AS discount FROM lineitem),
+cv AS (SELECT well, channel, v, o, n, d, label FROM li UNPIVOT INCLUDE NULLS (v FOR channel IN (quantity, price, discount))),
+bst AS (SELECT well, channel FROM (SELECT well, channel, row_number() OVER (PARTITION BY well ORDER BY count(v) DESC, channel) AS k FROM cv GROUP BY well, channel) WHERE k = 1),
+x0 AS (SELECT cv.* FROM cv JOIN bst USING (well, channel)),
+x1 AS (SELECT *, CASE WHEN label = lag(label) OVER w THEN 0 ELSE 1 END AS c FROM x0 WINDOW w AS (PARTITION BY well ORDER BY d, o, n)),
+x2 AS (SELECT *, sum(c) OVER (PARTITION BY well ORDER BY d, o, n) AS run FROM x1),
+x3 AS (SELECT *, row_number() OVER (PARTITION BY well, run ORDER BY d, o, n) - 1 AS i FROM x2),
+x4 AS (SELECT size, well, channel, run, i // size AS win, label, i, v, v - lag(v) OVER (PARTITION BY size, well, run, i // size, v IS NULL ORDER BY i) AS dv FROM x3, (VALUES (8), (16), (32)) z(size)),
+x5 AS (SELECT *, avg(v) OVER p AS m, count(*) OVER p AS rows_ FROM x4 WINDOW p AS (PARTITION BY size, well, run, win)),
+x6 AS (SELECT size, well, channel, any_value(label) AS label, count(v) AS k, min(v) AS low, max(v) AS high, any_value(m) AS mean, avg((v - m) ** 2) AS m2, avg((v - m) ** 3) AS m3, avg((v - m) ** 4) AS m4, avg(dv * dv) AS dd,
+ quantile_cont(v, [0.05, 0.25, 0.5, 0.75, 0.95]) AS q FROM x5 WHERE rows_ = size GROUP BY size, well, channel, run, win),
+x7 AS (SELECT size, well, channel, label, CASE WHEN low = high THEN low ELSE mean END AS mean, CASE WHEN low = high THEN 0 ELSE sqrt(m2) END AS std, CASE WHEN low < high AND k >= 8 THEN m3 / m2 ** 1.5 END AS skew, CASE WHEN low < high AND k >= 8 THEN m4 / m2 ** 2 - 3 END AS kurtosis,
+ q[1] AS q05, q[2] AS q25, q[3] AS median, q[4] AS q75, q[5] AS q95, low, high, CASE WHEN low < high AND k >= 8 THEN m2 / (dd / 2) END AS snr FROM x6),
+x8 AS (SELECT size, well, channel, label, stat, round(v, 6) AS v FROM (UNPIVOT x7 ON mean, std, skew, kurtosis, q05, q25, median, q75, q95, low, high, snr INTO NAME stat VALUE v)),
+t AS (SELECT size, well, channel, stat, v, count(*) FILTER (label <> 0) AS e, count(*) FILTER (label = 0) AS n FROM x8 GROUP BY ALL),
+u AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY size, well, stat ORDER BY v ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM t),
+study AS (SELECT well, channel, size, stat, sum(e)::BIGINT AS n_event, sum(n)::BIGINT AS n_normal, 2 * abs(sum(e * (below + n / 2)) / (sum(e) * sum(n)) - 0.5) AS separation FROM u GROUP BY ALL HAVING sum(e) >= 5 AND sum(n) >= 5)
+"""
+
+
+def study(spark, sf):
     from pyspark.sql import Window
 
-    x = demo.samples(spark, sf)
-    w = S.ordered("series")
-    change = (F.row_number().over(w) == 1) | ~F.col("label").eqNullSafe(F.lag("label").over(w))
-    rows = x.withColumn("c", change.cast("int")).withColumn("run", F.sum("c").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    rows = rows.withColumn("i", F.row_number().over(Window.partitionBy("series", "run").orderBy("us", "rid")) - 1).withColumn("size", F.explode(F.array(F.lit(2), F.lit(3), F.lit(4))))
-    wins = rows.groupBy("size", "series", "run", F.floor(F.col("i") / F.col("size"))).agg(F.first("fault").alias("fault"), r(F.avg("value")).alias("mean"), (F.max("value") - F.min("value")).alias("range"), F.first("label").alias("label")).where("label is not null")
-    stats = wins.unpivot(["size", "fault", "label"], ["mean", "range"], "stat", "v")
-    return W.auc(stats, "v", F.col("label") > 0, ["size", "fault", "stat"]).select("size", "fault", "stat", r("separation").alias("separation"))
+    x = spark.read.parquet(f"{sf}/lineitem.parquet")
+    o, k, n = F.col("l_orderkey"), F.col("l_suppkey"), F.col("l_linenumber")
+    quantity, price, discount = F.when((o + k) % 5 != 0, F.col("l_quantity")), F.when((3 * o + k) % 7 != 0, F.col("l_extendedprice")), F.when((n + k) % 6 != 0, F.col("l_discount"))
+    rows = x.select(k.alias("well"), o.alias("o"), n.alias("n"), F.col("l_shipdate").alias("d"), (F.month("l_shipdate") > 6).cast("int").alias("label"), quantity.cast("double").alias("quantity"), price.cast("double").alias("price"), discount.cast("double").alias("discount"))
+    # counts of all channels at once say which one of a well is covered best
+    channels = ("discount", "price", "quantity")
+    counts = rows.groupBy("well").agg(*[F.count(c).alias(c) for c in channels])
+    best = counts.select("well", F.greatest(*channels).alias("_m"), *channels).select("well", F.coalesce(*[F.when(F.col(c) == F.col("_m"), c) for c in channels]).alias("channel"))
+    value = F.coalesce(*[F.when(F.col("channel") == c, F.col(c)) for c in channels])
+    return W.separation_study(rows.join(best, "well").withColumn("value", value), (8, 16, 32), ("well", "channel"), ("d", "o", "n"))
+
+
+@query("b14_separation_study", WELLS_SQL + "SELECT well, channel, size, stat, n_event, n_normal, round(separation, 6) AS separation FROM study")
+def b14_separation_study(spark, sf):
+    """Of each well's best covered channel, how well twelve statistics of windows of three sizes tell events from normal operation."""
+    return study(spark, sf).withColumn("separation", r("separation"))
+
+
+@query("b14_best_statistics", WELLS_SQL + "SELECT well, size, stat, round(separation, 6) AS separation FROM study QUALIFY row_number() OVER (PARTITION BY well, size ORDER BY round(separation, 9) DESC, stat) = 1")
+def b14_best_statistics(spark, sf):
+    return W.best_statistics(study(spark, sf), ["well", "size"]).withColumn("separation", r("separation"))
+
+
+@query("b14_wins", WELLS_SQL + """, f AS (SELECT size, stat FROM study QUALIFY row_number() OVER (PARTITION BY well, size ORDER BY round(separation, 9) DESC, stat) = 1)
+SELECT size, stat, (SELECT count(*) FROM f WHERE f.size = study.size AND f.stat = study.stat) AS wins, round(median(separation), 6) AS median FROM study GROUP BY size, stat""")
+def b14_wins(spark, sf):
+    return W.wins(stored(study(spark, sf), "study"), ["well"]).withColumn("median", r("median"))
 
 
 @query("h1_histogram", """WITH s AS (SELECT user_id % 10 AS grp, event_type AS kind, value FROM events), x AS (SELECT grp, min(value) AS a, max(value) AS b FROM s GROUP BY grp),
