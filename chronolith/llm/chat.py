@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chronolith.llm.common import table
+from chronolith.llm.common import let, running, table
 
 #: The template. Escaped text has no "<" and no "[", so none of these, nor [INST], can be said by a text.
 TURN, END, ASSISTANT = "<|turn|>", "<|end|>\n", "assistant"
@@ -47,6 +47,12 @@ def _visit(part: Column) -> Column:
     return F.when(part.type.isin(*EXPANDED), mark).otherwise(escape(F.coalesce(part.text, F.lit(""))))
 
 
+def _starts(texts: Column) -> Column:
+    """Where each text of an array begins, were they put together."""
+    before = lambda ends: F.transform(ends, lambda x, i: F.when(i > 0, F.get(ends, i - 1)).otherwise(0))
+    return let(running(F.transform(texts, F.length), lambda a, b: a + b), before)
+
+
 def flatten(turns: DataFrame, keys: list[str]) -> DataFrame:
     """keys with content (the flattened parts), attachments (array of ordinal, type, ref, start in content, tokens) of turns (keys, parts).
 
@@ -54,8 +60,7 @@ def flatten(turns: DataFrame, keys: list[str]) -> DataFrame:
     """
     parts = turns.select(*keys, F.filter(F.coalesce(F.col("parts"), F.expr(f"cast(array() as array<{PART}>)")), lambda p: p.isNotNull()).alias("parts"))
     seen = parts.withColumn("said", F.transform("parts", _visit))
-    start = lambda i: F.aggregate(F.slice("said", F.lit(1), i), F.lit(0), lambda n, x: n + F.length(x))
-    all_parts = F.transform("parts", lambda p, i: F.struct(p.type.alias("type"), p.ref.alias("ref"), start(i).alias("start"), _expanded(p).alias("tokens")))
+    all_parts = F.zip_with("parts", _starts(F.col("said")), lambda p, at: F.struct(p.type.alias("type"), p.ref.alias("ref"), at.alias("start"), _expanded(p).alias("tokens")))
     attached = F.filter(all_parts, lambda a: F.coalesce(a.type.isin(*EXPANDED), F.lit(False)))
     numbered = F.transform(attached, lambda a, i: F.struct((i + 1).alias("ordinal"), a.type.alias("type"), a.ref.alias("ref"), a.start.alias("start"), a.tokens.alias("tokens")))
     return seen.select(*keys, F.array_join("said", "").alias("content"), numbered.alias("attachments"))
@@ -74,14 +79,12 @@ def format_chats(turns: DataFrame) -> DataFrame:
     one = flat.select("conv_id", F.floor(F.col("turn") / CHUNK).alias("chunk"), F.struct("turn", "role", "content", head.alias("head"), "attachments").alias("t"))
     ordered = one.groupBy("conv_id", "chunk").agg(F.sort_array(F.collect_list("t")).alias("ts"))
     piece = lambda t: F.concat(t["head"], t.content, F.lit(END))
-    before = lambda i: F.aggregate(F.slice("said", F.lit(1), i), F.lit(0), lambda n, x: n + F.length(x))
-    said = ordered.withColumn("said", F.transform("ts", piece)).withColumn("at", F.transform("ts", lambda t, i: before(i) + F.length(t["head"])))
+    said = ordered.withColumn("said", F.transform("ts", piece)).withColumn("at", F.zip_with("ts", _starts(F.col("said")), lambda t, at: at + F.length(t["head"])))
     spans = F.transform(F.filter(F.arrays_zip("ts", "at"), lambda z: z.ts.role == ASSISTANT), lambda z: F.struct(z["at"].alias("start"), F.length(z.ts.content).alias("length")))
     attached = F.flatten(F.transform(F.arrays_zip("ts", "at"), lambda z: F.transform(z.ts.attachments, lambda a: F.struct(a.type.alias("type"), a.ref.alias("ref"), (z["at"] + a.start).alias("start"), a.tokens.alias("tokens")))))
     chunks = said.select("conv_id", F.struct(F.coalesce("chunk", F.lit(-(1 << 62))).alias("chunk"), F.array_join("said", "").alias("text"), F.size("ts").alias("n"), spans.alias("loss"), attached.alias("attachments")).alias("c"))
     whole = chunks.groupBy("conv_id").agg(F.sort_array(F.collect_list("c")).alias("cs"))
-    ahead = lambda i: F.aggregate(F.slice("cs", F.lit(1), i), F.lit(0), lambda n, c: n + F.length(c.text))
-    moved = whole.withColumn("ahead", F.transform("cs", lambda c, i: ahead(i)))
+    moved = whole.withColumn("ahead", _starts(F.transform("cs", lambda c: c.text)))
     shift = lambda name, fields: F.flatten(F.transform(F.arrays_zip("cs", "ahead"), lambda z: F.transform(z.cs[name], lambda x: F.struct((z.ahead + x.start).alias("start"), *[x[f].alias(f) for f in fields]))))
     return moved.select(
         "conv_id",

@@ -13,12 +13,10 @@ Texts cost about their length, however many entities they hold: prefix sums go i
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chronolith.llm.common import stored, table, whole
+from chronolith.llm.common import let, running, stored, table, whole
 
 #: The kinds in their order, and the patterns as Java reads them fast: they begin where a match must begin, give nothing back
 #: where nothing can be gained, and bound the digits of a card, so that long runs cost their length only.
@@ -48,31 +46,6 @@ PIECE = 4096
 FOUND = "array<struct<k:int,s:int,e:int,v:string>>"
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """body of value, which is computed once."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
-def running(values: Column, step: Callable[[Column, Column], Column]) -> Column:
-    """For each place of an array of int, step over all values up to it, from 0; in pieces of about the root of their number, as an
-    array that grows is copied at each step."""
-    none = F.expr("cast(array() as array<int>)")
-
-    def over(part: Column, first: Column) -> Column:
-        grown = lambda acc, x: let(step(acc.at, x), lambda at: F.struct(at.alias("at"), F.concat(acc.out, F.array(at)).alias("out")))
-        return F.aggregate(part, F.struct(first.alias("at"), none.alias("out")), grown, lambda acc: acc.out)
-
-    def pieces(v: Column) -> Column:
-        width = F.ceil(F.sqrt(F.size(v))).cast("int")
-        return let(width, lambda w: F.transform(F.sequence(F.lit(0), ((F.size(v) - 1) / w).cast("int")), lambda i: F.slice(v, i * w + 1, w)))
-
-    def joined(parts: Column) -> Column:
-        ends = over(F.transform(parts, lambda p: F.aggregate(p, F.lit(0), step)), F.lit(0))
-        return let(ends, lambda at: F.flatten(F.transform(parts, lambda p, i: over(p, F.when(i > 0, F.get(at, i - 1)).otherwise(0)))))
-
-    return let(values, lambda v: F.when(F.size(v) > 0, let(pieces(v), joined)).otherwise(none))
-
-
 def matches(text: Column, pattern: str) -> Column:
     """array of (s, e, v) of the leftmost non-overlapping matches, in code points, between the pieces that a split leaves."""
     both = F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"), F.split(text, pattern, -1).alias("p"))
