@@ -160,11 +160,15 @@ def principal(points: DataFrame, k: int = 2) -> tuple[DataFrame, list[float]]:
     return scores.select("id", *[F.col("pc")[i].alias(f"pc{i + 1}") for i in range(k)]), [float(v) for v in model.explainedVariance]
 
 
-def clustered(points: DataFrame, k: int, method: str = "kmeans", seeds: int = 3) -> DataFrame:
-    """id, cls, entity, cluster by k-means (the best of several seeds) or a Gaussian mixture with full covariances."""
+def clustered(points: DataFrame, k: int, method: str = "kmeans", seeds: int = 10) -> DataFrame:
+    """id, cls, entity, cluster by k-means (the best of several seeds) or a Gaussian mixture with full covariances; at most as many
+    clusters as points less one."""
     from pyspark.ml.clustering import GaussianMixture, KMeans
 
     rows = _vectors(points)
+    k = min(k, rows.count() - 1)
+    if k < 2:
+        return points.select("id", "cls", "entity", F.lit(0).alias("cluster"))
     if method == "mixture":
         model = GaussianMixture(k=k, seed=1, predictionCol="cluster").fit(rows)
     else:

@@ -72,7 +72,9 @@ def fit_chart(training: DataFrame, channels: list[str], by: str, kept: float = 0
                     continue
                 value, vector = np.linalg.eigh(c / np.outer(std, std))
                 value, vector = value[::-1], vector[:, ::-1]
-                k = min(max(int(np.searchsorted(np.cumsum(value) / value.sum(), kept) + 1), 1), p - 1)
+                # components are taken while those before them explain less than asked, but never all of them
+                short = [i for i in range(p) if value[:i].sum() < kept * value.sum()]
+                k = min(len(short), p - 1)
                 out.append((g, channels, list(mean), std.tolist(), vector[:, :k].T.tolist(), value[:k].tolist()))
             yield pd.DataFrame(out, columns=[c.split()[0] for c in CHART.split(", ")])
 
