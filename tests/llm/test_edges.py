@@ -142,10 +142,10 @@ def test_odd_turns(spark):
 def test_many_turns_without_numbers_cost_their_number(spark):
     import time
 
-    rows_ = spark.range(6_000).selectExpr("1L as conv_id", "cast(null as long) as turn", "if(id % 2 = 0, 'user', 'assistant') as role", f"array(cast(named_struct('type', 'text', 'text', cast(id as string), 'ref', null, 'size', null) as {chat.PART})) as parts")
+    rows_ = spark.range(20_000).selectExpr("1L as conv_id", "cast(null as long) as turn", "if(id % 2 = 0, 'user', 'assistant') as role", f"array(cast(named_struct('type', 'text', 'text', cast(id as string), 'ref', null, 'size', null) as {chat.PART})) as parts")
     began = time.time()
     out = chat.format_chats(rows_).first()
-    assert out.n_turns == 6_000 and len(out.loss) == 3_000 and time.time() - began < 60
+    assert out.n_turns == 20_000 and len(out.loss) == 10_000 and time.time() - began < 60
 
 
 def test_sequences_and_components(spark, docs):
