@@ -23,17 +23,17 @@ def order_breaks(wide: DataFrame, chain: list[str], margin: float, low: float, h
     ok = {c: plausible(F.col(c), F.lit(low), F.lit(high)) for c in every}
     present = wide.groupBy(key).agg(*[((F.count(ok[c]) >= least) & (F.max(ok[c]) > F.min(ok[c]))).alias(c) for c in every])
     names = F.filter(F.array(*[F.when(F.col(c), F.lit(c)) for c in chain]), lambda x: x.isNotNull())
-    met = F.arrays_zip(F.slice("n", F.lit(1), F.greatest(F.size("n") - 1, F.lit(0))).alias("up"), F.slice("n", F.lit(2), F.greatest(F.size("n") - 1, F.lit(0))).alias("down"))
+    met = F.arrays_zip(F.slice("_names", F.lit(1), F.greatest(F.size("_names") - 1, F.lit(0))).alias("up"), F.slice("_names", F.lit(2), F.greatest(F.size("_names") - 1, F.lit(0))).alias("down"))
     further = [F.when(F.coalesce(F.col(up) & F.col(down), F.lit(False)), F.struct(F.lit(up).alias("up"), F.lit(down).alias("down"))) for up, down, _ in pairs]
     both = F.concat(met, F.filter(F.array(*further), lambda x: x.isNotNull())) if further else met
-    found = present.withColumn("n", names).select(key, F.explode(both).alias("p")).select(key, "p.up", "p.down")
+    found = present.withColumn("_names", names).select(key, F.explode(both).alias("p")).select(key, F.col("p.up").alias("_up"), F.col("p.down").alias("_down"))
     pick = lambda which: reduce(lambda acc, c: F.when(F.col(which) == c, ok[c]).otherwise(acc), every, F.lit(None).cast("double"))
     zero = lambda gates_: reduce(lambda acc, g: acc | (F.col(g) == 0), gates_, F.lit(False))
-    shut = reduce(lambda acc, g: acc | ((F.col("down") == g[0]) & zero(g[1])), (gates or {}).items(), F.lit(False))
-    shut = reduce(lambda acc, p: acc | ((F.col("up") == p[0]) & (F.col("down") == p[1]) & zero(p[2])), pairs, shut)
-    rows = wide.join(found, key).withColumns({"_u": pick("up"), "_d": pick("down")}).where(F.col("_u").isNotNull() & F.col("_d").isNotNull() & ~F.coalesce(shut, F.lit(False)))
+    shut = reduce(lambda acc, g: acc | ((F.col("_down") == g[0]) & zero(g[1])), (gates or {}).items(), F.lit(False))
+    shut = reduce(lambda acc, p: acc | ((F.col("_up") == p[0]) & (F.col("_down") == p[1]) & zero(p[2])), pairs, shut)
+    rows = wide.join(found, key).withColumns({"_u": pick("_up"), "_d": pick("_down")}).where(F.col("_u").isNotNull() & F.col("_d").isNotNull() & ~F.coalesce(shut, F.lit(False)))
     gap = F.col("_d") - F.col("_u")
-    out = rows.groupBy(key, "up", "down").agg(F.count(F.lit(1)).alias("compared"), F.count_if(gap > margin).alias("broken"), F.max(gap).alias("worst"))
+    out = rows.groupBy(key, F.col("_up").alias("up"), F.col("_down").alias("down")).agg(F.count(F.lit(1)).alias("compared"), F.count_if(gap > margin).alias("broken"), F.max(gap).alias("worst"))
     return out.withColumn("share", F.col("broken") / F.col("compared")).where(F.col("share") > reported)
 
 

@@ -29,6 +29,7 @@ from chronolith.plans import (  # noqa: E402,F401
     intervals,
     maps,
     more,
+    profiles,
     ranges,
     series,
     windows,
