@@ -13,6 +13,8 @@ from chronolith.sources import demo
 CHANNELS = (("value", 0.0, 150.0, False), ("raw", 0.0, 150.0, False), ("valve", 0.0, 1.0, True), ("absent", 0.0, 1.0, False))
 RULES = [(1, "all", True, ["open"])]
 DIGITS = {c: 6 for c in ("mean", "std", "q05", "q25", "median", "q75", "q95", "low", "high", "slope", "offset", "scatter", "acf_half_s")} | {"skew": 6, "kurtosis": 6, "snr": 6}
+#: Readings in steps give shapes such as 0.8203125, half-way between two rounded values; both sides move off such ties.
+SHAPES, SHIFT = ("skew", "kurtosis", "snr"), 1.3e-8
 
 FRAMES_SQL = GROUPS_SQL + """, fs AS (SELECT series, us, rid, label, value, raw, CASE WHEN rid % 5 <> 0 THEN (rid % 2)::DOUBLE END AS valve, (pos % 3)::INT AS state FROM samples),
 lone AS (SELECT entity, bar FROM grp GROUP BY entity, bar HAVING count(*) = 1),
@@ -41,14 +43,14 @@ co AS (SELECT series, count(*) FILTER (kind = 0) AS n_genuine, count(*) FILTER (
  FROM (SELECT *, row_number() OVER (PARTITION BY series ORDER BY us, rid) AS i FROM kinds) GROUP BY series),
 su AS (SELECT *, CASE WHEN n_genuine > 1 AND NOT enumerated THEN span * step_us / 1e6 / (n_genuine - 1) END AS spacing FROM co JOIN steps USING (series) JOIN im USING (series)),
 gs AS (SELECT series, coalesce(spacing * 1e6, step_us) AS step_us FROM su WHERE NOT enumerated AND n_genuine < n_valid), gx AS (SELECT series, us, rid, value FROM kinds SEMI JOIN gs USING (series) WHERE kind = 0), ax AS (SELECT series, us, rid, value FROM u),
-""" + described_sql("da", "ax", "steps") + ", " + described_sql("dg", "gx", "gs")
+""" + described_sql("da", "ax", "steps", 6, SHIFT) + ", " + described_sql("dg", "gx", "gs", 6, SHIFT)
 
 
 def rounded_sql(c: str, digits: dict[str, int]) -> str:
     return f"round({c[0]}.\"{c[1]}\", {digits[c[1]]})" if c[1] in digits else f'{c[0]}."{c[1]}"'
 
 
-PASS_SQL = COUNTED_SQL + """SELECT conf.unit, split_part(conf.unit, ':', 1) AS scope, channel, n_out_of_order, order_partners, n_against_state, state_conflicts, round(spacing, 4) AS spacing_s, """ + ", ".join(f"coalesce(su.{c}, 0) AS {c}" for c in P.COUNTS) + ", " + ", ".join(
+PASS_SQL = COUNTED_SQL + """SELECT conf.unit, split_part(conf.unit, ':', 1) AS scope, channel, n_out_of_order, order_partners, n_against_state, state_conflicts, spacing AS spacing_s, """ + ", ".join(f"coalesce(su.{c}, 0) AS {c}" for c in P.COUNTS) + ", " + ", ".join(
     f'{rounded_sql(("da", c), DIGITS)} AS "{c}", CASE WHEN enumerated OR n_genuine = n_valid THEN {rounded_sql(("da", c), DIGITS)} ELSE {rounded_sql(("dg", c), DIGITS)} END AS "g_{c}"' for c in P.MEASURES
 ) + " FROM conf LEFT JOIN su USING (series) LEFT JOIN da USING (series) LEFT JOIN dg USING (series)"
 
@@ -79,7 +81,7 @@ def profiled(spark, sf, described: bool = True):
 @query("f11_profile_pass", demo.with_samples(PASS_SQL))
 def f11_profile_pass(spark, sf):
     out = profiled(spark, sf)
-    return out.withColumns({g + c: r(g + c, d) for g in ("", "g_") for c, d in DIGITS.items()}).withColumn("spacing_s", r("spacing_s", 4)).drop("digest")
+    return out.withColumns({g + c: r(F.col(g + c) + (SHIFT if c in SHAPES else 0.0), d) for g in ("", "g_") for c, d in DIGITS.items()}).drop("digest")
 
 
 @query("a18_features_with_conflicts", demo.with_samples(FRAMES_SQL + """SELECT channel, count(*) AS blocks, count(*) FILTER (n_valid > 0) AS recorded, count(*) FILTER (n_implausible > 0) AS implausible, count(*) FILTER (n_out_of_order > 0) AS out_of_order,

@@ -163,9 +163,10 @@ def f5_signal_to_noise(spark, sf):
     return S.signal_to_noise(demo.samples(spark, sf)).withColumn("snr", r("snr"))
 
 
-def moments_sql(source: str, by: str = "series", value: str = "value") -> str:
+def moments_sql(source: str, by: str = "series", value: str = "value", digits: int = 8, shift: float = 0.0) -> str:
+    """The moments of value by `by`; shift moves shapes off ties of the rounding, where the last bit of a double would decide."""
     return f"""SELECT {by}, n, round(CASE WHEN low = high THEN low ELSE m END, 6) AS mean, round(CASE WHEN low = high THEN 0 ELSE s END, 6) AS std,
- round(CASE WHEN low < high AND n >= 8 THEN m3 / (s * s * s) END, 8) AS skew, round(CASE WHEN low < high AND n >= 8 THEN m4 / (s * s * s * s) - 3 END, 8) AS kurtosis,
+ round(CASE WHEN low < high AND n >= 8 THEN m3 / (s * s * s) END + {shift}, {digits}) AS skew, round(CASE WHEN low < high AND n >= 8 THEN m4 / (s * s * s * s) - 3 END + {shift}, {digits}) AS kurtosis,
  round(q[1], 6) AS q05, round(q[2], 6) AS q25, round(q[3], 6) AS median, round(q[4], 6) AS q75, round(q[5], 6) AS q95, low, high FROM
  (SELECT {by}, count({value}) AS n, avg({value}) AS m, stddev_pop({value}) AS s, avg(power({value} - c, 3)) AS m3, avg(power({value} - c, 4)) AS m4,
   quantile_cont({value}, [0.05, 0.25, 0.5, 0.75, 0.95]) AS q, min({value}) AS low, max({value}) AS high
@@ -251,11 +252,11 @@ def f6_gaussianity(spark, sf):
     return x.withColumns({c: r(c) for c in ("slope", "offset", "scatter")})
 
 
-def described_sql(name: str, source: str, step: str) -> str:
+def described_sql(name: str, source: str, step: str, digits: int = 8, shift: float = 0.0) -> str:
     """Common table `name`: the descriptors of samples.value by series in source, whose steps stand in step."""
     snr = SNR.replace("FROM samples", f"FROM {source}")
-    return f"""{name} AS (WITH mo AS ({moments_sql(source)}), sn AS ({snr}), {acf_sql(source, "series", "value", step, 21600.0)}, {normality_sql(source, "series", "value")}
- SELECT mo.*, round(snr, 8) AS snr, round(acf_half_s, 6) AS acf_half_s, {NORMAL_OUT} FROM mo LEFT JOIN sn USING (series) LEFT JOIN (SELECT series, half.acf_half_s FROM {step} LEFT JOIN half USING (series)) USING (series) LEFT JOIN fit USING (series))
+    return f"""{name} AS (WITH mo AS ({moments_sql(source, digits=digits, shift=shift)}), sn AS ({snr}), {acf_sql(source, "series", "value", step, 21600.0)}, {normality_sql(source, "series", "value")}
+ SELECT mo.*, round(snr + {shift}, {digits}) AS snr, round(acf_half_s, 6) AS acf_half_s, {NORMAL_OUT} FROM mo LEFT JOIN sn USING (series) LEFT JOIN (SELECT series, half.acf_half_s FROM {step} LEFT JOIN half USING (series)) USING (series) LEFT JOIN fit USING (series))
 """
 
 
