@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import configparser
-import re
+import datetime as dt
+import json
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -93,24 +94,30 @@ def load(spark: SparkSession, root: str, columns: list[str] | None = None) -> Da
     return out.where(F.col("entity").isNotNull())
 
 
+def properties(text: str, section: str = "PARQUET_FILE_PROPERTIES") -> list[tuple[str, str]]:
+    """(name, text) of the columns that an INI text describes, in its order; none without the section."""
+    ini = configparser.ConfigParser(interpolation=None)
+    ini.optionxform = str
+    ini.read_string(text)
+    return ini.items(section) if ini.has_section(section) else []
+
+
 def channels(spark: SparkSession, declared: str | None = None) -> DataFrame:
-    """channel, ord, unit, description, enumerated, low, high, placement: declared in an INI text, or the defaults."""
-    from chronolith.functions.labels import ELSEWHERE, PLAUSIBLE
-
-    rows = [(n, u, "", u == "-") for n, u in CHANNELS]
-    if declared:
-        ini = configparser.ConfigParser(interpolation=None)
-        ini.optionxform = str
-        ini.read_string(declared)
-        rows = []
-        for name, text in ini["PARQUET_FILE_PROPERTIES"].items() if ini.has_section("PARQUET_FILE_PROPERTIES") else ():
-            if name in LABELS or name in TIMES:
-                continue
-            unit = (re.search(r"\[([^\]]*)\]\s*$", text) or ["", ""])[1]
-            listed = "," in unit or " or " in unit
-            rows.append((name, "-" if listed else UNITS.get(unit, unit), re.sub(r"\s*\[[^\]]*\]\s*$", "", text), listed))
-    place = {n: p for p, names in PLACEMENTS.items() for n in names}
-    return spark.createDataFrame([(n, i, u, d, e, *map(float, PLAUSIBLE.get(u, ELSEWHERE)), place.get(n)) for i, (n, u, d, e) in enumerate(rows)], "channel string, ord int, unit string, description string, enumerated boolean, low double, high double, placement string")
+    """channel, ord, unit, description, enumerated, low, high, placement: declared in an INI text, or the defaults.
+
+    A declaration is a description and, in brackets at its end, a unit or a list of states; labels and times are no channels."""
+    from chronolith.functions.labels import bounds
+
+    told = properties(declared) if declared else [(n, f"[{u}]") for n, u in CHANNELS]
+    rows = spark.createDataFrame([(n, i, t) for i, (n, t) in enumerate(r for r in told if r[0] not in LABELS + TIMES)], "channel string, ord int, text string")
+    part = lambda k: F.regexp_extract("text", r"^(.*?)\s*(?:\[([^\]]*)\])?\s*$", k)
+    rows = rows.withColumns({"description": part(1), "_in": part(2)})
+    states = F.col("_in").rlike(",| or ") | (F.col("_in") == "-")
+    named = F.create_map(*[F.lit(x) for pair in UNITS.items() for x in pair])
+    place = F.create_map(*[F.lit(x) for p, names in PLACEMENTS.items() for n in names for x in (n, p)])
+    rows = rows.withColumns({"enumerated": states, "unit": F.when(states, "-").otherwise(F.coalesce(named[F.col("_in")], F.col("_in"))), "placement": place[F.col("channel")]})
+    low, high = bounds(F.col("unit"))
+    return rows.select("channel", "ord", "unit", "description", "enumerated", low.cast("double").alias("low"), high.cast("double").alias("high"), "placement")
 
 
 def state_name(state: Column) -> Column:
@@ -173,9 +180,31 @@ def model_outputs(spark: SparkSession, root: str) -> tuple[dict, DataFrame]:
     return meta, raw.select(keys["fault"].alias("fault"), F.regexp_replace(keys["file"], r"\.parquet$", "").alias("series"), us.alias("us"), F.col(label).cast("tinyint").alias("verdict"), said.alias("score"))
 
 
-def save_outputs(df: DataFrame, path: str) -> None:
-    """Model outputs by class, compressed."""
-    df.repartition("fault", "series").sortWithinPartitions("series", "us").write.mode("overwrite").partitionBy("fault").option("compression", "zstd").parquet(path)
+def save_outputs(df: DataFrame, path: str, spec: dict | None = None, provenance: dict | None = None) -> dict:
+    """Writes model outputs (fault, series, us, verdict, score), one file for each recording, and returns the description stamped on them.
+
+    Times are delta encoded, all is zstd. The description (name, kind, labels, ...) with its provenance, the time of writing and the
+    number of recordings stands in every file's schema. An empty table is one empty file."""
+    n = df.select("fault", "series").distinct().count()
+    source = {**(spec or {}).get("provenance", {}), **(provenance or {}), "written_at": dt.datetime.now(dt.UTC).isoformat(timespec="seconds"), "instances": n}
+    complete = {**(spec or {}), "provenance": source}
+    kinds = {c: df.schema[c].dataType.simpleString() for c in ("fault", "series")}
+    rows = df.withMetadata("us", {"model": json.dumps(complete), "keys": json.dumps(kinds)})
+    rows = rows.repartition("fault", "series").sortWithinPartitions("fault", "series", "us")
+    writer = rows.write.mode("overwrite").option("compression", "zstd").option("parquet.writer.version", "PARQUET_2_0").option("parquet.enable.dictionary", "false")
+    (writer.partitionBy("fault", "series") if n else writer).parquet(path)
+    return complete
+
+
+def saved_outputs(spark: SparkSession, path: str) -> tuple[dict, DataFrame]:
+    """The stamped description of what `save_outputs` wrote, and the outputs."""
+    df = spark.read.parquet(path)
+    stamp = df.schema["us"].metadata if "us" in df.columns else {}
+    if "model" not in stamp:
+        raise ValueError(f"{path} has no description of a model")
+    keys = json.loads(stamp["keys"])
+    rest = [c for c in df.columns if c not in keys]
+    return json.loads(stamp["model"]), df.select(*[F.col(c).cast(t).alias(c) for c, t in keys.items()], *rest)
 
 
 def export_table(df: DataFrame, path: str) -> None:

@@ -91,6 +91,10 @@ def test_dimensions(spark):
     ini = "[PARQUET_FILE_PROPERTIES]\nP-PDG = Pressure at the gauge [Pa]\nT-TPT = Temperature [oC]\nESTADO-W1 = Valve [0, 0.5, or 1]\nclass = Label\n"
     got = {r.channel: (r.unit, r.enumerated, r.low, r.high) for r in R.channels(spark, ini).collect()}
     assert got == {"P-PDG": ("Pa", False, 0, 1e8), "T-TPT": ("°C", False, -50, 250), "ESTADO-W1": ("-", True, -1e8, 1e8)}
+    assert [r.description for r in R.channels(spark, ini).orderBy("ord").collect()] == ["Pressure at the gauge", "Temperature", "Valve"]
+    assert R.channels(spark, "[OTHER]\na = b\n").count() == 0
+    one = R.channels(spark).where("channel = 'ESTADO-M1'").first()
+    assert (one.ord, one.unit, one.enumerated, one.description, one.placement) == (3, "-", True, "", "Seabed")
 
 
 def test_model_outputs(spark, tmp_path):
@@ -107,6 +111,30 @@ def test_model_outputs(spark, tmp_path):
         R.model_outputs(spark, str(tmp_path / "m"))
 
 
+def test_outputs_carry_their_provenance(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    where = str(tmp_path / "out")
+    rows = spark.range(6000).select((F.col("id") % 2).cast("int").alias("fault"), (F.col("id") % 3).cast("string").alias("series"), (F.lit(1_600_000_000_000_000) + F.col("id") * 1_000_000).alias("us"), F.lit(1).cast("tinyint").alias("verdict"), F.lit(0.5).cast("float").alias("score"))
+    spec = {"name": "chart", "kind": "detection", "labels": "0/1", "provenance": {"producer": "a", "note": "b"}}
+    wrote = R.save_outputs(rows, where, spec, {"producer": "c"})
+    meta, back = R.saved_outputs(spark, where)
+    assert meta == wrote and meta["name"] == "chart" and meta["provenance"]["instances"] == 6
+    assert (meta["provenance"]["producer"], meta["provenance"]["note"]) == ("c", "b") and dt.datetime.fromisoformat(meta["provenance"]["written_at"]).tzinfo
+    assert sorted(back.select(rows.columns).collect()) == sorted(rows.collect()) and dict(back.dtypes)["series"] == "string"
+    files = sorted((tmp_path / "out").rglob("*.parquet"))
+    assert len(files) == 6
+    for f in files:
+        column = {c.path_in_schema: c for c in (pq.ParquetFile(f).metadata.row_group(0).column(i) for i in range(3))}["us"]
+        assert column.compression == "ZSTD" and "DELTA_BINARY_PACKED" in column.encodings and column.total_compressed_size < 400
+    R.save_outputs(rows.limit(0), where, spec)
+    meta, back = R.saved_outputs(spark, where)
+    assert meta["provenance"]["instances"] == 0 and back.count() == 0 and set(back.columns) == set(rows.columns)
+    spark.range(2).write.parquet(str(tmp_path / "other"))
+    with pytest.raises(ValueError):
+        R.saved_outputs(spark, str(tmp_path / "other"))
+
+
 def test_stream(spark, root, tmp_path):
     schema = spark.read.parquet(str(next((root / "0").glob("*.parquet")))).schema
 
