@@ -43,6 +43,18 @@ def histogram_edges(rows: DataFrame, value: str, edges: list[float], by: list[st
     return rows.where(v.isNotNull()).groupBy(*by, bin_.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
 
 
+def histogram_facts(rows: DataFrame, value: str, by: list[str], low: float, high: float) -> DataFrame:
+    """by, n, left_out, mean, median of each group's readings within the bounds; left_out counts those outside, a missing one is neither.
+
+    Groups without a reading within are left out. The median is exact and held by no task as a whole."""
+    from chronolith.operators.segments import quantiles
+
+    known = rows.where(F.col(value).isNotNull() & ~F.isnan(value))
+    inside = F.col(value).between(low, high)
+    sums = known.groupBy(*by).agg(F.count_if(~inside).alias("left_out"), F.avg(F.when(inside, F.col(value))).alias("mean"))
+    return quantiles(known.where(inside), value, {"median": 0.5}, tuple(by)).join(sums, by).select(*by, "n", "left_out", "mean", "median")
+
+
 def peak(hist: DataFrame, by: list[str]) -> DataFrame:
     """by, total, peak: the fullest bin, the lowest of a tie."""
     folded = hist.groupBy(*by, "bin").agg(F.sum("n").alias("n"))

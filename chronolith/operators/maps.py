@@ -44,6 +44,11 @@ def imputed(rows: DataFrame) -> DataFrame:
     return both.select("id", "feature", F.coalesce("value", "_m", F.lit(0.0)).alias("value"), F.col("value").isNull().alias("missing"))
 
 
+def imputed_share(rows: DataFrame) -> DataFrame:
+    """id, share: how much of a point's features was imputed, those counted that do not move and later go."""
+    return rows.groupBy("id").agg(F.avg(F.col("missing").cast("double")).alias("share"))
+
+
 def standardised(rows: DataFrame) -> DataFrame:
     """rows in mean 0 and deviation 1 by feature; features that never move go."""
     s = rows.groupBy("feature").agg(F.avg("value").alias("_m"), F.stddev_pop("value").alias("_s"))

@@ -139,16 +139,28 @@ def m20_fit_box(spark, sf):
     return M.fit_box(p, "px", "py", 100.0, 60.0).select("id", r("bx").alias("bx"), r("by").alias("by"))
 
 
-@query("m1_features", demo.with_daily(FACT_SQL + """, st AS (SELECT entity AS id, channel, count(value) AS n, avg(value) AS mean, stddev_pop(value) AS std FROM chan GROUP BY ALL),
+FEATURES_SQL = FACT_SQL + """, st AS (SELECT entity AS id, channel, count(value) AS n, avg(value) AS mean, stddev_pop(value) AS std FROM chan GROUP BY ALL),
 l AS (SELECT channel FROM st GROUP BY channel HAVING count(*) FILTER (n > 0 AND std > 0) >= 0.5 * count(*)),
 f AS (SELECT id, channel || ' | mean' AS feature, CASE WHEN n > 0 AND std > 0 THEN mean END AS v FROM st SEMI JOIN l USING (channel) UNION ALL SELECT id, channel || ' | std', CASE WHEN n > 0 AND std > 0 THEN std END FROM st SEMI JOIN l USING (channel)),
 i AS (SELECT id, feature, coalesce(v, median(v) OVER (PARTITION BY feature), 0) AS v, v IS NULL AS missing FROM f)
-SELECT id, feature, round((v - avg(v) OVER w) / stddev_pop(v) OVER w, 6) AS value, missing FROM i WINDOW w AS (PARTITION BY feature)"""))
-def m1_features(spark, sf):
+"""
+
+
+def imputed(spark, sf):
     from chronolith.plans.availability import long
 
     stats = long(spark, sf).groupBy(F.col("entity").alias("id"), "channel").agg(F.count("value").alias("n_valid"), F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"))
-    return M.standardised(M.imputed(M.features(stats, ["mean", "std"]))).select("id", "feature", r("value").alias("value"), "missing")
+    return M.imputed(M.features(stats, ["mean", "std"]))
+
+
+@query("m1_features", demo.with_daily(FEATURES_SQL + """SELECT id, feature, round((v - avg(v) OVER w) / stddev_pop(v) OVER w, 6) AS value, missing FROM i WINDOW w AS (PARTITION BY feature)"""))
+def m1_features(spark, sf):
+    return M.standardised(imputed(spark, sf)).select("id", "feature", r("value").alias("value"), "missing")
+
+
+@query("m3_imputed_shares", demo.with_daily(FEATURES_SQL + "SELECT id, round(avg(missing::INT), 6) AS share FROM i GROUP BY id"))
+def m3_imputed_shares(spark, sf):
+    return M.imputed_share(imputed(spark, sf)).withColumn("share", r("share"))
 
 
 #: Warping by cells, row after row of a pair's table: the last values of a row and one more are kept, the newest at the end.

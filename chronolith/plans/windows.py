@@ -151,6 +151,12 @@ def h1_histogram_edges(spark, sf):
     return D.histogram_edges(hist_rows(spark, sf), "raw", [0, 25, 50, 100], ["grp"])
 
 
+@query("h1_histogram_facts", """SELECT user_id % 10 AS grp, count(*) FILTER (value BETWEEN 5 AND 150) AS n, count(*) FILTER (value < 5 OR value > 150) AS left_out,
+ round(avg(value) FILTER (value BETWEEN 5 AND 150), 6) AS mean, round(quantile_cont(value, 0.5) FILTER (value BETWEEN 5 AND 150), 6) AS median FROM events GROUP BY grp HAVING count(*) FILTER (value BETWEEN 5 AND 150) > 0""")
+def h1_histogram_facts(spark, sf):
+    return D.histogram_facts(hist_rows(spark, sf), "raw", ["grp"], 5.0, 150.0).withColumns({"mean": r("mean"), "median": r("median")})
+
+
 @query("h2_peaks", """WITH s AS (SELECT user_id % 10 AS grp, value FROM events), x AS (SELECT grp, min(value) AS a, max(value) AS b FROM s GROUP BY grp),
 c AS (SELECT grp, least(floor((value - a) / (b - a) * 20), 19)::INT AS bin, count(*) AS n FROM s JOIN x USING (grp) GROUP BY ALL)
 SELECT grp, sum(n)::BIGINT AS total, arg_max(bin, struct_pack(a := n, b := -bin)) AS peak FROM c GROUP BY grp""")
