@@ -44,3 +44,18 @@ def test_typicality_by_all_pairs(spark, small):
 def test_typicality_of_many_copies(spark, many):
     out = M.typicality(many).agg(F.count(F.lit(1)), F.count_distinct("medoid"), F.max("medoid")).first()
     assert out[0] == 30_000 and out[1] == 3 and out[2] < 60
+
+
+def test_novelty_by_all_pairs(spark, small):
+    got = {r.id: r for r in M.novelty(table(spark)).collect()}
+    own = [i for i in range(len(X)) if CLS[i] == 0]
+    score = np.exp(-(D[:, own] ** 2) / X[own].var(axis=0).sum()).mean(axis=1)
+    limit = np.quantile(score[own], 0.05)
+    for i in range(len(X)):
+        assert got[i].score == pytest.approx(score[i])
+        assert got[i].anomalous == (score[i] < limit) or score[i] == pytest.approx(limit)
+    assert len(got) == len(X)
+
+
+def test_novelty_of_many_copies(spark, many):
+    assert M.novelty(many).agg(F.count(F.lit(1)), F.count_distinct(F.round("score", 9))).first()[0] == 30_000
