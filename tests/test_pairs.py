@@ -59,3 +59,33 @@ def test_novelty_by_all_pairs(spark, small):
 
 def test_novelty_of_many_copies(spark, many):
     assert M.novelty(many).agg(F.count(F.lit(1)), F.count_distinct(F.round("score", 9))).first()[0] == 30_000
+
+
+def silhouettes(d, cls):
+    out = []
+    for i, c in enumerate(cls):
+        mean = {k: np.mean([d[i, j] for j in range(len(cls)) if cls[j] == k and j != i]) for k in set(cls) if any(cls[j] == k and j != i for j in range(len(cls)))}
+        a, b = mean.get(c), min(v for k, v in mean.items() if k != c)
+        out.append(0.0 if a is None else (b - a) / max(a, b))
+    return out
+
+
+def test_silhouettes_by_all_pairs(spark, small):
+    cls = [*CLS[:-1], 9]  # a cluster of one
+    got = {r.id: r.s for r in M.silhouette(table(spark, cls=cls), "cls").collect()}
+    assert [got[i] for i in range(len(X))] == pytest.approx(silhouettes(D, cls), abs=1e-9)
+    noise = table(spark).union(spark.createDataFrame([(500, -1, 0, X[0].tolist()), (501, None, 0, X[0].tolist()), (502, 1, 0, None)], "id long, cls int, entity long, x array<double>"))
+    got = {r.id: r.s for r in M.silhouette(noise, "cls").collect()}
+    assert got.pop(502) == 0.0 and len(got) == len(X)
+    assert [got[i] for i in range(len(X))] == pytest.approx(silhouettes(D, CLS), abs=1e-9)
+
+
+def test_silhouettes_of_repeated_ids(spark, small):
+    """Points of one id are not compared, as in SQL's a.id <> b.id."""
+    rows = [(1, 0, 0, [0.0]), (1, 0, 0, [9.0]), (2, 0, 0, [1.0]), (3, 1, 0, [4.0])]
+    got = {r.id: r.s for r in M.silhouette(spark.createDataFrame(rows, "id long, cls int, entity long, x array<double>"), "cls").collect()}
+    assert got == {1: pytest.approx((4.5 - 4.5) / 4.5), 2: pytest.approx((3 - 4.5) / 4.5), 3: 0.0}
+
+
+def test_silhouettes_of_many_copies(spark, many):
+    assert M.silhouette(many, "cls").count() == 30_000
