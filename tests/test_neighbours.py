@@ -80,3 +80,26 @@ def test_density_clusters_by_all_pairs(spark, monkeypatch):
     for x in (blobs(5, 150, 2), np.concatenate([np.repeat([[1.0, 1.0]], 60, axis=0), blobs(6, 90, 2)]), np.array([[0.0], [1.0], [5.0]])):
         got = {r.id: r.cluster for r in M.density_clusters(table(spark, x)).collect()}
         assert [got[i] for i in range(len(x))] == clusters(x)
+
+
+def test_rings_in_small_blocks(spark, monkeypatch):
+    """Queries are sent to blocks of a few rings, and each is met ring by ring or as one."""
+    monkeypatch.setattr(N, "BLOCK", (20, 60))
+    monkeypatch.setattr(N, "RING", 15)
+    monkeypatch.setattr(N, "SENT", 70)
+    for dims in (2, 24):
+        x = blobs(dims, 360, dims)
+        d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2))
+        got = {}
+        for r in N.nearest(N.cells(table(spark, x)), 4).collect():
+            got.setdefault(r.a, set()).add(r.b)
+        assert got == {a: {b for _, b in sorted((d[a, b], b) for b in range(len(x)) if b != a)[:4]} for a in range(len(x))}
+
+
+def test_a_long_chain_takes_few_rounds(spark, monkeypatch):
+    """Labels of 200 cores in a row meet in rounds by the logarithm, not by the chain's length."""
+    rounds, stored = [], M.stored
+    monkeypatch.setattr(M, "stored", lambda df, tag: (rounds.append(tag), stored(df, tag))[1])
+    got = M.density_clusters(table(spark, np.arange(200.0)[:, None]), neighbours=1, least=2).collect()
+    assert {r.cluster for r in got} == {0} and len(got) == 200
+    assert rounds.count("spread") <= 12
