@@ -89,3 +89,14 @@ def test_silhouettes_of_repeated_ids(spark, small):
 
 def test_silhouettes_of_many_copies(spark, many):
     assert M.silhouette(many, "cls").count() == 30_000
+
+
+def test_nearest_points_by_all_pairs(spark, small):
+    p = table(spark)
+    for k, apart in ((1, None), (10, None), (3, "entity"), (200, None)):
+        got = {}
+        for r in M.nearest_points(p.where("id % 50 = 0 or id >= 100"), p, k, apart).collect():
+            got.setdefault(r.a, []).append((r["rank"], r.b))
+        for i in [0, 50, *range(100, len(X))]:
+            want = sorted((D[i, j], j) for j in range(len(X)) if j != i and not (apart and i % 5 == j % 5))[:k]
+            assert [b for _, b in sorted(got[i])] == [j for _, j in want]
