@@ -100,3 +100,15 @@ def test_nearest_points_by_all_pairs(spark, small):
         for i in [0, 50, *range(100, len(X))]:
             want = sorted((D[i, j], j) for j in range(len(X)) if j != i and not (apart and i % 5 == j % 5))[:k]
             assert [b for _, b in sorted(got[i])] == [j for _, j in want]
+
+
+def test_distances_by_all_pairs(spark, small):
+    p = table(spark).union(spark.createDataFrame([(500, 1, 0, None)], "id long, cls int, entity long, x array<double>"))
+    got = {(r.a, r.b): r for r in M.distances(p.where("id % 50 = 0"), p).collect()}
+    assert len(got) == 4 * len(X)
+    for i in (0, 50, 100):
+        for j in range(len(X)):
+            if i != j:
+                r = got[i, j]
+                assert (r.d, r.a_cls, r.b_cls, r.a_entity, r.b_entity) == (pytest.approx(D[i, j], rel=1e-9), CLS[i], CLS[j], i % 5, j % 5)
+        assert got[i, 500].d is None and got[500, i].d is None
