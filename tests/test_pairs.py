@@ -112,3 +112,11 @@ def test_distances_by_all_pairs(spark, small):
                 r = got[i, j]
                 assert (r.d, r.a_cls, r.b_cls, r.a_entity, r.b_entity) == (pytest.approx(D[i, j], rel=1e-9), CLS[i], CLS[j], i % 5, j % 5)
         assert got[i, 500].d is None and got[500, i].d is None
+
+
+def test_searches_compare_block_with_block(spark):
+    """Points are dealt to blocks; pairs are never rows of a join."""
+    p = table(spark)
+    for df in (M.distances(p, p), M.nearest_points(p, p, 3)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "FlatMapGroupsInArrow" in plan
