@@ -84,6 +84,8 @@ def doubled(halves: DataFrame, by: tuple[str, ...] = ("series",)) -> DataFrame:
     return halves.groupBy(*by, "run", F.floor(F.col("w") / 2).alias("w")).agg(F.first("label").alias("label"), F.sum("n").alias("n"), F.flatten(F.transform(pair, lambda x: x["values"])).alias("values"))
 
 
+#: Samples of a task that cuts windows.
+SAMPLES = 250_000
 #: What is told of a window.
 STATISTICS = ("mean", "std", "skew", "kurtosis", "q05", "q25", "median", "q75", "q95", "low", "high", "snr")
 
@@ -117,10 +119,16 @@ def separation_study(samples: DataFrame, sizes: tuple[int, ...] = (256, 512, 102
     """by, size, stat, n_event, n_normal, separation: how well each of STATISTICS tells the complete windows of an event (label not 0) from normal ones.
 
     Each size is twice the one before; the samples are cut once, to the first, and each size is put together from the one before. Statistics
-    are compared to `digits` decimals. Pairs of under five windows of either kind are left out."""
+    are compared to `digits` decimals. Pairs of under five windows of either kind are left out.
+
+    Samples are counted first and dealt, whole series each, over as many tasks as that takes at about SAMPLES: sorting, cutting and telling keep to one
+    task's series, and its memory does not grow with the input."""
     if any(b != 2 * a for a, b in zip(sizes, sizes[1:])):
         raise ValueError("each size must be twice the one before")
-    found, out = states(samples.where("label is not null"), sizes[0], by=by, order=order), None
+    known = samples.where("label is not null")
+    least_parts = int(samples.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    known = known.repartition(max(least_parts, -(-known.count() // SAMPLES)), *by)
+    found, out = states(known, sizes[0], by=by, order=order), None
     for size in sizes:
         own = described(found.where(F.col("n") == size), least).select(F.lit(size).alias("size"), *by, "label", *[F.round(s, digits).alias(s) for s in STATISTICS])
         out = own if out is None else out.unionByName(own)
