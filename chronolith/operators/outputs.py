@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from chronolith.functions.labels import label_fault, label_kind
 from chronolith.operators.intervals import intersections
+from chronolith.operators.segments import quantiles
+from chronolith.sources.shared import stored
 
 
 def agrees(verdict: Column, label: Column, fault: Column, kind: str = "detection") -> Column:
@@ -51,7 +53,7 @@ def fit_chart(training: DataFrame, channels: list[str], by: str, kept: float = 0
     """grp, mean, std, loadings, variance, t2_limit, q_limit of a principal-component chart of each group's complete rows.
 
     Means and covariances are sums that Spark combines; the small eigenproblem of a group is solved in a task; the limits
-    are quantiles of the training rows' own statistics. Groups with under `least` complete rows, or a channel that never moves, have none."""
+    are exact quantiles of the training rows' own statistics, ranked along ranges of them. Groups with under `least` complete rows, or a channel that never moves, have none."""
     import numpy as np
     import pandas as pd
 
@@ -78,10 +80,12 @@ def fit_chart(training: DataFrame, channels: list[str], by: str, kept: float = 0
                 out.append((g, channels, list(mean), std.tolist(), vector[:, :k].T.tolist(), value[:k].tolist()))
             yield pd.DataFrame(out, columns=[c.split()[0] for c in CHART.split(", ")])
 
-    model = sums.mapInPandas(solve, CHART)
-    own = scored(rows.withColumn("grp", F.col(by).cast("long")), model, channels)
-    limits = own.groupBy("grp").agg(F.percentile("t2", limit).alias("t2_limit"), F.percentile("q", limit).alias("q_limit"))
-    return model.join(limits, "grp")
+    # written, so that its size is known: rows then meet a small one without being gathered by group
+    model = stored(sums.mapInPandas(solve, CHART), "model")
+    own = scored(rows.withColumn("grp", F.col(by).cast("long")), model, channels).select("grp", "t2", "q")
+    each = quantiles(own.unpivot("grp", ["t2", "q"], "statistic", "v"), "v", {"limit": limit}, ("grp", "statistic"))
+    limits = each.groupBy("grp").agg(*[F.max(F.when(F.col("statistic") == c, F.col("limit"))).alias(f"{c}_limit") for c in ("t2", "q")])
+    return stored(model.join(limits, "grp"), "chart")
 
 
 def scored(rows: DataFrame, model: DataFrame, channels: list[str]) -> DataFrame:

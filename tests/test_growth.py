@@ -1,7 +1,10 @@
 """What a task holds or does does not grow with the input."""
 
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 
+from chronolith.operators import outputs as G
 from chronolith.operators import windows as W
 
 
@@ -9,6 +12,23 @@ def plan(df):
     return df._jdf.queryExecution().toString()
 
 
+def test_chart_limits_without_a_group_in_a_task(spark):
+    rng = np.random.default_rng(3)
+    data = rng.normal(size=(2400, 3)) @ np.array([[1, 0.4, 0], [0, 1, 0.2], [0, 0, 1]])
+    rows = spark.createDataFrame([(int(i % 2), *map(float, x)) for i, x in enumerate(data)], "grp long, x double, y double, z double")
+    model = G.fit_chart(rows, ["x", "y", "z"], "grp", least=600)
+    own = G.scored(rows, model, ["x", "y", "z"])
+    told = {r.grp: r for r in model.collect()}
+    for g in (0, 1):
+        found = np.array([(r.t2, r.q) for r in own.where(F.col("grp") == g).collect()])
+        assert (told[g].t2_limit, told[g].q_limit) == pytest.approx(tuple(np.quantile(found, 0.99, axis=0)), rel=1e-9)
+    assert "percentile(" not in plan(model)
+    out = G.chart_labels(rows, model, ["x", "y", "z"])
+    out.count()
+    # a small written model meets the rows where they are
+    assert "SortMergeJoin" not in plan(out) and "BroadcastHashJoin" in plan(out)
+
+
 def test_study_is_dealt_by_its_samples(spark, monkeypatch):
     rng = np.random.default_rng(6)
     rows = [(well, t, t, int(t // 40 % 2), float(rng.normal() + well * (t // 40 % 2))) for well in range(30) for t in range(800)]
