@@ -1,10 +1,11 @@
-"""What a task holds or does does not grow with the input."""
+"""What a task holds or does does not grow with the input: charts by few groups, spectra of many short series, studies of many wells."""
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from chronolith.operators import outputs as G
+from chronolith.operators import spectra as P
 from chronolith.operators import windows as W
 
 
@@ -29,6 +30,25 @@ def test_chart_limits_without_a_group_in_a_task(spark):
     assert "SortMergeJoin" not in plan(out) and "BroadcastHashJoin" in plan(out)
 
 
+def test_spectra_of_short_series_are_made_once_and_equal_those_by_parts(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    rows = [(s, int(t * 1e6), float(np.sin(t / (5 + s)) + rng.normal() / 9)) for s in range(70) for t in np.sort(rng.uniform(0, 500, 7 + s))]
+    rows += [(99, i * 1_000_000, 4.0) for i in range(20)] + [(98, i * 1_000_000, None) for i in range(20)]
+    x = spark.createDataFrame(rows, "series long, us long, value double")
+    bands = P.log_bands(P.periodogram(x, n_periods=50), ["series"])
+    assert plan(bands).split("== Physical Plan ==")[1].count("FlatMapGroupsInPandas") == 1  # of series beyond PART alone
+    key = lambda df: {(r.series, r.k): (r.period, r.explained, r.density, r.span_s) for r in df.collect()}
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "37")
+    try:
+        short = key(P.periodogram(x, n_periods=50))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    monkeypatch.setattr(P, "PART", 6)
+    long = key(P.periodogram(x, n_periods=50))
+    assert {s for s, _ in short} == {*range(1, 70), 99} and len(short) == 70 * 50
+    assert short.keys() == long.keys() and all(short[k] == pytest.approx(long[k], rel=1e-6, abs=1e-9) for k in short)
+
+
 def test_study_is_dealt_by_its_samples(spark, monkeypatch):
     rng = np.random.default_rng(6)
     rows = [(well, t, t, int(t // 40 % 2), float(rng.normal() + well * (t // 40 % 2))) for well in range(30) for t in range(800)]
