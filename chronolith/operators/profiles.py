@@ -9,7 +9,7 @@ from collections.abc import Callable, Sequence
 from functools import reduce
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronolith.functions.labels import plausible
@@ -66,33 +66,56 @@ def against_state(wide: DataFrame, rules: list[tuple[int, str, bool, list[str]]]
     return counts.join(states.drop("conflicts"), [key, "channel"])
 
 
-def unpivoted(wide: DataFrame, channels: Sequence[Channel]) -> DataFrame:
-    """unit, channel, us, rid, value, low, high, enumerated; the values of a channel that the frame lacks are null, NaN is null."""
-    value = lambda c: F.nanvl(F.col(f"`{c}`").cast("double"), F.lit(None)) if c in wide.columns else F.lit(None).cast("double")
-    cells = [F.struct(F.lit(c).alias("channel"), value(c).alias("value"), F.lit(float(low)).alias("low"), F.lit(float(high)).alias("high"), F.lit(bool(e)).alias("enumerated")) for c, low, high, e in channels]
-    return wide.select("unit", "us", "rid", F.explode(F.array(*cells)).alias("c")).select("unit", "us", "rid", "c.*")
-
-
-def profiles(long: DataFrame, described: bool = True) -> DataFrame:
+def kinds(wide: DataFrame, channels: Sequence[Channel]) -> DataFrame:
+    """unit, us, rid, gap, at and, for the i-th channel, own_i (its reading, NaN and those of a channel that the frame lacks being null), v_i (if
+    plausible) and kind_i, as `series.sample_kinds` has it; of an enumerated channel every reading is a measurement.
+
+    The channels of a unit stand at the same times: its rows are sorted once for all of them, and its steps and places are one."""
+    w, whole = S.ordered("unit"), Window.partitionBy("unit")
+    own = lambda c: F.nanvl(F.col(f"`{c}`").cast("double"), F.lit(None)) if c in wide.columns else F.lit(None).cast("double")
+    rows = wide.select("unit", "us", "rid", *[own(c).alias(f"own_{i}") for i, (c, *_) in enumerate(channels)])
+    rows = rows.withColumns({f"v_{i}": plausible(F.col(f"own_{i}"), F.lit(float(low)), F.lit(float(high))) for i, (_, low, high, _) in enumerate(channels)})
+    here = range(len(channels))
+    v, d, n, most, after = ([F.col(f"{c}_{i}") for i in here] for c in ("v", "_d", "_n", "_most", "_after"))
+    facts = {"at": F.row_number().over(w), "gap": F.col("us") - F.lag("us").over(w)}
+    rows = rows.withColumns(facts | {f"_d_{i}": v[i] - F.lag(v[i]).over(w) for i in here} | {f"_n_{i}": F.count(v[i]).over(whole) for i in here} | {f"_most_{i}": F.max(F.abs(v[i])).over(whole) for i in here})
+    rows = rows.withColumns({f"_after_{i}": F.lead(d[i]).over(w) for i in here})
+    kind = lambda i: S.kind_of(v[i], d[i], after[i], n[i], most[i])
+    told = [F.when(v[i].isNotNull(), S.GENUINE).otherwise(S.MISSING) if e else kind(i) for i, (*_, e) in enumerate(channels)]
+    return rows.select("unit", "us", "rid", "gap", "at", *[f"own_{i}" for i in here], *v, *[k.cast("int").alias(f"kind_{i}") for i, k in enumerate(told)])
+
+
+def summaries(told: DataFrame, channels: Sequence[Channel]) -> DataFrame:
+    """unit, channel, enumerated, counts, spacing_s, step_us of what `kinds` tells, in one aggregation of a unit's rows."""
+    sums = [F.coalesce(F.percentile(F.when(F.col("gap") > 0, F.col("gap")), 0.5), F.lit(1e6)).alias("step_us"), F.count(F.lit(1)).alias("n_total")]
+    for i in range(len(channels)):
+        own, v, kind = (F.col(f"{c}_{i}") for c in ("own", "v", "kind"))
+        genuine = F.when(kind == S.GENUINE, F.col("at"))
+        of = {"n_valid": v.isNotNull(), "n_implausible": own.isNotNull() & v.isNull(), "n_genuine": kind == S.GENUINE, "n_interpolated": kind == S.INTERPOLATED, "n_held": kind == S.HELD}
+        sums += [F.struct(*[F.count_if(test).alias(c) for c, test in of.items()], (F.max(genuine) - F.min(genuine)).alias("_span")).alias(f"_{i}")]
+    each = [F.struct(F.lit(c).alias("channel"), F.lit(bool(e)).alias("enumerated"), F.col(f"_{i}").alias("s")) for i, (c, *_, e) in enumerate(channels)]
+    out = told.groupBy("unit").agg(*sums).select("unit", "step_us", "n_total", F.explode(F.array(*each)).alias("c")).select("unit", "step_us", "n_total", "c.channel", "c.enumerated", "c.s.*")
+    spacing = F.when(~F.col("enumerated") & (F.col("n_genuine") > 1), F.col("_span") * F.col("step_us") / 1e6 / (F.col("n_genuine") - 1))
+    return out.select(*KEYS, "enumerated", *COUNTS, spacing.alias("spacing_s"), "step_us")
+
+
+def profiles(wide: DataFrame, channels: Sequence[Channel], described: bool = True) -> DataFrame:
     """unit, channel, counts, spacing_s and, if described, the measures of all plausible readings and (g_ columns) of the measured ones.
 
     Of an enumerated channel every reading is a measurement, without a spacing, and both sets of measures are one; so they are where all
     readings are measured. Elsewhere the step of the measured ones is their spacing, or else the sampling step."""
-    masked = long.withColumn("_v", plausible(F.col("value"), F.col("low"), F.col("high")))
-    kinds = S.sample_kinds(masked, "_v", KEYS)
-    kind = F.when(F.col("enumerated") & F.col("_v").isNotNull(), S.GENUINE).otherwise(F.col("kind"))
-    kinds = stored(kinds.withColumn("kind", kind), "kinds")
-    facts = kinds.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n_total"), F.count_if(F.col("value").isNotNull() & F.col("_v").isNull()).alias("n_implausible"), F.max("enumerated").alias("enumerated"))
-    step = stored(S.sampling_step(kinds, KEYS), "steps")
-    summary = S.sampling_summary(kinds, step, KEYS).join(facts, list(KEYS))
-    summary = stored(summary.withColumn("spacing_s", F.when(~F.col("enumerated"), F.col("spacing_s"))), "sampling")
+    told = kinds(wide, channels)
     if not described:
-        return summary.select(*KEYS, *COUNTS, "spacing_s")
-    own = summary.where(~F.col("enumerated") & (F.col("n_genuine") < F.col("n_valid"))).join(step, list(KEYS))
+        return summaries(told, channels).select(*KEYS, *COUNTS, "spacing_s")
+    told = stored(told, "kinds")
+    summary = stored(summaries(told, channels), "sampling")
+    own = summary.where(~F.col("enumerated") & (F.col("n_genuine") < F.col("n_valid")))
     spacing = own.select(*KEYS, F.coalesce(F.col("spacing_s") * 1e6, F.col("step_us")).alias("step_us"))
-    measured = kinds.where(F.col("kind") == S.GENUINE).join(own.select(*KEYS), list(KEYS), "left_semi")
-    grid = S.descriptors(kinds.drop("value", "low", "high"), step, "_v", KEYS).drop("n")
-    apart = S.descriptors(measured.drop("value", "low", "high"), spacing, "_v", KEYS).drop("n")
+    cells = [F.struct(F.lit(c).alias("channel"), F.col(f"v_{i}").alias("_v"), F.col(f"kind_{i}").alias("kind")) for i, (c, *_) in enumerate(channels)]
+    long = told.select("unit", "us", "rid", F.explode(F.array(*cells)).alias("c")).select("unit", "us", "rid", "c.*").where("_v is not null")
+    measured = long.where(F.col("kind") == S.GENUINE).join(own.select(*KEYS), list(KEYS), "left_semi")
+    grid = S.descriptors(long, summary.select(*KEYS, "step_us"), "_v", KEYS).drop("n")
+    apart = S.descriptors(measured, spacing, "_v", KEYS).drop("n")
     apart = apart.select(*KEYS, *[F.col(c).alias(f"g_{c}") for c in MEASURES])
     same = F.col("enumerated") | (F.col("n_genuine") == F.col("n_valid"))
     out = summary.join(grid, list(KEYS), "left").join(apart, list(KEYS), "left")
@@ -151,7 +174,7 @@ def profile_pass(
     columns = [c for c in dict.fromkeys([*(c for c, *_ in channels), *extra]) if c in wide.columns]
     rows = stored(frames(wide, recordings, own, columns), "frames")
     made = own.select("unit", "digest", F.explode(F.array(*[F.lit(c) for c, *_ in channels])).alias("channel"))
-    made = made.join(profiles(unpivoted(rows, channels), described), list(KEYS), "left")
+    made = made.join(profiles(rows, channels, described), list(KEYS), "left")
     for part in conflicts(rows) if conflicts else ():
         made = made.join(part, list(KEYS), "left")
     if not conflicts:

@@ -5,6 +5,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from chronolith.operators import outputs as G
+from chronolith.operators import profiles as Q
+from chronolith.operators import series as S
 from chronolith.operators import spectra as P
 from chronolith.operators import windows as W
 
@@ -60,3 +62,20 @@ def test_study_is_dealt_by_its_samples(spark, monkeypatch):
     dealt = W.separation_study(x, (8, 16))
     assert "RepartitionByExpression [series" in plan(dealt) and ", 24" in plan(dealt)
     assert key(dealt) == whole
+
+
+def test_channels_of_a_unit_are_sorted_once(spark):
+    rng = np.random.default_rng(7)
+    pick = lambda: None if rng.random() < 0.2 else float(rng.integers(0, 4))
+    rows = [(f"u{u}", int(t) * 1_000_000, t, pick(), float(t) if t % 9 else 1e6, pick()) for u in range(12) for t in range(u, 40, 1 + u % 3)]
+    wide = spark.createDataFrame(rows, "unit string, us long, rid long, a double, b double, c double")
+    channels = (("a", 0.0, 2.5, False), ("b", 0.0, 100.0, False), ("c", 0.0, 5.0, True), ("gone", 0.0, 1.0, False))
+    got = Q.profiles(wide, channels, described=False)
+    told = {(r.unit, r.channel): (r.n_total, r.n_valid, r.n_genuine, r.n_interpolated, r.n_held, r.spacing_s) for r in got.collect()}
+    assert len(told) == 12 * 4 and all(told[f"u{u}", "gone"][1:] == (0, 0, 0, 0, None) for u in range(12))
+    for name, low, high, _ in channels[:2]:
+        own = wide.select("unit", "us", "rid", F.when(F.col(name).between(low, high), F.col(name)).alias("v"))
+        for r in S.sampling_summary(S.sample_kinds(own, "v", ("unit",)), S.sampling_step(own, ("unit",)), ("unit",)).collect():
+            assert told[r.unit, name][1:] == (r.n_valid, r.n_genuine, r.n_interpolated, r.n_held, r.spacing_s)
+    fresh = plan(Q.profiles(wide, channels, described=False)).split("== Physical Plan ==")[1]
+    assert fresh.count("Sort [unit") == 1
