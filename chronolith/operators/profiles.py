@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronolith.functions.labels import plausible
+from chronolith.operators import described as D
 from chronolith.operators import quality as K
 from chronolith.operators import series as S
 from chronolith.operators.intervals import merge_samples
@@ -20,6 +21,8 @@ from chronolith.sources.shared import stored
 
 Channel = tuple[str, float, float, bool]
 KEYS = ("unit", "channel")
+#: Rows of a unit that is profiled where its rows are; the code of a reading outside its channel's range.
+SHORT, IMPLAUSIBLE = 4096, -2
 COUNTS = ("n_total", "n_valid", "n_implausible", "n_genuine", "n_interpolated", "n_held")
 MEASURES = ("mean", "std", "skew", "kurtosis", "q05", "q25", "median", "q75", "q95", "low", "high", "snr", "acf_half_s", "slope", "offset", "scatter", "gaussian")
 
@@ -103,11 +106,84 @@ def profiles(wide: DataFrame, channels: Sequence[Channel], described: bool = Tru
     """unit, channel, counts, spacing_s and, if described, the measures of all plausible readings and (g_ columns) of the measured ones.
 
     Of an enumerated channel every reading is a measurement, without a spacing, and both sets of measures are one; so they are where all
-    readings are measured. Elsewhere the step of the measured ones is their spacing, or else the sampling step."""
-    told = kinds(wide, channels)
+    readings are measured. Elsewhere the step of the measured ones is their spacing, or else the sampling step. A unit of up to SHORT rows
+    is profiled where its sorted rows are; the rows of longer ones are dealt and sorted for each descriptor, so that no task holds them."""
     if not described:
-        return summaries(told, channels).select(*KEYS, *COUNTS, "spacing_s")
-    told = stored(told, "kinds")
+        return summaries(kinds(wide, channels), channels).select(*KEYS, *COUNTS, "spacing_s")
+    long = stored(wide.groupBy("unit").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > SHORT).select("unit"), "long")
+    if long.isEmpty():
+        return along(kinds(wide, channels), channels)
+    of = lambda how: wide.join(long, "unit", how)
+    return along(kinds(of("left_anti"), channels), channels).unionByName(apart(of("left_semi"), channels))
+
+
+def along(told: DataFrame, channels: Sequence[Channel]) -> DataFrame:
+    """`profiles` of what `kinds` tells of units that a task may hold, a batch of units at a time along their sorted rows."""
+    measured = [c for c in MEASURES if c != "gaussian"]
+    fields = ["unit string", "channel string", *[f"{c} long" for c in COUNTS], "spacing_s double"]
+    fields += [f"{g}{c} double" for g in ("", "g_") for c in measured] + [f"{g}gaussian boolean" for g in ("", "g_")]
+    names = [f.split()[0] for f in fields]
+    code = lambda i: F.when(F.col(f"own_{i}").isNotNull() & F.col(f"v_{i}").isNull(), IMPLAUSIBLE).otherwise(F.col(f"kind_{i}"))
+    rows = told.sortWithinPartitions("unit", *S.ORDER).select("unit", "at", "gap", *[f"v_{i}" for i in range(len(channels))], *[code(i).cast("byte").alias(f"kind_{i}") for i in range(len(channels))])
+
+    def profile(part):
+        import numpy as np
+        import pyarrow as pa
+
+        number = lambda c: part.column(c).to_numpy(zero_copy_only=False)
+        at, gap = number("at"), number("gap").astype(float)
+        starts = np.flatnonzero(at == 1)
+        n, of = np.diff(np.append(starts, len(at))), np.cumsum(at == 1) - 1
+        unit, count = part.column("unit").take(pa.array(starts)), lambda x: np.bincount(of[x], minlength=len(starts))
+        positive = gap > 0
+        steps, some = count(positive), count(positive) > 0
+        step = np.full(len(starts), 1e6)
+        ranked = gap[positive][np.lexsort((gap[positive], of[positive]))]
+        step[some] = D.quantile(ranked, (np.cumsum(steps) - steps)[some], steps[some], 0.5)
+        for i, (channel, *_, enumerated) in enumerate(channels):
+            v, kind = number(f"v_{i}").astype(float), number(f"kind_{i}")
+            genuine, valid = kind == S.GENUINE, kind >= S.GENUINE
+            sums = {"n_total": n, "n_valid": count(valid), "n_implausible": count(kind == IMPLAUSIBLE), "n_genuine": count(genuine), "n_interpolated": count(kind == S.INTERPOLATED), "n_held": count(kind == S.HELD)}
+            spacing = np.full(len(starts), np.nan)
+            several = (sums["n_genuine"] > 1) & (not enumerated)
+            if several.any():
+                first, last = np.where(genuine, at, len(at) + 1), np.where(genuine, at, 0)
+                span = np.maximum.reduceat(last, starts) - np.minimum.reduceat(first, starts)
+                spacing[several] = span[several] * step[several] / 1e6 / (sums["n_genuine"][several] - 1)
+            every = D.of_each(v, valid, of, step, MEASURES)
+            same = (sums["n_genuine"] == sums["n_valid"]) | bool(enumerated)
+            own = D.of_each(v, genuine & ~same[of], of, np.where(np.isnan(spacing), step, spacing * 1e6), MEASURES)
+            own = {c: np.where(same, every[c], own[c]) for c in MEASURES}
+            columns = [unit, pa.array([channel] * len(starts)), *[pa.array(sums[c], pa.int64()) for c in COUNTS], pa.array(spacing, from_pandas=True)]
+            columns += [pa.array(x[c], from_pandas=True) for x in (every, own) for c in measured]
+            columns += [pa.array(x["gaussian"] == 1, mask=np.isnan(x["gaussian"])) for x in (every, own)]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    def walk(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        held = []
+        for batch in batches:
+            starts = np.flatnonzero(batch.column("at").to_numpy() == 1)
+            if held and len(starts):  # a unit's rows end where the next one begins
+                yield from profile(pa.concat_batches([*held, batch.slice(0, starts[-1])]))
+                held = []
+                batch = batch.slice(starts[-1])
+            elif len(starts) and starts[-1] > 0:
+                yield from profile(batch.slice(0, starts[-1]))
+                batch = batch.slice(starts[-1])
+            held.append(batch)
+        held = [b for b in held if b.num_rows]
+        if held:
+            yield from profile(pa.concat_batches(held))
+
+    return rows.mapInArrow(walk, ", ".join(fields)).select(*KEYS, *COUNTS, "spacing_s", *MEASURES, *[f"g_{c}" for c in MEASURES])
+
+
+def apart(wide: DataFrame, channels: Sequence[Channel]) -> DataFrame:
+    """`profiles` by a shuffle and a sort for each descriptor of each channel."""
+    told = stored(kinds(wide, channels), "kinds")
     summary = stored(summaries(told, channels), "sampling")
     own = summary.where(~F.col("enumerated") & (F.col("n_genuine") < F.col("n_valid")))
     spacing = own.select(*KEYS, F.coalesce(F.col("spacing_s") * 1e6, F.col("step_us")).alias("step_us"))
@@ -115,10 +191,10 @@ def profiles(wide: DataFrame, channels: Sequence[Channel], described: bool = Tru
     long = told.select("unit", "us", "rid", F.explode(F.array(*cells)).alias("c")).select("unit", "us", "rid", "c.*").where("_v is not null")
     measured = long.where(F.col("kind") == S.GENUINE).join(own.select(*KEYS), list(KEYS), "left_semi")
     grid = S.descriptors(long, summary.select(*KEYS, "step_us"), "_v", KEYS).drop("n")
-    apart = S.descriptors(measured, spacing, "_v", KEYS).drop("n")
-    apart = apart.select(*KEYS, *[F.col(c).alias(f"g_{c}") for c in MEASURES])
+    g = S.descriptors(measured, spacing, "_v", KEYS).drop("n")
+    g = g.select(*KEYS, *[F.col(c).alias(f"g_{c}") for c in MEASURES])
     same = F.col("enumerated") | (F.col("n_genuine") == F.col("n_valid"))
-    out = summary.join(grid, list(KEYS), "left").join(apart, list(KEYS), "left")
+    out = summary.join(grid, list(KEYS), "left").join(g, list(KEYS), "left")
     return out.select(*KEYS, *COUNTS, "spacing_s", *MEASURES, *[F.when(same, F.col(c)).otherwise(F.col(f"g_{c}")).alias(f"g_{c}") for c in MEASURES])
 
 
