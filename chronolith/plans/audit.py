@@ -69,7 +69,8 @@ def tracks(spark, sf):
     """stage (file or joined), entity, track (the recording or bar), start, end, value, folders (faults of the recordings that supply it)."""
     bars = grouped(spark, sf)
     faults = bars.select(F.col("series").alias("source"), "fault")
-    files = I.label_segments(demo.samples(spark, sf), by=("entity", "fault", "series")).select(F.lit("file").alias("stage"), "entity", F.col("series").alias("track"), "start", "end", "value", F.array("fault").alias("folders"))
+    files = bars.select(F.lit("file").alias("stage"), "entity", F.col("series").alias("track"), F.explode("runs").alias("r"), F.array("fault").alias("folders"))
+    files = files.select("stage", "entity", "track", "r.start", "r.end", "r.value", "folders")
     h = I.history(I.merge_runs(bars)).withColumn("source", F.explode("sources")).join(faults, "source")
     h = h.groupBy("entity", "bar", "start", "end", "value").agg(F.sort_array(F.collect_set("fault")).alias("folders"))
     return files.unionByName(h.select(F.lit("joined").alias("stage"), "entity", F.col("bar").alias("track"), "start", "end", "value", "folders"))
@@ -120,6 +121,7 @@ def b6_label_changes(spark, sf):
     """Labels that differ on either side of a stretch without one, with the span to view them in and the first channel that moves there."""
     width = F.col("end") - F.col("start")
     z = beside(tracks(spark, sf)).where("value is null and place = 'change' and was <> becomes").withColumns({"view_from": F.col("start") - width, "view_to": F.col("end") + width})
+    z = stored(z, "changes")  # read twice
     day = 86_400_000_000
     days = z.withColumn("_d", F.explode(F.sequence(F.floor(F.col("view_from") / day), F.floor(F.col("view_to") / day))))
     x = demo.samples(spark, sf).where("value is not null").select("entity", F.col("us").alias("_t"), F.floor(F.col("us") / day).alias("_d"))
