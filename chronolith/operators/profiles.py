@@ -249,7 +249,9 @@ def profile_pass(
     wide = scan(named.join(own, "unit", "left_semi").select("series").distinct())
     columns = [c for c in dict.fromkeys([*(c for c, *_ in channels), *extra]) if c in wide.columns]
     rows = stored(frames(wide, recordings, own, columns), "frames")
-    made = own.select("unit", "digest", F.explode(F.array(*[F.lit(c) for c, *_ in channels])).alias("channel"))
+    # a profile goes with the units that it is lent to, so that it is not shuffled again for them
+    lent = fresh.where("source is not null").groupBy(F.col("source").alias("unit")).agg(F.collect_list(F.struct("unit", "digest")).alias("_lent"))
+    made = own.join(lent, "unit", "left").select("unit", "digest", "_lent", F.explode(F.array(*[F.lit(c) for c, *_ in channels])).alias("channel"))
     made = made.join(profiles(rows, channels, described), list(KEYS), "left")
     for part in conflicts(rows) if conflicts else ():
         made = made.join(part, list(KEYS), "left")
@@ -257,10 +259,12 @@ def profile_pass(
         made = made.withColumns({n: F.lit(None).cast(t) for n, t in (("n_out_of_order", "long"), ("order_partners", "string"), ("n_against_state", "long"), ("state_conflicts", "string"))})
     numbers = [*COUNTS, "n_out_of_order", "n_against_state"]
     made = stored(made.withColumns({c: F.coalesce(c, F.lit(0).cast("long")) for c in numbers} | {c: F.coalesce(c, F.lit("")) for c in ("order_partners", "state_conflicts")}), "profiles")
-    known = made if cached is None else made.unionByName(cached.join(every, ["unit", "digest"], "left_semi").select(made.columns))
-    lent = fresh.where("source is not null").select(F.col("unit").alias("_to"), F.col("digest").alias("_digest"), F.col("source").alias("unit"))
-    lent = known.join(lent, "unit").withColumns({"unit": F.col("_to"), "digest": F.col("_digest")}).select(made.columns)
-    out = known.unionByName(lent)
+    known = made
+    if cached is not None:
+        known = made.unionByName(cached.join(every, ["unit", "digest"], "left_semi").join(lent, "unit", "left").select(made.columns))
+    itself = F.array(F.struct("unit", "digest"))
+    out = known.withColumn("_to", F.explode(F.concat(itself, F.coalesce("_lent", F.slice(itself, 1, 0)))))
+    out = out.withColumns({"unit": F.col("_to.unit"), "digest": F.col("_to.digest")}).drop("_to", "_lent")
     return out.withColumn("scope", F.substring_index("unit", ":", 1))
 
 

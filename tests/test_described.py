@@ -49,3 +49,14 @@ def test_quantiles_of_the_test_of_normality(spark):
     p = np.array([1e-9, 0.01, 0.3, 0.5, 0.9, 0.97, 0.999999])
     rows = spark.createDataFrame([(float(x),) for x in p], "p double").select("p", chi2_1_quantile(F.col("p")).alias("q"))
     assert {r.p: r.q for r in rows.collect()} == pytest.approx(dict(zip(map(float, p), D.normal_quantile((1 + p) / 2) ** 2)), rel=1e-12, abs=1e-15)
+
+
+def test_lent_profiles_are_not_shuffled(spark):
+    listing = spark.createDataFrame([(s, 1, s, s * 10**9, "a", s > 1) for s in range(1, 4)], "series long, entity long, bar long, start long, stamp string, whole boolean")
+    x = spark.createDataFrame([(s, 1, s * 10**9 + i * 10**6, i, None if s == 1 and i > 5 else 0, float(i * i % 7)) for s in range(1, 4) for i in range(12)], "series long, entity long, us long, rid long, label int, a double")
+    out = P.profile_pass(listing, lambda some: x.join(some, "series", "left_semi"), (("a", 0.0, 9.0, False),))
+    assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+    got = {r.unit: (r.scope, r.n_total, r.mean, r.digest) for r in out.collect()}
+    assert out.count() == len(got) == 9 and got["labelled:1"][1] == 6
+    assert all(got[f"{u}"][1:3] == got[f"instance:{s}"][1:3] for s in (2, 3) for u in (f"labelled:{s}", f"bar:1-{s}"))
+    assert got["bar:1-2"][3] != got["instance:2"][3]
