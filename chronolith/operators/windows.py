@@ -96,8 +96,9 @@ def described(found: DataFrame, least: int = 8) -> DataFrame:
     rows = found.withColumn("_v", F.filter("values", lambda x: x.isNotNull() & ~F.isnan(x))).withColumn("_k", F.size("_v")).withColumn("_s", F.sort_array("_v"))
     k, low, high = F.col("_k"), F.get("_s", F.lit(0)), F.get("_s", F.col("_k") - 1)
     total = lambda column, f: F.aggregate(column, F.lit(0.0), lambda a, x: a + f(x))
-    rows = rows.withColumn("_m", total("_v", lambda x: x) / k)
-    power = lambda p: total("_v", lambda x: F.pow(x - F.col("_m"), F.lit(float(p)))) / k
+    n = F.nullif(k, F.lit(0))  # a window without a reading has no mean; a division by zero is an error
+    rows = rows.withColumn("_m", total("_v", lambda x: x) / n)
+    power = lambda p: total("_v", lambda x: F.pow(x - F.col("_m"), F.lit(float(p)))) / n
     steps = F.transform(F.sequence(F.lit(1), k - 1), lambda i: F.get("_v", i) - F.get("_v", i - 1))
     rows = rows.withColumns({"_2": power(2), "_3": power(3), "_4": power(4), "_d": F.when(k > 1, total(steps, lambda d: d * d) / (k - 1))})
 
