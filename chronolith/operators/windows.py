@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -66,76 +67,138 @@ def auc(rows: DataFrame, score: str, event: Column, by: list[str], least: int =
     return out.withColumn("separation", 2 * F.abs(F.col("auc") - 0.5))
 
 
-def states(samples: DataFrame, size: int, value: str = "value", label: str = "label", by: tuple[str, ...] = ("series",), order: tuple[str, ...] = ("us", "rid")) -> DataFrame:
-    """by, run, w, label, n, values: the windows of `size` samples of one label, with their readings in order. Windows of one run can be put
-    together (`doubled`), so larger sizes need no second pass over the samples."""
-    w = Window.partitionBy(*by).orderBy(*order)
-    change = (F.row_number().over(w) == 1) | ~F.col(label).eqNullSafe(F.lag(label).over(w))
-    rows = samples.withColumn("_c", change.cast("int")).withColumn("run", F.sum("_c").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    place = F.row_number().over(Window.partitionBy(*by, "run").orderBy(*order)) - 1
-    rows = rows.select(*by, "run", F.col(label).alias("label"), F.floor(place / size).alias("w"), place.alias("_i"), F.col(value).cast("double").alias("_v"))
-    held = F.transform(F.sort_array(F.collect_list(F.struct("_i", "_v"))), lambda x: x._v)
-    return rows.groupBy(*by, "run", "w").agg(F.first("label").alias("label"), F.count(F.lit(1)).alias("n"), held.alias("values"))
-
-
-def doubled(halves: DataFrame, by: tuple[str, ...] = ("series",)) -> DataFrame:
-    """The windows of twice the size: two neighbours of one run each, the last perhaps one alone."""
-    pair = F.sort_array(F.collect_list(F.struct("w", "values")))
-    return halves.groupBy(*by, "run", F.floor(F.col("w") / 2).alias("w")).agg(F.first("label").alias("label"), F.sum("n").alias("n"), F.flatten(F.transform(pair, lambda x: x["values"])).alias("values"))
-
-
 #: Samples of a task that cuts windows.
 SAMPLES = 250_000
 #: What is told of a window.
 STATISTICS = ("mean", "std", "skew", "kurtosis", "q05", "q25", "median", "q75", "q95", "low", "high", "snr")
 
 
-def described(found: DataFrame, least: int = 8) -> DataFrame:
-    """found (states) with STATISTICS of their readings, null ones left out. A flat window has its value as mean and no deviation; flat windows and
-    those of under `least` readings have neither skew nor kurtosis nor signal to noise; without a reading all are null."""
-    rows = found.withColumn("_v", F.filter("values", lambda x: x.isNotNull() & ~F.isnan(x))).withColumn("_k", F.size("_v")).withColumn("_s", F.sort_array("_v"))
-    k, low, high = F.col("_k"), F.get("_s", F.lit(0)), F.get("_s", F.col("_k") - 1)
-    total = lambda column, f: F.aggregate(column, F.lit(0.0), lambda a, x: a + f(x))
-    n = F.nullif(k, F.lit(0))  # a window without a reading has no mean; a division by zero is an error
-    rows = rows.withColumn("_m", total("_v", lambda x: x) / n)
-    power = lambda p: total("_v", lambda x: F.pow(x - F.col("_m"), F.lit(float(p)))) / n
-    steps = F.transform(F.sequence(F.lit(1), k - 1), lambda i: F.get("_v", i) - F.get("_v", i - 1))
-    rows = rows.withColumns({"_2": power(2), "_3": power(3), "_4": power(4), "_d": F.when(k > 1, total(steps, lambda d: d * d) / (k - 1))})
-
-    def quantile(q: float) -> Column:
-        at = (k - 1) * q
-        below = F.floor(at).cast("int")
-        a, b = F.get("_s", below), F.get("_s", F.least(below + 1, k - 1))
-        return a + (b - a) * (at - below)
+def ranked_auc(rows: DataFrame, score: str, event: Column, by: list[str], least: int = 5) -> DataFrame:
+    """As `auc`, by ranks of all scores along one sort, for scores that are seldom equal: nothing is gained by counting equal ones before."""
+    known = rows.where(F.col(score).isNotNull() & ~F.isnan(score) & (F.abs(score) < float("inf")) & event.isNotNull()).withColumn("_e", event)
+    w = Window.partitionBy(*by).orderBy(score)
+    # the mean of the ranks of equal scores lies between the first of them and the last
+    known = known.withColumn("_r", F.rank().over(w) + F.count(F.lit(1)).over(w.rangeBetween(Window.unboundedPreceding, 0)))
+    out = known.groupBy(*by).agg(F.count_if("_e").alias("n_event"), F.count_if(~F.col("_e")).alias("n_normal"), F.sum(F.when(F.col("_e"), F.col("_r"))).alias("_r"))
+    out = out.where((F.col("n_event") >= least) & (F.col("n_normal") >= least))
+    above = (F.col("_r") - F.col("n_event") * (F.col("n_event") + 1)) / 2
+    out = out.withColumn("auc", above / (F.col("n_event") * F.col("n_normal"))).drop("_r")
+    return out.withColumn("separation", 2 * F.abs(F.col("auc") - 0.5))
+
+
+def statistics(v: np.ndarray, least: int = 8) -> np.ndarray:
+    """STATISTICS (columns) of windows of readings (rows of v), NaN being a missing one. A flat window has its value as mean and no deviation; flat windows
+    and those of under `least` readings have neither skew nor kurtosis nor signal to noise; without a reading all are NaN."""
+    here = ~np.isnan(v)
+    k = here.sum(axis=1)
+    n = np.maximum(k, 1)
+    total = lambda x: np.add.reduce(np.where(here, x, 0.0).T.copy(), axis=0)  # noqa: E731  one reading after the other, as SQL adds
+    ranked = np.sort(v, axis=1)
+    row = np.arange(len(v))
+    low, high = ranked[:, 0], ranked[row, n - 1]
+    mean = total(v) / n
+    away = v - mean[:, None]
+    square = away * away
+    m2, m3, m4 = total(square) / n, total(square * away) / n, total(square * square) / n
+    before, steps = v[:, 0].copy(), np.zeros(len(v))
+    for x in v.T[1:]:
+        step = x - before
+        steps += np.where(np.isnan(step), 0.0, step * step)
+        before = np.where(np.isnan(x), before, x)
+    noise = steps / np.maximum(k - 1, 1) / 2
+
+    def quantile(share: float) -> np.ndarray:
+        place = (n - 1) * share
+        below = np.floor(place).astype(np.int64)
+        a, b = ranked[row, below], ranked[row, np.minimum(below + 1, n - 1)]
+        return a + (b - a) * (place - below)
 
     flat = low == high
-    told, some = ~flat & (k >= least), k > 0
-    snr = F.when(F.col("_d") > 0, F.col("_2") / (F.col("_d") / 2)).otherwise(float("inf"))
-    out = {"mean": F.when(flat, low).otherwise(F.col("_m")), "std": F.when(flat, 0.0).otherwise(F.sqrt("_2")), "skew": F.when(told, F.col("_3") / F.pow("_2", F.lit(1.5))), "kurtosis": F.when(told, F.col("_4") / (F.col("_2") * F.col("_2")) - 3)}
-    out |= {name: quantile(q) for name, q in (("q05", 0.05), ("q25", 0.25), ("median", 0.5), ("q75", 0.75), ("q95", 0.95))} | {"low": low, "high": high, "snr": F.when(told & (k >= 3), snr)}
-    return rows.withColumns({name: F.when(some, v) for name, v in out.items()}).drop("_v", "_k", "_s", "_m", "_2", "_3", "_4", "_d")
+    told = ~flat & (k >= least)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        skew, kurtosis, snr = m3 / np.power(m2, 1.5), m4 / (m2 * m2) - 3, np.where(noise > 0, m2 / noise, np.inf)
+    out = {"mean": np.where(flat, low, mean), "std": np.where(flat, 0.0, np.sqrt(m2)), "skew": np.where(told, skew, np.nan), "kurtosis": np.where(told, kurtosis, np.nan)}
+    out |= {name: quantile(q) for name, q in (("q05", 0.05), ("q25", 0.25), ("median", 0.5), ("q75", 0.75), ("q95", 0.95))} | {"low": low, "high": high, "snr": np.where(told & (k >= 3), snr, np.nan)}
+    return np.where((k > 0)[:, None], np.column_stack([out[c] for c in STATISTICS]), np.nan)
+
+
+def rounded(v: np.ndarray, digits: int) -> np.ndarray:
+    """v to so many decimals, halves away from zero, as SQL rounds; no zero is negative."""
+    with np.errstate(over="ignore", invalid="ignore"):
+        far = np.abs(v) * 10.0**digits
+        whole = np.floor(far)
+        near = np.copysign((whole + (far - whole >= 0.5)) / 10.0**digits, v) + 0.0
+    return np.where(np.isfinite(far), near, v)
+
+
+def described(samples: DataFrame, sizes: tuple[int, ...], value: str = "value", label: str = "label", by: tuple[str, ...] = ("series",), order: tuple[str, ...] = ("us", "rid"), least: int = 8, digits: int = 6) -> DataFrame:
+    """by, size, event (the label is not 0), told: STATISTICS, to `digits` decimals, of the complete windows of one label, of each size; the sizes divide the largest.
+
+    The samples come dealt by whole series. They are sorted once and walked in batches; of a run that goes on, what lies after its last window of the
+    largest size waits for the next batch."""
+    largest, kinds = max(sizes), dict(samples.dtypes)
+
+    def walk(batches):
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        def changes(column):
+            a, b = column.slice(1), column.slice(0, len(column) - 1)
+            other = pc.fill_null(pc.not_equal(a, b), False).to_numpy(zero_copy_only=False)
+            return other | (pc.is_null(a).to_numpy(zero_copy_only=False) != pc.is_null(b).to_numpy(zero_copy_only=False))
+
+        def told(rows, closed):
+            """Windows of rows, and the row from which they wait."""
+            new = np.ones(rows.num_rows, bool)
+            new[1:] = np.logical_or.reduce([changes(rows.column(c)) for c in (*by, "label")])
+            begins = np.flatnonzero(new)
+            lengths = np.diff(np.append(begins, rows.num_rows))
+            if not closed:
+                lengths[-1] -= lengths[-1] % largest
+            v = rows.column("_v").to_numpy(zero_copy_only=False)
+            event = rows.column("_e").to_numpy(zero_copy_only=False)
+            out = []
+            for size in sizes:
+                m = lengths // size
+                starts = np.repeat(begins, m) + size * (np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m))
+                if len(starts):
+                    found = pa.array(rounded(statistics(v[starts[:, None] + np.arange(size)], least), digits).ravel())
+                    lists = pa.ListArray.from_arrays(pa.array(np.arange(len(starts) + 1, dtype=np.int32) * len(STATISTICS)), found)
+                    own = [rows.column(c).take(pa.array(starts)) for c in by]
+                    out.append(pa.RecordBatch.from_arrays([*own, pa.array(np.full(len(starts), size, np.int32)), pa.array(event[starts]), lists], names=[*by, "size", "event", "told"]))
+            return out, begins[-1] + lengths[-1]
+
+        held = None
+        for batch in batches:
+            rows = pa.concat_batches([held, batch]) if held is not None and held.num_rows else batch
+            if rows.num_rows:
+                found, rest = told(rows, False)
+                held = rows.slice(rest)
+                yield from found
+        if held is not None and held.num_rows:
+            yield from told(held, True)[0]
+
+    known = samples.withColumns({"label": F.col(label), "_e": F.col(label) != 0, "_v": F.col(value).cast("double")}).sortWithinPartitions(*by, *order)
+    schema = ", ".join([*[f"`{c}` {kinds[c]}" for c in by], "size int, event boolean, told array<double>"])
+    return known.select(*by, "label", "_e", "_v").mapInArrow(walk, schema)
 
 
 def separation_study(samples: DataFrame, sizes: tuple[int, ...] = (256, 512, 1024), by: tuple[str, ...] = ("series",), order: tuple[str, ...] = ("us", "rid"), least: int = 8, digits: int = 6) -> DataFrame:
     """by, size, stat, n_event, n_normal, separation: how well each of STATISTICS tells the complete windows of an event (label not 0) from normal ones.
 
-    Each size is twice the one before; the samples are cut once, to the first, and each size is put together from the one before. Statistics
-    are compared to `digits` decimals. Pairs of under five windows of either kind are left out.
+    Each size is twice the one before; the samples are sorted and cut once, for all sizes. Statistics are compared to `digits` decimals. Pairs of under
+    five windows of either kind are left out.
 
     Samples are counted first and dealt, whole series each, over as many tasks as that takes at about SAMPLES: sorting, cutting and telling keep to one
-    task's series, and its memory does not grow with the input."""
+    task's series, and its memory does not grow with the input. Windows are dealt likewise, a row each, and their statistics become rows where they are."""
     if any(b != 2 * a for a, b in zip(sizes, sizes[1:])):
         raise ValueError("each size must be twice the one before")
     known = samples.where("label is not null")
-    least_parts = int(samples.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    known = known.repartition(max(least_parts, -(-known.count() // SAMPLES)), *by)
-    found, out = states(known, sizes[0], by=by, order=order), None
-    for size in sizes:
-        own = described(found.where(F.col("n") == size), least).select(F.lit(size).alias("size"), *by, "label", *[F.round(s, digits).alias(s) for s in STATISTICS])
-        out = own if out is None else out.unionByName(own)
-        found = doubled(found, by)
-    rows = out.unpivot(["size", *by, "label"], list(STATISTICS), "stat", "v")
-    return auc(rows, "v", F.col("label") != 0, [*by, "size", "stat"]).select(*by, "size", "stat", "n_event", "n_normal", "separation")
+    parts = max(int(samples.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-known.count() // SAMPLES))
+    found = described(known.repartition(parts, *by), sizes, by=by, order=order, least=least, digits=digits).repartition(parts, *by)
+    rows = found.select(*by, "size", "event", F.posexplode("told").alias("_at", "v"))
+    stat = F.get(F.array(*[F.lit(s) for s in STATISTICS]), F.col("_at"))
+    return ranked_auc(rows, "v", F.col("event"), [*by, "size", "_at"]).select(*by, "size", stat.alias("stat"), "n_event", "n_normal", "separation")
 
 
 def best_statistics(study: DataFrame, by: list[str]) -> DataFrame:
