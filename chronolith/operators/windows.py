@@ -135,7 +135,7 @@ def described(samples: DataFrame, sizes: tuple[int, ...], value: str = "value",
     """by, size, event (the label is not 0), told: STATISTICS, to `digits` decimals, of the complete windows of one label, of each size; the sizes divide the largest.
 
     The samples come dealt by whole series. They are sorted once and walked in batches; of a run that goes on, what lies after its last window of the
-    largest size waits for the next batch."""
+    largest size waits for the next batch. Samples alike in `order` go by label and value, so that how the input lies does not tell; nulls come last."""
     largest, kinds = max(sizes), dict(samples.dtypes)
 
     def walk(batches):
@@ -178,7 +178,8 @@ def described(samples: DataFrame, sizes: tuple[int, ...], value: str = "value",
         if held is not None and held.num_rows:
             yield from told(held, True)[0]
 
-    known = samples.withColumns({"label": F.col(label), "_e": F.col(label) != 0, "_v": F.col(value).cast("double")}).sortWithinPartitions(*by, *order)
+    at = [F.asc_nulls_last(c) for c in (*order, "label", "_v")]
+    known = samples.withColumns({"label": F.col(label), "_e": F.col(label) != 0, "_v": F.col(value).cast("double")}).sortWithinPartitions(*by, *at)
     schema = ", ".join([*[f"`{c}` {kinds[c]}" for c in by], "size int, event boolean, told array<double>"])
     return known.select(*by, "label", "_e", "_v").mapInArrow(walk, schema)
 
